@@ -118,6 +118,210 @@ def q_r2_chart_series(spark, sf_dir):
     return round_doubles(chart_series(enriched(spark, sf_dir)))
 
 
+
+# --- portfolio ---------------------------------------------------------------------------
+
+def q_p3_clean_holdings(spark, sf_dir):
+    from tickweave.operators.portfolio import clean_holdings
+    from tickweave.sources.fixtures import holdings
+    return round_doubles(clean_holdings(holdings(spark, sf_dir)))
+
+
+def _valued(spark, sf_dir):
+    from tickweave.operators.portfolio import value_holdings
+    from tickweave.sources.fixtures import holdings
+    return value_holdings(holdings(spark, sf_dir), bars(spark, sf_dir), AS_OF)
+
+
+MONEY = {"value": 2, "cost": 2, "pnl": 2, "total_cost": 2, "total_value": 2, "total_pnl": 2}
+
+
+def q_j1_value_holdings(spark, sf_dir):
+    return round_doubles(_valued(spark, sf_dir), overrides=MONEY)
+
+
+def q_a1_portfolio_totals(spark, sf_dir):
+    from tickweave.operators.portfolio import portfolio_totals
+    return round_doubles(portfolio_totals(_valued(spark, sf_dir)), overrides=MONEY)
+
+
+def q_p7_display_format(spark, sf_dir):
+    """Portfolio totals and trailing volume as display text."""
+    from tickweave.functions.formatting import int_text, money
+    from tickweave.operators.portfolio import portfolio_totals
+    t = portfolio_totals(_valued(spark, sf_dir))
+    return t.select("portfolio_id",
+                    F.concat(F.lit("₹"), money(F.col("total_value"))).alias("total_value_text"),
+                    F.concat(F.lit("₹"), money(F.col("total_pnl"))).alias("total_pnl_text"),
+                    F.concat(money(F.col("total_return_pct")), F.lit("%")).alias("total_return_text"))
+
+
+def q_p7_volume_text(spark, sf_dir):
+    from tickweave.functions.formatting import int_text, money
+    t = S.trailing_stats(bars(spark, sf_dir))
+    return t.select("symbol", int_text(F.col("avg_volume_20")).alias("avg_volume_text"),
+                    F.concat(F.lit("₹"), money(F.col("high_52w"))).alias("high_52w_text"),
+                    F.concat(F.lit("₹"), money(F.col("low_52w"))).alias("low_52w_text"))
+
+
+# --- scalar rules ----------------------------------------------------------------------------
+
+def q_f2_round_to_strike(spark, sf_dir):
+    """Strikes both ways for every tick price of ``events`` (0.01 .. 490: steps 0.5, 1, 5)."""
+    from tickweave.functions.rules import round_to_strike
+    from tickweave.sources.fixtures import quotes
+    q = quotes(spark, sf_dir)
+    return round_doubles(q.select("event_id", "price",
+                                  round_to_strike(F.col("price"), "up").alias("strike_up"),
+                                  round_to_strike(F.col("price"), "down").alias("strike_down"),
+                                  round_to_strike(F.col("price")).alias("strike_nearest")))
+
+
+def q_f2_strike_bars(spark, sf_dir):
+    """Call and put strikes around every close (prices of 900 .. 105 000: step 100)."""
+    from tickweave.functions.rules import round_to_strike
+    b = bars(spark, sf_dir)
+    return round_doubles(b.select("symbol", "date",
+                                  round_to_strike(F.col("close") * F.lit(1.02), "up").alias("call_strike"),
+                                  round_to_strike(F.col("close") * F.lit(0.98), "down").alias("put_strike")))
+
+
+def q_f8_business_days(spark, sf_dir):
+    from tickweave.functions.rules import business_days
+    last = bars(spark, sf_dir).groupBy("symbol").agg(F.max("date").alias("last_date"))
+    return last.select("symbol", "last_date", F.posexplode(business_days(F.col("last_date"))).alias("pos", "date")) \
+        .select("symbol", "last_date", (F.col("pos") + 1).cast("long").alias("step"), "date")
+
+
+# --- forecasting (on the smoothed bars, where every rule branch is reached) ------------------
+
+LOOK_BACK = 30
+
+
+def smooth(spark, sf_dir):
+    return B.smooth_bars(bars(spark, sf_dir), 60, PRICE_SCALE)
+
+
+PRICE4 = {"predicted": 4, "mae": 4, "price": 4, "last_forecast": 4, "actual": 4}
+
+
+def q_s3_smooth_bars(spark, sf_dir):
+    return round_doubles(smooth(spark, sf_dir).select("symbol", "date", "close"))
+
+
+def q_a5_series_min_max(spark, sf_dir):
+    from tickweave.plans.forecast import with_min_max
+    return round_doubles(with_min_max(bars(spark, sf_dir)).groupBy("symbol").agg(
+        F.max("s_min").alias("s_min"), F.max("s_max").alias("s_max")))
+
+
+def q_f7_minmax_scale(spark, sf_dir):
+    from tickweave.plans.forecast import scale, unscale, with_min_max
+    m = with_min_max(bars(spark, sf_dir))
+    sc = scale(F.col("close"), F.col("s_min"), F.col("s_max"))
+    return round_doubles(m.select("symbol", "date", sc.alias("scaled"),
+                                  unscale(sc, F.col("s_min"), F.col("s_max")).alias("restored")))
+
+
+def _samples(spark, sf_dir, src=None):
+    from tickweave.plans.forecast import samples
+    return samples(src if src is not None else smooth(spark, sf_dir), LOOK_BACK)
+
+
+def q_w8_lag_windows(spark, sf_dir):
+    """Look-back samples, each feature vector summarised (size, first, last, sum)."""
+    s = _samples(spark, sf_dir)
+    return round_doubles(s.select(
+        "symbol", "date", F.size("features").cast("long").alias("n_features"),
+        F.element_at("features", 1).alias("first_feature"), F.element_at("features", -1).alias("last_feature"),
+        F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("sum_features"),
+        F.col("label")))
+
+
+def q_w9_chronological_split(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return s.select("symbol", "date", F.col("sample_idx").cast("long").alias("sample_idx"), "is_train")
+
+
+def q_a7_fit_ar1(spark, sf_dir):
+    from tickweave.plans.forecast import fit_ar1
+    return round_doubles(fit_ar1(_samples(spark, sf_dir)))
+
+
+def _pred_ar1(spark, sf_dir, src=None):
+    from tickweave.plans.forecast import fit_ar1, predict_test_ar1
+    s = _samples(spark, sf_dir, src)
+    return predict_test_ar1(s, fit_ar1(s))
+
+
+def q_m2_predict_test_ar1(spark, sf_dir):
+    return round_doubles(_pred_ar1(spark, sf_dir), overrides=PRICE4)
+
+
+def q_a4_forecast_metrics(spark, sf_dir):
+    from tickweave.plans.forecast import metrics
+    return round_doubles(metrics(_pred_ar1(spark, sf_dir)), overrides=PRICE4)
+
+
+def q_a4_forecast_metrics_raw(spark, sf_dir):
+    from tickweave.plans.forecast import metrics
+    return round_doubles(metrics(_pred_ar1(spark, sf_dir, bars(spark, sf_dir))), overrides=PRICE4)
+
+
+def _fc_ar1(spark, sf_dir):
+    from tickweave.plans.forecast import fit_ar1, last_state, recursive_forecast_ar1
+    b = smooth(spark, sf_dir)
+    return recursive_forecast_ar1(last_state(b, LOOK_BACK), fit_ar1(_samples(spark, sf_dir, b)))
+
+
+def q_m4_forecast_table(spark, sf_dir):
+    from tickweave.plans.forecast import forecast_table
+    return round_doubles(forecast_table(_fc_ar1(spark, sf_dir)), overrides=PRICE4)
+
+
+def _signal(spark, sf_dir, src=None):
+    from tickweave.plans.signal import ar1_signal
+    return ar1_signal(src if src is not None else smooth(spark, sf_dir), LOOK_BACK)
+
+
+SIGNAL_COLS = ["symbol", "last_date", "last_close", "last_forecast", "mape", "mae", "last_rsi", "change_pct",
+               "rsi_used", "echo_risk", "action", "strike"]
+
+
+def q_j3_signal_inputs(spark, sf_dir):
+    return round_doubles(_signal(spark, sf_dir).select("symbol", "mape", "mae", "last_close", "last_forecast",
+                                                        "last_rsi"), overrides=PRICE4)
+
+
+def q_f4_expected_change(spark, sf_dir):
+    return round_doubles(_signal(spark, sf_dir).select("symbol", "change_pct"))
+
+
+def q_f5_rsi_default(spark, sf_dir):
+    return round_doubles(_signal(spark, sf_dir).select("symbol", "rsi_used"))
+
+
+def q_f1_echo_risk(spark, sf_dir):
+    return round_doubles(_signal(spark, sf_dir).select("symbol", "echo_risk"))
+
+
+def q_f3_action(spark, sf_dir):
+    return round_doubles(_signal(spark, sf_dir).select("symbol", "action", "strike"))
+
+
+def q_e3_signal(spark, sf_dir):
+    return round_doubles(_signal(spark, sf_dir).select(*SIGNAL_COLS), overrides=PRICE4)
+
+
+def q_e3_signal_raw(spark, sf_dir):
+    return round_doubles(_signal(spark, sf_dir, bars(spark, sf_dir)).select(*SIGNAL_COLS), overrides=PRICE4)
+
+
+def flagship(spark, sf_dir):
+    """Trade signal of every symbol (E3) on the smoothed bars."""
+    return q_e3_signal(spark, sf_dir)
+
+
 QUERIES = {
     "s3_build_bars": q_s3_build_bars,
     "s1_load_bars": q_s1_load_bars,
@@ -137,4 +341,29 @@ QUERIES = {
     "p4_add_if_missing": q_p4_add_if_missing,
     "f9_index_quote": q_f9_index_quote,
     "r2_chart_series": q_r2_chart_series,
+    "p3_clean_holdings": q_p3_clean_holdings,
+    "j1_value_holdings": q_j1_value_holdings,
+    "a1_portfolio_totals": q_a1_portfolio_totals,
+    "p7_display_format": q_p7_display_format,
+    "p7_volume_text": q_p7_volume_text,
+    "f2_round_to_strike": q_f2_round_to_strike,
+    "f2_strike_bars": q_f2_strike_bars,
+    "f8_business_days": q_f8_business_days,
+    "s3_smooth_bars": q_s3_smooth_bars,
+    "a5_series_min_max": q_a5_series_min_max,
+    "f7_minmax_scale": q_f7_minmax_scale,
+    "w8_lag_windows": q_w8_lag_windows,
+    "w9_chronological_split": q_w9_chronological_split,
+    "a7_fit_ar1": q_a7_fit_ar1,
+    "m2_predict_test_ar1": q_m2_predict_test_ar1,
+    "a4_forecast_metrics": q_a4_forecast_metrics,
+    "a4_forecast_metrics_raw": q_a4_forecast_metrics_raw,
+    "m4_forecast_table": q_m4_forecast_table,
+    "j3_signal_inputs": q_j3_signal_inputs,
+    "f4_expected_change": q_f4_expected_change,
+    "f5_rsi_default": q_f5_rsi_default,
+    "f1_echo_risk": q_f1_echo_risk,
+    "f3_action": q_f3_action,
+    "e3_signal": q_e3_signal,
+    "e3_signal_raw": q_e3_signal_raw,
 }

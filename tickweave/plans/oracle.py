@@ -101,3 +101,198 @@ ORACLE["r2_chart_series"] = f"""WITH {IND},
 u AS (UNPIVOT (SELECT symbol, date, {', '.join(_CHART)} FROM enr)
       ON {', '.join(_CHART)} INTO NAME series VALUE value)
 SELECT symbol, date, series, {R('value', 'value')} FROM u WHERE value IS NOT NULL"""
+
+
+# --- portfolio -------------------------------------------------------------------------------
+
+HOLD = f"""{BARS},
+hold AS (SELECT o_custkey AS portfolio_id,
+           CASE WHEN l_orderkey % 7 = 0 THEN 'x' || CAST(l_suppkey AS VARCHAR) ELSE CAST(l_suppkey AS VARCHAR) END AS symbol,
+           l_quantity AS quantity, l_extendedprice AS buy_price
+         FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+clean AS (SELECT portfolio_id, upper(symbol) AS symbol, quantity, buy_price FROM hold
+          WHERE symbol IS NOT NULL AND length(symbol) > 0 AND quantity > 0 AND buy_price > 0),
+px AS (SELECT symbol, arg_max_null(close, date) AS current_price FROM bars
+       WHERE date > DATE '{AS_OF}' - INTERVAL 1 MONTH AND date <= DATE '{AS_OF}' GROUP BY symbol),
+v1 AS (SELECT c.portfolio_id, c.symbol, c.quantity, c.buy_price, p.current_price,
+              p.current_price * c.quantity AS value, c.buy_price * c.quantity AS cost
+       FROM clean c JOIN px p ON c.symbol = p.symbol),
+val AS (SELECT *, value - cost AS pnl,
+               CASE WHEN cost <> 0 THEN (value - cost) / cost * 100 ELSE 0.0 END AS pnl_pct FROM v1),
+tot AS (SELECT portfolio_id, count(*) AS n_holdings, sum(cost) AS total_cost, sum(value) AS total_value,
+               sum(pnl) AS total_pnl FROM val GROUP BY portfolio_id),
+tot2 AS (SELECT *, CASE WHEN total_cost <> 0 THEN total_pnl / total_cost * 100 ELSE 0.0 END AS total_return_pct
+         FROM tot)"""
+
+ORACLE["p3_clean_holdings"] = f"WITH {HOLD} SELECT portfolio_id, symbol, " + \
+    ", ".join(R(c, c) for c in ["quantity", "buy_price"]) + " FROM clean"
+ORACLE["j1_value_holdings"] = f"WITH {HOLD} SELECT portfolio_id, symbol, " + ", ".join(
+    [R("quantity", "quantity"), R("buy_price", "buy_price"), R("current_price", "current_price"),
+     R("value", "value", 2), R("cost", "cost", 2), R("pnl", "pnl", 2), R("pnl_pct", "pnl_pct")]) + " FROM val"
+ORACLE["a1_portfolio_totals"] = f"WITH {HOLD} SELECT portfolio_id, n_holdings, " + ", ".join(
+    [R("total_cost", "total_cost", 2), R("total_value", "total_value", 2), R("total_pnl", "total_pnl", 2),
+     R("total_return_pct", "total_return_pct")]) + " FROM tot2"
+ORACLE["p7_display_format"] = f"""WITH {HOLD}
+SELECT portfolio_id, '₹' || format('{{:,.2f}}', total_value) AS total_value_text,
+       '₹' || format('{{:,.2f}}', total_pnl) AS total_pnl_text,
+       format('{{:,.2f}}', total_return_pct) || '%' AS total_return_text FROM tot2"""
+ORACLE["p7_volume_text"] = f"""WITH {BARS},
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars),
+t AS (SELECT symbol, avg(CASE WHEN rn <= 20 THEN volume END) AS v, max(CASE WHEN rn <= 252 THEN high END) AS hi,
+             min(CASE WHEN rn <= 252 THEN low END) AS lo FROM r GROUP BY symbol)
+SELECT symbol, format('{{:,}}', CAST(trunc(v) AS BIGINT)) AS avg_volume_text,
+       '₹' || format('{{:,.2f}}', hi) AS high_52w_text, '₹' || format('{{:,.2f}}', lo) AS low_52w_text FROM t"""
+
+
+# --- scalar rules ------------------------------------------------------------------------------
+
+def _step(p: str) -> str:
+    return (f"(CASE WHEN ({p}) < 10 THEN 0.5::DOUBLE WHEN ({p}) < 100 THEN 1.0::DOUBLE "
+            f"WHEN ({p}) < 500 THEN 5.0::DOUBLE ELSE 100.0::DOUBLE END)")
+
+
+def strike_sql(p: str, direction: str = "neutral") -> str:
+    inc = _step(p)
+    nearest = f"(round_even(({p}) / {inc}, 0) * {inc})"
+    if direction == "up":
+        nearest = f"(CASE WHEN ({p}) % {inc} > {inc} / 2 THEN {nearest} + {inc} ELSE {nearest} END)"
+    elif direction == "down":
+        nearest = f"(CASE WHEN ({p}) % {inc} < {inc} / 2 THEN {nearest} - {inc} ELSE {nearest} END)"
+    return f"round({nearest}, 2)"
+
+
+def strike_text_sql(p: str, direction: str) -> str:
+    k = strike_sql(p, direction)
+    return f"(CASE WHEN {_step(p)} < 1 THEN CAST({k} AS VARCHAR) ELSE CAST(CAST({k} AS BIGINT) AS VARCHAR) END)"
+
+
+ORACLE["f2_round_to_strike"] = f"""SELECT event_id, {R('value', 'price')},
+  {R(strike_sql('value', 'up'), 'strike_up')}, {R(strike_sql('value', 'down'), 'strike_down')},
+  {R(strike_sql('value'), 'strike_nearest')} FROM events"""
+ORACLE["f2_strike_bars"] = f"""WITH {BARS} SELECT symbol, date,
+  {R(strike_sql('close * 1.02', 'up'), 'call_strike')}, {R(strike_sql('close * 0.98', 'down'), 'put_strike')}
+FROM bars"""
+ORACLE["f8_business_days"] = f"""WITH {BARS},
+l AS (SELECT symbol, max(date) AS last_date FROM bars GROUP BY symbol),
+d AS (SELECT symbol, last_date, CAST(last_date + CAST(unnest(range(1, 45)) AS INTEGER) AS DATE) AS date FROM l),
+b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS step FROM d WHERE isodow(date) <= 5)
+SELECT symbol, last_date, step, date FROM b WHERE step <= 30"""
+
+
+# --- forecasting ---------------------------------------------------------------------------------
+
+SMOOTH = f"""{BARS},
+sm0 AS (SELECT symbol, date, open, high, low, volume,
+          CAST(sum(CAST(round(close * 100) AS BIGINT)) OVER {_frame(60)} AS DOUBLE) / 6000.0 AS close,
+          count(close) OVER {_frame(60)} AS c60 FROM bars),
+smooth AS (SELECT symbol, date, open, high, low, close, volume FROM sm0 WHERE c60 = 60)"""
+
+
+def ind_ctes(src: str, p: str) -> str:
+    """Indicator chain over table ``src``; the result is ``{p}enr``."""
+    return f"""{p}b1 AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM {src}),
+{p}b2 AS (SELECT *, close - prev_close AS change FROM {p}b1),
+{p}b3 AS (SELECT *, CASE WHEN change IS NULL THEN NULL WHEN change > 0 THEN change ELSE 0.0 END AS gain,
+                CASE WHEN change IS NULL THEN NULL WHEN change < 0 THEN -change ELSE 0.0 END AS loss FROM {p}b2),
+{p}ind AS (SELECT symbol, date, close, {_mean('gain', 14)} AS avg_gain, {_mean('loss', 14)} AS avg_loss FROM {p}b3),
+{p}enr AS (SELECT symbol, date, close, 100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)) AS rsi FROM {p}ind)"""
+
+
+def fc_ctes(src: str, L: int = 30) -> str:
+    return f"""mm AS (SELECT *, min(close) OVER (PARTITION BY symbol) AS s_min, max(close) OVER (PARTITION BY symbol) AS s_max
+       FROM {src}),
+sc AS (SELECT *, CASE WHEN s_max > s_min THEN (close - s_min) / (s_max - s_min)
+                      WHEN close IS NOT NULL THEN 0.0 END AS scaled FROM mm),
+lw AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS idx,
+              lag(scaled, 1) OVER (PARTITION BY symbol ORDER BY date) AS prev,
+              lag(scaled, {L}) OVER (PARTITION BY symbol ORDER BY date) AS first_feature,
+              sum(scaled) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {L} PRECEDING AND 1 PRECEDING) AS sum_features
+       FROM sc),
+s0 AS (SELECT symbol, date, close, s_min, s_max, scaled AS label, prev, first_feature, sum_features
+       FROM lw WHERE idx >= {L}),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS sample_idx,
+              count(*) OVER (PARTITION BY symbol) AS n_samples FROM s0),
+smp AS (SELECT *, sample_idx < floor(n_samples * 0.8::DOUBLE) AS is_train FROM s1),
+coef AS (SELECT symbol, regr_intercept(label, prev) AS ar_a, regr_slope(label, prev) AS ar_b
+         FROM smp WHERE is_train GROUP BY symbol),
+pred AS (SELECT s.symbol, s.date, s.sample_idx, s.close AS actual,
+                (c.ar_a + c.ar_b * s.prev) * (s.s_max - s.s_min) + s.s_min AS predicted
+         FROM smp s JOIN coef c ON s.symbol = c.symbol WHERE NOT s.is_train),
+met AS (SELECT symbol, count(*) AS n_test, avg(abs(actual - predicted)) AS mae,
+               avg(abs((actual - predicted) / nullif(actual, 0))) * 100 AS mape FROM pred GROUP BY symbol),
+st AS (SELECT symbol, max(date) AS last_date, arg_max_null(close, date) AS last_close,
+              arg_max_null(scaled, date) AS h0, max(s_min) AS s_min, max(s_max) AS s_max FROM sc GROUP BY symbol),
+fc AS (SELECT st.symbol, 0 AS step, st.h0 AS h FROM st JOIN coef ON st.symbol = coef.symbol
+       UNION ALL
+       SELECT fc.symbol, fc.step + 1, coef.ar_a + coef.ar_b * fc.h FROM fc JOIN coef ON fc.symbol = coef.symbol
+       WHERE fc.step < 30),
+bd0 AS (SELECT symbol, CAST(last_date + CAST(unnest(range(1, 45)) AS INTEGER) AS DATE) AS date FROM st),
+bd AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS step FROM bd0 WHERE isodow(date) <= 5),
+fct AS (SELECT fc.symbol, CAST(fc.step AS BIGINT) AS step, bd.date, fc.h * (st.s_max - st.s_min) + st.s_min AS price
+        FROM fc JOIN st ON fc.symbol = st.symbol JOIN bd ON bd.symbol = fc.symbol AND bd.step = fc.step
+        WHERE fc.step >= 1)"""
+
+
+def signal_ctes(src: str) -> str:
+    chg = "(f.price / nullif(st.last_close, 0) - 1) * 100"
+    return f"""{fc_ctes(src)},
+{ind_ctes(src, 'r_')},
+lrsi AS (SELECT symbol, arg_max_null(rsi, date) AS last_rsi FROM r_enr GROUP BY symbol),
+sg0 AS (SELECT m.symbol, st.last_date, st.last_close, f.price AS last_forecast, m.mape, m.mae, r.last_rsi,
+               {chg} AS change_pct, coalesce(r.last_rsi, 50.0) AS rsi_used
+        FROM met m JOIN st ON m.symbol = st.symbol JOIN (SELECT * FROM fct WHERE step = 30) f ON f.symbol = m.symbol
+        LEFT JOIN lrsi r ON r.symbol = m.symbol),
+sg AS (SELECT *,
+         CASE WHEN mape IS NULL OR rsi_used IS NULL OR change_pct IS NULL THEN NULL
+              ELSE greatest(0.0, least(100.0, 100 - mape * 2 - abs(rsi_used - 50) / 50 * 20 - abs(change_pct) / 10))
+         END AS echo_risk,
+         CASE WHEN mape IS NOT NULL AND change_pct IS NOT NULL AND mape < 5 THEN
+                CASE WHEN change_pct > 2 THEN 'Buy Calls ~₹' || {strike_text_sql('last_close * 1.02', 'up')}
+                     WHEN change_pct >= -2 AND change_pct <= 2 THEN 'Hold / Avoid Options'
+                     ELSE 'Buy Puts ~₹' || {strike_text_sql('last_close * 0.98', 'down')} END
+              ELSE 'Unreliable - Avoid Trades' END AS action,
+         CASE WHEN mape IS NOT NULL AND change_pct IS NOT NULL AND mape < 5 THEN
+                CASE WHEN change_pct > 2 THEN {strike_sql('last_close * 1.02', 'up')}
+                     WHEN change_pct >= -2 AND change_pct <= 2 THEN NULL
+                     ELSE {strike_sql('last_close * 0.98', 'down')} END
+         END AS strike
+       FROM sg0)"""
+
+
+P4 = {"predicted": 4, "mae": 4, "price": 4, "last_forecast": 4, "actual": 4}
+
+
+def _r(c: str, alias: str | None = None) -> str:
+    alias = alias or c
+    return R(c, alias, P4.get(alias, 6))
+
+
+ORACLE["s3_smooth_bars"] = f"WITH {SMOOTH} SELECT symbol, date, {_r('close')} FROM smooth"
+ORACLE["a5_series_min_max"] = f"""WITH {BARS} SELECT symbol, {_r('min(close)', 's_min')}, {_r('max(close)', 's_max')}
+FROM bars GROUP BY symbol"""
+ORACLE["f7_minmax_scale"] = f"""WITH {BARS},
+mm AS (SELECT *, min(close) OVER (PARTITION BY symbol) AS s_min, max(close) OVER (PARTITION BY symbol) AS s_max FROM bars),
+sc AS (SELECT *, CASE WHEN s_max > s_min THEN (close - s_min) / (s_max - s_min) WHEN close IS NOT NULL THEN 0.0 END AS scaled
+       FROM mm)
+SELECT symbol, date, {_r('scaled')}, {_r('scaled * (s_max - s_min) + s_min', 'restored')} FROM sc"""
+_FC = f"WITH RECURSIVE {SMOOTH},\n{fc_ctes('smooth')}\n"
+ORACLE["w8_lag_windows"] = _FC + f"""SELECT symbol, date, CAST(30 AS BIGINT) AS n_features, {_r('first_feature')},
+  {_r('prev', 'last_feature')}, {_r('sum_features')}, {_r('label')} FROM smp"""
+ORACLE["w9_chronological_split"] = _FC + "SELECT symbol, date, sample_idx, is_train FROM smp"
+ORACLE["a7_fit_ar1"] = _FC + f"SELECT symbol, {_r('ar_a')}, {_r('ar_b')} FROM coef"
+ORACLE["m2_predict_test_ar1"] = _FC + f"SELECT symbol, date, sample_idx, {_r('actual')}, {_r('predicted')} FROM pred"
+ORACLE["a4_forecast_metrics"] = _FC + f"SELECT symbol, n_test, {_r('mae')}, {_r('mape')} FROM met"
+ORACLE["a4_forecast_metrics_raw"] = f"WITH RECURSIVE {BARS},\n{fc_ctes('bars')}\n" + \
+    f"SELECT symbol, n_test, {_r('mae')}, {_r('mape')} FROM met"
+ORACLE["m4_forecast_table"] = _FC + f"SELECT symbol, step, date, {_r('price')} FROM fct"
+_SG = f"WITH RECURSIVE {SMOOTH},\n{signal_ctes('smooth')}\n"
+ORACLE["j3_signal_inputs"] = _SG + "SELECT symbol, " + ", ".join(
+    _r(c) for c in ["mape", "mae", "last_close", "last_forecast", "last_rsi"]) + " FROM sg"
+ORACLE["f4_expected_change"] = _SG + f"SELECT symbol, {_r('change_pct')} FROM sg"
+ORACLE["f5_rsi_default"] = _SG + f"SELECT symbol, {_r('rsi_used')} FROM sg"
+ORACLE["f1_echo_risk"] = _SG + f"SELECT symbol, {_r('echo_risk')} FROM sg"
+ORACLE["f3_action"] = _SG + f"SELECT symbol, action, {_r('strike')} FROM sg"
+_SIG_COLS = ["last_close", "last_forecast", "mape", "mae", "last_rsi", "change_pct", "rsi_used", "echo_risk", "strike"]
+ORACLE["e3_signal"] = _SG + "SELECT symbol, last_date, action, " + ", ".join(_r(c) for c in _SIG_COLS) + " FROM sg"
+ORACLE["e3_signal_raw"] = f"WITH RECURSIVE {BARS},\n{signal_ctes('bars')}\n" + \
+    "SELECT symbol, last_date, action, " + ", ".join(_r(c) for c in _SIG_COLS) + " FROM sg"
