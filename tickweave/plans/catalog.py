@@ -317,6 +317,100 @@ def q_e3_signal_raw(spark, sf_dir):
     return round_doubles(_signal(spark, sf_dir, bars(spark, sf_dir)).select(*SIGNAL_COLS), overrides=PRICE4)
 
 
+
+# --- feeds, alerts, flows, favourites --------------------------------------------------------
+
+PICK_K = 7  # the rotating news counter of the catalog query
+
+
+def _unseen(spark, sf_dir):
+    from tickweave.operators.feeds import unseen
+    from tickweave.sources.fixtures import news, seen
+    return unseen(news(spark, sf_dir), seen(spark, sf_dir))
+
+
+def q_j2_unseen_news(spark, sf_dir):
+    return _unseen(spark, sf_dir).select("url", "title", "feed_pos", F.col("source.name").alias("source_name"))
+
+
+def q_l2_rotating_pick(spark, sf_dir):
+    from tickweave.operators.feeds import rotating_pick
+    u = _unseen(spark, sf_dir).withColumn("source_name", F.col("source.name"))
+    return rotating_pick(u, PICK_K, "source_name").select("source_name", "url", "feed_pos", "n_items", "pick_index")
+
+
+def q_j4_fired_alerts(spark, sf_dir):
+    from tickweave.operators.feeds import fired_alerts
+    from tickweave.sources.fixtures import alerts
+    return round_doubles(fired_alerts(bars(spark, sf_dir), alerts(spark, sf_dir)))
+
+
+def q_a6_net_flow(spark, sf_dir):
+    from tickweave.operators.feeds import net_flow
+    from tickweave.sources.fixtures import flows
+    return round_doubles(net_flow(flows(spark, sf_dir)), digits=2)
+
+
+def q_a6_net_flow_total(spark, sf_dir):
+    """The institutional-activity table itself: one row per category over all dates."""
+    from tickweave.operators.feeds import net_flow
+    from tickweave.sources.fixtures import flows
+    return round_doubles(net_flow(flows(spark, sf_dir), keys=("category",)), digits=2)
+
+
+def q_p8_favorites_distinct(spark, sf_dir):
+    from tickweave.operators.feeds import favorites_distinct
+    from tickweave.sources.fixtures import favorites
+    return favorites_distinct(favorites(spark, sf_dir)).select("user_id", "symbol", "n_adds", "position")
+
+
+# --- statements and profiles -----------------------------------------------------------------
+
+ITEMS = ["Total Revenue", "Net Income", "Operating Expense"]
+
+
+def _wide(spark, sf_dir):
+    from tickweave.operators.statements import statement_wide
+    from tickweave.sources.fixtures import statements
+    return statement_wide(statements(spark, sf_dir), ITEMS)
+
+
+def q_r1_statement_wide(spark, sf_dir):
+    return round_doubles(_wide(spark, sf_dir), digits=2)
+
+
+def q_p2_select_available(spark, sf_dir):
+    from tickweave import constants as K
+    from tickweave.operators.statements import select_available
+    return round_doubles(select_available(_wide(spark, sf_dir), K.PNL_ITEMS), digits=2)
+
+
+def q_p5_fill_and_stringify(spark, sf_dir):
+    from tickweave.operators.statements import fill_and_stringify
+    return fill_and_stringify(_wide(spark, sf_dir))
+
+
+def q_p6_profile_field(spark, sf_dir):
+    from tickweave.functions.formatting import map_field
+    from tickweave.operators.statements import profile_fields
+    from tickweave.sources.fixtures import profiles
+    p = profiles(spark, sf_dir)
+    return profile_fields(p.withColumn("k", map_field(F.col("info"), "k"))).drop("info")
+
+
+# --- symbol universe -------------------------------------------------------------------------
+
+def q_s4_symbol_universe(spark, sf_dir):
+    from tickweave.sources.fixtures import symbols
+    return symbols(spark, sf_dir)
+
+
+def q_s4_by_exchange(spark, sf_dir):
+    from tickweave.sources.fixtures import symbols
+    from tickweave.sources.universe import by_exchange
+    return by_exchange(symbols(spark, sf_dir), "NSE")
+
+
 def flagship(spark, sf_dir):
     """Trade signal of every symbol (E3) on the smoothed bars."""
     return q_e3_signal(spark, sf_dir)
@@ -366,4 +460,16 @@ QUERIES = {
     "f3_action": q_f3_action,
     "e3_signal": q_e3_signal,
     "e3_signal_raw": q_e3_signal_raw,
+    "j2_unseen_news": q_j2_unseen_news,
+    "l2_rotating_pick": q_l2_rotating_pick,
+    "j4_fired_alerts": q_j4_fired_alerts,
+    "a6_net_flow": q_a6_net_flow,
+    "a6_net_flow_total": q_a6_net_flow_total,
+    "p8_favorites_distinct": q_p8_favorites_distinct,
+    "r1_statement_wide": q_r1_statement_wide,
+    "p2_select_available": q_p2_select_available,
+    "p5_fill_and_stringify": q_p5_fill_and_stringify,
+    "p6_profile_field": q_p6_profile_field,
+    "s4_symbol_universe": q_s4_symbol_universe,
+    "s4_by_exchange": q_s4_by_exchange,
 }

@@ -296,3 +296,95 @@ _SIG_COLS = ["last_close", "last_forecast", "mape", "mae", "last_rsi", "change_p
 ORACLE["e3_signal"] = _SG + "SELECT symbol, last_date, action, " + ", ".join(_r(c) for c in _SIG_COLS) + " FROM sg"
 ORACLE["e3_signal_raw"] = f"WITH RECURSIVE {BARS},\n{signal_ctes('bars')}\n" + \
     "SELECT symbol, last_date, action, " + ", ".join(_r(c) for c in _SIG_COLS) + " FROM sg"
+
+
+# --- feeds, alerts, flows, favourites --------------------------------------------------------
+
+NEWS = """feed AS (SELECT page_id, url, 0 AS copy FROM pages
+             UNION ALL SELECT page_id, url, 1 AS copy FROM pages WHERE page_id % 5 = 0),
+news AS (SELECT url, 'Page ' || CAST(page_id AS VARCHAR) AS title, page_id * 2 + copy AS feed_pos,
+                regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS source_name FROM feed),
+seen AS (SELECT url FROM pages WHERE page_id % 3 = 0),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY feed_pos) AS rn FROM news)
+           WHERE rn = 1),
+unseen AS (SELECT url, title, feed_pos, source_name FROM firsts f
+           WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.url IS NOT DISTINCT FROM f.url))"""
+
+ORACLE["j2_unseen_news"] = f"WITH {NEWS} SELECT url, title, feed_pos, source_name FROM unseen"
+ORACLE["l2_rotating_pick"] = f"""WITH {NEWS},
+r AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY feed_pos) - 1 AS idx,
+             count(*) OVER (PARTITION BY source_name) AS n_items FROM unseen)
+SELECT source_name, url, feed_pos, n_items, 7 % n_items AS pick_index FROM r WHERE idx = 7 % n_items"""
+ORACLE["j4_fired_alerts"] = f"""WITH {BARS},
+b AS (SELECT symbol, date, close, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM bars),
+a AS (SELECT s_suppkey AS alert_id, CAST(s_suppkey AS VARCHAR) AS symbol, 50000.0 + s_acctbal AS alert_price
+      FROM supplier),
+j AS (SELECT b.symbol, b.date, b.close, b.prev_close, a.alert_id, a.alert_price,
+             CASE WHEN b.prev_close < a.alert_price AND a.alert_price <= b.close THEN 'up'
+                  WHEN b.prev_close > a.alert_price AND a.alert_price >= b.close THEN 'down' END AS direction
+      FROM b JOIN a ON a.symbol = b.symbol)
+SELECT symbol, date, {R('close', 'close')}, {R('prev_close', 'prev_close')}, alert_id,
+       {R('alert_price', 'alert_price')}, direction FROM j WHERE direction IS NOT NULL"""
+FLOWS = """fl AS (SELECT CAST(l_shipdate AS DATE) AS date, c_mktsegment AS category,
+                CASE WHEN l_linestatus = 'O' THEN 'buy' WHEN l_linestatus = 'F' THEN 'sell' END AS side,
+                l_extendedprice AS amount
+         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _flow(keys: str) -> str:
+    return f"""WITH {FLOWS},
+g AS (SELECT {keys}, sum(CASE WHEN side = 'buy' THEN amount ELSE 0.0 END) AS buy_value,
+             sum(CASE WHEN side = 'sell' THEN amount ELSE 0.0 END) AS sell_value FROM fl GROUP BY {keys})
+SELECT {keys}, {R('buy_value', 'buy_value', 2)}, {R('sell_value', 'sell_value', 2)},
+       {R('buy_value - sell_value', 'net_value', 2)} FROM g"""
+
+
+ORACLE["a6_net_flow"] = _flow("date, category")
+ORACLE["a6_net_flow_total"] = _flow("category")
+ORACLE["p8_favorites_distinct"] = """WITH f AS (SELECT user_id, event_type AS symbol, ts AS added_at, event_id FROM events),
+g AS (SELECT user_id, symbol, count(*) AS n_adds, min(added_at) AS a0,
+             arg_min(event_id, (added_at, event_id)) AS e0 FROM f GROUP BY user_id, symbol)
+SELECT user_id, symbol, n_adds, row_number() OVER (PARTITION BY user_id ORDER BY a0, e0) AS position FROM g"""
+
+
+# --- statements and profiles -----------------------------------------------------------------
+
+STMT = """st0 AS (SELECT CAST(c_nationkey AS VARCHAR) AS symbol,
+                 CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period,
+                 CASE o_orderstatus WHEN 'F' THEN 'Total Revenue' WHEN 'O' THEN 'Net Income'
+                                    WHEN 'P' THEN 'Operating Expense' END AS item,
+                 o_totalprice AS value
+          FROM orders JOIN customer ON o_custkey = c_custkey),
+wide AS (SELECT symbol, period,
+                sum(CASE WHEN item = 'Total Revenue' THEN value END) AS "Total Revenue",
+                sum(CASE WHEN item = 'Net Income' THEN value END) AS "Net Income",
+                sum(CASE WHEN item = 'Operating Expense' THEN value END) AS "Operating Expense"
+         FROM st0 GROUP BY symbol, period)"""
+
+
+def _txt(c: str) -> str:
+    return f"""coalesce(CAST(CAST("{c}" AS DECIMAL(38,2)) AS VARCHAR), 'N/A') AS "{c}\""""
+
+
+ORACLE["r1_statement_wide"] = f"""WITH {STMT} SELECT symbol, period, {R('"Total Revenue"', '"Total Revenue"', 2)},
+  {R('"Net Income"', '"Net Income"', 2)}, {R('"Operating Expense"', '"Operating Expense"', 2)} FROM wide"""
+ORACLE["p2_select_available"] = f"""WITH {STMT} SELECT symbol, period, {R('"Total Revenue"', '"Total Revenue"', 2)},
+  {R('"Net Income"', '"Net Income"', 2)} FROM wide"""
+ORACLE["p5_fill_and_stringify"] = f"""WITH {STMT} SELECT symbol, period, {_txt('Total Revenue')},
+  {_txt('Net Income')}, {_txt('Operating Expense')} FROM wide"""
+ORACLE["p6_profile_field"] = """SELECT event_id, event_type AS symbol,
+  coalesce(json_extract_string(props, '$.k'), 'N/A') AS k,
+  coalesce(json_extract_string(props, '$.longName'), 'N/A') AS longName,
+  coalesce(json_extract_string(props, '$.sector'), 'N/A') AS sector,
+  coalesce(json_extract_string(props, '$.industry'), 'N/A') AS industry,
+  coalesce(json_extract_string(props, '$.website'), 'N/A') AS website,
+  coalesce(json_extract_string(props, '$.longBusinessSummary'), 'N/A') AS longBusinessSummary
+FROM events"""
+
+
+# --- symbol universe -------------------------------------------------------------------------
+
+UNIV = """SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, 'stock' AS kind FROM supplier"""
+ORACLE["s4_symbol_universe"] = UNIV
+ORACLE["s4_by_exchange"] = f"SELECT * FROM ({UNIV}) WHERE exchange = 'NSE' AND kind = 'stock'"
