@@ -411,6 +411,61 @@ def q_s4_by_exchange(spark, sf_dir):
     return by_exchange(symbols(spark, sf_dir), "NSE")
 
 
+
+# --- streaming (availableNow runs; results read back from the sinks) -------------------------
+
+def q_t2_stream_unseen_news(spark, sf_dir):
+    from tickweave.sources.fixtures import news_from, seen
+    from tickweave.streaming import streams as T
+    pages = T.table_stream(spark, sf_dir, "pages").select("page_id", "url")
+    live = T.stream_unseen_news(news_from(pages), seen(spark, sf_dir))
+    _, out = T.run_to_files(live.select("url", "title", F.col("source.name").alias("source_name")), "t2")
+    return spark.read.parquet(out)
+
+
+def q_t3_stream_latest_quote(spark, sf_dir):
+    from tickweave.sources.fixtures import quotes_from
+    from tickweave.streaming import streams as T
+    ev = T.table_stream(spark, sf_dir, "events")
+    _, out = T.run_to_files(T.stream_latest_quote(quotes_from(ev)).drop("last_ts"), "t3", mode="complete")
+    return round_doubles(spark.read.parquet(out))
+
+
+def q_t4_stream_bars(spark, sf_dir):
+    from tickweave.sources.fixtures import quotes_from
+    from tickweave.streaming import streams as T
+    ev = T.table_stream(spark, sf_dir, "events")
+    _, out = T.run_to_files(T.stream_bars(quotes_from(ev), "1 hour", "2 hours", seq="event_id"), "t4")
+    return round_doubles(spark.read.parquet(out).withColumn("bar_start", F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss"))
+                         .drop("bar_end"))
+
+
+def q_t5_stream_indicators(spark, sf_dir):
+    """Daily bars replayed as a stream of date slices (8 files, one micro-batch each); the
+    indicator table kept by ``foreachBatch`` must equal the batch computation."""
+    from tickweave.session import shared_dir
+    from tickweave.streaming import streams as T
+    src = shared_dir(spark, "t5-bars")
+    bars(spark, sf_dir).repartitionByRange(8, "date").write.parquet(src)
+    stream = T.parquet_stream(spark, src, schema=spark.read.parquet(src).schema, max_files=1)
+    store, out = shared_dir(spark, "t5-store"), shared_dir(spark, "t5-ind")
+    q = stream.writeStream.option("checkpointLocation", shared_dir(spark, "t5-ckpt")) \
+        .foreachBatch(T.indicator_batch_writer(store, out, price_scale=PRICE_SCALE)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    cur = T.current_indicators(spark, out)
+    return round_doubles(cur.select("symbol", "date", "close", "rsi", "ma20", "ma50", "ma200", "volatility"))
+
+
+def q_t6_stream_alerts(spark, sf_dir):
+    from tickweave.sources.bars import trades_from
+    from tickweave.sources.fixtures import alerts
+    from tickweave.streaming import streams as T
+    li = T.table_stream(spark, sf_dir, "lineitem")
+    live = T.stream_alerts(trades_from(li), alerts(spark, sf_dir))
+    _, out = T.run_to_files(live, "t6")
+    return round_doubles(spark.read.parquet(out))
+
+
 def flagship(spark, sf_dir):
     """Trade signal of every symbol (E3) on the smoothed bars."""
     return q_e3_signal(spark, sf_dir)
@@ -472,4 +527,9 @@ QUERIES = {
     "p6_profile_field": q_p6_profile_field,
     "s4_symbol_universe": q_s4_symbol_universe,
     "s4_by_exchange": q_s4_by_exchange,
+    "t2_stream_unseen_news": q_t2_stream_unseen_news,
+    "t3_stream_latest_quote": q_t3_stream_latest_quote,
+    "t4_stream_bars": q_t4_stream_bars,
+    "t5_stream_indicators": q_t5_stream_indicators,
+    "t6_stream_alerts": q_t6_stream_alerts,
 }

@@ -388,3 +388,23 @@ UNIV = """SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name,
   CASE WHEN s_suppkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, 'stock' AS kind FROM supplier"""
 ORACLE["s4_symbol_universe"] = UNIV
 ORACLE["s4_by_exchange"] = f"SELECT * FROM ({UNIV}) WHERE exchange = 'NSE' AND kind = 'stock'"
+
+
+# --- streaming twins ---------------------------------------------------------------------------
+
+ORACLE["t2_stream_unseen_news"] = f"WITH {NEWS} SELECT url, title, source_name FROM unseen"
+ORACLE["t3_stream_latest_quote"] = f"""SELECT event_type AS symbol, {R('arg_max(value, ts)', 'price')},
+  count(*) AS n_ticks FROM events GROUP BY event_type"""
+ORACLE["t4_stream_bars"] = f"""WITH t AS (SELECT event_type AS symbol, ts, event_id, value AS price,
+      time_bucket(INTERVAL 1 HOUR, ts) AS bar_start FROM events),
+g AS (SELECT symbol, bar_start, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
+             first(price ORDER BY ts DESC, event_id DESC) AS close, count(*) AS ticks FROM t GROUP BY symbol, bar_start)
+SELECT symbol, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, {R('open', 'open')}, {R('high', 'high')},
+       {R('low', 'low')}, {R('close', 'close')}, ticks FROM g
+WHERE bar_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""
+ORACLE["t5_stream_indicators"] = f"WITH {IND} " + _sel(["close", "rsi", "ma20", "ma50", "ma200", "volatility"])
+ORACLE["t6_stream_alerts"] = f"""WITH a AS (SELECT s_suppkey AS alert_id, CAST(s_suppkey AS VARCHAR) AS symbol,
+      50000.0 + s_acctbal AS alert_price FROM supplier),
+hi AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, max(l_extendedprice) AS top FROM lineitem GROUP BY 1)
+SELECT a.alert_id, a.symbol, {R('a.alert_price', 'alert_price')} FROM a JOIN hi ON a.symbol = hi.symbol
+WHERE hi.top >= a.alert_price"""

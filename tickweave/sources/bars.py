@@ -54,9 +54,14 @@ def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
                      "l_quantity", "l_shipdate"])
+    return trades_from(li)
+
+
+def trades_from(li: DataFrame) -> DataFrame:
+    """``lineitem`` rows (batch or stream) as trades; ``ts`` is a zoned timestamp."""
     return li.select(
         F.col("l_suppkey").cast("string").alias("symbol"),
-        F.col("l_shipdate").alias("ts"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("qty"),
         "l_orderkey", "l_linenumber", "l_partkey",

@@ -38,9 +38,13 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks from ``events``: symbol = event type, price = value; ``ts`` turned into a
-    zoned timestamp (watermarks reject TIMESTAMP_NTZ)."""
-    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value"])
+    """Ticks from ``events`` (see :func:`quotes_from`)."""
+    return quotes_from(read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value"]))
+
+
+def quotes_from(e: DataFrame) -> DataFrame:
+    """Ticks from ``events`` rows, batch or stream: symbol = event type, price = value; ``ts``
+    turned into a zoned timestamp (watermarks reject TIMESTAMP_NTZ)."""
     return e.select(
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -54,9 +58,13 @@ def _host(url):
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A news feed from ``pages``: one article per page plus a second copy of every 5th page
-    (in-batch repeats); feed order is ``page_id``, then the copy."""
-    p = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    """A news feed from ``pages`` (see :func:`news_from`)."""
+    return news_from(read_table(spark, sf_dir, "pages", ["page_id", "url"]))
+
+
+def news_from(p: DataFrame) -> DataFrame:
+    """A news feed from ``pages`` rows, batch or stream: one article per page plus a second
+    copy of every 5th page (in-batch repeats); feed order is ``page_id``, then the copy."""
     base = p.select("page_id", "url", F.lit(0).alias("copy"))
     dup = p.filter(F.col("page_id") % 5 == 0).select("page_id", "url", F.lit(1).alias("copy"))
     feed = base.unionByName(dup)
