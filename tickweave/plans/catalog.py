@@ -466,6 +466,84 @@ def q_t6_stream_alerts(spark, sf_dir):
     return round_doubles(spark.read.parquet(out))
 
 
+
+# --- pooled look-back regression (no SQL twin: an iterative fit) -----------------------------
+
+def _pooled(spark, sf_dir):
+    from tickweave.plans import forecast as FC
+    b = smooth(spark, sf_dir)
+    smp = FC.samples(b, LOOK_BACK)
+    model = FC.fit_pooled(smp)
+    b0, coef = FC.pooled_coefficients(model)
+    return b, smp, b0, coef
+
+
+def q_m1_fit_pooled(spark, sf_dir):
+    """Coefficients of the pooled model as rows ``(term, weight)``: term 0 is the intercept,
+    term k the k-th oldest look-back value."""
+    _, smp, b0, coef = _pooled(spark, sf_dir)
+    rows = [(0, b0)] + [(i + 1, c) for i, c in enumerate(coef)]
+    return spark.createDataFrame(rows, "term int, weight double")
+
+
+def q_m2_predict_test_pooled(spark, sf_dir):
+    from tickweave.plans import forecast as FC
+    _, smp, b0, coef = _pooled(spark, sf_dir)
+    return round_doubles(FC.predict_test_pooled(smp, b0, coef), overrides=PRICE4)
+
+
+def q_m5_actual_vs_predicted(spark, sf_dir):
+    """Test rows with their own dates, actual next to predicted, for both models."""
+    from tickweave.plans import forecast as FC
+    _, smp, b0, coef = _pooled(spark, sf_dir)
+    pooled = FC.predict_test_pooled(smp, b0, coef).select("symbol", "date", "actual",
+                                                          F.col("predicted").alias("predicted_pooled"))
+    ar1 = FC.predict_test_ar1(smp, FC.fit_ar1(smp)).select("symbol", "date", F.col("predicted").alias("predicted_ar1"))
+    return round_doubles(pooled.join(ar1, ["symbol", "date"]), digits=4)
+
+
+def q_m3_forecast_pooled(spark, sf_dir):
+    from tickweave.plans import forecast as FC
+    b, _, b0, coef = _pooled(spark, sf_dir)
+    fc = FC.recursive_forecast_pooled(FC.last_state(b, LOOK_BACK), b0, coef)
+    return round_doubles(FC.forecast_table(fc), overrides=PRICE4)
+
+
+def q_e3_signal_pooled(spark, sf_dir):
+    from tickweave.plans.signal import pooled_signal
+    return round_doubles(pooled_signal(smooth(spark, sf_dir), LOOK_BACK).select(*SIGNAL_COLS), overrides=PRICE4)
+
+
+def q_m4_forecast_table_raw(spark, sf_dir):
+    """AR(1) forecast rows on the raw bars."""
+    from tickweave.plans.forecast import fit_ar1, forecast_table, last_state, recursive_forecast_ar1, samples
+    b = bars(spark, sf_dir)
+    fc = recursive_forecast_ar1(last_state(b, LOOK_BACK), fit_ar1(samples(b, LOOK_BACK)))
+    return round_doubles(forecast_table(fc), overrides=PRICE4)
+
+
+# --- sinks ------------------------------------------------------------------------------------
+
+def q_s5_export_csv(spark, sf_dir):
+    """The enriched frame written as CSV partitioned by symbol, read back with its schema."""
+    from tickweave.session import shared_dir
+    from tickweave.sources.sinks import export_csv
+    df = enriched(spark, sf_dir).drop("gain", "loss")
+    path = shared_dir(spark, "s5-csv")
+    export_csv(df, path)
+    schema = df.drop("symbol").schema.add("symbol", "string")
+    back = spark.read.option("header", True).schema(schema).csv(path)
+    return round_doubles(back)
+
+
+def q_s6_settings_json(spark, sf_dir):
+    """Per user: favourites in list order and the model configuration, as one JSON text."""
+    from tickweave.operators.feeds import favorites_list
+    from tickweave.sources.fixtures import favorites
+    from tickweave.sources.sinks import settings_json
+    return settings_json(favorites_list(favorites(spark, sf_dir)))
+
+
 def flagship(spark, sf_dir):
     """Trade signal of every symbol (E3) on the smoothed bars."""
     return q_e3_signal(spark, sf_dir)
@@ -532,4 +610,12 @@ QUERIES = {
     "t4_stream_bars": q_t4_stream_bars,
     "t5_stream_indicators": q_t5_stream_indicators,
     "t6_stream_alerts": q_t6_stream_alerts,
+    "m1_fit_pooled": q_m1_fit_pooled,
+    "m2_predict_test_pooled": q_m2_predict_test_pooled,
+    "m5_actual_vs_predicted": q_m5_actual_vs_predicted,
+    "m3_forecast_pooled": q_m3_forecast_pooled,
+    "e3_signal_pooled": q_e3_signal_pooled,
+    "m4_forecast_table_raw": q_m4_forecast_table_raw,
+    "s5_export_csv": q_s5_export_csv,
+    "s6_settings_json": q_s6_settings_json,
 }

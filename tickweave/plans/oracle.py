@@ -408,3 +408,16 @@ ORACLE["t6_stream_alerts"] = f"""WITH a AS (SELECT s_suppkey AS alert_id, CAST(s
 hi AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, max(l_extendedprice) AS top FROM lineitem GROUP BY 1)
 SELECT a.alert_id, a.symbol, {R('a.alert_price', 'alert_price')} FROM a JOIN hi ON a.symbol = hi.symbol
 WHERE hi.top >= a.alert_price"""
+
+
+# --- raw-bar forecast and sinks ------------------------------------------------------------------
+
+ORACLE["m4_forecast_table_raw"] = f"WITH RECURSIVE {BARS},\n{fc_ctes('bars')}\n" + \
+    f"SELECT symbol, step, date, {_r('price')} FROM fct"
+ORACLE["s5_export_csv"] = f"WITH {IND} " + _sel([c for c in ENR_COLS if c not in ("gain", "loss")])
+ORACLE["s6_settings_json"] = """WITH f AS (SELECT user_id, event_type AS symbol, ts AS added_at, event_id FROM events),
+g AS (SELECT user_id, symbol, min(added_at) AS a0, arg_min(event_id, (added_at, event_id)) AS e0
+      FROM f GROUP BY user_id, symbol)
+SELECT user_id, to_json({'favorites': list(symbol ORDER BY a0, e0),
+                         'model_config': {'epochs': 20, 'batch_size': 32}}) AS settings_json
+FROM g GROUP BY user_id"""
