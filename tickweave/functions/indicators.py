@@ -91,32 +91,39 @@ def add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_window
     """Bars + change, daily_return, gain, loss, rsi, ma{n}, volatility.  [W1-W7]
 
     ``price_scale``: number of decimals the closes are exact to (2 for cents).  When given,
-    moving averages use exact prefix sums of integer units (cost independent of the window
-    length); otherwise they use ROWS frames.  Both give the pandas rolling-mean result.
+    moving averages use exact prefix sums of integer units — one running sum shared by every
+    MA length, then ``lag(n)`` per length — so the cost does not grow with the window; without
+    it they use ROWS frames.  Both give the pandas rolling-mean result.
+
+    Plan: one Exchange + Sort on the series key, then two Window passes (the second reads the
+    columns the first produced); every expression is built-in, so each pass is codegen'd.
     """
     w = series_window(partition_cols)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = [F.lag("close").over(w).alias("_prev")]
+    if price_scale is not None and ma_windows:
+        unit = float(10 ** price_scale)
+        units = F.round(F.col("close") * F.lit(unit)).cast("long")
+        first += [F.sum(units).over(run).alias("_cs"), F.count(units).over(run).alias("_cc")]
+    df = bars.select("*", *first)  # one select, so the three share one Window pass
+    change = F.col("close") - F.col("_prev")
     df = (
-        bars.withColumn("prev_close", F.lag("close").over(w))
-        .withColumn("change", F.col("close") - F.col("prev_close"))
-        .withColumn("daily_return", pct_change(F.col("close"), F.col("prev_close")))
+        df.withColumn("change", change)
+        .withColumn("daily_return", pct_change(F.col("close"), F.col("_prev")))
         .withColumn("gain", gain(F.col("change")))
         .withColumn("loss", loss(F.col("change")))
     )
     avg_gain = rolling_mean(F.col("gain"), rsi_period, w)
     avg_loss = rolling_mean(F.col("loss"), rsi_period, w)
-    df = df.withColumn("rsi", rsi_from_means(avg_gain, avg_loss))
+    cols = [F.col(c) for c in df.columns if not c.startswith("_")]
+    cols.append(rsi_from_means(avg_gain, avg_loss).alias("rsi"))
     for n in ma_windows:
         if price_scale is None:
-            df = df.withColumn(f"ma{n}", rolling_mean(F.col("close"), n, w))
+            cols.append(rolling_mean(F.col("close"), n, w).alias(f"ma{n}"))
         else:
-            unit = 10 ** price_scale
-            units = F.round(F.col("close") * F.lit(float(unit))).cast("long")
-            df = with_exact_moving_sum(df, units, n, w, f"_ms{n}", f"_mc{n}")
-            df = df.withColumn(
-                f"ma{n}",
-                F.when(F.col(f"_mc{n}") == n, F.col(f"_ms{n}").cast("double") / F.lit(float(n * unit))),
-            ).drop(f"_ms{n}", f"_mc{n}")
-    df = df.withColumn(
-        "volatility", rolling_std(F.col("daily_return"), vol_window, w) * F.lit(math.sqrt(K.TRADING_DAYS_PER_YEAR))
-    )
-    return df.drop("prev_close")
+            msum = F.col("_cs") - F.coalesce(F.lag("_cs", n).over(w), F.lit(0))
+            mcnt = F.col("_cc") - F.coalesce(F.lag("_cc", n).over(w), F.lit(0))
+            cols.append(F.when(mcnt == n, msum.cast("double") / F.lit(float(n) * unit)).alias(f"ma{n}"))
+    cols.append((rolling_std(F.col("daily_return"), vol_window, w) * F.lit(math.sqrt(K.TRADING_DAYS_PER_YEAR)))
+                .alias("volatility"))
+    return df.select(*cols)

@@ -244,13 +244,13 @@ def q_w9_chronological_split(spark, sf_dir):
 
 
 def q_a7_fit_ar1(spark, sf_dir):
-    from tickweave.plans.forecast import fit_ar1
-    return round_doubles(fit_ar1(_samples(spark, sf_dir)))
+    from tickweave.plans.forecast import fit_ar1, samples
+    return round_doubles(fit_ar1(samples(smooth(spark, sf_dir), LOOK_BACK, with_features=False)))
 
 
 def _pred_ar1(spark, sf_dir, src=None):
-    from tickweave.plans.forecast import fit_ar1, predict_test_ar1
-    s = _samples(spark, sf_dir, src)
+    from tickweave.plans.forecast import fit_ar1, predict_test_ar1, samples
+    s = samples(src if src is not None else smooth(spark, sf_dir), LOOK_BACK, with_features=False)
     return predict_test_ar1(s, fit_ar1(s))
 
 
@@ -270,8 +270,9 @@ def q_a4_forecast_metrics_raw(spark, sf_dir):
 
 def _fc_ar1(spark, sf_dir):
     from tickweave.plans.forecast import fit_ar1, last_state, recursive_forecast_ar1
+    from tickweave.plans.forecast import samples
     b = smooth(spark, sf_dir)
-    return recursive_forecast_ar1(last_state(b, LOOK_BACK), fit_ar1(_samples(spark, sf_dir, b)))
+    return recursive_forecast_ar1(last_state(b, LOOK_BACK), fit_ar1(samples(b, LOOK_BACK, with_features=False)))
 
 
 def q_m4_forecast_table(spark, sf_dir):
@@ -518,7 +519,7 @@ def q_m4_forecast_table_raw(spark, sf_dir):
     """AR(1) forecast rows on the raw bars."""
     from tickweave.plans.forecast import fit_ar1, forecast_table, last_state, recursive_forecast_ar1, samples
     b = bars(spark, sf_dir)
-    fc = recursive_forecast_ar1(last_state(b, LOOK_BACK), fit_ar1(samples(b, LOOK_BACK)))
+    fc = recursive_forecast_ar1(last_state(b, LOOK_BACK), fit_ar1(samples(b, LOOK_BACK, with_features=False)))
     return round_doubles(forecast_table(fc), overrides=PRICE4)
 
 

@@ -34,11 +34,26 @@ def unscale(c: Column, lo: Column, hi: Column) -> Column:
     return c * (hi - lo) + lo
 
 
-def samples(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, train_fraction: float = K.TRAIN_FRACTION) -> DataFrame:
+def samples(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, train_fraction: float = K.TRAIN_FRACTION,
+            with_features: bool = True) -> DataFrame:
     """Scaled closes -> look-back samples with ``is_train``.  The scaler is fitted on the whole
-    series, test part included, as in the reference.  [F7, W8, W9]"""
+    series, test part included, as in the reference.  [F7, W8, W9]
+
+    Every sample carries ``prev`` (the newest look-back value).  ``with_features=False`` skips
+    building the ``look_back``-long arrays — the AR(1) baseline only needs ``prev`` — and
+    keeps the same sample set by counting the window instead."""
     sc = with_min_max(bars).withColumn("scaled", scale(F.col("close"), F.col("s_min"), F.col("s_max")))
-    s = lag_windows(sc, "scaled", look_back)
+    if with_features:
+        s = lag_windows(sc, "scaled", look_back).withColumn("prev", F.element_at("features", -1))
+    else:
+        from tickweave.functions.indicators import series_window
+        lo, hi = K.LOOK_BACK_RANGE
+        if not lo <= look_back <= hi:
+            raise ValueError(f"look_back must be in {lo}..{hi}")
+        w = series_window()
+        s = sc.select("*", F.lag("scaled").over(w).alias("prev"),
+                      F.count("scaled").over(w.rowsBetween(-look_back, -1)).alias("_nw")) \
+            .withColumn("label", F.col("scaled")).filter(F.col("_nw") == look_back).drop("_nw")
     return chronological_split(s, train_fraction)
 
 
@@ -47,7 +62,7 @@ def fit_ar1(samples_df: DataFrame) -> DataFrame:
 
     ``regr_slope``/``regr_intercept`` are ordinary aggregates with a partial phase, so each
     symbol's fit is a few running sums, whatever the symbol's size."""
-    prev = F.element_at("features", -1)
+    prev = F.col("prev")
     return (
         samples_df.filter("is_train")
         .groupBy("symbol")
@@ -59,7 +74,7 @@ def predict_test_ar1(samples_df: DataFrame, coef: DataFrame) -> DataFrame:
     """One-step predictions on the test samples, back in price units.  [M2, M5]
 
     Every test row keeps its own date, so actual and predicted line up without re-indexing."""
-    prev = F.element_at("features", -1)
+    prev = F.col("prev")
     t = samples_df.filter(~F.col("is_train")).join(coef, "symbol")
     pred_scaled = F.col("ar_a") + F.col("ar_b") * prev
     return t.select(

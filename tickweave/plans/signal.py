@@ -40,7 +40,7 @@ def apply_rules(inputs: DataFrame) -> DataFrame:
 def ar1_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int = K.FORECAST_STEPS,
                price_scale: int | None = None) -> DataFrame:
     """The whole E3 procedure with the per-symbol AR(1) baseline."""
-    smp = FC.samples(bars, look_back)
+    smp = FC.samples(bars, look_back, with_features=False)
     coef = FC.fit_ar1(smp)
     mets = FC.metrics(FC.predict_test_ar1(smp, coef))
     fc = FC.recursive_forecast_ar1(FC.last_state(bars, look_back), coef, steps)

@@ -12,8 +12,31 @@ from tickweave.sources.tables import read_table
 BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume"]
 
 
+def packed_key(parts: list[tuple[Column, int]]) -> Column:
+    """An ordering key packed into one ``decimal(38,0)``: each part is a non-negative integer
+    with at most the given number of digits, most significant part first, so the packed
+    number sorts exactly like the tuple.  A part outside its range fails the job
+    (``raise_error``) instead of silently mis-ordering.
+
+    Why: ``min_by``/``max_by`` with a struct key have a variable-width buffer, which forces
+    Spark onto a sort-based aggregate (a full sort of every raw trade before and after the
+    shuffle); a decimal key keeps the hash aggregate with its map-side combine."""
+    total = sum(d for _, d in parts)
+    if total > 38:
+        raise ValueError("packed key needs more than 38 digits")
+    key = None
+    ok = None
+    for c, digits in parts:
+        v = c.cast("decimal(38,0)")
+        in_range = c.isNotNull() & (c >= 0) & (c < F.lit(10 ** digits).cast("decimal(38,0)")) & (F.floor(c) == c)
+        ok = in_range if ok is None else (ok & in_range)
+        key = v if key is None else key * F.lit(10 ** digits).cast("decimal(38,0)") + v
+    return F.when(ok, key).otherwise(F.raise_error(F.lit("packed_key: part out of range")).cast("decimal(38,0)"))
+
+
 def build_bars(trades: DataFrame, *, symbol: str = "symbol", ts: str = "ts", price: str = "price",
-               qty: str = "qty", seq: list[str] | None = None, every: str | None = None) -> DataFrame:
+               qty: str = "qty", seq: list[str] | None = None, every: str | None = None,
+               order_key: Column | None = None) -> DataFrame:
     """Raw trades -> OHLCV bars, one row per (symbol, bucket).  [S3]
 
     ``every=None`` gives daily bars keyed by ``date``; otherwise a tumbling ``window`` of that
@@ -25,8 +48,12 @@ def build_bars(trades: DataFrame, *, symbol: str = "symbol", ts: str = "ts", pri
     holding a third of all trades is reduced to one row per bucket per input split before it
     is exchanged; the shuffle is on (symbol, bucket), which spreads a hot symbol over many
     reducers.
+
+    ``order_key`` replaces ``(ts, *seq)`` with one fixed-width key (see :func:`packed_key`);
+    it must order trades the same way inside a bucket.
     """
-    order_key = F.struct(F.col(ts), *[F.col(c) for c in (seq or [])])
+    if order_key is None:
+        order_key = F.struct(F.col(ts), *[F.col(c) for c in (seq or [])])
     if every is None:
         bucket = F.to_date(F.col(ts)).alias("date")
         key = "date"
@@ -71,9 +98,29 @@ def trades_from(li: DataFrame) -> DataFrame:
 LINEITEM_SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "price", "qty"]
 
 
+def lineitem_order_key(price_scale: int = 2) -> Column:
+    """The lineitem tie-break ``(l_orderkey, l_linenumber, l_partkey, price, qty)`` packed into
+    one decimal.  The ship date is the bucket itself, so it adds nothing inside a bucket.
+    Digits: order key 12, line number 2, part key 11, price in cents 10, quantity 3."""
+    cents = F.round(F.col("price") * F.lit(float(10 ** price_scale))).cast("long")
+    exact = F.abs(F.col("price") * F.lit(float(10 ** price_scale)) - cents) < F.lit(1e-6)
+    cents = F.when(exact, cents).otherwise(F.lit(-1))
+    return packed_key([(F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 11),
+                       (cents, 10), (F.col("qty"), 3)])
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of every supplier built from ``lineitem`` (the ``bars`` fixture)."""
-    return build_bars(lineitem_trades(spark, sf_dir), seq=LINEITEM_SEQ)
+    """Daily bars of every supplier built from ``lineitem`` (the ``bars`` fixture).  The
+    aggregate runs on the numeric supplier key (cheaper to hash and shuffle); the key becomes
+    the string symbol on the aggregated rows only."""
+    li = read_table(spark, sf_dir, "lineitem",
+                    ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+                     "l_quantity", "l_shipdate"])
+    trades = li.select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"),
+                       F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"),
+                       "l_orderkey", "l_linenumber", "l_partkey")
+    bars = build_bars(trades, order_key=lineitem_order_key())
+    return bars.withColumn("symbol", F.col("symbol").cast("string"))
 
 
 def _as_date(d) -> Column:
