@@ -24,13 +24,16 @@ def duck(sf_dir: str):
     return con
 
 
+EXACT = False
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return repr(round(v, 6) + 0.0)
+        return repr(v) if EXACT else repr(round(v, 6) + 0.0)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
@@ -70,6 +73,10 @@ def main(argv):
     sys.path.insert(0, ".")
     import __spark_entry__ as E
     from tickweave.session import get_session
+    global EXACT
+    if "--exact" in argv:
+        EXACT = True
+        argv = [a for a in argv if a != "--exact"]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
     spark = get_session()

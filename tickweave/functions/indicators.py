@@ -72,17 +72,16 @@ def with_exact_moving_sum(df: DataFrame, units: Column, n: int, w, out_sum: str,
     ``sum`` over UNBOUNDED PRECEDING is evaluated incrementally by Spark (O(1) per row), and
     ``lag(n)`` is an offset frame, so the cost does not grow with ``n`` — unlike a ROWS frame,
     which Spark re-aggregates per row (O(n) per row).  Integer units keep the difference exact.
+    Two window passes: running sums, then their lags.
     """
     cum_s, cum_c = f"_cum_s_{out_sum}", f"_cum_c_{out_sum}"
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn(cum_s, F.sum(units).over(run)).withColumn(cum_c, F.count(units).over(run))
-    df = (
-        df.withColumn(out_sum, F.col(cum_s) - F.coalesce(F.lag(cum_s, n).over(w), F.lit(0)))
-        .withColumn(out_count, F.col(cum_c) - F.coalesce(F.lag(cum_c, n).over(w), F.lit(0)))
-        .drop(cum_s, cum_c)
+    df = df.select("*", F.sum(units).over(run).alias(cum_s), F.count(units).over(run).alias(cum_c))
+    return df.select(
+        *[c for c in df.columns if c not in (cum_s, cum_c)],
+        (F.col(cum_s) - F.coalesce(F.lag(cum_s, n).over(w), F.lit(0))).alias(out_sum),
+        (F.col(cum_c) - F.coalesce(F.lag(cum_c, n).over(w), F.lit(0))).alias(out_count),
     )
-    return df
-
 
 
 def add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_windows=K.MA_WINDOWS,
@@ -103,7 +102,7 @@ def add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_window
     first = [F.lag("close").over(w).alias("_prev")]
     if price_scale is not None and ma_windows:
         unit = float(10 ** price_scale)
-        units = F.round(F.col("close") * F.lit(unit)).cast("long")
+        units = F.rint(F.col("close") * F.lit(unit)).cast("long")  # rint: no BigDecimal per row
         first += [F.sum(units).over(run).alias("_cs"), F.count(units).over(run).alias("_cc")]
     df = bars.select("*", *first)  # one select, so the three share one Window pass
     change = F.col("close") - F.col("_prev")

@@ -15,13 +15,26 @@ def round_doubles(df: DataFrame, digits: int = 6, overrides: dict[str, int] | No
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            r = F.round(F.col(f.name), overrides.get(f.name, digits))
+            r = round_half_away(F.col(f.name), overrides.get(f.name, digits))
             out.append(F.when(r == 0, F.lit(0.0)).otherwise(r).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
 
 
+def round_half_away(c, digits: int):
+    """``round(x * 10^d) / 10^d`` in double arithmetic, halves away from zero — the rounding
+    the SQL oracle applies.  ``F.round`` instead rounds the shortest decimal text of the
+    double through a BigDecimal per value: slower, and it can land one unit apart on values
+    whose text ends in 5 just past the last kept digit."""
+    m = float(10 ** digits)
+    y = c * F.lit(m)
+    r = (F.when(F.abs(y) >= F.lit(2.0 ** 52), y)
+         .when(y >= 0, F.floor(y + F.lit(0.5)).cast("double"))
+         .otherwise(F.ceil(y - F.lit(0.5)).cast("double")))
+    return r / F.lit(m)
+
+
 def sql_round(expr: str, alias: str, digits: int = 6) -> str:
     """The SQL twin of :func:`round_doubles` for one expression."""
     r = f"round(CAST(({expr}) AS DOUBLE), {digits})"

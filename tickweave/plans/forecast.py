@@ -110,6 +110,23 @@ def last_state(bars: DataFrame, look_back: int) -> DataFrame:
     )
 
 
+def last_state_ar1(frame: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """Per symbol: last date, last close, min/max and the last scaled close as a one-element
+    history — all the AR(1) recursion needs.  A plain aggregate (no window, no sort); on a
+    frame already partitioned by symbol it adds no shuffle.  ``extra`` columns are taken from
+    the last row too (``last_<name>``)."""
+    lo = F.min("s_min") if "s_min" in frame.columns else F.min("close")
+    hi = F.max("s_max") if "s_max" in frame.columns else F.max("close")
+    g = frame.groupBy("symbol").agg(
+        F.max("date").alias("last_date"),
+        F.max_by("close", "date").alias("last_close"),
+        lo.alias("s_min"), hi.alias("s_max"),
+        *[F.max_by(c, "date").alias(f"last_{c}") for c in extra],
+    )
+    h0 = scale(F.col("last_close"), F.col("s_min"), F.col("s_max"))
+    return g.withColumn("history", F.array(h0)).withColumn("n_hist", F.lit(1))
+
+
 def recursive_forecast_ar1(state: DataFrame, coef: DataFrame, steps: int = K.FORECAST_STEPS) -> DataFrame:
     """Predict, append, repeat: ``steps`` values per symbol from the last scaled close.  [M3]
 

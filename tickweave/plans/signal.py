@@ -11,17 +11,18 @@ from tickweave.functions.indicators import add_indicators
 from tickweave.functions.rules import action, echo_risk, expected_change_pct, rsi_or_default
 from tickweave.operators.series import latest
 from tickweave.plans import forecast as FC
+from tickweave.session import materialize
 
 
-def signal_inputs(mets: DataFrame, fc: DataFrame, indicators: DataFrame) -> DataFrame:
+def signal_inputs(mets: DataFrame, fc: DataFrame, last_rsi: DataFrame) -> DataFrame:
     """Per symbol: MAPE, MAE, last forecast, last close and last RSI side by side.  [J3]
 
-    All three inputs have one row per symbol; RSI is a left join so its default applies."""
-    last_rsi = latest(indicators, ["rsi"]).select("symbol", "last_rsi")
+    All three inputs have one row per symbol; RSI is a left join so its default applies.
+    When the inputs come from one frame partitioned by symbol, these joins need no shuffle."""
     return (
         mets.join(fc.select("symbol", "last_date", "last_close",
                             F.element_at("prices", -1).alias("last_forecast")), "symbol")
-        .join(last_rsi, "symbol", "left")
+        .join(last_rsi.select("symbol", "last_rsi"), "symbol", "left")
     )
 
 
@@ -38,14 +39,24 @@ def apply_rules(inputs: DataFrame) -> DataFrame:
 
 
 def ar1_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int = K.FORECAST_STEPS,
-               price_scale: int | None = None) -> DataFrame:
-    """The whole E3 procedure with the per-symbol AR(1) baseline."""
-    smp = FC.samples(bars, look_back, with_features=False)
+               price_scale: int | None = None, checkpoint: bool = True) -> DataFrame:
+    """The whole E3 procedure with the per-symbol AR(1) baseline.
+
+    Plan: the indicators, the scaler, the samples and the split are window columns over one
+    ``symbol`` partitioning (one Exchange + Sort of the bars).  That frame is read by four
+    branches (fit, test metrics, last state, last RSI); it is checkpointed once so they do not
+    each re-sort and re-run the windows, and so the lineage back to the raw trades is cut.
+    The branches are per-symbol aggregates and one-row-per-symbol joins."""
+    ind = add_indicators(bars, price_scale=price_scale, ma_windows=())
+    smp = FC.samples(ind, look_back, with_features=False).select(
+        "symbol", "date", "close", "rsi", "s_min", "s_max", "prev", "label", "sample_idx", "is_train")
+    if checkpoint:
+        smp = materialize(smp)
     coef = FC.fit_ar1(smp)
     mets = FC.metrics(FC.predict_test_ar1(smp, coef))
-    fc = FC.recursive_forecast_ar1(FC.last_state(bars, look_back), coef, steps)
-    ind = add_indicators(bars, price_scale=price_scale, ma_windows=())
-    return apply_rules(signal_inputs(mets, fc, ind))
+    state = FC.last_state_ar1(smp, ["rsi"])
+    fc = FC.recursive_forecast_ar1(state, coef, steps)
+    return apply_rules(signal_inputs(mets, fc, state))
 
 
 def pooled_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int = K.FORECAST_STEPS,
@@ -56,5 +67,5 @@ def pooled_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps:
     b0, coef = FC.pooled_coefficients(model)
     mets = FC.metrics(FC.predict_test_pooled(smp, b0, coef))
     fc = FC.recursive_forecast_pooled(FC.last_state(bars, look_back), b0, coef, steps)
-    ind = add_indicators(bars, ma_windows=())
-    return apply_rules(signal_inputs(mets, fc, ind))
+    last_rsi = latest(add_indicators(bars, ma_windows=()), ["rsi"])
+    return apply_rules(signal_inputs(mets, fc, last_rsi))

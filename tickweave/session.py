@@ -50,3 +50,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return a frame that reads it back.
+
+    Used where several branches of one plan read the same expensive intermediate (Spark
+    reuses shuffles, not window or aggregate outputs) and to cut long lineages, so a lost
+    executor costs a re-read of the checkpoint rather than a recomputation from the raw
+    tables.  A reliable ``checkpoint`` — never ``localCheckpoint``, whose blocks die with
+    their executor."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(base if base else shared_dir(spark, "checkpoints"))
+    return df.checkpoint(eager=True)

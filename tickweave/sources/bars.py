@@ -13,24 +13,34 @@ BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume"]
 
 
 def packed_key(parts: list[tuple[Column, int]]) -> Column:
-    """An ordering key packed into one ``decimal(38,0)``: each part is a non-negative integer
-    with at most the given number of digits, most significant part first, so the packed
-    number sorts exactly like the tuple.  A part outside its range fails the job
+    """An ordering key packed into one ``decimal(38,0)``: each part is a non-negative integral
+    column (int/long) with at most the given number of digits, most significant part first,
+    so the packed number sorts exactly like the tuple.  A part outside its range fails the job
     (``raise_error``) instead of silently mis-ordering.
 
     Why: ``min_by``/``max_by`` with a struct key have a variable-width buffer, which forces
     Spark onto a sort-based aggregate (a full sort of every raw trade before and after the
-    shuffle); a decimal key keeps the hash aggregate with its map-side combine."""
+    shuffle); a decimal key keeps the hash aggregate with its map-side combine.  Consecutive
+    parts are combined in ``long`` arithmetic while they fit in 18 digits, so only a couple of
+    decimal operations run per row."""
     total = sum(d for _, d in parts)
     if total > 38:
         raise ValueError("packed key needs more than 38 digits")
-    key = None
     ok = None
+    groups: list[tuple[Column, int]] = []  # (long column, digits)
     for c, digits in parts:
-        v = c.cast("decimal(38,0)")
-        in_range = c.isNotNull() & (c >= 0) & (c < F.lit(10 ** digits).cast("decimal(38,0)")) & (F.floor(c) == c)
+        in_range = c.isNotNull() & (c >= 0) & (c < F.lit(10 ** digits))
         ok = in_range if ok is None else (ok & in_range)
-        key = v if key is None else key * F.lit(10 ** digits).cast("decimal(38,0)") + v
+        c = c.cast("long")
+        if groups and groups[-1][1] + digits <= 18:
+            g, gd = groups[-1]
+            groups[-1] = (g * F.lit(10 ** digits) + c, gd + digits)
+        else:
+            groups.append((c, digits))
+    key = None
+    for g, gd in groups:
+        v = g.cast("decimal(38,0)")
+        key = v if key is None else key * F.lit(10 ** gd).cast("decimal(38,0)") + v
     return F.when(ok, key).otherwise(F.raise_error(F.lit("packed_key: part out of range")).cast("decimal(38,0)"))
 
 
@@ -98,15 +108,20 @@ def trades_from(li: DataFrame) -> DataFrame:
 LINEITEM_SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "price", "qty"]
 
 
+def exact_units(c: Column, scale: int) -> Column:
+    """``c * 10^scale`` as a long when that is an integer (to 1e-6), else -1 (which no packed
+    key accepts).  ``rint`` rather than ``round``: Spark rounds doubles through BigDecimal."""
+    x = c * F.lit(float(10 ** scale))
+    u = F.rint(x)
+    return F.when(F.abs(x - u) < F.lit(1e-6), u.cast("long")).otherwise(F.lit(-1).cast("long"))
+
+
 def lineitem_order_key(price_scale: int = 2) -> Column:
     """The lineitem tie-break ``(l_orderkey, l_linenumber, l_partkey, price, qty)`` packed into
     one decimal.  The ship date is the bucket itself, so it adds nothing inside a bucket.
     Digits: order key 12, line number 2, part key 11, price in cents 10, quantity 3."""
-    cents = F.round(F.col("price") * F.lit(float(10 ** price_scale))).cast("long")
-    exact = F.abs(F.col("price") * F.lit(float(10 ** price_scale)) - cents) < F.lit(1e-6)
-    cents = F.when(exact, cents).otherwise(F.lit(-1))
     return packed_key([(F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 11),
-                       (cents, 10), (F.col("qty"), 3)])
+                       (exact_units(F.col("price"), price_scale), 10), (exact_units(F.col("qty"), 0), 3)])
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +171,7 @@ def smooth_bars(bars: DataFrame, n: int = 60, price_scale: int = 2) -> DataFrame
     from tickweave.functions.indicators import series_window, with_exact_moving_sum
 
     w = series_window()
-    units = F.round(F.col("close") * F.lit(float(10 ** price_scale))).cast("long")
+    units = F.rint(F.col("close") * F.lit(float(10 ** price_scale))).cast("long")
     return (
         with_exact_moving_sum(bars, units, n, w, "_s", "_c")
         .filter(F.col("_c") == n)
