@@ -15,8 +15,8 @@ def round_doubles(df: DataFrame, digits: int = 6, overrides: dict[str, int] | No
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            r = round_half_away(F.col(f.name), overrides.get(f.name, digits))
-            out.append(F.when(r == 0, F.lit(0.0)).otherwise(r).alias(f.name))
+            # "+ 0.0" turns -0.0 into 0.0 (IEEE: -0.0 + 0.0 = 0.0)
+            out.append((round_half_away(F.col(f.name), overrides.get(f.name, digits)) + F.lit(0.0)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
@@ -28,11 +28,9 @@ def round_half_away(c, digits: int):
     double through a BigDecimal per value: slower, and it can land one unit apart on values
     whose text ends in 5 just past the last kept digit."""
     m = float(10 ** digits)
-    y = c * F.lit(m)
-    r = (F.when(F.abs(y) >= F.lit(2.0 ** 52), y)
-         .when(y >= 0, F.floor(y + F.lit(0.5)).cast("double"))
-         .otherwise(F.ceil(y - F.lit(0.5)).cast("double")))
-    return r / F.lit(m)
+    a = F.abs(c * F.lit(m))
+    r = F.when(a < F.lit(2.0 ** 52), F.floor(a + F.lit(0.5)).cast("double")).otherwise(a)
+    return F.signum(c) * r / F.lit(m)
 
 
 def sql_round(expr: str, alias: str, digits: int = 6) -> str:
