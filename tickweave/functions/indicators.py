@@ -84,9 +84,44 @@ def with_exact_moving_sum(df: DataFrame, units: Column, n: int, w, out_sum: str,
     )
 
 
+def indicator_lookback(ma_windows=K.MA_WINDOWS, rsi_period: int = K.RSI_PERIOD,
+                       vol_window: int = K.VOLATILITY_WINDOW) -> int:
+    """Rows of history the indicator set reads: MA(n) reads n rows back (prefix-sum lag), RSI
+    reads ``rsi_period`` changes (one more close), volatility ``vol_window`` returns."""
+    return max([*ma_windows, rsi_period + 1, vol_window + 1])
+
+
+# Series longer than this many rows are cut into halo chunks when ``chunk_rows="auto"``.
+AUTO_CHUNK_ROWS = 1_000_000
+
+
 def add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_windows=K.MA_WINDOWS,
                    rsi_period: int = K.RSI_PERIOD, vol_window: int = K.VOLATILITY_WINDOW,
-                   partition_cols=("symbol",)) -> DataFrame:
+                   partition_cols=("symbol",), chunk_rows=None) -> DataFrame:
+    """See :func:`_add_indicators`.  ``chunk_rows`` splits long series: with a number, every
+    series is cut into pieces of that many rows plus a halo of the look-back (see
+    :func:`tickweave.operators.series.series_chunks`), so no task holds a whole hot symbol;
+    with ``"auto"``, a one-number aggregate (the longest series) decides whether any series is
+    longer than :data:`AUTO_CHUNK_ROWS`.  Results are identical either way."""
+    if chunk_rows == "auto":
+        longest = bars.groupBy(*partition_cols).count().agg(F.max("count")).first()[0] or 0
+        chunk_rows = AUTO_CHUNK_ROWS if longest > AUTO_CHUNK_ROWS else None
+    if not chunk_rows:
+        return _add_indicators(bars, price_scale=price_scale, ma_windows=ma_windows, rsi_period=rsi_period,
+                               vol_window=vol_window, partition_cols=partition_cols)
+    from tickweave.operators.series import series_chunks
+    if tuple(partition_cols) != ("symbol",):
+        raise ValueError("chunking works on symbol series")
+    halo = indicator_lookback(ma_windows, rsi_period, vol_window)
+    ch = series_chunks(bars, halo, max(int(chunk_rows), halo))
+    out = _add_indicators(ch, price_scale=price_scale, ma_windows=ma_windows, rsi_period=rsi_period,
+                          vol_window=vol_window, partition_cols=("symbol", "_chunk"))
+    return out.filter(~F.col("_halo")).drop("_chunk", "_halo", "series_idx", "series_len")
+
+
+def _add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_windows=K.MA_WINDOWS,
+                    rsi_period: int = K.RSI_PERIOD, vol_window: int = K.VOLATILITY_WINDOW,
+                    partition_cols=("symbol",)) -> DataFrame:
     """Bars + change, daily_return, gain, loss, rsi, ma{n}, volatility.  [W1-W7]
 
     ``price_scale``: number of decimals the closes are exact to (2 for cents).  When given,

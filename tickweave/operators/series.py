@@ -28,15 +28,19 @@ def trailing_stats(bars: DataFrame, vol_rows: int = K.AVG_VOLUME_WINDOW, hl_rows
     """Latest close, mean volume of the last ``vol_rows`` rows, high/low of the last
     ``hl_rows`` rows — or of all rows when a symbol has fewer.  [A3]
 
-    The window that numbers rows newest-first and the aggregate share the ``symbol``
-    partitioning, so the plan has one Exchange."""
+    ``row_number() <= max(vol_rows, hl_rows)`` becomes a ``WindowGroupLimit`` with a partial
+    phase before the shuffle, so at most that many rows per symbol and input split are
+    exchanged — a hot symbol costs no more than any other — and the aggregate shares the
+    ``symbol`` partitioning of the window."""
     w = Window.partitionBy("symbol").orderBy(F.col("date").desc())
     rn = F.col("_rn")
+    keep = max(vol_rows, hl_rows)
     return (
         bars.withColumn("_rn", F.row_number().over(w))
+        .filter(rn <= keep)
         .groupBy("symbol")
         .agg(
-            F.max(F.when(rn == 1, F.col("date"))).alias("last_date"),
+            F.max("date").alias("last_date"),
             F.max_by("close", "date").alias("last_close"),
             F.avg(F.when(rn <= vol_rows, F.col("volume"))).alias("avg_volume_20"),
             F.max(F.when(rn <= hl_rows, F.col("high"))).alias("high_52w"),
@@ -72,14 +76,15 @@ def index_quote(bars: DataFrame) -> DataFrame:
     """Latest price, change and change % against the previous bar of each symbol.  [F9]
 
     The provider of the reference supplies these three numbers; here they come from bars.
-    A symbol with one bar has NULL change ("data unavailable")."""
-    w = series_window()
+    Only the last two bars of a symbol matter: a top-2 ``WindowGroupLimit``, then an
+    aggregate.  A symbol with one bar has NULL change ("data unavailable")."""
+    w = Window.partitionBy("symbol").orderBy(F.col("date").desc())
     last2 = (
-        bars.withColumn("_prev", F.lag("close").over(w))
+        bars.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
         .groupBy("symbol")
         .agg(F.max("date").alias("quote_date"),
-             F.max_by("close", "date").alias("price"),
-             F.max_by("_prev", "date").alias("prev_close"))
+             F.max(F.when(F.col("_rn") == 1, F.col("close"))).alias("price"),
+             F.max(F.when(F.col("_rn") == 2, F.col("close"))).alias("prev_close"))
     )
     return last2.select(
         "symbol", "quote_date", "price",
@@ -116,3 +121,53 @@ def chronological_split(samples: DataFrame, train_fraction: float = K.TRAIN_FRAC
     return samples.withColumn("sample_idx", F.row_number().over(w) - 1).withColumn(
         "is_train", F.col("sample_idx") < k
     )
+
+
+# ---------------------------------------------------------------------------------------------
+# Splitting long (hot) series: exact positions and halo chunks
+# ---------------------------------------------------------------------------------------------
+
+def series_index(df: DataFrame, key: str = "symbol", order_col: str = "date", bucket=None) -> DataFrame:
+    """Adds ``series_idx`` (0-based position in the series by ``order_col``) and ``series_len``
+    without sorting any whole series in one task.
+
+    Rows are numbered inside (key, bucket) — by default the calendar month of ``order_col`` —
+    bucket sizes are counted, and running sums over the small (key, bucket) count table give
+    each bucket its offset.  A symbol holding a third of all rows is spread over as many tasks
+    as it has buckets.  ``order_col`` must be unique inside a series."""
+    b = bucket if bucket is not None else F.trunc(F.col(order_col), "month")
+    wb = Window.partitionBy(key, "_bk")
+    # one window pass gives the position inside the bucket and the bucket size; the counts
+    # branch below reads the same pass, so the input is exchanged once
+    d = df.withColumn("_bk", b).select(
+        "*", (F.row_number().over(wb.orderBy(order_col)) - 1).alias("_rn"), F.count(F.lit(1)).over(wb).alias("_bn"))
+    counts = d.filter(F.col("_rn") == 0).select(key, "_bk", "_bn")
+    wk = Window.partitionBy(key).orderBy("_bk")
+    offs = counts.select(
+        key, "_bk",
+        F.coalesce(F.sum("_bn").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_bn").over(Window.partitionBy(key)).alias("series_len"),
+    )
+    return (d.join(offs, [key, "_bk"])
+            .withColumn("series_idx", (F.col("_off") + F.col("_rn")).cast("long"))
+            .drop("_bk", "_rn", "_bn", "_off"))
+
+
+def series_chunks(df: DataFrame, halo: int, rows_per_chunk: int, key: str = "symbol",
+                  order_col: str = "date", bucket=None) -> DataFrame:
+    """Cuts every series into pieces of ``rows_per_chunk`` rows (column ``_chunk``); the last
+    ``halo`` rows of a piece are also copied into the next piece with ``_halo = true``.
+
+    A window partitioned by (key, ``_chunk``) that looks back at most ``halo`` rows then gives
+    every non-halo row exactly the value it has over the whole series; halo rows are dropped
+    afterwards.  Each row is copied at most once, so the extra volume is halo/rows_per_chunk."""
+    if rows_per_chunk < halo:
+        raise ValueError("rows_per_chunk must be at least the halo")
+    ix = series_index(df, key, order_col, bucket)
+    c = F.floor(F.col("series_idx") / F.lit(rows_per_chunk))
+    pos = F.col("series_idx") - c * F.lit(rows_per_chunk)
+    has_next = (c + 1) * F.lit(rows_per_chunk) < F.col("series_len")
+    home = F.struct(c.alias("_chunk"), F.lit(False).alias("_halo"))
+    nxt = F.struct((c + 1).alias("_chunk"), F.lit(True).alias("_halo"))
+    targets = F.when((pos >= F.lit(rows_per_chunk - halo)) & has_next, F.array(home, nxt)).otherwise(F.array(home))
+    return ix.withColumn("_t", F.explode(targets)).select("*", "_t._chunk", "_t._halo").drop("_t")

@@ -83,6 +83,12 @@ def q_e2_indicators(spark, sf_dir):
     return round_doubles(enriched(spark, sf_dir))
 
 
+def q_e2_indicators_chunked(spark, sf_dir):
+    """The enriched frame computed on 200-row pieces of every series (plus a 200-row halo):
+    what the plan does when one symbol is too large for one task.  Equal to ``e2``."""
+    return round_doubles(add_indicators(bars(spark, sf_dir), price_scale=PRICE_SCALE, chunk_rows=200))
+
+
 def q_a2_latest(spark, sf_dir):
     return round_doubles(S.latest(enriched(spark, sf_dir), ["close", "rsi"]))
 
@@ -562,6 +568,7 @@ QUERIES = {
     "w6_rsi": q_w6_rsi,
     "w7_volatility": q_w7_volatility,
     "e2_indicators": q_e2_indicators,
+    "e2_indicators_chunked": q_e2_indicators_chunked,
     "a2_latest": q_a2_latest,
     "a3_trailing_stats": q_a3_trailing_stats,
     "l1_tail": q_l1_tail,
