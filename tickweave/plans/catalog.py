@@ -146,6 +146,12 @@ def q_j1_value_holdings(spark, sf_dir):
     return round_doubles(_valued(spark, sf_dir), overrides=MONEY)
 
 
+def q_f6_holding_pnl(spark, sf_dir):
+    """Cost, value, PNL and PNL % of every priced holding."""
+    v = _valued(spark, sf_dir)
+    return round_doubles(v.select("portfolio_id", "symbol", "cost", "value", "pnl", "pnl_pct"), overrides=MONEY)
+
+
 def q_a1_portfolio_totals(spark, sf_dir):
     from tickweave.operators.portfolio import portfolio_totals
     return round_doubles(portfolio_totals(_valued(spark, sf_dir)), overrides=MONEY)
@@ -281,6 +287,14 @@ def _fc_ar1(spark, sf_dir):
     return recursive_forecast_ar1(last_state(b, LOOK_BACK), fit_ar1(samples(b, LOOK_BACK, with_features=False)))
 
 
+def q_m3_forecast_ar1(spark, sf_dir):
+    """The 30-step recursion per symbol: first and last forecast price and the path length."""
+    fc = _fc_ar1(spark, sf_dir)
+    return round_doubles(fc.select("symbol", "last_date", F.size("prices").cast("long").alias("n_steps"),
+                                   F.element_at("prices", 1).alias("first_price"),
+                                   F.element_at("prices", -1).alias("price")), overrides={**PRICE4, "first_price": 4})
+
+
 def q_m4_forecast_table(spark, sf_dir):
     from tickweave.plans.forecast import forecast_table
     return round_doubles(forecast_table(_fc_ar1(spark, sf_dir)), overrides=PRICE4)
@@ -578,6 +592,7 @@ QUERIES = {
     "r2_chart_series": q_r2_chart_series,
     "p3_clean_holdings": q_p3_clean_holdings,
     "j1_value_holdings": q_j1_value_holdings,
+    "f6_holding_pnl": q_f6_holding_pnl,
     "a1_portfolio_totals": q_a1_portfolio_totals,
     "p7_display_format": q_p7_display_format,
     "p7_volume_text": q_p7_volume_text,
@@ -593,6 +608,7 @@ QUERIES = {
     "m2_predict_test_ar1": q_m2_predict_test_ar1,
     "a4_forecast_metrics": q_a4_forecast_metrics,
     "a4_forecast_metrics_raw": q_a4_forecast_metrics_raw,
+    "m3_forecast_ar1": q_m3_forecast_ar1,
     "m4_forecast_table": q_m4_forecast_table,
     "j3_signal_inputs": q_j3_signal_inputs,
     "f4_expected_change": q_f4_expected_change,

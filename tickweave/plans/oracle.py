@@ -422,3 +422,10 @@ g AS (SELECT user_id, symbol, min(added_at) AS a0, arg_min(event_id, (added_at,
 SELECT user_id, to_json({'favorites': list(symbol ORDER BY a0, e0),
                          'model_config': {'epochs': 20, 'batch_size': 32}}) AS settings_json
 FROM g GROUP BY user_id"""
+
+
+ORACLE["f6_holding_pnl"] = f"WITH {HOLD} SELECT portfolio_id, symbol, " + ", ".join(
+    [R("cost", "cost", 2), R("value", "value", 2), R("pnl", "pnl", 2), R("pnl_pct", "pnl_pct")]) + " FROM val"
+ORACLE["m3_forecast_ar1"] = _FC + f"""SELECT st.symbol, st.last_date, count(*) AS n_steps,
+  {R('arg_min(fct.price, fct.step)', 'first_price', 4)}, {R('arg_max(fct.price, fct.step)', 'price', 4)}
+FROM fct JOIN st ON fct.symbol = st.symbol GROUP BY st.symbol, st.last_date"""
