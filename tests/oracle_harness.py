@@ -26,6 +26,10 @@ def duck(sf_dir: str):
 
 EXACT = False
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "timestamp_ntz": "TIMESTAMP", "decimal": "DECIMAL", "float": "FLOAT"}
+
 
 def _norm(v):
     if v is None:
@@ -51,6 +55,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
     d_rows = res.fetchall()
     t2 = time.time()
     s_cols = sdf.columns
+    s_types = dict(sdf.dtypes)
+    d_types = {d[0]: str(d[1]) for d in res.description}
+    type_diff = {c: (s_types[c], d_types.get(c)) for c in s_cols
+                 if c in d_types and SPARK_TO_DUCK.get(s_types[c].split("(")[0]) != d_types[c].split("(")[0]}
     out = {"name": name, "spark_s": round(t1 - t0, 2), "duck_s": round(t2 - t1, 2),
            "rows": (len(s_rows), len(d_rows))}
     if sorted(s_cols) != sorted(d_cols):
@@ -62,6 +70,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
     cs = Counter(tuple(_norm(r[i]) for i in order_s) for r in s_rows)
     cd = Counter(tuple(_norm(r[i]) for i in order_d) for r in d_rows)
     out["ok"] = cs == cd
+    if type_diff:
+        out["type_diff"] = type_diff
     if not out["ok"]:
         only_s = list((cs - cd).elements())[:3]
         only_d = list((cd - cs).elements())[:3]

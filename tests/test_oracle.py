@@ -21,6 +21,7 @@ def test_query_matches_duckdb(spark, con, name):
     H.EXACT = True
     r = H.compare(spark, con, name, QUERIES[name], ORACLE[name], SF_SMALL)
     assert r["ok"], r.get("why")
+    assert "type_diff" not in r, r["type_diff"]
     assert r["rows"][0] > 0, "the fixture should reach this operator"
 
 

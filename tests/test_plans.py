@@ -44,3 +44,13 @@ def test_no_python_udf_in_catalog_plans(spark):
     for name in ["e2_indicators", "e3_signal", "j1_value_holdings", "l2_rotating_pick", "r1_statement_wide"]:
         p = _plan(E.queries()[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_chunked_samples_equal_whole_series(spark):
+    from tickweave.plans.forecast import samples
+    from tickweave.sources.bars import smooth_bars
+    b = smooth_bars(daily_bars(spark, SF_SMALL))
+    cols = ["symbol", "date", "label", "prev", "features", "sample_idx", "is_train"]
+    a = samples(b, 30).select(*cols).withColumn("sample_idx", F.col("sample_idx").cast("long"))
+    c = samples(b, 30, chunk_rows=64).select(*cols)
+    assert a.count() == c.count() and a.exceptAll(c).count() == 0

@@ -300,9 +300,9 @@ def q_m4_forecast_table(spark, sf_dir):
     return round_doubles(forecast_table(_fc_ar1(spark, sf_dir)), overrides=PRICE4)
 
 
-def _signal(spark, sf_dir, src=None):
+def _signal(spark, sf_dir, src=None, chunk_rows=None):
     from tickweave.plans.signal import ar1_signal
-    return ar1_signal(src if src is not None else smooth(spark, sf_dir), LOOK_BACK)
+    return ar1_signal(src if src is not None else smooth(spark, sf_dir), LOOK_BACK, chunk_rows=chunk_rows)
 
 
 SIGNAL_COLS = ["symbol", "last_date", "last_close", "last_forecast", "mape", "mae", "last_rsi", "change_pct",
@@ -334,6 +334,11 @@ def q_e3_signal(spark, sf_dir):
     return round_doubles(_signal(spark, sf_dir).select(*SIGNAL_COLS), overrides=PRICE4)
 
 
+def q_e3_signal_chunked(spark, sf_dir):
+    """E3 with every series cut into 100-row halo chunks (the hot-symbol plan); equal to e3."""
+    return round_doubles(_signal(spark, sf_dir, chunk_rows=100).select(*SIGNAL_COLS), overrides=PRICE4)
+
+
 def q_e3_signal_raw(spark, sf_dir):
     return round_doubles(_signal(spark, sf_dir, bars(spark, sf_dir)).select(*SIGNAL_COLS), overrides=PRICE4)
 
@@ -617,6 +622,7 @@ QUERIES = {
     "f3_action": q_f3_action,
     "e3_signal": q_e3_signal,
     "e3_signal_raw": q_e3_signal_raw,
+    "e3_signal_chunked": q_e3_signal_chunked,
     "j2_unseen_news": q_j2_unseen_news,
     "l2_rotating_pick": q_l2_rotating_pick,
     "j4_fired_alerts": q_j4_fired_alerts,

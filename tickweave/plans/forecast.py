@@ -35,13 +35,15 @@ def unscale(c: Column, lo: Column, hi: Column) -> Column:
 
 
 def samples(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, train_fraction: float = K.TRAIN_FRACTION,
-            with_features: bool = True) -> DataFrame:
+            with_features: bool = True, chunk_rows: int | None = None) -> DataFrame:
     """Scaled closes -> look-back samples with ``is_train``.  The scaler is fitted on the whole
     series, test part included, as in the reference.  [F7, W8, W9]
 
     Every sample carries ``prev`` (the newest look-back value).  ``with_features=False`` skips
     building the ``look_back``-long arrays — the AR(1) baseline only needs ``prev`` — and
     keeps the same sample set by counting the window instead."""
+    if chunk_rows:
+        return _samples_chunked(bars, look_back, train_fraction, with_features, chunk_rows)
     sc = with_min_max(bars).withColumn("scaled", scale(F.col("close"), F.col("s_min"), F.col("s_max")))
     if with_features:
         s = lag_windows(sc, "scaled", look_back).withColumn("prev", F.element_at("features", -1))
@@ -57,6 +59,32 @@ def samples(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, train_fractio
     return chronological_split(s, train_fraction)
 
 
+def _samples_chunked(bars: DataFrame, look_back: int, train_fraction: float, with_features: bool,
+                     chunk_rows: int) -> DataFrame:
+    """:func:`samples` without any task holding a whole series: min/max come from a per-symbol
+    aggregate, the look-back windows run on halo chunks, and sample positions and counts come
+    from :func:`tickweave.operators.series.series_index` over the kept samples."""
+    from tickweave.functions.indicators import series_window
+    from tickweave.operators.series import series_chunks, series_index
+    lo, hi = K.LOOK_BACK_RANGE
+    if not lo <= look_back <= hi:
+        raise ValueError(f"look_back must be in {lo}..{hi}")
+    mm = bars.groupBy("symbol").agg(F.min("close").alias("s_min"), F.max("close").alias("s_max"))
+    sc = bars.join(mm, "symbol").withColumn("scaled", scale(F.col("close"), F.col("s_min"), F.col("s_max")))
+    ch = series_chunks(sc, look_back, max(int(chunk_rows), look_back))
+    w = series_window(("symbol", "_chunk"))
+    frame = w.rowsBetween(-look_back, -1)
+    extra = [F.collect_list("scaled").over(frame).alias("features")] if with_features else []
+    s = ch.select("*", F.lag("scaled").over(w).alias("prev"), F.count("scaled").over(frame).alias("_nw"), *extra)
+    s = (s.filter(~F.col("_halo") & (F.col("_nw") == look_back))
+         .drop("_chunk", "_halo", "series_idx", "series_len", "_nw")
+         .withColumn("label", F.col("scaled")))
+    s = series_index(s)
+    return (s.withColumnRenamed("series_idx", "sample_idx")
+            .withColumn("is_train", F.col("sample_idx") < F.floor(F.col("series_len") * F.lit(train_fraction)))
+            .drop("series_len"))
+
+
 def fit_ar1(samples_df: DataFrame) -> DataFrame:
     """Per-symbol AR(1) on the training samples: label = a + b * previous scaled close.  [A7]
 

@@ -419,8 +419,8 @@ ORACLE["s5_export_csv"] = f"WITH {IND} " + _sel([c for c in ENR_COLS if c not in
 ORACLE["s6_settings_json"] = """WITH f AS (SELECT user_id, event_type AS symbol, ts AS added_at, event_id FROM events),
 g AS (SELECT user_id, symbol, min(added_at) AS a0, arg_min(event_id, (added_at, event_id)) AS e0
       FROM f GROUP BY user_id, symbol)
-SELECT user_id, to_json({'favorites': list(symbol ORDER BY a0, e0),
-                         'model_config': {'epochs': 20, 'batch_size': 32}}) AS settings_json
+SELECT user_id, CAST(to_json({'favorites': list(symbol ORDER BY a0, e0),
+                              'model_config': {'epochs': 20, 'batch_size': 32}}) AS VARCHAR) AS settings_json
 FROM g GROUP BY user_id"""
 
 
@@ -429,3 +429,4 @@ ORACLE["f6_holding_pnl"] = f"WITH {HOLD} SELECT portfolio_id, symbol, " + ", ".j
 ORACLE["m3_forecast_ar1"] = _FC + f"""SELECT st.symbol, st.last_date, count(*) AS n_steps,
   {R('arg_min(fct.price, fct.step)', 'first_price', 4)}, {R('arg_max(fct.price, fct.step)', 'price', 4)}
 FROM fct JOIN st ON fct.symbol = st.symbol GROUP BY st.symbol, st.last_date"""
+ORACLE["e3_signal_chunked"] = ORACLE["e3_signal"]

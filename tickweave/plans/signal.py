@@ -39,7 +39,7 @@ def apply_rules(inputs: DataFrame) -> DataFrame:
 
 
 def ar1_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int = K.FORECAST_STEPS,
-               price_scale: int | None = None, checkpoint: bool = True) -> DataFrame:
+               price_scale: int | None = None, checkpoint: bool = True, chunk_rows: int | None = None) -> DataFrame:
     """The whole E3 procedure with the per-symbol AR(1) baseline.
 
     Plan: the indicators, the scaler, the samples and the split are window columns over one
@@ -47,8 +47,8 @@ def ar1_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int
     branches (fit, test metrics, last state, last RSI); it is checkpointed once so they do not
     each re-sort and re-run the windows, and so the lineage back to the raw trades is cut.
     The branches are per-symbol aggregates and one-row-per-symbol joins."""
-    ind = add_indicators(bars, price_scale=price_scale, ma_windows=())
-    smp = FC.samples(ind, look_back, with_features=False).select(
+    ind = add_indicators(bars, price_scale=price_scale, ma_windows=(), chunk_rows=chunk_rows)
+    smp = FC.samples(ind, look_back, with_features=False, chunk_rows=chunk_rows).select(
         "symbol", "date", "close", "rsi", "s_min", "s_max", "prev", "label", "sample_idx", "is_train")
     if checkpoint:
         smp = materialize(smp)
