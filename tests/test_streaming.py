@@ -101,21 +101,31 @@ def test_stream_news_equals_batch(spark, scratch):
     assert got == want and len(got) == len(set(got))
 
 
-def test_indicator_writer_replay_is_idempotent(spark, scratch):
+def test_indicator_writer_replay_late_and_rejected(spark, scratch):
     from tickweave.functions.indicators import add_indicators
     from tickweave.sources.bars import daily_bars
-    bars = daily_bars(spark, SF_SMALL)
+    bars = daily_bars(spark, SF_SMALL).cache()
+    sym = bars.select("symbol").first()[0]
+    # hold back one recent bar of one symbol (late, but inside the tail) and one early bar
+    # of that symbol (too late: far more than the look-back before the tail's end)
+    dates = [r[0] for r in bars.filter(F.col("symbol") == sym).orderBy("date").select("date").collect()]
+    recent, early = dates[-10], dates[5]
+    late = (F.col("symbol") == sym) & (F.col("date") == recent)
+    lost = (F.col("symbol") == sym) & (F.col("date") == early)
+    body = bars.filter(~late & ~lost)
     cut = "1998-01-01"
-    b1, b2 = bars.filter(F.col("date") < cut), bars.filter(F.col("date") >= cut)
-    store, out = os.path.join(scratch, "store"), os.path.join(scratch, "out")
-    w = T.indicator_batch_writer(store, out, price_scale=2)
-    w(b2, 0)   # the later slice first: arrives out of order
-    w(b1, 1)
-    w(b1, 1)   # replay of batch 1 after a failure
+    b1, b2 = body.filter(F.col("date") < cut), body.filter(F.col("date") >= cut)
+    tail, out, rej = (os.path.join(scratch, n) for n in ("tail", "out", "rejected"))
+    w = T.indicator_batch_writer(tail, out, price_scale=2, rejected=rej)
+    w(b1, 0)
+    w(b2, 1)
+    w(b2, 1)                                   # replay of batch 1 after a failure
+    w(bars.filter(late | lost), 2)             # the two held-back bars arrive late
+    assert [(r.symbol, r.date) for r in spark.read.parquet(rej).collect()] == [(sym, early)]
     cur = T.current_indicators(spark, out).select("symbol", "date", "rsi", "ma200", "volatility")
-    ref = add_indicators(bars, price_scale=2).select("symbol", "date", "rsi", "ma200", "volatility")
+    ref = add_indicators(bars.filter(~lost), price_scale=2).select("symbol", "date", "rsi", "ma200", "volatility")
     assert cur.count() == ref.count()
-    assert cur.exceptAll(ref).count() == 0
+    assert cur.exceptAll(ref).count() == 0 and ref.exceptAll(cur).count() == 0
 
 
 def test_latest_quote_and_alerts(spark, scratch):

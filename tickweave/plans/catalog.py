@@ -467,16 +467,25 @@ def q_t4_stream_bars(spark, sf_dir):
 
 
 def q_t5_stream_indicators(spark, sf_dir):
-    """Daily bars replayed as a stream of date slices (8 files, one micro-batch each); the
-    indicator table kept by ``foreachBatch`` must equal the batch computation."""
-    from tickweave.session import shared_dir
+    """Daily bars replayed as a stream of 8 date slices in time order (one micro-batch each);
+    the indicator table kept by ``foreachBatch`` must equal the batch computation."""
+    from tickweave.session import materialize, shared_dir
     from tickweave.streaming import streams as T
     src = shared_dir(spark, "t5-bars")
-    bars(spark, sf_dir).repartitionByRange(8, "date").write.parquet(src)
-    stream = T.parquet_stream(spark, src, schema=spark.read.parquet(src).schema, max_files=1)
-    store, out = shared_dir(spark, "t5-store"), shared_dir(spark, "t5-ind")
+    b = materialize(bars(spark, sf_dir))
+    edges = b.select(F.percentile_approx(F.unix_date("date"), [i / 8 for i in range(1, 8)], 10000)).first()[0]
+    bounds = [None] + edges + [None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):  # one write per slice, oldest first: the file
+        part = b                                 # source takes files in modification order
+        if lo is not None:
+            part = part.filter(F.unix_date("date") >= lo)
+        if hi is not None:
+            part = part.filter(F.unix_date("date") < hi)
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = T.parquet_stream(spark, src, schema=b.schema, max_files=1)
+    tail, out = shared_dir(spark, "t5-tail"), shared_dir(spark, "t5-ind")
     q = stream.writeStream.option("checkpointLocation", shared_dir(spark, "t5-ckpt")) \
-        .foreachBatch(T.indicator_batch_writer(store, out, price_scale=PRICE_SCALE)).trigger(availableNow=True).start()
+        .foreachBatch(T.indicator_batch_writer(tail, out, price_scale=PRICE_SCALE)).trigger(availableNow=True).start()
     q.awaitTermination()
     cur = T.current_indicators(spark, out)
     return round_doubles(cur.select("symbol", "date", "close", "rsi", "ma20", "ma50", "ma200", "volatility"))

@@ -97,46 +97,73 @@ def stream_bars(ticks: DataFrame, every: str = "1 hour", watermark: str = "2 hou
 
 # --- T5: indicators kept current --------------------------------------------------------------
 
-def indicator_batch_writer(store: str, out: str, history_rows: int = K.WEEKS52_ROWS,
-                           price_scale: int | None = None):
-    """A ``foreachBatch`` function that keeps indicators current for the symbols a batch of
-    new bars touches.  [T5]
-
-    Row windows are not allowed on streams, so each batch (a static DataFrame) is run through
-    the batch indicator code together with the last ``history_rows`` stored bars of the
-    touched symbols — enough for the longest window (MA200, 52-week range).  Output is written
-    to ``.../batch_id=<id>`` with overwrite, so replaying a batch after a failure rewrites the
-    same folder instead of adding rows; readers take the newest batch per (symbol, date)."""
-    from tickweave.functions.indicators import add_indicators
+def _latest_version(spark: SparkSession, folder: str, below: int) -> int | None:
+    """Highest ``v=<n>`` sub-folder with n < ``below`` (a directory listing on the driver)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    best = None
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            n = int(name[2:])
+            if n < below and (best is None or n > best):
+                best = n
+    return best
+
+
+def indicator_batch_writer(tail_dir: str, out: str, history_rows: int = K.WEEKS52_ROWS,
+                           price_scale: int | None = None, rejected: str | None = None):
+    """A ``foreachBatch`` function that keeps indicators current as new bars arrive.  [T5]
+
+    Row windows are not allowed on streams, so each micro-batch (a static DataFrame) is run
+    through the *batch* indicator code together with the **tail**: the last ``history_rows``
+    bars of every symbol, kept as a versioned table ``tail_dir/v=<batch_id>``.  Per batch the
+    work is bounded by (#symbols x history_rows + new bars), however long the history grows.
+
+    Idempotent: outputs go to ``out/batch_id=<id>`` and the tail to ``v=<id>`` with overwrite,
+    and a batch reads the newest tail *before* its own id, so a replayed batch rewrites the
+    same folders.  Readers take the newest batch per (symbol, date) (:func:`current_indicators`).
+
+    Late bars: a bar is placed exactly when at least the indicators' look-back of tail rows
+    precede it (or the symbol's whole history is still in the tail); rows after it are then
+    recomputed and re-emitted.  An older bar is rejected — written to ``rejected`` when given —
+    the way a watermark drops data that arrives too late."""
+    from tickweave.functions.indicators import add_indicators, indicator_lookback
+    from tickweave.sources.bars import BAR_COLUMNS
+
+    lookback = indicator_lookback()
+    if history_rows <= lookback:
+        raise ValueError("history_rows must exceed the indicators' look-back")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("symbol", "date", "open", "high", "low", "close", "volume")
-        new.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-        touched = new.groupBy("symbol").agg(F.min("date").alias("_from"))
-        try:
-            stored = spark.read.parquet(store).filter(F.col("batch_id") < batch_id)
-        except Exception:  # first batch: nothing stored yet
-            stored = None
-        if stored is not None:
-            w = Window.partitionBy("symbol", "date").orderBy(F.col("batch_id").desc())
-            old = (stored.join(touched.select("symbol"), "symbol", "left_semi")
-                   .withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")
-                   .join(new.select("symbol", "date"), ["symbol", "date"], "left_anti")
-                   .drop("batch_id"))
-            old = old.join(touched, "symbol")
-            # before the first new date only the last history_rows bars are needed; stored bars
-            # after it (the new bars arrived late) are recomputed with them
-            before = old.filter(F.col("date") < F.col("_from")).drop("_from")
-            wd = Window.partitionBy("symbol").orderBy(F.col("date").desc())
-            before = before.withColumn("_r", F.row_number().over(wd)).filter(F.col("_r") <= history_rows).drop("_r")
-            after = old.filter(F.col("date") >= F.col("_from")).drop("_from")
-            frame = before.unionByName(after).unionByName(new)
+        new = batch.select(*BAR_COLUMNS)
+        prev = _latest_version(spark, tail_dir, batch_id)
+        if prev is None:
+            accepted, frame = new, new
         else:
-            frame = new
+            tail = spark.read.parquet(f"{tail_dir}/v={prev}").select(*BAR_COLUMNS)
+            wa = Window.partitionBy("symbol").orderBy("date")
+            # per symbol: is the tail full, and the date of its lookback-th oldest row
+            cut = (tail.withColumn("_rn", F.row_number().over(wa))
+                   .groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"),
+                                          F.max(F.when(F.col("_rn") == lookback, F.col("date"))).alias("_cut")))
+            j = new.join(cut, "symbol", "left")
+            ok = F.col("_n").isNull() | (F.col("_n") < history_rows) | (F.col("date") > F.col("_cut"))
+            accepted = j.filter(ok).select(*BAR_COLUMNS)
+            if rejected:
+                j.filter(~ok).select(*BAR_COLUMNS).write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+            frame = tail.join(accepted.select("symbol", "date"), ["symbol", "date"], "left_anti").unionByName(accepted)
+        touched = accepted.groupBy("symbol").agg(F.min("date").alias("_from"))
         ind = add_indicators(frame, price_scale=price_scale)
         res = ind.join(touched, "symbol").filter(F.col("date") >= F.col("_from")).drop("_from")
         res.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        wd = Window.partitionBy("symbol").orderBy(F.col("date").desc())
+        (frame.withColumn("_rn", F.row_number().over(wd)).filter(F.col("_rn") <= history_rows).drop("_rn")
+         .write.mode("overwrite").parquet(f"{tail_dir}/v={batch_id}"))
 
     return write
 
