@@ -54,3 +54,14 @@ def test_chunked_samples_equal_whole_series(spark):
     a = samples(b, 30).select(*cols).withColumn("sample_idx", F.col("sample_idx").cast("long"))
     c = samples(b, 30, chunk_rows=64).select(*cols)
     assert a.count() == c.count() and a.exceptAll(c).count() == 0
+
+
+def test_pooled_and_ar1_paths_share_their_samples(spark):
+    """The pooled model reads the same samples (and split) as the twin-checked AR(1) path."""
+    from tickweave.plans.forecast import samples
+    from tickweave.sources.bars import smooth_bars
+    b = smooth_bars(daily_bars(spark, SF_SMALL))
+    cols = ["symbol", "date", "label", "prev", "is_train"]
+    full = samples(b, 30).select(*cols)
+    lean = samples(b, 30, with_features=False).select(*cols)
+    assert full.count() == lean.count() and full.exceptAll(lean).count() == 0
