@@ -143,3 +143,17 @@ def test_cadences():
     assert T.trigger_for("stock") == {"processingTime": "50 seconds"}
     assert T.trigger_for("flows") == {"processingTime": "300 seconds"}
     assert T.trigger_for(None) == {"availableNow": True}
+
+
+def test_alerts_fire_once_across_batches_and_replays(spark, scratch):
+    alerts = spark.createDataFrame([(1, "A", 10.0), (2, "A", 20.0), (3, "B", 5.0)],
+                                   "alert_id long, symbol string, price double")
+    out = os.path.join(scratch, "fired")
+    w = T.alert_batch_writer(alerts, out)
+    tick = "symbol string, price double"
+    w(spark.createDataFrame([("A", 9.0), ("A", 12.0), ("B", 1.0)], tick), 0)    # fires 1
+    w(spark.createDataFrame([("A", 15.0), ("A", 25.0)], tick), 1)                # fires 2 (1 already fired)
+    w(spark.createDataFrame([("A", 15.0), ("A", 25.0)], tick), 1)                # replay
+    w(spark.createDataFrame([("A", 30.0), ("B", 4.99)], tick), 2)                # nothing new
+    got = sorted((r.alert_id, r.batch_id) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 0), (2, 1)]

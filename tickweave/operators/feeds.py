@@ -61,12 +61,24 @@ def fired_alerts(bars: DataFrame, alerts: DataFrame) -> DataFrame:
     """Bars where the close crosses a saved alert price: previous close < price <= close
     (``up``) or previous close > price >= close (``down``).  [J4]
 
-    The previous close comes from the symbol window; the alert join is on ``symbol``, whose
-    partitioning the window output already has."""
+    A range join done as an equi-join, so no symbol compares all its bars with all its
+    alerts.  Prices are cut into buckets whose width is the symbol's mean absolute change;
+    each bar is exploded into the buckets its [previous close, close] interval covers — about
+    two per bar on average — each alert falls in one, and the join is on (symbol, bucket)
+    followed by the exact predicate."""
     w = series_window()
+    moved = F.col("prev_close").isNotNull() & (F.col("prev_close") != F.col("close"))
     b = bars.select("symbol", "date", "close").withColumn("prev_close", F.lag("close").over(w))
-    a = alerts.select("alert_id", "symbol", F.col("price").alias("alert_price"))
-    j = b.join(a, "symbol")
+    # bucket width: the symbol's mean absolute change, a window aggregate on the same partitioning
+    b = b.withColumn("_w", F.avg(F.when(moved, F.abs(F.col("close") - F.col("prev_close"))))
+                     .over(Window.partitionBy("symbol"))).filter(moved)
+    width = b.groupBy("symbol").agg(F.max("_w").alias("_w"))
+    lo, hi = F.least("prev_close", "close"), F.greatest("prev_close", "close")
+    bk = lambda x: F.floor(x / F.col("_w"))
+    bb = b.withColumn("_bucket", F.explode(F.sequence(bk(lo), bk(hi)))).drop("_w")
+    a = (alerts.select("alert_id", "symbol", F.col("price").alias("alert_price"))
+         .join(width, "symbol").withColumn("_bucket", bk(F.col("alert_price"))).drop("_w"))
+    j = bb.join(a, ["symbol", "_bucket"]).drop("_bucket")
     up = (F.col("prev_close") < F.col("alert_price")) & (F.col("alert_price") <= F.col("close"))
     down = (F.col("prev_close") > F.col("alert_price")) & (F.col("alert_price") >= F.col("close"))
     return j.filter(up | down).withColumn("direction", F.when(up, F.lit("up")).otherwise(F.lit("down")))

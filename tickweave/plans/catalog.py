@@ -86,7 +86,9 @@ def q_e2_indicators(spark, sf_dir):
 def q_e2_indicators_chunked(spark, sf_dir):
     """The enriched frame computed on 200-row pieces of every series (plus a 200-row halo):
     what the plan does when one symbol is too large for one task.  Equal to ``e2``."""
-    return round_doubles(add_indicators(bars(spark, sf_dir), price_scale=PRICE_SCALE, chunk_rows=200))
+    from tickweave.session import materialize
+    # series_index reads the bars twice (positions, bucket counts): written once
+    return round_doubles(add_indicators(materialize(bars(spark, sf_dir)), price_scale=PRICE_SCALE, chunk_rows=200))
 
 
 def q_a2_latest(spark, sf_dir):
@@ -368,7 +370,9 @@ def q_l2_rotating_pick(spark, sf_dir):
 def q_j4_fired_alerts(spark, sf_dir):
     from tickweave.operators.feeds import fired_alerts
     from tickweave.sources.fixtures import alerts
-    return round_doubles(fired_alerts(bars(spark, sf_dir), alerts(spark, sf_dir)))
+    from tickweave.session import materialize
+    # the bars feed two branches (the crossings and the per-symbol bucket width): written once
+    return round_doubles(fired_alerts(materialize(bars(spark, sf_dir)), alerts(spark, sf_dir)))
 
 
 def q_a6_net_flow(spark, sf_dir):
@@ -492,13 +496,16 @@ def q_t5_stream_indicators(spark, sf_dir):
 
 
 def q_t6_stream_alerts(spark, sf_dir):
+    from tickweave.session import shared_dir
     from tickweave.sources.bars import trades_from
     from tickweave.sources.fixtures import alerts
     from tickweave.streaming import streams as T
     li = T.table_stream(spark, sf_dir, "lineitem")
-    live = T.stream_alerts(trades_from(li), alerts(spark, sf_dir))
-    _, out = T.run_to_files(live, "t6")
-    return round_doubles(spark.read.parquet(out))
+    out = shared_dir(spark, "t6-out")
+    q = trades_from(li).writeStream.option("checkpointLocation", shared_dir(spark, "t6-ckpt")) \
+        .foreachBatch(T.alert_batch_writer(alerts(spark, sf_dir), out)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return round_doubles(T.fired_alerts_table(spark, out))
 
 
 

@@ -177,14 +177,35 @@ def current_indicators(spark: SparkSession, out: str) -> DataFrame:
 
 # --- T6: alerts fired by live trades ------------------------------------------------------------
 
-def stream_alerts(trades: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Each saved alert once, when a trade reaches its price (price >= alert price).  [T6]
-
-    Stream-static join on symbol, then ``dropDuplicates`` on the alert id: the state holds
-    one key per fired alert, so it is bounded by the alerts table, not by the trade volume."""
+def alert_batch_writer(alerts: DataFrame, out: str):
+    """A ``foreachBatch`` function that fires each saved alert once, when a trade reaches its
+    price (price >= alert price).  [T6]
+
+    Only the batch's highest price per symbol matters, so trades are first reduced to one row
+    per symbol (a partial aggregate: a hot symbol is combined map-side); that row meets the
+    symbol's alerts, so no trade is ever paired with an alert.  Alerts fired by earlier batches
+    are anti-joined away — that history is bounded by the alerts table.  Written to
+    ``out/batch_id=<id>`` with overwrite and reading only earlier batches, so a replayed batch
+    gives the same rows."""
     a = alerts.select("alert_id", "symbol", F.col("price").alias("alert_price"))
-    hit = trades.join(a, "symbol").filter(F.col("price") >= F.col("alert_price"))
-    return hit.dropDuplicates(["alert_id"]).select("alert_id", "symbol", "alert_price")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        top = batch.groupBy("symbol").agg(F.max("price").alias("_top"))
+        hit = a.join(top, "symbol").filter(F.col("_top") >= F.col("alert_price")).drop("_top")
+        try:
+            done = spark.read.parquet(out).filter(F.col("batch_id") < batch_id).select("alert_id")
+            hit = hit.join(done, "alert_id", "left_anti")
+        except Exception:  # nothing fired yet
+            pass
+        hit.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return write
+
+
+def fired_alerts_table(spark: SparkSession, out: str) -> DataFrame:
+    """All alerts fired so far (each once)."""
+    return spark.read.parquet(out).drop("batch_id")
 
 
 # --- running helpers ----------------------------------------------------------------------------
