@@ -96,11 +96,13 @@ def favorites_distinct(favs: DataFrame) -> DataFrame:
     """Each (user, symbol) once, at the time it was first added; ``position`` numbers a user's
     list in first-added order.  [P8]  The aggregate collapses repeats before the per-user
     numbering, so the window sorts at most one row per symbol per user."""
+    from tickweave.sources.bars import ts_seq_key
+    # (time, event id) as one fixed-width key keeps the aggregate hash-based
     firsts = favs.groupBy("user_id", "symbol").agg(
-        F.min(F.struct("added_at", "event_id")).alias("_first"), F.count(F.lit(1)).alias("n_adds"))
+        F.min(ts_seq_key(F.col("added_at"), F.col("event_id"))).alias("_first"),
+        F.min("added_at").alias("first_added"), F.count(F.lit(1)).alias("n_adds"))
     w = Window.partitionBy("user_id").orderBy(F.col("_first"))
-    return firsts.withColumn("position", F.row_number().over(w).cast("long")) \
-        .withColumn("first_added", F.col("_first.added_at")).drop("_first")
+    return firsts.withColumn("position", F.row_number().over(w).cast("long")).drop("_first")
 
 
 def favorites_list(favs: DataFrame) -> DataFrame:

@@ -108,6 +108,13 @@ def trades_from(li: DataFrame) -> DataFrame:
 LINEITEM_SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "price", "qty"]
 
 
+def ts_seq_key(ts: Column, seq: Column) -> Column:
+    """``(timestamp, sequence number)`` packed into one decimal for ``min_by``/``max_by``/``min``:
+    microseconds since 1970 shifted by 10^16 (so dates back to 1653 stay positive, 17 digits),
+    then the sequence number (up to 18 digits)."""
+    return packed_key([(F.unix_micros(ts.cast("timestamp")) + F.lit(10 ** 16), 17), (seq, 18)])
+
+
 def exact_units(c: Column, scale: int) -> Column:
     """``c * 10^scale`` as a long when that is an integer (to 1e-6), else -1 (which no packed
     key accepts).  ``rint`` rather than ``round``: Spark rounds doubles through BigDecimal."""

@@ -83,7 +83,11 @@ def stream_bars(ticks: DataFrame, every: str = "1 hour", watermark: str = "2 hou
     """Tumbling OHLCV bars from ticks, emitted once a bar can no longer change (append
     mode: the watermark has passed the bar's end).  [T4]  Streaming form of ``build_bars``;
     ``volume`` counts ticks when there is no size column."""
-    order_key = F.struct("ts", *( [seq] if seq else []))
+    if seq:
+        from tickweave.sources.bars import ts_seq_key
+        order_key = ts_seq_key(F.col("ts"), F.col(seq))  # fixed width: hash aggregate, small state rows
+    else:
+        order_key = F.col("ts")
     return (
         ticks.withWatermark("ts", watermark)
         .groupBy(F.window("ts", every).alias("bar"), "symbol")
