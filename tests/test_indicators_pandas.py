@@ -119,3 +119,23 @@ def test_exact_and_frame_moving_averages_agree(spark):
     j = a.join(b, ["symbol", "date"])
     worst = j.select(*[F.max(F.abs(F.col(f"a{n}") - F.col(f"b{n}"))).alias(f"d{n}") for n in (20, 50, 200)]).first()
     assert all(v < 1e-8 for v in worst)
+
+
+@pytest.mark.parametrize("chunk", [201, 250])
+def test_chunked_indicators_at_chunk_boundaries(spark, chunk):
+    """Series whose lengths sit on and around the chunk edges (halo 200) give exactly the
+    whole-series values when computed in halo chunks."""
+    import datetime as dt
+    d0 = dt.date(2020, 1, 1)
+    rows = []
+    for s, n in [("one", 1), ("short", 150), ("c_minus", chunk - 1), ("c", chunk), ("c_plus", chunk + 1),
+                 ("long", 2 * chunk + 200)]:
+        for i in range(n):
+            c = round(100 + 10 * math.sin(i / 7.0) + (i % 5) * 0.37, 2)
+            rows.append((s, d0 + dt.timedelta(days=i), c, c, c, c, 1.0))
+    df = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, "
+                                     "close double, volume double")
+    whole = add_indicators(df, price_scale=2)
+    parts = add_indicators(df, price_scale=2, chunk_rows=chunk)
+    assert parts.count() == whole.count()
+    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0

@@ -34,7 +34,8 @@ def q_s3_build_bars(spark, sf_dir):
 
 
 def q_s1_load_bars(spark, sf_dir):
-    return round_doubles(B.load_bars(bars(spark, sf_dir), LOAD_START, LOAD_END))
+    """The date range is given to the bar builder too, so it is pushed into the trade scan."""
+    return round_doubles(B.load_bars(B.daily_bars(spark, sf_dir, LOAD_START, LOAD_END), LOAD_START, LOAD_END))
 
 
 def q_s2_recent_bars(spark, sf_dir):

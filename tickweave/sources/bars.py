@@ -131,13 +131,19 @@ def lineitem_order_key(price_scale: int = 2) -> Column:
                        (exact_units(F.col("price"), price_scale), 10), (exact_units(F.col("qty"), 0), 3)])
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_bars(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """Daily bars of every supplier built from ``lineitem`` (the ``bars`` fixture).  The
     aggregate runs on the numeric supplier key (cheaper to hash and shuffle); the key becomes
-    the string symbol on the aggregated rows only."""
+    the string symbol on the aggregated rows only.  ``start``/``end`` (half-open, dates) are
+    compared with the raw ship-date column, so they reach the parquet scan as pushed filters
+    instead of filtering derived dates after the read."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
                      "l_quantity", "l_shipdate"])
+    if start is not None:
+        li = li.filter(F.col("l_shipdate") >= _as_date(start).cast("timestamp_ntz"))
+    if end is not None:
+        li = li.filter(F.col("l_shipdate") < _as_date(end).cast("timestamp_ntz"))
     trades = li.select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"),
                        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"),
                        "l_orderkey", "l_linenumber", "l_partkey")
