@@ -1,6 +1,6 @@
 """Benchmark: the headline plans at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]``.  Each query is fully evaluated into Spark's ``noop`` sink (every row
-computed, nothing collected); one warm-up pass, then the best of ``$BENCH_RUNS`` (default 2).
+computed, nothing collected); one warm-up pass, then the best of ``$BENCH_RUNS`` (default 3).
 Prints one JSON line."""
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     from tickweave.plans.catalog import QUERIES
     from tickweave.session import get_session
 
