@@ -65,3 +65,30 @@ def test_pooled_and_ar1_paths_share_their_samples(spark):
     full = samples(b, 30).select(*cols)
     lean = samples(b, 30, with_features=False).select(*cols)
     assert full.count() == lean.count() and full.exceptAll(lean).count() == 0
+
+
+def test_hot_symbol_is_split_into_bounded_groups(spark):
+    """One symbol with most of the rows: its halo chunks stay at most rows_per_chunk + halo
+    rows, and the chunked indicators still equal the whole-series ones."""
+    import datetime as dt
+    from tickweave.operators.series import series_chunks
+    d0 = dt.date(2000, 1, 1)
+    rows = [("HOT", d0 + dt.timedelta(days=i), 100.0 + (i % 37) * 0.5) for i in range(3600)]
+    rows += [(f"S{k}", d0 + dt.timedelta(days=i), 50.0 + (i % 11)) for k in range(10) for i in range(300)]
+    df = spark.createDataFrame([(s, d, c, c, c, c, 1.0) for s, d, c in rows],
+                               "symbol string, date date, open double, high double, low double, close double, volume double")
+    ch = series_chunks(df, halo=200, rows_per_chunk=500)
+    biggest = ch.groupBy("symbol", "_chunk").count().agg(F.max("count")).first()[0]
+    assert biggest <= 700
+    assert ch.filter(~F.col("_halo")).count() == df.count()
+    whole = add_indicators(df, price_scale=2)
+    parts = add_indicators(df, price_scale=2, chunk_rows=500)
+    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+
+
+def test_rotating_pick_numbers_only_one_bucket_of_a_hot_source(spark):
+    from tickweave.operators.feeds import rotating_pick
+    rows = [("hot", i, f"h{i}") for i in range(5000)] + [("cold", i, f"c{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "src string, feed_pos long, title string")
+    got = {r.src: r.title for r in rotating_pick(df, 4321, "src", bucket_width=256).collect()}
+    assert got == {"hot": "h4321", "cold": "c1"}  # 4321 mod 5000 = 4321, 4321 mod 3 = 1
