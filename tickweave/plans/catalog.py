@@ -278,6 +278,13 @@ def q_a4_forecast_metrics(spark, sf_dir):
     return round_doubles(metrics(_pred_ar1(spark, sf_dir)), overrides=PRICE4)
 
 
+def q_a4_baseline_last_value(spark, sf_dir):
+    """MAE/MAPE of the last-value forecaster on the same test samples, for comparison."""
+    from tickweave.plans.forecast import metrics, predict_test_last_value, samples
+    s = samples(smooth(spark, sf_dir), LOOK_BACK, with_features=False)
+    return round_doubles(metrics(predict_test_last_value(s)), overrides=PRICE4)
+
+
 def q_a4_forecast_metrics_raw(spark, sf_dir):
     from tickweave.plans.forecast import metrics
     return round_doubles(metrics(_pred_ar1(spark, sf_dir, bars(spark, sf_dir))), overrides=PRICE4)
@@ -628,6 +635,7 @@ QUERIES = {
     "m2_predict_test_ar1": q_m2_predict_test_ar1,
     "a4_forecast_metrics": q_a4_forecast_metrics,
     "a4_forecast_metrics_raw": q_a4_forecast_metrics_raw,
+    "a4_baseline_last_value": q_a4_baseline_last_value,
     "m3_forecast_ar1": q_m3_forecast_ar1,
     "m4_forecast_table": q_m4_forecast_table,
     "j3_signal_inputs": q_j3_signal_inputs,

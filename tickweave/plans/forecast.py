@@ -112,6 +112,13 @@ def predict_test_ar1(samples_df: DataFrame, coef: DataFrame) -> DataFrame:
     )
 
 
+def predict_test_last_value(samples_df: DataFrame) -> DataFrame:
+    """The naive baseline on the same test samples: tomorrow's close = today's close."""
+    return samples_df.filter(~F.col("is_train")).select(
+        "symbol", "date", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("close").alias("actual"),
+        unscale(F.col("prev"), F.col("s_min"), F.col("s_max")).alias("predicted"))
+
+
 def metrics(pred: DataFrame) -> DataFrame:
     """MAE and MAPE (in %) of the test predictions; zero actuals are left out of the MAPE
     instead of making it infinite.  [A4]"""

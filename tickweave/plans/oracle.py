@@ -430,3 +430,7 @@ ORACLE["m3_forecast_ar1"] = _FC + f"""SELECT st.symbol, st.last_date, count(*) A
   {R('arg_min(fct.price, fct.step)', 'first_price', 4)}, {R('arg_max(fct.price, fct.step)', 'price', 4)}
 FROM fct JOIN st ON fct.symbol = st.symbol GROUP BY st.symbol, st.last_date"""
 ORACLE["e3_signal_chunked"] = ORACLE["e3_signal"]
+ORACLE["a4_baseline_last_value"] = _FC + f"""SELECT symbol, count(*) AS n_test,
+  {_r('avg(abs(close - (prev * (s_max - s_min) + s_min)))', 'mae')},
+  {_r('avg(abs((close - (prev * (s_max - s_min) + s_min)) / nullif(close, 0))) * 100', 'mape')}
+FROM smp WHERE NOT is_train GROUP BY symbol"""
