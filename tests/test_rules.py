@@ -93,3 +93,15 @@ def test_business_days_equal_pandas(spark, start):
     got = df.select(business_days(F.col("d"))).first()[0]
     want = [x.date() for x in pd.bdate_range(start=pd.Timestamp(start) + pd.Timedelta(days=1), periods=30)]
     assert got == want
+
+
+def test_fixed_text_rounds_like_python_format(spark):
+    from tickweave.functions.formatting import fixed, int_text, money
+    vals = [0.125, 0.375, 2.675, 1.005, -1234.565, 1234567.891, 0.0, -0.004, 99.995]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.select(fixed(F.col("x")).alias("f"), money(F.col("x")).alias("m"), fixed(F.col("x"), 4).alias("f4")).collect()
+    assert [r.f for r in got] == [f"{v:.2f}" for v in vals]
+    assert [r.m for r in got] == [f"{v:,.2f}" for v in vals]
+    assert [r.f4 for r in got] == [f"{v:.4f}" for v in vals]
+    vols = spark.createDataFrame([(1234567.9,), (999.99,)], "v double").select(int_text(F.col("v"))).collect()
+    assert [r[0] for r in vols] == [f"{int(1234567.9):,}", f"{int(999.99):,}"]

@@ -13,6 +13,13 @@ def money(c: Column, decimals: int = 2) -> Column:
     return F.format_number(c, decimals)
 
 
+def fixed(c: Column, decimals: int = 2) -> Column:
+    """Fixed decimals without thousands separators (``f"{x:.2f}"``).  ``format_number`` rounds
+    the exact binary value half-even, as Python's formatting does; only its separators are
+    removed.  [P7]"""
+    return F.regexp_replace(F.format_number(c, decimals), ",", "")
+
+
 def int_text(c: Column) -> Column:
     """Integer with thousands separators, truncating like ``int()`` (average volume).  [P7]"""
     return F.format_number(c.cast("long"), 0)

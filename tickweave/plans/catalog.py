@@ -161,22 +161,50 @@ def q_a1_portfolio_totals(spark, sf_dir):
 
 
 def q_p7_display_format(spark, sf_dir):
-    """Portfolio totals and trailing volume as display text."""
-    from tickweave.functions.formatting import int_text, money
+    """Portfolio metrics as the dashboard prints them: totals with thousands separators, the
+    return without, and the per-holding table at two decimals."""
+    from tickweave.functions.formatting import fixed, money
     from tickweave.operators.portfolio import portfolio_totals
     t = portfolio_totals(_valued(spark, sf_dir))
     return t.select("portfolio_id",
                     F.concat(F.lit("₹"), money(F.col("total_value"))).alias("total_value_text"),
                     F.concat(F.lit("₹"), money(F.col("total_pnl"))).alias("total_pnl_text"),
-                    F.concat(money(F.col("total_return_pct")), F.lit("%")).alias("total_return_text"))
+                    F.concat(F.lit("₹"), money(F.col("total_cost"))).alias("total_cost_text"),
+                    F.concat(fixed(F.col("total_return_pct")), F.lit("%")).alias("total_return_text"))
 
 
 def q_p7_volume_text(spark, sf_dir):
-    from tickweave.functions.formatting import int_text, money
+    """The stock tab's four metrics: latest close, 20-day volume, 52-week high and low."""
+    from tickweave.functions.formatting import fixed, int_text
     t = S.trailing_stats(bars(spark, sf_dir))
-    return t.select("symbol", int_text(F.col("avg_volume_20")).alias("avg_volume_text"),
-                    F.concat(F.lit("₹"), money(F.col("high_52w"))).alias("high_52w_text"),
-                    F.concat(F.lit("₹"), money(F.col("low_52w"))).alias("low_52w_text"))
+    return t.select("symbol", F.concat(F.lit("₹"), fixed(F.col("last_close"))).alias("last_close_text"),
+                    int_text(F.col("avg_volume_20")).alias("avg_volume_text"),
+                    F.concat(F.lit("₹"), fixed(F.col("high_52w"))).alias("high_52w_text"),
+                    F.concat(F.lit("₹"), fixed(F.col("low_52w"))).alias("low_52w_text"))
+
+
+def q_p7_quote_text(spark, sf_dir):
+    """Market-overview metric per symbol: price, "change (change %)", or "data unavailable"."""
+    from tickweave.functions.formatting import fixed
+    q = S.index_quote(bars(spark, sf_dir))
+    ok = F.col("price").isNotNull() & F.col("change").isNotNull() & F.col("change_pct").isNotNull()
+    return q.select(
+        "symbol",
+        F.when(ok, F.concat(F.lit("₹"), fixed(F.col("price")))).otherwise(F.lit("data unavailable")).alias("price_text"),
+        F.when(ok, F.concat(fixed(F.col("change")), F.lit(" ("), fixed(F.col("change_pct")), F.lit("%)")))
+        .alias("change_text"))
+
+
+def q_p7_signal_text(spark, sf_dir):
+    """Forecast tab texts: MAE to 4 decimals, MAPE, risk score out of 100, expected change."""
+    from tickweave.functions.formatting import fixed
+    s = _signal(spark, sf_dir)
+    return s.select("symbol",
+                    fixed(F.col("mae"), 4).alias("mae_text"),
+                    F.concat(fixed(F.col("mape")), F.lit("%")).alias("mape_text"),
+                    F.concat(fixed(F.col("echo_risk")), F.lit(" / 100")).alias("risk_text"),
+                    F.concat(fixed(F.col("change_pct")), F.lit("%")).alias("change_text"),
+                    "action")
 
 
 # --- scalar rules ----------------------------------------------------------------------------
@@ -623,6 +651,8 @@ QUERIES = {
     "a1_portfolio_totals": q_a1_portfolio_totals,
     "p7_display_format": q_p7_display_format,
     "p7_volume_text": q_p7_volume_text,
+    "p7_quote_text": q_p7_quote_text,
+    "p7_signal_text": q_p7_signal_text,
     "f2_round_to_strike": q_f2_round_to_strike,
     "f2_strike_bars": q_f2_strike_bars,
     "f8_business_days": q_f8_business_days,

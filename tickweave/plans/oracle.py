@@ -136,13 +136,14 @@ ORACLE["a1_portfolio_totals"] = f"WITH {HOLD} SELECT portfolio_id, n_holdings, "
 ORACLE["p7_display_format"] = f"""WITH {HOLD}
 SELECT portfolio_id, '₹' || format('{{:,.2f}}', total_value) AS total_value_text,
        '₹' || format('{{:,.2f}}', total_pnl) AS total_pnl_text,
-       format('{{:,.2f}}', total_return_pct) || '%' AS total_return_text FROM tot2"""
+       '₹' || format('{{:,.2f}}', total_cost) AS total_cost_text,
+       format('{{:.2f}}', total_return_pct) || '%' AS total_return_text FROM tot2"""
 ORACLE["p7_volume_text"] = f"""WITH {BARS},
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars),
 t AS (SELECT symbol, avg(CASE WHEN rn <= 20 THEN volume END) AS v, max(CASE WHEN rn <= 252 THEN high END) AS hi,
-             min(CASE WHEN rn <= 252 THEN low END) AS lo FROM r GROUP BY symbol)
-SELECT symbol, format('{{:,}}', CAST(trunc(v) AS BIGINT)) AS avg_volume_text,
-       '₹' || format('{{:,.2f}}', hi) AS high_52w_text, '₹' || format('{{:,.2f}}', lo) AS low_52w_text FROM t"""
+             min(CASE WHEN rn <= 252 THEN low END) AS lo, arg_max_null(close, date) AS c FROM r GROUP BY symbol)
+SELECT symbol, '₹' || format('{{:.2f}}', c) AS last_close_text, format('{{:,}}', CAST(trunc(v) AS BIGINT)) AS avg_volume_text,
+       '₹' || format('{{:.2f}}', hi) AS high_52w_text, '₹' || format('{{:.2f}}', lo) AS low_52w_text FROM t"""
 
 
 # --- scalar rules ------------------------------------------------------------------------------
@@ -434,3 +435,16 @@ ORACLE["a4_baseline_last_value"] = _FC + f"""SELECT symbol, count(*) AS n_test,
   {_r('avg(abs(close - (prev * (s_max - s_min) + s_min)))', 'mae')},
   {_r('avg(abs((close - (prev * (s_max - s_min) + s_min)) / nullif(close, 0))) * 100', 'mape')}
 FROM smp WHERE NOT is_train GROUP BY symbol"""
+ORACLE["p7_quote_text"] = f"""WITH {BARS},
+p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM bars),
+l AS (SELECT symbol, arg_max_null(close, date) AS price, arg_max_null(prev, date) AS prev_close FROM p GROUP BY symbol),
+q AS (SELECT symbol, price, price - prev_close AS change, (price - prev_close) / nullif(prev_close, 0) * 100 AS pct FROM l)
+SELECT symbol,
+  CASE WHEN price IS NOT NULL AND change IS NOT NULL AND pct IS NOT NULL THEN '₹' || format('{{:.2f}}', price)
+       ELSE 'data unavailable' END AS price_text,
+  CASE WHEN price IS NOT NULL AND change IS NOT NULL AND pct IS NOT NULL
+       THEN format('{{:.2f}}', change) || ' (' || format('{{:.2f}}', pct) || '%)' END AS change_text
+FROM q"""
+ORACLE["p7_signal_text"] = _SG + """SELECT symbol, format('{:.4f}', mae) AS mae_text, format('{:.2f}', mape) || '%' AS mape_text,
+  format('{:.2f}', echo_risk) || ' / 100' AS risk_text, format('{:.2f}', change_pct) || '%' AS change_text, action
+FROM sg"""
