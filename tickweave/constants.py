@@ -73,6 +73,10 @@ PNL_ITEMS = ["Total Revenue", "Net Income"]
 PROFILE_FIELDS = ["longName", "sector", "industry", "website", "longBusinessSummary"]
 MISSING_TEXT = "N/A"
 
+# News card texts when an article lacks a field.
+NO_DESCRIPTION = "No description."
+NO_CONTENT = "Full content not available."
+
 # Flow categories of the institutional-activity table.
 FLOW_CATEGORIES = ["FII/FPI", "DII"]
 

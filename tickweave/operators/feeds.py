@@ -57,6 +57,19 @@ def rotating_pick(items: DataFrame, k: int, group_col: str, order_col: str = "fe
     )
 
 
+def article_card(news: DataFrame) -> DataFrame:
+    """The fields the news card shows: publication time as text, the description or "No
+    description.", the content or "Full content not available.", and the link when there is
+    a url."""
+    from tickweave import constants as K
+    return news.withColumns({
+        "published_text": F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"),
+        "description_text": F.coalesce(F.col("description"), F.lit(K.NO_DESCRIPTION)),
+        "content_text": F.coalesce(F.col("content"), F.lit(K.NO_CONTENT)),
+        "link": F.col("url"),
+    })
+
+
 def fired_alerts(bars: DataFrame, alerts: DataFrame) -> DataFrame:
     """Bars where the close crosses a saved alert price: previous close < price <= close
     (``up``) or previous close > price >= close (``down``).  [J4]

@@ -398,9 +398,12 @@ def q_j2_unseen_news(spark, sf_dir):
 
 
 def q_l2_rotating_pick(spark, sf_dir):
-    from tickweave.operators.feeds import rotating_pick
+    """The article each source's news card shows, with the card's texts."""
+    from tickweave.operators.feeds import article_card, rotating_pick
     u = _unseen(spark, sf_dir).withColumn("source_name", F.col("source.name"))
-    return rotating_pick(u, PICK_K, "source_name").select("source_name", "url", "feed_pos", "n_items", "pick_index")
+    return article_card(rotating_pick(u, PICK_K, "source_name")).select(
+        "source_name", "url", "feed_pos", "n_items", "pick_index", "title", "published_text", "description_text",
+        "content_text", "link")
 
 
 def q_j4_fired_alerts(spark, sf_dir):
@@ -529,6 +532,16 @@ def q_t5_stream_indicators(spark, sf_dir):
     return round_doubles(cur.select("symbol", "date", "close", "rsi", "ma20", "ma50", "ma200", "volatility"))
 
 
+def q_t1_stream_net_flow(spark, sf_dir):
+    """The flows view as a stream (lineitem rows arriving; orders and customers static)."""
+    from tickweave.sources.fixtures import flows
+    from tickweave.streaming import streams as T
+    li = T.table_stream(spark, sf_dir, "lineitem")
+    live = T.stream_net_flow(flows(spark, sf_dir, lineitem=li))
+    _, out = T.run_to_files(live, "t1-flows", mode="complete")
+    return round_doubles(spark.read.parquet(out), digits=2)
+
+
 def q_t6_stream_alerts(spark, sf_dir):
     from tickweave.session import shared_dir
     from tickweave.sources.bars import trades_from
@@ -688,6 +701,7 @@ QUERIES = {
     "p6_profile_field": q_p6_profile_field,
     "s4_symbol_universe": q_s4_symbol_universe,
     "s4_by_exchange": q_s4_by_exchange,
+    "t1_stream_net_flow": q_t1_stream_net_flow,
     "t2_stream_unseen_news": q_t2_stream_unseen_news,
     "t3_stream_latest_quote": q_t3_stream_latest_quote,
     "t4_stream_bars": q_t4_stream_bars,

@@ -316,7 +316,11 @@ ORACLE["j2_unseen_news"] = f"WITH {NEWS} SELECT url, title, feed_pos, source_nam
 ORACLE["l2_rotating_pick"] = f"""WITH {NEWS},
 r AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY feed_pos) - 1 AS idx,
              count(*) OVER (PARTITION BY source_name) AS n_items FROM unseen)
-SELECT source_name, url, feed_pos, n_items, 7 % n_items AS pick_index FROM r WHERE idx = 7 % n_items"""
+SELECT source_name, url, feed_pos, n_items, 7 % n_items AS pick_index, title,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + CAST(feed_pos // 2 AS INTEGER) * INTERVAL 1 MINUTE,
+                '%Y-%m-%d %H:%M:%S') AS published_text,
+       'No description.' AS description_text, 'Full content not available.' AS content_text, url AS link
+FROM r WHERE idx = 7 % n_items"""
 ORACLE["j4_fired_alerts"] = f"""WITH {BARS},
 b AS (SELECT symbol, date, close, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM bars),
 a AS (SELECT s_suppkey AS alert_id, CAST(s_suppkey AS VARCHAR) AS symbol, 50000.0 + s_acctbal AS alert_price
@@ -448,3 +452,4 @@ FROM q"""
 ORACLE["p7_signal_text"] = _SG + """SELECT symbol, format('{:.4f}', mae) AS mae_text, format('{:.2f}', mape) || '%' AS mape_text,
   format('{:.2f}', echo_risk) || ' / 100' AS risk_text, format('{:.2f}', change_pct) || '%' AS change_text, action
 FROM sg"""
+ORACLE["t1_stream_net_flow"] = _flow("category")

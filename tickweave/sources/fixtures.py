@@ -85,9 +85,11 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter(F.col("page_id") % 3 == 0).select("url")
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buy/sell amounts per market segment: open lines buy, filled lines sell."""
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice", "l_linestatus", "l_shipdate"])
+def flows(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Buy/sell amounts per market segment: open lines buy, filled lines sell.  ``lineitem``
+    may be a stream of lineitem rows (stream-static joins with orders and customers)."""
+    li = lineitem if lineitem is not None else read_table(spark, sf_dir, "lineitem")
+    li = li.select("l_orderkey", "l_extendedprice", "l_linestatus", "l_shipdate")
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     cu = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, F.col("o_custkey") == cu.c_custkey)

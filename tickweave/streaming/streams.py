@@ -179,6 +179,16 @@ def current_indicators(spark: SparkSession, out: str) -> DataFrame:
     return df.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v", "batch_id")
 
 
+# --- flows view (300 s cadence) -----------------------------------------------------------------
+
+def stream_net_flow(flows: DataFrame, keys=("category",)) -> DataFrame:
+    """Buy / sell / net per category kept current from a stream of flow rows (the view the
+    reference refreshes every 300 s).  A streaming aggregate: its state is one row per key,
+    written in complete mode."""
+    from tickweave.operators.feeds import net_flow
+    return net_flow(flows, keys)
+
+
 # --- T6: alerts fired by live trades ------------------------------------------------------------
 
 def alert_batch_writer(alerts: DataFrame, out: str):
