@@ -43,4 +43,4 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 10
     assert df.columns == ["symbol", "last_date", "last_close", "last_forecast", "mape", "mae", "last_rsi",
-                          "change_pct", "rsi_used", "echo_risk", "action", "strike"]
+                          "change_pct", "rsi_used", "risk_score", "action", "strike"]

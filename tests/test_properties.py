@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tickweave.functions.indicators import add_indicators
-from tickweave.functions.rules import echo_risk
+from tickweave.functions.rules import risk_score
 from tickweave.operators.portfolio import holding_pnl, portfolio_totals
 from tickweave.plans.forecast import scale, unscale
 
@@ -49,9 +49,9 @@ def test_adding_a_symbol_does_not_change_others(spark, xs, ys):
 @SETTINGS
 @given(st.floats(0, 500, allow_nan=False), st.floats(0, 100, allow_nan=False),
        st.floats(-1000, 1000, allow_nan=False))
-def test_echo_risk_in_range(spark, m, r, c):
+def test_risk_score_in_range(spark, m, r, c):
     df = spark.createDataFrame([(m, r, c)], "m double, r double, c double")
-    v = df.select(echo_risk(F.col("m"), F.col("r"), F.col("c"))).first()[0]
+    v = df.select(risk_score(F.col("m"), F.col("r"), F.col("c"))).first()[0]
     assert 0.0 <= v <= 100.0
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickweave.functions.rules import action, business_days, echo_risk, expected_change_pct, round_to_strike, \
+from tickweave.functions.rules import action, business_days, risk_score, expected_change_pct, round_to_strike, \
     rsi_or_default, strike_text
 
 # (price, nearest, up, down), worked out by hand from the reference's rule:
@@ -43,11 +43,11 @@ def test_strike_text_like_the_reference_prints_it(spark):
     assert got == ["10.5", "9.5", "57", "1200"]  # 9.5 is already on the 0.5 grid, remainder 0
 
 
-def test_echo_risk(spark):
+def test_risk_score(spark):
     rows = [(2.0, 70.0, 3.0), (60.0, 50.0, 0.0), (0.0, 50.0, 0.0), (None, 50.0, 1.0), (1.0, None, 1.0),
             (1.0, 50.0, None), (0.0, 50.0, -1500.0)]
     df = spark.createDataFrame(rows, "m double, r double, c double")
-    got = [r[0] for r in df.select(echo_risk(F.col("m"), F.col("r"), F.col("c"))).collect()]
+    got = [r[0] for r in df.select(risk_score(F.col("m"), F.col("r"), F.col("c"))).collect()]
     assert got[0] == pytest.approx(100 - 4 - 8 - 0.3)
     assert got[1:3] == [0.0, 100.0]
     assert got[3:6] == [None, None, None]

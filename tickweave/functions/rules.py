@@ -12,7 +12,7 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def echo_risk(mape, rsi, change_pct) -> Column:
+def risk_score(mape, rsi, change_pct) -> Column:
     """clamp(100 - 2*mape - |rsi-50|/50*20 - |change|/10, 0, 100).  [F1]
 
     NULL in gives NULL out (``least``/``greatest`` would skip a NULL and return a bound)."""

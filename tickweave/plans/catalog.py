@@ -202,7 +202,7 @@ def q_p7_signal_text(spark, sf_dir):
     return s.select("symbol",
                     fixed(F.col("mae"), 4).alias("mae_text"),
                     F.concat(fixed(F.col("mape")), F.lit("%")).alias("mape_text"),
-                    F.concat(fixed(F.col("echo_risk")), F.lit(" / 100")).alias("risk_text"),
+                    F.concat(fixed(F.col("risk_score")), F.lit(" / 100")).alias("risk_text"),
                     F.concat(fixed(F.col("change_pct")), F.lit("%")).alias("change_text"),
                     "action")
 
@@ -344,7 +344,7 @@ def _signal(spark, sf_dir, src=None, chunk_rows=None):
 
 
 SIGNAL_COLS = ["symbol", "last_date", "last_close", "last_forecast", "mape", "mae", "last_rsi", "change_pct",
-               "rsi_used", "echo_risk", "action", "strike"]
+               "rsi_used", "risk_score", "action", "strike"]
 
 
 def q_j3_signal_inputs(spark, sf_dir):
@@ -360,8 +360,8 @@ def q_f5_rsi_default(spark, sf_dir):
     return round_doubles(_signal(spark, sf_dir).select("symbol", "rsi_used"))
 
 
-def q_f1_echo_risk(spark, sf_dir):
-    return round_doubles(_signal(spark, sf_dir).select("symbol", "echo_risk"))
+def q_f1_risk_score(spark, sf_dir):
+    return round_doubles(_signal(spark, sf_dir).select("symbol", "risk_score"))
 
 
 def q_f3_action(spark, sf_dir):
@@ -684,7 +684,7 @@ QUERIES = {
     "j3_signal_inputs": q_j3_signal_inputs,
     "f4_expected_change": q_f4_expected_change,
     "f5_rsi_default": q_f5_rsi_default,
-    "f1_echo_risk": q_f1_echo_risk,
+    "f1_risk_score": q_f1_risk_score,
     "f3_action": q_f3_action,
     "e3_signal": q_e3_signal,
     "e3_signal_raw": q_e3_signal_raw,

@@ -247,7 +247,7 @@ sg0 AS (SELECT m.symbol, st.last_date, st.last_close, f.price AS last_forecast,
 sg AS (SELECT *,
          CASE WHEN mape IS NULL OR rsi_used IS NULL OR change_pct IS NULL THEN NULL
               ELSE greatest(0.0, least(100.0, 100 - mape * 2 - abs(rsi_used - 50) / 50 * 20 - abs(change_pct) / 10))
-         END AS echo_risk,
+         END AS risk_score,
          CASE WHEN mape IS NOT NULL AND change_pct IS NOT NULL AND mape < 5 THEN
                 CASE WHEN change_pct > 2 THEN 'Buy Calls ~₹' || {strike_text_sql('last_close * 1.02', 'up')}
                      WHEN change_pct >= -2 AND change_pct <= 2 THEN 'Hold / Avoid Options'
@@ -292,9 +292,9 @@ ORACLE["j3_signal_inputs"] = _SG + "SELECT symbol, " + ", ".join(
     _r(c) for c in ["mape", "mae", "last_close", "last_forecast", "last_rsi"]) + " FROM sg"
 ORACLE["f4_expected_change"] = _SG + f"SELECT symbol, {_r('change_pct')} FROM sg"
 ORACLE["f5_rsi_default"] = _SG + f"SELECT symbol, {_r('rsi_used')} FROM sg"
-ORACLE["f1_echo_risk"] = _SG + f"SELECT symbol, {_r('echo_risk')} FROM sg"
+ORACLE["f1_risk_score"] = _SG + f"SELECT symbol, {_r('risk_score')} FROM sg"
 ORACLE["f3_action"] = _SG + f"SELECT symbol, action, {_r('strike')} FROM sg"
-_SIG_COLS = ["last_close", "last_forecast", "mape", "mae", "last_rsi", "change_pct", "rsi_used", "echo_risk", "strike"]
+_SIG_COLS = ["last_close", "last_forecast", "mape", "mae", "last_rsi", "change_pct", "rsi_used", "risk_score", "strike"]
 ORACLE["e3_signal"] = _SG + "SELECT symbol, last_date, action, " + ", ".join(_r(c) for c in _SIG_COLS) + " FROM sg"
 ORACLE["e3_signal_raw"] = f"WITH RECURSIVE {BARS},\n{signal_ctes('bars')}\n" + \
     "SELECT symbol, last_date, action, " + ", ".join(_r(c) for c in _SIG_COLS) + " FROM sg"
@@ -450,6 +450,6 @@ SELECT symbol,
        THEN format('{{:.2f}}', change) || ' (' || format('{{:.2f}}', pct) || '%)' END AS change_text
 FROM q"""
 ORACLE["p7_signal_text"] = _SG + """SELECT symbol, format('{:.4f}', mae) AS mae_text, format('{:.2f}', mape) || '%' AS mape_text,
-  format('{:.2f}', echo_risk) || ' / 100' AS risk_text, format('{:.2f}', change_pct) || '%' AS change_text, action
+  format('{:.2f}', risk_score) || ' / 100' AS risk_text, format('{:.2f}', change_pct) || '%' AS change_text, action
 FROM sg"""
 ORACLE["t1_stream_net_flow"] = _flow("category")

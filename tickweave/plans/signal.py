@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickweave import constants as K
 from tickweave.functions.indicators import add_indicators
-from tickweave.functions.rules import action, echo_risk, expected_change_pct, rsi_or_default
+from tickweave.functions.rules import action, risk_score, expected_change_pct, rsi_or_default
 from tickweave.operators.series import latest
 from tickweave.plans import forecast as FC
 from tickweave.session import materialize
@@ -32,7 +32,7 @@ def apply_rules(inputs: DataFrame) -> DataFrame:
     df = inputs.withColumn("change_pct", chg).withColumn("rsi_used", rsi_or_default(F.col("last_rsi")))
     text, strike = action(F.col("mape"), F.col("change_pct"), F.col("last_close"))
     return (
-        df.withColumn("echo_risk", echo_risk(F.col("mape"), F.col("rsi_used"), F.col("change_pct")))
+        df.withColumn("risk_score", risk_score(F.col("mape"), F.col("rsi_used"), F.col("change_pct")))
         .withColumn("action", text)
         .withColumn("strike", strike)
     )
