@@ -92,3 +92,12 @@ def test_rotating_pick_numbers_only_one_bucket_of_a_hot_source(spark):
     df = spark.createDataFrame(rows, "src string, feed_pos long, title string")
     got = {r.src: r.title for r in rotating_pick(df, 4321, "src", bucket_width=256).collect()}
     assert got == {"hot": "h4321", "cold": "c1"}  # 4321 mod 5000 = 4321, 4321 mod 3 = 1
+
+
+def test_bucketed_bar_table_needs_no_exchange(spark):
+    from tickweave.sources.bars import read_bars, store_bars
+    name = store_bars(daily_bars(spark, SF_SMALL), buckets=4)
+    df = add_indicators(read_bars(spark, name), price_scale=2)
+    p = _plan(df)
+    assert "Exchange" not in p and p.count("Window [") == 2
+    assert df.exceptAll(add_indicators(daily_bars(spark, SF_SMALL), price_scale=2)).count() == 0

@@ -70,6 +70,7 @@ ORACLE["w6_rsi"] = f"WITH {IND} " + _sel(["rsi"])
 ORACLE["w7_volatility"] = f"WITH {IND} " + _sel(["volatility"])
 ORACLE["e2_indicators"] = f"WITH {IND} " + _sel(ENR_COLS)
 ORACLE["e2_indicators_chunked"] = ORACLE["e2_indicators"]
+ORACLE["e2_indicators_bucketed"] = ORACLE["e2_indicators"]
 ORACLE["a2_latest"] = f"""WITH {IND}
 SELECT symbol, max(date) AS last_date,
        {R('arg_max_null(close, date)', 'last_close')}, {R('arg_max_null(rsi, date)', 'last_rsi')}
