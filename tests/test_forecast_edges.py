@@ -39,3 +39,18 @@ def test_scaler_and_samples_on_constant_and_short_series(spark):
     got = smp.groupBy("symbol").agg(F.count("*").alias("n"), F.max("label").alias("mx")).collect()
     assert [(r.symbol, r.n, r.mx) for r in got] == [("CONST", 10, 0.0)]
     assert smp.filter("is_train").count() == 8  # int(10 * 0.8)
+
+
+def test_tree_model_option_runs_the_whole_procedure(spark):
+    from conftest import SF_SMALL
+    from tickweave.plans.signal import pooled_signal
+    from tickweave.sources.bars import daily_bars, smooth_bars
+    b = smooth_bars(daily_bars(spark, SF_SMALL))
+    sig = pooled_signal(b, look_back=30, epochs=5, model="gbt").collect()
+    assert len(sig) == 10
+    for r in sig:
+        assert r.mape is not None and r.mape < 10
+        assert r.action  # one of the four texts
+        assert r.risk_score is None or 0 <= r.risk_score <= 100
+    lin = {r.symbol: r.last_forecast for r in pooled_signal(b, look_back=30).collect()}
+    assert set(lin) == {r.symbol for r in sig}

@@ -243,3 +243,56 @@ def recursive_forecast_pooled(state: DataFrame, intercept: float, coef: list[flo
     return state.filter(F.col("n_hist") == L).select(
         "symbol", "last_date", "last_close", prices.alias("prices"),
         business_days(F.col("last_date"), steps).alias("dates"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Tree option for the pooled model (M1 with GBTRegressor): predictions come from the model's
+# transform, so the 30-step recursion runs as 30 distributed transforms over one row per symbol.
+# ---------------------------------------------------------------------------------------------
+
+def fit_pooled_gbt(samples_df: DataFrame, max_iter: int = K.DEFAULT_EPOCHS, max_depth: int = 4, seed: int = 42):
+    """Gradient-boosted trees on the scaled look-back vectors of all symbols' training samples
+    (``max_iter`` takes the epochs setting, 5..100).  [M1, option]"""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    lo, hi = K.EPOCHS_RANGE
+    if not lo <= max_iter <= hi:
+        raise ValueError(f"epochs must be in {lo}..{hi}")
+    train = samples_df.filter("is_train").select(array_to_vector("features").alias("fv"), "label")
+    return GBTRegressor(featuresCol="fv", labelCol="label", maxIter=max_iter, maxDepth=max_depth, seed=seed).fit(train)
+
+
+def predict_test_model(samples_df: DataFrame, model) -> DataFrame:
+    """Test-sample predictions of a fitted Spark ML model, in price units.  [M2, M5]"""
+    from pyspark.ml.functions import array_to_vector
+    t = samples_df.filter(~F.col("is_train")).withColumn("fv", array_to_vector("features"))
+    return model.transform(t).select(
+        "symbol", "date", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("close").alias("actual"),
+        unscale(F.col("prediction"), F.col("s_min"), F.col("s_max")).alias("predicted"))
+
+
+def recursive_forecast_model(state: DataFrame, model, look_back: int, steps: int = K.FORECAST_STEPS,
+                             checkpoint_every: int = 10) -> DataFrame:
+    """Predict, append, repeat with any fitted Spark ML model.  [M3]
+
+    Each step is one distributed ``transform`` of a frame with one row per symbol; the loop on
+    the driver only chains the steps (no data comes back).  The frame is checkpointed every
+    ``checkpoint_every`` steps so the plan and its lineage stay short."""
+    from pyspark.ml.functions import array_to_vector
+    from tickweave.session import materialize
+
+    cur = state.filter(F.col("n_hist") == look_back).select(
+        "symbol", "last_date", "last_close", "s_min", "s_max", "history",
+        F.array().cast("array<double>").alias("path"))
+    for step in range(1, steps + 1):
+        x = cur.withColumn("fv", array_to_vector(F.slice("history", -look_back, look_back)))
+        cur = (model.transform(x)
+               .withColumn("history", F.concat("history", F.array("prediction")))
+               .withColumn("path", F.concat("path", F.array("prediction")))
+               .drop("fv", "prediction"))
+        if checkpoint_every and step % checkpoint_every == 0 and step < steps:
+            cur = materialize(cur)
+    prices = F.transform("path", lambda h: unscale(h, F.col("s_min"), F.col("s_max")))
+    return cur.select("symbol", "last_date", "last_close", prices.alias("prices"),
+                      business_days(F.col("last_date"), steps).alias("dates"))

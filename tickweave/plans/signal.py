@@ -60,12 +60,21 @@ def ar1_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int
 
 
 def pooled_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int = K.FORECAST_STEPS,
-                  epochs: int = K.DEFAULT_EPOCHS) -> DataFrame:
-    """The E3 procedure with the pooled look-back regression (M1)."""
+                  epochs: int = K.DEFAULT_EPOCHS, model: str = "linear") -> DataFrame:
+    """The E3 procedure with one pooled model over all symbols (M1): ``model="linear"``
+    (``LinearRegression``; the recursion runs on its coefficients inside one row per symbol)
+    or ``model="gbt"`` (``GBTRegressor``; the recursion is 30 distributed transforms)."""
     smp = FC.samples(bars, look_back)
-    model = FC.fit_pooled(smp, max_iter=epochs)
-    b0, coef = FC.pooled_coefficients(model)
-    mets = FC.metrics(FC.predict_test_pooled(smp, b0, coef))
-    fc = FC.recursive_forecast_pooled(FC.last_state(bars, look_back), b0, coef, steps)
+    smp = materialize(smp)  # read by the fit, the test predictions and nothing else twice
+    state = FC.last_state(bars, look_back)
+    if model == "gbt":
+        m = FC.fit_pooled_gbt(smp, max_iter=epochs)
+        mets = FC.metrics(FC.predict_test_model(smp, m))
+        fc = FC.recursive_forecast_model(state, m, look_back, steps)
+    else:
+        m = FC.fit_pooled(smp, max_iter=epochs)
+        b0, coef = FC.pooled_coefficients(m)
+        mets = FC.metrics(FC.predict_test_pooled(smp, b0, coef))
+        fc = FC.recursive_forecast_pooled(state, b0, coef, steps)
     last_rsi = latest(add_indicators(bars, ma_windows=()), ["rsi"])
     return apply_rules(signal_inputs(mets, fc, last_rsi))
