@@ -33,6 +33,16 @@ def q_s3_build_bars(spark, sf_dir):
     return round_doubles(bars(spark, sf_dir))
 
 
+def q_s3_intraday_bars(spark, sf_dir):
+    """Hourly OHLC bars of every tick stream in ``events`` (volume = number of ticks); open and
+    close by (time, event id), packed into one fixed-width key."""
+    from tickweave.sources.bars import ts_seq_key
+    from tickweave.sources.fixtures import quotes
+    q = quotes(spark, sf_dir).withColumn("qty", F.lit(1.0))
+    b = B.build_bars(q, every="1 hour", order_key=ts_seq_key(F.col("ts"), F.col("event_id")))
+    return round_doubles(b.withColumn("bar_start", F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss")))
+
+
 def q_s1_load_bars(spark, sf_dir):
     """The date range is given to the bar builder too, so it is pushed into the trade scan."""
     return round_doubles(B.load_bars(B.daily_bars(spark, sf_dir, LOAD_START, LOAD_END), LOAD_START, LOAD_END))
@@ -647,6 +657,7 @@ def flagship(spark, sf_dir):
 
 QUERIES = {
     "s3_build_bars": q_s3_build_bars,
+    "s3_intraday_bars": q_s3_intraday_bars,
     "s1_load_bars": q_s1_load_bars,
     "s2_recent_bars": q_s2_recent_bars,
     "w1_diff": q_w1_diff,

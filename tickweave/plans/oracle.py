@@ -454,3 +454,10 @@ ORACLE["p7_signal_text"] = _SG + """SELECT symbol, format('{:.4f}', mae) AS mae_
   format('{:.2f}', risk_score) || ' / 100' AS risk_text, format('{:.2f}', change_pct) || '%' AS change_text, action
 FROM sg"""
 ORACLE["t1_stream_net_flow"] = _flow("category")
+ORACLE["s3_intraday_bars"] = f"""WITH t AS (SELECT event_type AS symbol, ts, event_id, value AS price,
+      time_bucket(INTERVAL 1 HOUR, ts) AS bar_start FROM events),
+g AS (SELECT symbol, bar_start, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
+             first(price ORDER BY ts DESC, event_id DESC) AS close, CAST(count(*) AS DOUBLE) AS volume
+      FROM t GROUP BY symbol, bar_start)
+SELECT symbol, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, {R('open', 'open')}, {R('high', 'high')},
+       {R('low', 'low')}, {R('close', 'close')}, {R('volume', 'volume')} FROM g"""
