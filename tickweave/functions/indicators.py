@@ -97,7 +97,7 @@ AUTO_CHUNK_ROWS = 1_000_000
 
 def add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_windows=K.MA_WINDOWS,
                    rsi_period: int = K.RSI_PERIOD, vol_window: int = K.VOLATILITY_WINDOW,
-                   partition_cols=("symbol",), chunk_rows=None) -> DataFrame:
+                   partition_cols=("symbol",), chunk_rows=None, order_col: str = "date") -> DataFrame:
     """See :func:`_add_indicators`.  ``chunk_rows`` splits long series: with a number, every
     series is cut into pieces of that many rows plus a halo of the look-back (see
     :func:`tickweave.operators.series.series_chunks`), so no task holds a whole hot symbol;
@@ -108,20 +108,20 @@ def add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_window
         chunk_rows = AUTO_CHUNK_ROWS if longest > AUTO_CHUNK_ROWS else None
     if not chunk_rows:
         return _add_indicators(bars, price_scale=price_scale, ma_windows=ma_windows, rsi_period=rsi_period,
-                               vol_window=vol_window, partition_cols=partition_cols)
+                               vol_window=vol_window, partition_cols=partition_cols, order_col=order_col)
     from tickweave.operators.series import series_chunks
     if tuple(partition_cols) != ("symbol",):
         raise ValueError("chunking works on symbol series")
     halo = indicator_lookback(ma_windows, rsi_period, vol_window)
-    ch = series_chunks(bars, halo, max(int(chunk_rows), halo))
+    ch = series_chunks(bars, halo, max(int(chunk_rows), halo), order_col=order_col)
     out = _add_indicators(ch, price_scale=price_scale, ma_windows=ma_windows, rsi_period=rsi_period,
-                          vol_window=vol_window, partition_cols=("symbol", "_chunk"))
+                          vol_window=vol_window, partition_cols=("symbol", "_chunk"), order_col=order_col)
     return out.filter(~F.col("_halo")).drop("_chunk", "_halo", "series_idx", "series_len")
 
 
 def _add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_windows=K.MA_WINDOWS,
                     rsi_period: int = K.RSI_PERIOD, vol_window: int = K.VOLATILITY_WINDOW,
-                    partition_cols=("symbol",)) -> DataFrame:
+                    partition_cols=("symbol",), order_col: str = "date") -> DataFrame:
     """Bars + change, daily_return, gain, loss, rsi, ma{n}, volatility.  [W1-W7]
 
     ``price_scale``: number of decimals the closes are exact to (2 for cents).  When given,
@@ -132,7 +132,7 @@ def _add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_windo
     Plan: one Exchange + Sort on the series key, then two Window passes (the second reads the
     columns the first produced); every expression is built-in, so each pass is codegen'd.
     """
-    w = series_window(partition_cols)
+    w = series_window(partition_cols, order_col)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = [F.lag("close").over(w).alias("_prev")]
     if price_scale is not None and ma_windows:

@@ -109,6 +109,17 @@ def q_e2_indicators_bucketed(spark, sf_dir):
     return round_doubles(add_indicators(B.read_bars(spark, name), price_scale=PRICE_SCALE))
 
 
+def q_e2_intraday_indicators(spark, sf_dir):
+    """RSI, MA20/50 and volatility over the hourly bars of the tick streams in ``events``."""
+    from tickweave.sources.bars import ts_seq_key
+    from tickweave.sources.fixtures import quotes
+    q = quotes(spark, sf_dir).withColumn("qty", F.lit(1.0))
+    b = B.build_bars(q, every="1 hour", order_key=ts_seq_key(F.col("ts"), F.col("event_id")))
+    ind = add_indicators(b, price_scale=PRICE_SCALE, ma_windows=(20, 50), order_col="bar_start")
+    return round_doubles(ind.select("symbol", F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss").alias("bar_start"),
+                                    "close", "rsi", "ma20", "ma50", "volatility"))
+
+
 def q_a2_latest(spark, sf_dir):
     return round_doubles(S.latest(enriched(spark, sf_dir), ["close", "rsi"]))
 
@@ -670,6 +681,7 @@ QUERIES = {
     "e2_indicators": q_e2_indicators,
     "e2_indicators_chunked": q_e2_indicators_chunked,
     "e2_indicators_bucketed": q_e2_indicators_bucketed,
+    "e2_intraday_indicators": q_e2_intraday_indicators,
     "a2_latest": q_a2_latest,
     "a3_trailing_stats": q_a3_trailing_stats,
     "l1_tail": q_l1_tail,

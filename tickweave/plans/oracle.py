@@ -461,3 +461,27 @@ g AS (SELECT symbol, bar_start, first(price ORDER BY ts, event_id) AS open, max(
       FROM t GROUP BY symbol, bar_start)
 SELECT symbol, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, {R('open', 'open')}, {R('high', 'high')},
        {R('low', 'low')}, {R('close', 'close')}, {R('volume', 'volume')} FROM g"""
+
+
+def _frame_by(n: int, order: str) -> str:
+    return f"(PARTITION BY symbol ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _mean_by(col: str, n: int, order: str) -> str:
+    return f"CASE WHEN count({col}) OVER {_frame_by(n, order)} = {n} THEN avg({col}) OVER {_frame_by(n, order)} END"
+
+
+ORACLE["e2_intraday_indicators"] = f"""WITH t AS (SELECT event_type AS symbol, ts, event_id, value AS price,
+      time_bucket(INTERVAL 1 HOUR, ts) AS bar_start FROM events),
+hb AS (SELECT symbol, bar_start, first(price ORDER BY ts DESC, event_id DESC) AS close FROM t GROUP BY symbol, bar_start),
+i1 AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY bar_start) AS prev_close FROM hb),
+i2 AS (SELECT *, close - prev_close AS change, close / nullif(prev_close, 0) - 1 AS ret FROM i1),
+i3 AS (SELECT *, CASE WHEN change IS NULL THEN NULL WHEN change > 0 THEN change ELSE 0.0 END AS gain,
+              CASE WHEN change IS NULL THEN NULL WHEN change < 0 THEN -change ELSE 0.0 END AS loss FROM i2),
+i4 AS (SELECT symbol, bar_start, close, {_mean_by('gain', 14, 'bar_start')} AS ag, {_mean_by('loss', 14, 'bar_start')} AS al,
+              {_mean_by('close', 20, 'bar_start')} AS ma20, {_mean_by('close', 50, 'bar_start')} AS ma50,
+              CASE WHEN count(ret) OVER {_frame_by(20, 'bar_start')} = 20
+                   THEN stddev_samp(ret) OVER {_frame_by(20, 'bar_start')} END * sqrt(252) AS volatility FROM i3)
+SELECT symbol, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, {R('close', 'close')},
+       {R('100 - 100 / (1 + ag / nullif(al, 0))', 'rsi')}, {R('ma20', 'ma20')}, {R('ma50', 'ma50')},
+       {R('volatility', 'volatility')} FROM i4"""
