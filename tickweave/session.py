@@ -16,10 +16,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     AQE is on so that shuffle partition counts coalesce at runtime and skewed joins split;
     the session zone is UTC so that dates and timestamps agree with the DuckDB oracle.
     """
-    master = master or os.environ.get("TICKWEAVE_MASTER", "local[8]")
+    master = master or os.environ.get("TICKWEAVE_MASTER")  # None: spark-submit's master (or local[*])
     parts = shuffle_partitions or int(os.environ.get("TICKWEAVE_SHUFFLE_PARTITIONS", "8"))
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
     builder = (
-        SparkSession.builder.master(master)
+        builder
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
