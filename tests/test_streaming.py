@@ -157,3 +157,15 @@ def test_alerts_fire_once_across_batches_and_replays(spark, scratch):
     w(spark.createDataFrame([("A", 30.0), ("B", 4.99)], tick), 2)                # nothing new
     got = sorted((r.alert_id, r.batch_id) for r in spark.read.parquet(out).collect())
     assert got == [(1, 0), (2, 1)]
+
+
+def test_exact_news_writer_first_in_feed_order_and_replay(spark, scratch):
+    schema = "url string, feed_pos long, title string"
+    seen = spark.createDataFrame([("s",)], "url string")
+    out = os.path.join(scratch, "news")
+    w = T.unseen_batch_writer(seen, out)
+    w(spark.createDataFrame([("a", 3, "a-late"), ("a", 1, "a-first"), (None, 2, "n1"), ("s", 4, "seen")], schema), 0)
+    w(spark.createDataFrame([("a", 5, "again"), (None, 6, "n2"), ("b", 7, "b")], schema), 1)
+    w(spark.createDataFrame([("a", 5, "again"), (None, 6, "n2"), ("b", 7, "b")], schema), 1)  # replay
+    got = sorted((r.url or "", r.title, r.batch_id) for r in spark.read.parquet(out).collect())
+    assert got == [("", "n1", 0), ("a", "a-first", 0), ("b", "b", 1)]

@@ -518,6 +518,19 @@ def q_t2_stream_unseen_news(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def q_t2_stream_unseen_news_exact(spark, sf_dir):
+    """T2 in its exact form: the feed as a stream, first repeat in feed order, seen forever."""
+    from tickweave.session import shared_dir
+    from tickweave.sources.fixtures import news_from, seen
+    from tickweave.streaming import streams as T
+    pages = T.table_stream(spark, sf_dir, "pages").select("page_id", "url")
+    out = shared_dir(spark, "t2x-out")
+    q = news_from(pages).writeStream.option("checkpointLocation", shared_dir(spark, "t2x-ckpt")) \
+        .foreachBatch(T.unseen_batch_writer(seen(spark, sf_dir), out)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).select("url", "title", "feed_pos", F.col("source.name").alias("source_name"))
+
+
 def q_t3_stream_latest_quote(spark, sf_dir):
     from tickweave.sources.fixtures import quotes_from
     from tickweave.streaming import streams as T
@@ -734,6 +747,7 @@ QUERIES = {
     "s4_by_exchange": q_s4_by_exchange,
     "t1_stream_net_flow": q_t1_stream_net_flow,
     "t2_stream_unseen_news": q_t2_stream_unseen_news,
+    "t2_stream_unseen_news_exact": q_t2_stream_unseen_news_exact,
     "t3_stream_latest_quote": q_t3_stream_latest_quote,
     "t4_stream_bars": q_t4_stream_bars,
     "t5_stream_indicators": q_t5_stream_indicators,

@@ -67,6 +67,29 @@ def stream_unseen_news(news: DataFrame, seen: DataFrame, watermark: str | None =
     return d.join(s, d["url"].eqNullSafe(s["url"]), "left_anti")
 
 
+def unseen_batch_writer(seen: DataFrame, out: str, order_col: str = "feed_pos"):
+    """The exact form of T2 as a ``foreachBatch`` function: inside a micro-batch the first
+    repeat in feed order wins (the batch operator J2), and urls already seen or emitted by an
+    earlier batch are anti-joined away with NULL-safe equality.  [T2]
+
+    Its history is every url emitted so far — the reference's "seen forever" set, which grows
+    with the number of distinct urls.  Output goes to ``out/batch_id=<id>`` with overwrite and
+    only earlier batches are read, so a replayed batch gives the same rows."""
+    from tickweave.operators.feeds import unseen
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = unseen(batch, seen)
+        try:
+            done = spark.read.parquet(out).filter(F.col("batch_id") < batch_id).select("url")
+            fresh = fresh.join(done, fresh["url"].eqNullSafe(done["url"]), "left_anti")
+        except Exception:  # nothing emitted yet
+            pass
+        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return write
+
+
 # --- T3: newest price per symbol --------------------------------------------------------------
 
 def stream_latest_quote(quotes: DataFrame) -> DataFrame:
