@@ -58,7 +58,7 @@ def test_unseen_news(spark):
 
 
 @pytest.mark.parametrize("k", [0, 1, 4, 7, 100])
-@pytest.mark.parametrize("width", [1, 3, 1 << 16])
+@pytest.mark.parametrize("width", [1, 3, 1 << 16, None])
 def test_rotating_pick_equals_brute_force(spark, k, width):
     rows = [("a", i * 3 + 1, f"a{i}") for i in range(7)] + [("b", i * 5, f"b{i}") for i in range(3)] + [("c", 2, "c0")]
     df = spark.createDataFrame(rows, "src string, feed_pos long, title string")
@@ -91,3 +91,11 @@ def test_favorites_keep_first_added_order(spark):
                                 "user_id long, symbol string, added_at timestamp, event_id long")
     got = sorted((r.user_id, r.position, r.symbol, r.n_adds) for r in favorites_distinct(fav).collect())
     assert got == [(1, 1, "B", 2), (1, 2, "A", 1), (2, 1, "A", 1)]
+
+
+def test_rotating_pick_with_sparse_positions(spark):
+    """Timestamp-like positions: the adaptive width keeps every group at a few buckets."""
+    rows = [("s", 1_700_000_000_000_000 + i * 7_919_993, f"t{i}") for i in range(500)] + [("u", 5, "only")]
+    df = spark.createDataFrame(rows, "src string, feed_pos long, title string")
+    got = {r.src: r.title for r in rotating_pick(df, 1234, "src", buckets_per_group=16).collect()}
+    assert got == {"s": f"t{1234 % 500}", "u": "only"}

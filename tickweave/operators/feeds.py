@@ -31,14 +31,22 @@ def unseen(news: DataFrame, seen: DataFrame, order_col: str = "feed_pos") -> Dat
 
 
 def rotating_pick(items: DataFrame, k: int, group_col: str, order_col: str = "feed_pos",
-                  bucket_width: int = 1 << 16) -> DataFrame:
+                  bucket_width: int | None = None, buckets_per_group: int = 4096) -> DataFrame:
     """Per group, the item at position ``k mod count`` in ``order_col`` order.  [L2]
 
     Exact k-th selection without sorting a whole group in one task: positions are cut into
-    buckets of ``bucket_width``; bucket counts (a partial aggregate) and their running sums
-    locate the bucket holding the wanted position, and only that bucket is numbered."""
-    b = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long")
-    rows = items.withColumn("_b", b)
+    buckets, bucket counts (a partial aggregate) and their running sums locate the bucket
+    holding the wanted position, and only that bucket is numbered.  By default each group's
+    position range is cut into at most ``buckets_per_group`` buckets (from a per-group
+    min/max aggregate), so the running-sum window is small even for sparse positions such as
+    timestamps; ``bucket_width`` fixes the width instead."""
+    if bucket_width is None:
+        rng = items.groupBy(group_col).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
+        width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(buckets_per_group)))
+        rows = items.join(rng, group_col).withColumn(
+            "_b", F.floor((F.col(order_col) - F.col("_lo")) / width).cast("long")).drop("_lo", "_hi")
+    else:
+        rows = items.withColumn("_b", F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long"))
     counts = rows.groupBy(group_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wg = Window.partitionBy(group_col)
     cum = counts.withColumn("_cum", F.sum("_n").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))) \
