@@ -139,3 +139,16 @@ def test_chunked_indicators_at_chunk_boundaries(spark, chunk):
     parts = add_indicators(df, price_scale=2, chunk_rows=chunk)
     assert parts.count() == whole.count()
     assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+
+
+def test_chunked_intraday_series_with_a_finer_bucket(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("X", t0 + dt.timedelta(minutes=i), round(100 + 3 * math.sin(i / 9.0), 2)) for i in range(700)]
+    df = spark.createDataFrame([(s, t, c, c, c, c, 1.0) for s, t, c in rows],
+                               "symbol string, ts timestamp, open double, high double, low double, close double, "
+                               "volume double")
+    whole = add_indicators(df, price_scale=2, order_col="ts")
+    parts = add_indicators(df, price_scale=2, order_col="ts", chunk_rows=250,
+                           chunk_bucket=F.date_trunc("hour", F.col("ts")))
+    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
