@@ -144,12 +144,9 @@ def _add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_windo
         first += [F.sum(units).over(run).alias("_cs"), F.count(units).over(run).alias("_cc")]
     df = bars.select("*", *first)  # one select, so the three share one Window pass
     change = F.col("close") - F.col("_prev")
-    df = (
-        df.withColumn("change", change)
-        .withColumn("daily_return", pct_change(F.col("close"), F.col("_prev")))
-        .withColumn("gain", gain(F.col("change")))
-        .withColumn("loss", loss(F.col("change")))
-    )
+    # one projection (not a withColumn chain): the analyzer runs once
+    df = df.select("*", change.alias("change"), pct_change(F.col("close"), F.col("_prev")).alias("daily_return"),
+                   gain(change).alias("gain"), loss(change).alias("loss"))
     avg_gain = rolling_mean(F.col("gain"), rsi_period, w)
     avg_loss = rolling_mean(F.col("loss"), rsi_period, w)
     cols = [F.col(c) for c in df.columns if not c.startswith("_")]
