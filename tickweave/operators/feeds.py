@@ -78,7 +78,7 @@ def article_card(news: DataFrame) -> DataFrame:
     })
 
 
-def fired_alerts(bars: DataFrame, alerts: DataFrame) -> DataFrame:
+def fired_alerts(bars: DataFrame, alerts: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Bars where the close crosses a saved alert price: previous close < price <= close
     (``up``) or previous close > price >= close (``down``).  [J4]
 
@@ -86,14 +86,26 @@ def fired_alerts(bars: DataFrame, alerts: DataFrame) -> DataFrame:
     alerts.  Prices are cut into buckets whose width is the symbol's mean absolute change;
     each bar is exploded into the buckets its [previous close, close] interval covers — about
     two per bar on average — each alert falls in one, and the join is on (symbol, bucket)
-    followed by the exact predicate."""
-    w = series_window()
+    followed by the exact predicate.
+
+    ``chunk_rows`` splits long series into halo chunks (a one-row halo gives each piece the
+    previous close it needs), and the bucket width becomes a per-symbol aggregate, so no task
+    holds a whole hot symbol.  The result is the same."""
     moved = F.col("prev_close").isNotNull() & (F.col("prev_close") != F.col("close"))
-    b = bars.select("symbol", "date", "close").withColumn("prev_close", F.lag("close").over(w))
-    # bucket width: the symbol's mean absolute change, a window aggregate on the same partitioning
-    b = b.withColumn("_w", F.avg(F.when(moved, F.abs(F.col("close") - F.col("prev_close"))))
-                     .over(Window.partitionBy("symbol"))).filter(moved)
-    width = b.groupBy("symbol").agg(F.max("_w").alias("_w"))
+    if chunk_rows:
+        from tickweave.operators.series import series_chunks
+        ch = series_chunks(bars.select("symbol", "date", "close"), 1, max(int(chunk_rows), 1))
+        b = (ch.withColumn("prev_close", F.lag("close").over(series_window(("symbol", "_chunk"))))
+             .filter(~F.col("_halo") & moved).select("symbol", "date", "close", "prev_close"))
+        width = b.groupBy("symbol").agg(F.avg(F.abs(F.col("close") - F.col("prev_close"))).alias("_w"))
+        b = b.join(width, "symbol")
+    else:
+        w = series_window()
+        b = bars.select("symbol", "date", "close").withColumn("prev_close", F.lag("close").over(w))
+        # bucket width: the symbol's mean absolute change, a window aggregate on the same partitioning
+        b = b.withColumn("_w", F.avg(F.when(moved, F.abs(F.col("close") - F.col("prev_close"))))
+                         .over(Window.partitionBy("symbol"))).filter(moved)
+        width = b.groupBy("symbol").agg(F.max("_w").alias("_w"))
     lo, hi = F.least("prev_close", "close"), F.greatest("prev_close", "close")
     bk = lambda x: F.floor(x / F.col("_w"))
     bb = b.withColumn("_bucket", F.explode(F.sequence(bk(lo), bk(hi)))).drop("_w")

@@ -440,6 +440,13 @@ def q_j4_fired_alerts(spark, sf_dir):
     return round_doubles(fired_alerts(bars(spark, sf_dir), alerts(spark, sf_dir)))
 
 
+def q_j4_fired_alerts_chunked(spark, sf_dir):
+    """J4 with every series cut into 100-row pieces (the hot-symbol plan); equal to j4."""
+    from tickweave.operators.feeds import fired_alerts
+    from tickweave.sources.fixtures import alerts
+    return round_doubles(fired_alerts(bars(spark, sf_dir), alerts(spark, sf_dir), chunk_rows=100))
+
+
 def q_a6_net_flow(spark, sf_dir):
     from tickweave.operators.feeds import net_flow
     from tickweave.sources.fixtures import flows
@@ -736,6 +743,7 @@ QUERIES = {
     "j2_unseen_news": q_j2_unseen_news,
     "l2_rotating_pick": q_l2_rotating_pick,
     "j4_fired_alerts": q_j4_fired_alerts,
+    "j4_fired_alerts_chunked": q_j4_fired_alerts_chunked,
     "a6_net_flow": q_a6_net_flow,
     "a6_net_flow_total": q_a6_net_flow_total,
     "p8_favorites_distinct": q_p8_favorites_distinct,

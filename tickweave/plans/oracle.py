@@ -486,3 +486,4 @@ SELECT symbol, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, {R('close'
        {R('100 - 100 / (1 + ag / nullif(al, 0))', 'rsi')}, {R('ma20', 'ma20')}, {R('ma50', 'ma50')},
        {R('volatility', 'volatility')} FROM i4"""
 ORACLE["t2_stream_unseen_news_exact"] = ORACLE["j2_unseen_news"]
+ORACLE["j4_fired_alerts_chunked"] = ORACLE["j4_fired_alerts"]
