@@ -123,14 +123,6 @@ def exact_units(c: Column, scale: int) -> Column:
     return F.when(F.abs(x - u) < F.lit(1e-6), u.cast("long")).otherwise(F.lit(-1).cast("long"))
 
 
-def lineitem_order_key(price_scale: int = 2) -> Column:
-    """The lineitem tie-break ``(l_orderkey, l_linenumber, l_partkey, price, qty)`` packed into
-    one decimal.  The ship date is the bucket itself, so it adds nothing inside a bucket.
-    Digits: order key 12, line number 2, part key 11, price in cents 10, quantity 3."""
-    return packed_key([(F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 11),
-                       (exact_units(F.col("price"), price_scale), 10), (exact_units(F.col("qty"), 0), 3)])
-
-
 def daily_bars(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """Daily bars of every supplier built from ``lineitem`` (the ``bars`` fixture).  The
     aggregate runs on the numeric supplier key (cheaper to hash and shuffle); the key becomes
@@ -144,10 +136,16 @@ def daily_bars(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFr
         li = li.filter(F.col("l_shipdate") >= _as_date(start).cast("timestamp_ntz"))
     if end is not None:
         li = li.filter(F.col("l_shipdate") < _as_date(end).cast("timestamp_ntz"))
+    # the key's parts are projected first, so the packed key's range checks refer to plain
+    # columns instead of repeating the unit conversions (a much smaller expression tree)
     trades = li.select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"),
                        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"),
-                       "l_orderkey", "l_linenumber", "l_partkey")
-    bars = build_bars(trades, order_key=lineitem_order_key())
+                       "l_orderkey", "l_linenumber", "l_partkey",
+                       exact_units(F.col("l_extendedprice"), 2).alias("_cents"),
+                       exact_units(F.col("l_quantity"), 0).alias("_units"))
+    key = packed_key([(F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 11),
+                      (F.col("_cents"), 10), (F.col("_units"), 3)])
+    bars = build_bars(trades, order_key=key)
     return bars.withColumn("symbol", F.col("symbol").cast("string"))
 
 
