@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickweave.llm.common import documents, saved
 from tickweave.llm.packing import pack_documents
+from tickweave.llm.quality import quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: rejected documents go, the others stay as they are."""
+    return quality_rules(docs, keep_columns=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +21,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: (name, function); each function takes (spark, docs, sf_dir).
 STAGES = [
+    ("quality rules", quality),
     ("packing", pack),
 ]
 
