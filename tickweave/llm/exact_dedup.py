@@ -39,8 +39,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared_len = rows.groupBy("len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len")
     head = F.xxhash64(ascii_lower(F.substring("t", 1, prefix))).alias("head")
     shared = saved(
-        rows.select("len", head).join(shared_len, "len", "left_semi")
-        .groupBy("len", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows.groupBy("len", head).agg(F.count(F.lit(1)).alias("n"))  # before the join: a hot length is few rows
+        .join(shared_len, "len", "left_semi").filter("n > 1")
         .select("len", "head", F.lit(True).alias("shared")), "op4-shared")
 
     # the whole text is read here; its digest is the group key only of rows that share length and prefix
