@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickweave.llm.common import documents, saved
 from tickweave.llm.packing import pack_documents
 from tickweave.llm.quality import quality_rules
+from tickweave.llm.secrets import mask_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +15,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, keep_columns=True)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: every secret is masked in the text; no document goes."""
+    return mask_secrets(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: every token of every kept document lies in one piece of one sequence."""
     return pack_documents(docs)
@@ -22,6 +28,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: (name, function); each function takes (spark, docs, sf_dir).
 STAGES = [
     ("quality rules", quality),
+    ("secret scans", secrets),
     ("packing", pack),
 ]
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickweave.llm import bpe, exact_dedup, packing, quality, url_filter
+from tickweave.llm import bpe, exact_dedup, packing, quality, secrets, url_filter
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4,
     "op6_quality_rules": quality.op6,
+    "op7_secret_scan": secrets.op7,
     "op8_packing": packing.op8,
     "op9_bpe": bpe.op9,
     "op10_url_filter": url_filter.op10,
