@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tickweave.llm import bpe, exact_dedup, packing, quality, secrets, url_filter
+from tickweave.llm import bpe, exact_dedup, licenses, packing, quality, secrets, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op3_license_scan": licenses.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op6_quality_rules": quality.op6,
     "op7_secret_scan": secrets.op7,
