@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tickweave.llm import bpe, exact_dedup, licenses, packing, quality, secrets, toxicity, url_filter
+from tickweave.llm import bpe, exact_dedup, licenses, line_dedup, packing, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_line_dedup": line_dedup.op2,
     "op3_license_scan": licenses.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op6_quality_rules": quality.op6,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
