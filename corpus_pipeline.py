@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickweave.llm.common import documents, saved
+from tickweave.llm.line_dedup import dedup_lines
+from tickweave.llm.ngram_join import keep_one
 from tickweave.llm.packing import pack_documents
 from tickweave.llm.quality import quality_rules
 from tickweave.llm.secrets import mask_secrets
@@ -15,6 +17,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, keep_columns=True)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: later repeated runs go out of the texts; a document that loses every line goes."""
+    return dedup_lines(docs, drop_emptied=True).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group of linked ones stays, that with the least doc_id."""
+    return keep_one(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every secret is masked in the text; no document goes."""
     return mask_secrets(docs)
@@ -28,6 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: (name, function); each function takes (spark, docs, sf_dir).
 STAGES = [
     ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
     ("secret scans", secrets),
     ("packing", pack),
 ]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickweave.llm import bpe, exact_dedup, licenses, line_dedup, packing, quality, secrets, toxicity, url_filter
+from tickweave.llm import bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_line_dedup": line_dedup.op2,
     "op3_license_scan": licenses.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_ngram_join": ngram_join.op5,
     "op6_quality_rules": quality.op6,
     "op7_secret_scan": secrets.op7,
     "op8_packing": packing.op8,
