@@ -88,8 +88,10 @@ _state: dict = {}
 
 
 def per_process(key, build: Callable):
-    """A value built once per Python worker (a loaded vocabulary, a word cache)."""
+    """A value built once per Python worker (a loaded vocabulary, a word cache). Workers are reused by
+    later stages, so only the latest one is held."""
     if key not in _state:
+        _state.clear()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _state[key] = build()
     return _state[key]

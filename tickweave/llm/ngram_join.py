@@ -12,8 +12,8 @@ each document's component under links. The join is exact (up to 64-bit hashing o
 * Frequent shingles come from lossy counting over all documents: every block reports shingles found
   twice or more, the reports are summed, the most frequent are known to all tasks (a fixed number).
   They only shape the order, never the result, so the bound drops nothing.
-* Postings are dealt by shingle; shingles of one class alone vanish there. Known frequent shingles are
-  dealt by class instead, so a shingle of a third of all documents is spread over all tasks.
+* Postings are dealt by shingle; shingles of one class alone vanish there. Very frequent ones are dealt
+  by class instead, so a shingle of a third of all documents is spread over all tasks.
 * Candidates. Instead of all pairs of a posting list, rounds of centres: every member is tested against
   one centre of the list it is not yet connected with, links merge components, and lists within one
   component are finished. When the pairs left between components are few, they are all tested: a pair
@@ -32,13 +32,14 @@ from tickweave.llm.bloom import bloom_words, in_bloom
 from tickweave.llm.common import BoundedCache, documents, free_name, map_arrow, per_process, saved, ship_package, text_chunks
 
 SHINGLE, NUM, DEN = 5, 3, 4  # similarity NUM / DEN
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 KNOWN_FREQUENT = 1 << 18
 PART_POSTINGS = 500_000
 MIN_PARTS = 64
 MOST_MATCHES = 8
 VERIFY_COST = 2.0  # of a candidate, in postings
 BLOOM_BITS = 1 << 24
+SPREAD_FROM = 256  # counted at least so often, a shingle's list is dealt by class
 FEW_PAIRS, MOST_ROUNDS = 2.0, 3  # pairs left per posting; rounds of centres before all are tested
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -47,7 +48,7 @@ LOW48 = np.uint64((1 << 48) - 1)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -61,20 +62,38 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, hashes: dict | None = None) -> np.ndarray:
-    """Sorted distinct shingle hashes: 5-word windows of ASCII-lower-cased words; with fewer words the
-    whole sequence as one; none without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    hashes = per_process("shingle-words", WordHashes) if hashes is None else hashes
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    width = min(n, SHINGLE)
-    out = np.full(n - width + 1, width, np.uint64)
-    for k in range(width):
-        out = mixed(out + h[k:n - width + 1 + k])
-    return np.unique(out)
+#: Odd multipliers of a shingle's five places.
+PLACES = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text: 5-word windows of ASCII-lower-cased words; with fewer
+    words the whole sequence as one; none without words."""
+    lines = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    lengths = [len(w) for w in lines]
+    hashes = per_process("shingle-words", WordHashes)
+    h = np.fromiter((x for w in lines for x in map(hashes.__getitem__, w)), np.uint64, sum(lengths))
+    whole = max(0, len(h) - SHINGLE + 1)
+    windows = np.zeros(whole, np.uint64)
+    for k in range(SHINGLE):
+        windows += h[k:k + whole] * PLACES[k]
+    windows = mixed(windows)
+    out, at = [], 0
+    for n in lengths:
+        if n >= SHINGLE:
+            s = np.sort(windows[at:at + n - SHINGLE + 1])
+            new = s[1:] != s[:-1]
+            out.append(s if new.all() else np.concatenate([s[:1], s[1:][new]]))
+        elif n:
+            out.append(mixed((h[at:at + n] * PLACES[:n]).sum(dtype=np.uint64, keepdims=True), n))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += n
+    return out
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -96,8 +115,8 @@ def each_set(batches, text_at: int):
     """(batch, row, set) over Arrow batches."""
     for batch in batches:
         for start, part in text_chunks(batch.column(text_at).to_pylist()):
-            for i, t in enumerate(part):
-                yield batch, start + i, shingle_set(t)
+            for i, s in enumerate(shingle_sets(part)):
+                yield batch, start + i, s
 
 
 SETS = "kind int, cls long, n long"
@@ -122,8 +141,7 @@ def set_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             kind, cls, sizes = batch.schema.field(0).type, [], []
             for start, part in text_chunks(batch.column(1).to_pylist()):
-                for t in part:
-                    s = shingle_set(t)
+                for s in shingle_sets(part):
                     c = set_id(s)
                     cls.append(c)
                     sizes.append(len(s))
@@ -164,22 +182,26 @@ def least_overlap_as_smaller(n: int) -> int:
 
 
 def adaptive_prefix(s: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, int]:
-    """(prefix shingles in order, whether each is known frequent, l) of a set. Order: unknown shingles by hash,
+    """(prefix shingles in order, whether the list of each is to be spread, l) of a set. Order: unknown shingles by hash,
     then known ones by count, then hash - the same order for all sets."""
     n = len(s)
     short = n - least_overlap(n)
     df = frequent.count(s)
-    order = np.lexsort((s, df))
+    hot = df > 1
+    if not hot.any():
+        return s[:short + 1], df[:short + 1] >= SPREAD_FROM, 1
+    known = np.flatnonzero(hot)
+    known = known[np.lexsort((s[known], df[known]))]
+    order = np.concatenate([np.flatnonzero(~hot), known])
     df = df[order]
-    if df[min(n, short + 1) - 1] == 1:
-        l = 1
-    else:
+    l = 1
+    if df[short] > 1:
         most = min(MOST_MATCHES, n - short)
         reach = np.cumsum(df)[short:short + most].astype(float)  # postings met by the prefix of each l
         ls = np.arange(1, most + 1)
         l = int((reach + VERIFY_COST * (reach - short - ls) / ls).argmin()) + 1
     keep = order[:short + l]
-    return s[keep], df[:short + l] > 1, l
+    return s[keep], df[:short + l] >= SPREAD_FROM, l
 
 
 def tag(s: np.ndarray, n_prefix: int, l: int) -> np.ndarray:
@@ -190,7 +212,10 @@ def tag(s: np.ndarray, n_prefix: int, l: int) -> np.ndarray:
 
 
 def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
-    """(token, cls, l, near): prefix postings of every class, shingles met by one class only left out.
+    """(token, cls, l, near, ...): prefix postings of every class, shingles met by one class only left out.
+
+    Copies share most of their shingles, so many lists are equal (members and near flags): a list has a
+    signature ``sig``, and equal lists of a part are one, ``times`` over (:func:`distinct_lists`).
 
     A token is a shingle's low 48 bits and its part; two shingles that agree in those make at most an
     extra candidate. Postings travel as byte strings, one per task, part and block."""
@@ -233,7 +258,7 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
             token, hot, l = adaptive_prefix(s, known)
             held.append((token, hot, c, tag(s, len(token), l)))
             size += len(token)
-            if size > BLOCK_TOKENS // 2:
+            if size > BLOCK_TOKENS // 4:
                 yield blocks()
                 held, size = [], 0
         if held:
@@ -260,41 +285,55 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
         new_token = np.concatenate([[True], token[1:] != token[:-1]])
         keep = new_token | np.concatenate([[True], cls[1:] != cls[:-1]])  # a class once per shingle
         token, cls, ls = token[keep], cls[keep], ls[keep]
-        if not hot:
-            _, where, count = np.unique(token, return_inverse=True, return_counts=True)
-            two = count[where] > 1
-            token, cls, ls = token[two], cls[two], ls[two]
-        return pa.table({"token": token.astype(np.int64), "cls": cls, "l": (ls & 127).astype(np.int32), "near": ls > 127})
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(starts, len(token)))
+        if hot:  # a part holds some members of each list: lists stay as they are
+            sig, weight = token, np.ones(len(token), np.int64)
+        else:
+            word = mixed(cls.view(np.uint64) ^ (ls > 127).astype(np.uint64), 3)
+            of = mixed(np.add.reduceat(word, starts) + count.astype(np.uint64))  # one value per list
+            order = np.argsort(of, kind="stable")
+            first = np.concatenate([[True], of[order][1:] != of[order][:-1]])
+            same = np.diff(np.append(np.flatnonzero(first), len(of)))
+            times = np.zeros(len(of), np.int64)
+            times[order[first]] = same
+            keep = np.repeat((times > 0) & (count > 1), count)
+            sig, weight = np.repeat(of, count)[keep], np.repeat(times, count)[keep]
+            token, cls, ls = token[keep], cls[keep], ls[keep]
+        head = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
+        return pa.table({"token": token.astype(np.int64), "cls": cls, "l": (ls & 127).astype(np.int32), "near": ls > 127,
+                         "sig": sig.astype(np.int64), "times": weight, "head": head})
 
     ship_package(rows.sparkSession)
     dealt = map_arrow(rows, deal, "part int, low binary, cls binary, l binary, home int, homes binary")
-    return dealt.groupBy("part").applyInArrow(gather, "token long, cls long, l int, near boolean")
+    return dealt.groupBy("part").applyInArrow(gather, "token long, cls long, l int, near boolean, sig long, times long, head boolean")
 
 
 # --- texts of candidates ------------------------------------------------------------------------
 
-def candidate_texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, t): one text of every class in ``classes``. The scan drops other texts by a Bloom filter of
-    fixed size, so hardly more than the candidates' texts are shuffled."""
+def distinct_lists(post: DataFrame) -> DataFrame:
+    """(token, cls, l, near, w): one of all equal lists, standing for w shingles. Lists that are spread
+    over parts are signed by their shingle and stay as they are."""
+    one = (post.filter("head").groupBy("sig").agg(F.min("token").alias("token"), F.sum("times").alias("times"))
+           .withColumn("w", F.when(F.col("sig") == F.col("token"), F.lit(1).cast("long")).otherwise(F.col("times"))).drop("times"))
+    return post.join(one, ["sig", "token"]).select("token", "cls", "l", "near", "w")
+
+
+def candidate_texts(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, t): one text of every class in ``classes``. The scan keeps the texts of the classes' ids by
+    a Bloom filter of fixed size, so hardly more than those are read in Python or shuffled."""
 
     def sets(batches):
         import pyarrow as pa
-        seen = set()
         for batch in batches:
-            at, ids = [], []
-            for start, part in text_chunks(batch.column(0).to_pylist()):
-                for i, t in enumerate(part):
-                    c = set_id(shingle_set(t))
-                    if c not in seen:
-                        seen.add(c)
-                        at.append(start + i)
-                        ids.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], ["cls", "t"])
+            ids = [set_id(s) for _, part in text_chunks(batch.column(0).to_pylist()) for s in shingle_sets(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0)], ["cls", "t"])
 
-    words = bloom_words(classes.select(F.col("cls").alias("key")), 1, 2, BLOOM_BITS)
-    found = map_arrow(rows.select("t"), sets, "cls long, t string")
-    found = found.filter(in_bloom(F.col("cls"), words, 1, 2, BLOOM_BITS)).dropDuplicates(["cls"])
-    return found.join(classes, "cls", "left_semi")
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    one = members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.col("id")).alias("id"))
+    words = bloom_words(one.select(key.alias("key")), 1, 2, BLOOM_BITS)
+    found = map_arrow(rows.filter(in_bloom(key, words, 1, 2, BLOOM_BITS)).select("t"), sets, "cls long, t string")
+    return found.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 # --- candidates, verification, components -------------------------------------------------------
@@ -344,12 +383,12 @@ def shared_pairs(at: DataFrame) -> DataFrame:
     In the common order, the first shingle that x and a partner y at least as large share lies in x's
     near part and in y's prefix (of equally large sets: in both near parts). With m of those in common, the two share at most m plus the longer of
     what lies behind x's near part and behind y's prefix: pairs below the needed overlap are left out."""
-    x = at.filter("near").select("token", F.col("cls").alias("x"), F.col("l").alias("lx"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+    x = at.filter("near").select("token", F.col("cls").alias("x"), F.col("l").alias("lx"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "w")
     y = at.select("token", F.col("cls").alias("y"), F.col("l").alias("ly"), F.col("comp").alias("cy"), F.col("n").alias("ny"), "near")
     first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")) & F.col("near"))
     fits = (F.col("nx") * DEN >= F.col("ny") * NUM) & (F.col("cx") != F.col("cy"))
     joined = x.join(y, (x["token"] == y["token"]) & first & fits)
-    met = joined.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.count(F.lit(1)).alias("m"))
+    met = joined.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.sum("w").alias("m"))
     need = F.ceil((F.col("nx") + F.col("ny")) * NUM / (NUM + DEN))
     behind_near = F.ceil(F.col("nx") * 2 * NUM / (NUM + DEN))
     behind = F.when(F.col("nx") == F.col("ny"), behind_near - F.least("lx", "ly")).otherwise(
@@ -357,46 +396,48 @@ def shared_pairs(at: DataFrame) -> DataFrame:
     return met.filter(F.col("m") >= need - behind).select("x", "y")
 
 
-def class_links(rows: DataFrame, post: DataFrame, sizes: DataFrame) -> DataFrame | None:
-    """(cls, comp) of every class with a link; None when no two classes share a prefix shingle."""
-    classes = post.select("cls").distinct()
-    texts = saved(candidate_texts(rows, classes), "op5-texts")
-    fits = DEN * F.least("nx", "ny") >= NUM * F.greatest("nx", "ny")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        nx = sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx"))
-        ny = sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny"))
-        return pairs.join(nx, "x").join(ny, "y").filter(fits).drop("nx", "ny")
-
+def class_links(rows: DataFrame, post: DataFrame, members: DataFrame) -> DataFrame | None:
+    """(cls, comp) of every class with a link; None when no two classes share a prefix shingle. Each turn
+    goes on with the lists that still hold more than one component."""
+    at = saved(distinct_lists(post).withColumn("comp", F.col("cls")), "op5-lists")
     n_post = post.count()
+    if not n_post:
+        return None
+    classes = at.select("cls").distinct()
+    sizes = saved(members.select("cls", "n").distinct().join(classes, "cls", "left_semi"), "op5-sizes")
+    texts = saved(candidate_texts(rows, classes, members), "op5-texts")
+    nx = sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx"))
+    ny = sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny"))
+    fits = DEN * F.least("nx", "ny") >= NUM * F.greatest("nx", "ny")
     tested, comp = None, None
     for turn in range(MOST_ROUNDS + 1):
-        at = post.withColumn("comp", F.col("cls")) if comp is None else post.join(comp, "cls", "left").withColumn(
-            "comp", F.coalesce("comp", "cls"))
-        lists = at.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("token").agg(
-            F.sum("s").alias("a"), F.sum(F.col("s") * F.col("s")).alias("b"))
-        left = lists.filter("a * a > b").select("token", ((F.col("a") * F.col("a") - F.col("b")) / 2).alias("left"))
-        left = saved(left, "op5-lists")
-        cross = left.agg(F.sum("left")).first()[0] or 0.0
+        mixed_lists = at.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("token").agg(
+            F.sum("s").alias("a"), F.sum(F.col("s") * F.col("s")).alias("b")).filter("a * a > b")
+        mixed_lists = saved(mixed_lists.select("token", ((F.col("a") * F.col("a") - F.col("b")) / 2).alias("left")), "op5-mixed")
+        cross = mixed_lists.agg(F.sum("left")).first()[0] or 0.0
         if not cross:
             break
-        at = at.join(left.select("token"), "token", "left_semi")
-        if cross <= FEW_PAIRS * n_post or turn == MOST_ROUNDS:
+        at = saved(at.join(mixed_lists.select("token"), "token", "left_semi"), "op5-lists")
+        last = cross <= FEW_PAIRS * n_post or turn == MOST_ROUNDS
+        if last:
             pairs = shared_pairs(at.join(sizes, "cls"))
         else:
             # the first turn takes one centre for all lists that agree on it, later ones differ by list
             rank = F.xxhash64("cls", F.lit(turn)) if turn == 0 else F.xxhash64("cls", "token", F.lit(turn))
             centre = at.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cls", "comp")).alias("c"))
-            pairs = (at.join(centre, "token").filter(F.col("comp") != F.col("c.comp"))
-                     .select(F.least("cls", "c.cls").alias("x"), F.greatest("cls", "c.cls").alias("y")).distinct())
-        pairs = sized(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+            pairs = at.join(centre, "token").filter(F.col("comp") != F.col("c.comp")).select(
+                F.col("cls").alias("x"), F.col("c.cls").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = pairs.join(nx, "x").join(ny, "y").filter(fits).drop("nx", "ny")
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         found = saved(verified(pairs, texts), "op5-tested")
         tested = found if tested is None else tested.unionByName(found)
         if not found.filter("ok").isEmpty():
             comp = components(tested.filter("ok"))
-        if cross <= FEW_PAIRS * n_post or turn == MOST_ROUNDS:
+            if not last:
+                at = saved(at.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "op5-lists")
+        if last:
             break
     return comp
 
@@ -419,8 +460,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = members.agg(F.sum(F.floor(F.col("n") / DEN) + 1)).first()[0] or 0
     parts = min(1 << 15, max(MIN_PARTS, -(-int(total) // PART_POSTINGS)))
     post = saved(postings(rows, frequent, parts), "op5-postings")
-    sizes = members.select("cls", "n").distinct()
-    comp = class_links(rows, post, sizes)
+    comp = class_links(rows, post, members)
     some = members.filter("n > 0")
     if comp is not None:
         some = some.join(comp, "cls", "left").withColumn("cls", F.coalesce("comp", "cls"))
