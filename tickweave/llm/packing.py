@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -28,7 +29,8 @@ SEQ_LEN = 2048
 END_ID = 1
 QUANTUM = 8
 ROWS_PER_SALT = 50_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+CHUNK_CHARS = 1 << 23
 
 
 # --- tokens -------------------------------------------------------------------------------------
@@ -37,41 +39,36 @@ class ChunkTokenizer:
     """Ids of whole texts by the tokenizers library, asked once per distinct word.
 
     This vocabulary's normaliser and split rule never join characters across ASCII white space, so a
-    text's ids are its white-space chunks' ids in order; a final ``.`` or ``,`` after a letter is a
-    piece of its own, and ASCII words may be lower-cased first, as the normaliser does."""
+    text's ids are its white-space chunks' ids in order. ASCII letters may be lower-cased first, as the
+    normaliser does, and a ``.`` or ``,`` between an ASCII letter and white space is a piece of its
+    own; texts that may hold a special token are left as they are."""
+
+    STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.cache = BoundedCache(CACHE_WORDS)
-        self.tail = {c: self.pack(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
-
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def core(self, word: bytes) -> tuple[bytes, bytes]:
-        tail = b""
-        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():  # an ASCII letter stands before it
-            word, tail = word[:-1], self.tail[word[-1:].decode()]
-        return (word.lower() if word.isascii() and b"<|" not in word else word), tail
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        lines = [t.encode("utf-8", "replace").split() for t in texts]
+        lines = []
+        for t in texts:
+            raw = t.encode("utf-8", "replace")
+            lines.append(raw.split() if b"<|" in raw else self.STOP.sub(rb" \1", raw.lower()).split())
         words = set().union(*lines)
-        parts = {w: self.core(w) for w in words}
-        cores = {c for c, _ in parts.values()}
-        new = cores.difference(self.cache)
+        new = words.difference(self.cache)
         if len(self.cache) + len(new) > self.cache.limit:
             self.cache.clear()
-            new = cores
+            new = words
         new = list(new)
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.cache.update((w, self.pack(e.ids)) for w, e in zip(new, encoded, strict=True))
-        ids = {w: self.cache[c] + tail for w, (c, tail) in parts.items()}
-        return [b"".join(map(ids.__getitem__, line)) for line in lines]
+        kind = "<u2" if self.small else "<u4"
+        self.cache.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, encoded, strict=True))
+        ids = self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(ids, line)), kind).astype("<u4").tobytes() for line in lines]
 
 
 def chunk_tokenizer(path: str | None) -> ChunkTokenizer:
@@ -91,7 +88,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None,
         coder, end = chunk_tokenizer(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
-            for first, part in text_chunks(batch.column(1).to_pylist()):
+            for first, part in text_chunks(batch.column(1).to_pylist(), CHUNK_CHARS):
                 row, start, length, crc, total = [], [], [], [], []
                 for i, packed in enumerate(coder.encode_batch(part)):
                     packed += end
