@@ -14,10 +14,10 @@ each document's component under links. The join is exact (up to 64-bit hashing o
   They only shape the order, never the result, so the bound drops nothing.
 * Postings are dealt by shingle; shingles of one class alone vanish there. Very frequent ones are dealt
   by class instead, so a shingle of a third of all documents is spread over all tasks.
-* Candidates. Instead of all pairs of a posting list, rounds of centres: every member is tested against
-  one centre of the list it is not yet connected with, links merge components, and lists within one
-  component are finished. When the pairs left between components are few, they are all tested: a pair
-  that shares fewer than min(l) prefix shingles cannot link and is left out.
+* Candidates. Instead of all pairs of a posting list, rounds of centres: every member of a long list is
+  tested against one centre of the list it is not yet connected with, links merge components, and lists within one
+  component are finished. When the pairs left between components are few, they are all counted: a pair
+  whose prefixes share too few shingles for the needed overlap cannot link and is left out.
 * Verification compares the two whole texts' sets.
 """
 
@@ -40,7 +40,7 @@ MOST_MATCHES = 8
 VERIFY_COST = 2.0  # of a candidate, in postings
 BLOOM_BITS = 1 << 24
 SPREAD_FROM = 256  # counted at least so often, a shingle's list is dealt by class
-FEW_PAIRS, MOST_ROUNDS = 2.0, 3  # pairs left per posting; rounds of centres before all are tested
+LONG_LIST, FEW_PAIRS, MOST_ROUNDS = 64, 2.0, 4  # members; pairs left per posting; turns of centres
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -176,11 +176,6 @@ class Frequent:
         return np.where(self.values[at] == s, self.counts[at], 1)
 
 
-def least_overlap_as_smaller(n: int) -> int:
-    """Shingles that any linked partner at least as large must share: 2 / (1 + 1 / similarity) of n."""
-    return -(-2 * NUM * n // (NUM + DEN))
-
-
 def adaptive_prefix(s: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, int]:
     """(prefix shingles in order, whether the list of each is to be spread, l) of a set. Order: unknown shingles by hash,
     then known ones by count, then hash - the same order for all sets."""
@@ -204,17 +199,10 @@ def adaptive_prefix(s: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.n
     return s[keep], df[:short + l] >= SPREAD_FROM, l
 
 
-def tag(s: np.ndarray, n_prefix: int, l: int) -> np.ndarray:
-    """A byte per prefix shingle: l, and the top bit where the shingle is in the shorter prefix that is
-    enough when the partner is at least as large."""
-    near = np.arange(n_prefix) < len(s) - least_overlap_as_smaller(len(s)) + l
-    return (near.astype(np.uint8) << 7) | np.uint8(l)
-
-
 def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
-    """(token, cls, l, near, ...): prefix postings of every class, shingles met by one class only left out.
+    """(token, cls, l, ...): prefix postings of every class, shingles met by one class only left out.
 
-    Copies share most of their shingles, so many lists are equal (members and near flags): a list has a
+    Copies share most of their shingles, so many lists are equal (the same members): a list has a
     signature ``sig``, and equal lists of a part are one, ``times`` over (:func:`distinct_lists`).
 
     A token is a shingle's low 48 bits and its part; two shingles that agree in those make at most an
@@ -256,7 +244,7 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
                 continue
             seen.add(c)
             token, hot, l = adaptive_prefix(s, known)
-            held.append((token, hot, c, tag(s, len(token), l)))
+            held.append((token, hot, c, np.full(len(token), l, np.uint8)))
             size += len(token)
             if size > BLOCK_TOKENS // 4:
                 yield blocks()
@@ -290,7 +278,7 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
         if hot:  # a part holds some members of each list: lists stay as they are
             sig, weight = token, np.ones(len(token), np.int64)
         else:
-            word = mixed(cls.view(np.uint64) ^ (ls > 127).astype(np.uint64), 3)
+            word = mixed(cls.view(np.uint64), 3)
             of = mixed(np.add.reduceat(word, starts) + count.astype(np.uint64))  # one value per list
             order = np.argsort(of, kind="stable")
             first = np.concatenate([[True], of[order][1:] != of[order][:-1]])
@@ -301,22 +289,22 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
             sig, weight = np.repeat(of, count)[keep], np.repeat(times, count)[keep]
             token, cls, ls = token[keep], cls[keep], ls[keep]
         head = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
-        return pa.table({"token": token.astype(np.int64), "cls": cls, "l": (ls & 127).astype(np.int32), "near": ls > 127,
+        return pa.table({"token": token.astype(np.int64), "cls": cls, "l": ls.astype(np.int32),
                          "sig": sig.astype(np.int64), "times": weight, "head": head})
 
     ship_package(rows.sparkSession)
     dealt = map_arrow(rows, deal, "part int, low binary, cls binary, l binary, home int, homes binary")
-    return dealt.groupBy("part").applyInArrow(gather, "token long, cls long, l int, near boolean, sig long, times long, head boolean")
+    return dealt.groupBy("part").applyInArrow(gather, "token long, cls long, l int, sig long, times long, head boolean")
 
 
 # --- texts of candidates ------------------------------------------------------------------------
 
 def distinct_lists(post: DataFrame) -> DataFrame:
-    """(token, cls, l, near, w): one of all equal lists, standing for w shingles. Lists that are spread
+    """(token, cls, l, w): one of all equal lists, standing for w shingles. Lists that are spread
     over parts are signed by their shingle and stay as they are."""
     one = (post.filter("head").groupBy("sig").agg(F.min("token").alias("token"), F.sum("times").alias("times"))
            .withColumn("w", F.when(F.col("sig") == F.col("token"), F.lit(1).cast("long")).otherwise(F.col("times"))).drop("times"))
-    return post.join(one, ["sig", "token"]).select("token", "cls", "l", "near", "w")
+    return post.join(one, ["sig", "token"]).select("token", "cls", "l", "w")
 
 
 def candidate_texts(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -380,57 +368,58 @@ def components(edges: DataFrame) -> DataFrame:
 def shared_pairs(at: DataFrame) -> DataFrame:
     """(x, y) of different components that share enough prefix shingles to link, x the smaller set.
 
-    In the common order, the first shingle that x and a partner y at least as large share lies in x's
-    near part and in y's prefix (of equally large sets: in both near parts). With m of those in common, the two share at most m plus the longer of
-    what lies behind x's near part and behind y's prefix: pairs below the needed overlap are left out."""
-    x = at.filter("near").select("token", F.col("cls").alias("x"), F.col("l").alias("lx"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "w")
-    y = at.select("token", F.col("cls").alias("y"), F.col("l").alias("ly"), F.col("comp").alias("cy"), F.col("n").alias("ny"), "near")
-    first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")) & F.col("near"))
+    In the common order, what two sets share outside their prefixes lies behind one of the prefixes, so
+    the m shingles common to both prefixes and the longer rest together must reach the needed overlap.
+    For equal sets sizes n that asks for about n / 9 + l matches, far more than a common passage has."""
+    x = at.select("token", F.col("cls").alias("x"), F.col("l").alias("lx"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "w")
+    y = at.select("token", F.col("cls").alias("y"), F.col("l").alias("ly"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
+    first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     fits = (F.col("nx") * DEN >= F.col("ny") * NUM) & (F.col("cx") != F.col("cy"))
     joined = x.join(y, (x["token"] == y["token"]) & first & fits)
     met = joined.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.sum("w").alias("m"))
     need = F.ceil((F.col("nx") + F.col("ny")) * NUM / (NUM + DEN))
-    behind_near = F.ceil(F.col("nx") * 2 * NUM / (NUM + DEN))
-    behind = F.when(F.col("nx") == F.col("ny"), behind_near - F.least("lx", "ly")).otherwise(
-        F.greatest(behind_near - F.col("lx"), F.ceil(F.col("ny") * NUM / DEN) - F.col("ly")))
+    behind = F.greatest(F.ceil(F.col("nx") * NUM / DEN) - F.col("lx"), F.ceil(F.col("ny") * NUM / DEN) - F.col("ly"))
     return met.filter(F.col("m") >= need - behind).select("x", "y")
 
 
 def class_links(rows: DataFrame, post: DataFrame, members: DataFrame) -> DataFrame | None:
-    """(cls, comp) of every class with a link; None when no two classes share a prefix shingle. Each turn
-    goes on with the lists that still hold more than one component."""
+    """(cls, comp) of every class with a link; None when no two classes share a prefix shingle.
+
+    Turns of centres go over the long lists only, while the pairs left in those are many; the last turn
+    takes all lists that still hold more than one component."""
     at = saved(distinct_lists(post).withColumn("comp", F.col("cls")), "op5-lists")
     n_post = post.count()
     if not n_post:
         return None
-    classes = at.select("cls").distinct()
-    sizes = saved(members.select("cls", "n").distinct().join(classes, "cls", "left_semi"), "op5-sizes")
-    texts = saved(candidate_texts(rows, classes, members), "op5-texts")
+    sizes = saved(members.select("cls", "n").distinct().join(at.select("cls").distinct(), "cls", "left_semi"), "op5-sizes")
     nx = sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx"))
     ny = sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny"))
     fits = DEN * F.least("nx", "ny") >= NUM * F.greatest("nx", "ny")
     tested, comp = None, None
     for turn in range(MOST_ROUNDS + 1):
-        mixed_lists = at.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("token").agg(
+        open_lists = at.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("token").agg(
             F.sum("s").alias("a"), F.sum(F.col("s") * F.col("s")).alias("b")).filter("a * a > b")
-        mixed_lists = saved(mixed_lists.select("token", ((F.col("a") * F.col("a") - F.col("b")) / 2).alias("left")), "op5-mixed")
-        cross = mixed_lists.agg(F.sum("left")).first()[0] or 0.0
-        if not cross:
-            break
-        at = saved(at.join(mixed_lists.select("token"), "token", "left_semi"), "op5-lists")
-        last = cross <= FEW_PAIRS * n_post or turn == MOST_ROUNDS
+        open_lists = saved(open_lists.select("token", "a", ((F.col("a") * F.col("a") - F.col("b")) / 2).alias("left")), "op5-open")
+        at = saved(at.join(open_lists.select("token"), "token", "left_semi"), "op5-lists")
+        long_lists = open_lists.filter(F.col("a") > LONG_LIST)
+        left = long_lists.agg(F.sum("left")).first()[0] or 0.0
+        last = left <= FEW_PAIRS * n_post or turn == MOST_ROUNDS
         if last:
             pairs = shared_pairs(at.join(sizes, "cls"))
         else:
             # the first turn takes one centre for all lists that agree on it, later ones differ by list
             rank = F.xxhash64("cls", F.lit(turn)) if turn == 0 else F.xxhash64("cls", "token", F.lit(turn))
-            centre = at.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cls", "comp")).alias("c"))
-            pairs = at.join(centre, "token").filter(F.col("comp") != F.col("c.comp")).select(
+            there = at.join(long_lists.select("token"), "token", "left_semi")
+            centre = there.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cls", "comp")).alias("c"))
+            pairs = there.join(centre, "token").filter(F.col("comp") != F.col("c.comp")).select(
                 F.col("cls").alias("x"), F.col("c.cls").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = pairs.join(nx, "x").join(ny, "y").filter(fits).drop("nx", "ny")
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
+        pairs = saved(pairs, "op5-pairs")
+        classes = saved(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "op5-classes")
+        texts = saved(candidate_texts(rows, classes, members), "op5-texts")
         found = saved(verified(pairs, texts), "op5-tested")
         tested = found if tested is None else tested.unionByName(found)
         if not found.filter("ok").isEmpty():
@@ -438,8 +427,7 @@ def class_links(rows: DataFrame, post: DataFrame, members: DataFrame) -> DataFra
             if not last:
                 at = saved(at.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "op5-lists")
         if last:
-            break
-    return comp
+            return comp
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
