@@ -91,24 +91,16 @@ def indicator_lookback(ma_windows=K.MA_WINDOWS, rsi_period: int = K.RSI_PERIOD,
     return max([*ma_windows, rsi_period + 1, vol_window + 1])
 
 
-# Series longer than this many rows are cut into halo chunks when ``chunk_rows="auto"``.
-AUTO_CHUNK_ROWS = 1_000_000
-
-
 def add_indicators(bars: DataFrame, *, price_scale: int | None = None, ma_windows=K.MA_WINDOWS,
                    rsi_period: int = K.RSI_PERIOD, vol_window: int = K.VOLATILITY_WINDOW,
                    partition_cols=("symbol",), chunk_rows=None, order_col: str = "date",
                    chunk_bucket=None) -> DataFrame:
     """See :func:`_add_indicators`.  ``chunk_rows`` splits long series: with a number, every
     series is cut into pieces of that many rows plus a halo of the look-back (see
-    :func:`tickweave.operators.series.series_chunks`), so no task holds a whole hot symbol;
-    with ``"auto"``, a one-number aggregate (the longest series) decides whether any series is
-    longer than :data:`AUTO_CHUNK_ROWS`.  Results are identical either way.  ``chunk_bucket``
+    :func:`tickweave.operators.series.series_chunks`), so no task holds a whole hot symbol.
+    Results are identical either way, NULL symbols and dates included.  ``chunk_bucket``
     is the Column that numbers rows locally before the exact positions are summed (default:
     the calendar month of ``order_col``; use e.g. ``F.date_trunc("hour", "ts")`` for ticks)."""
-    if chunk_rows == "auto":
-        longest = bars.groupBy(*partition_cols).count().agg(F.max("count")).first()[0] or 0
-        chunk_rows = AUTO_CHUNK_ROWS if longest > AUTO_CHUNK_ROWS else None
     if not chunk_rows:
         return _add_indicators(bars, price_scale=price_scale, ma_windows=ma_windows, rsi_period=rsi_period,
                                vol_window=vol_window, partition_cols=partition_cols, order_col=order_col)

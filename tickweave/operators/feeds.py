@@ -43,7 +43,8 @@ def rotating_pick(items: DataFrame, k: int, group_col: str, order_col: str = "fe
     if bucket_width is None:
         rng = items.groupBy(group_col).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
         width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(buckets_per_group)))
-        rows = items.join(rng, group_col).withColumn(
+        rng = rng.withColumnRenamed(group_col, "_g")
+        rows = items.join(rng, items[group_col].eqNullSafe(rng["_g"])).drop("_g").withColumn(
             "_b", F.floor((F.col(order_col) - F.col("_lo")) / width).cast("long")).drop("_lo", "_hi")
     else:
         rows = items.withColumn("_b", F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long"))
@@ -53,8 +54,8 @@ def rotating_pick(items: DataFrame, k: int, group_col: str, order_col: str = "fe
         .withColumn("_tot", F.sum("_n").over(wg))
     target = F.pmod(F.lit(k), F.col("_tot"))
     picked = cum.filter((F.col("_cum") - F.col("_n") <= target) & (target < F.col("_cum"))) \
-        .select(group_col, "_b", (target - (F.col("_cum") - F.col("_n"))).alias("_off"), "_tot")
-    inb = rows.join(picked, [group_col, "_b"], "inner")
+        .select(F.col(group_col).alias("_g"), F.col("_b").alias("_gb"), (target - (F.col("_cum") - F.col("_n"))).alias("_off"), "_tot")
+    inb = rows.join(picked, rows[group_col].eqNullSafe(picked["_g"]) & rows["_b"].eqNullSafe(picked["_gb"])).drop("_g", "_gb")
     w = Window.partitionBy(group_col, "_b").orderBy(order_col)
     return (
         inb.withColumn("_rn", F.row_number().over(w) - 1)
@@ -68,13 +69,13 @@ def rotating_pick(items: DataFrame, k: int, group_col: str, order_col: str = "fe
 def article_card(news: DataFrame) -> DataFrame:
     """The fields the news card shows: publication time as text, the description or "No
     description.", the content or "Full content not available.", and the link when there is
-    a url."""
+    a url.  An empty text counts as missing, like NULL."""
     from tickweave import constants as K
     return news.withColumns({
         "published_text": F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"),
-        "description_text": F.coalesce(F.col("description"), F.lit(K.NO_DESCRIPTION)),
-        "content_text": F.coalesce(F.col("content"), F.lit(K.NO_CONTENT)),
-        "link": F.col("url"),
+        "description_text": F.coalesce(F.nullif(F.col("description"), F.lit("")), F.lit(K.NO_DESCRIPTION)),
+        "content_text": F.coalesce(F.nullif(F.col("content"), F.lit("")), F.lit(K.NO_CONTENT)),
+        "link": F.nullif(F.col("url"), F.lit("")),
     })
 
 

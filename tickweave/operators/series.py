@@ -148,9 +148,11 @@ def series_index(df: DataFrame, key: str = "symbol", order_col: str = "date", bu
         F.coalesce(F.sum("_bn").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_bn").over(Window.partitionBy(key)).alias("series_len"),
     )
-    return (d.join(offs, [key, "_bk"])
+    # NULL keys and NULL order values are rows like any other
+    offs = offs.withColumnsRenamed({key: "_okey", "_bk": "_obk"})
+    return (d.join(offs, d[key].eqNullSafe(offs["_okey"]) & d["_bk"].eqNullSafe(offs["_obk"]))
             .withColumn("series_idx", (F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_bk", "_rn", "_bn", "_off"))
+            .drop("_okey", "_obk", "_bk", "_rn", "_bn", "_off"))
 
 
 def series_chunks(df: DataFrame, halo: int, rows_per_chunk: int, key: str = "symbol",

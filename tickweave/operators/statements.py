@@ -9,11 +9,23 @@ from tickweave import constants as K
 from tickweave.functions.formatting import fill_text, map_field
 
 
-def statement_wide(long: DataFrame, items: list[str], keys=("symbol", "period")) -> DataFrame:
+def statement_wide(long: DataFrame, items: list[str], keys=("symbol", "period"),
+                   other: str | None = None) -> DataFrame:
     """Long ``(symbol, period, item, value)`` -> one row per period, one column per item;
     an absent cell is NULL.  [R1]  The item list is explicit, so ``pivot`` needs no extra job
-    to find the distinct values."""
-    return long.groupBy(*keys).pivot("item", items).agg(F.sum("value"))
+    to find the distinct values; with ``other``, items outside the list are kept in a map column
+    of that name (item -> value) instead of being left out."""
+    wide = long.groupBy(*keys).pivot("item", items).agg(F.sum("value"))
+    if other is None:
+        return wide
+    rest = (long.filter(F.col("item").isNotNull() & ~F.col("item").isin(items))
+            .groupBy(*keys, "item").agg(F.sum("value").alias("value")).groupBy(*keys)
+            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("item", "value")))).alias(other)))
+    rest = rest.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & wide[k].eqNullSafe(rest[f"_r_{k}"])
+    return wide.join(rest, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def select_available(df: DataFrame, wanted: list[str], keys=("symbol", "period")) -> DataFrame | None:
@@ -26,8 +38,16 @@ def select_available(df: DataFrame, wanted: list[str], keys=("symbol", "period")
 
 
 def fill_and_stringify(df: DataFrame, keys=("symbol", "period")) -> DataFrame:
-    """Every non-key column as text, ``N/A`` when missing.  [P5]"""
-    return df.select(*keys, *[fill_text(F.col(f"`{c}`")).alias(c) for c in df.columns if c not in keys])
+    """Every non-key column as text, ``N/A`` when missing; columns that are not numbers keep their
+    own text.  [P5]"""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    kinds = dict(df.dtypes)
+
+    def text(c: str):
+        col = F.col(f"`{c}`")
+        return fill_text(col) if kinds[c].startswith(numbers) else F.coalesce(col.cast("string"), F.lit("N/A"))
+
+    return df.select(*keys, *[text(c).alias(c) for c in df.columns if c not in keys])
 
 
 def profile_fields(profiles: DataFrame, fields=K.PROFILE_FIELDS, map_col: str = "info") -> DataFrame:

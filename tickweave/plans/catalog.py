@@ -542,7 +542,7 @@ def q_t3_stream_latest_quote(spark, sf_dir):
     from tickweave.sources.fixtures import quotes_from
     from tickweave.streaming import streams as T
     ev = T.table_stream(spark, sf_dir, "events")
-    _, out = T.run_to_files(T.stream_latest_quote(quotes_from(ev)).drop("last_ts"), "t3", mode="complete")
+    _, out = T.run_to_files(T.stream_latest_quote(quotes_from(ev), seq="event_id").drop("last_ts"), "t3", mode="complete")
     return round_doubles(spark.read.parquet(out))
 
 

@@ -70,7 +70,8 @@ def _samples_chunked(bars: DataFrame, look_back: int, train_fraction: float, wit
     if not lo <= look_back <= hi:
         raise ValueError(f"look_back must be in {lo}..{hi}")
     mm = bars.groupBy("symbol").agg(F.min("close").alias("s_min"), F.max("close").alias("s_max"))
-    sc = bars.join(mm, "symbol").withColumn("scaled", scale(F.col("close"), F.col("s_min"), F.col("s_max")))
+    mm = mm.withColumnRenamed("symbol", "_mm_symbol")
+    sc = bars.join(mm, bars["symbol"].eqNullSafe(mm["_mm_symbol"])).drop("_mm_symbol").withColumn("scaled", scale(F.col("close"), F.col("s_min"), F.col("s_max")))
     ch = series_chunks(sc, look_back, max(int(chunk_rows), look_back))
     w = series_window(("symbol", "_chunk"))
     frame = w.rowsBetween(-look_back, -1)

@@ -14,25 +14,31 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """Build (or reuse) a session with the settings the plans are tuned for.
 
     AQE is on so that shuffle partition counts coalesce at runtime and skewed joins split;
-    the session zone is UTC so that dates and timestamps agree with the DuckDB oracle.
+    the session zone is UTC so that dates and timestamps agree with the DuckDB oracle.  Shuffle
+    partitions and driver memory are set only when asked for or on a local master.
     """
     master = master or os.environ.get("TICKWEAVE_MASTER")  # None: spark-submit's master (or local[*])
-    parts = shuffle_partitions or int(os.environ.get("TICKWEAVE_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("TICKWEAVE_SHUFFLE_PARTITIONS")
+    memory = os.environ.get("TICKWEAVE_DRIVER_MEMORY")
     builder = SparkSession.builder
     if master:
         builder = builder.master(master)
+    if (master or "").startswith("local"):  # a cluster's own settings stay as submitted
+        parts, memory = parts or 8, memory or "16g"
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     builder = (
         builder
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TICKWEAVE_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

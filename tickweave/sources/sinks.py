@@ -28,7 +28,11 @@ def settings_json(favorites_lists: DataFrame, alerts: DataFrame | None = None,
     if alerts is not None:
         al = alerts.groupBy("user_id").agg(
             F.array_sort(F.collect_list(F.struct(F.col("symbol").alias("stock"), "price"))).alias("alerts"))
-        df = df.join(al, "user_id", "left")
+        al = al.withColumnRenamed("user_id", "_alert_user")
+        # either side may be alone: a user with alerts only still has settings
+        df = df.join(al, df["user_id"].eqNullSafe(al["_alert_user"]), "full").withColumns({
+            "user_id": F.coalesce("user_id", "_alert_user"),
+            "favorites": F.coalesce("favorites", F.array().cast(dict(favorites_lists.dtypes)["favorites"]))}).drop("_alert_user")
         cols.append(F.coalesce(F.col("alerts"), F.array().cast("array<struct<stock:string,price:double>>")).alias("alerts"))
     cfg = F.struct(F.lit(epochs).alias("epochs"), F.lit(batch_size).alias("batch_size")).alias("model_config")
     return df.select("user_id", F.to_json(F.struct(*cols, cfg)).alias("settings_json"))

@@ -46,17 +46,39 @@ def parquet_stream(spark: SparkSession, path: str, schema=None, glob: str | None
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A table as a file stream: a folder of part files, or the single file beside other tables."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if _is_folder(spark, path):
+        return parquet_stream(spark, path, max_files=max_files)
     return parquet_stream(spark, sf_dir, glob=f"{name}.parquet", max_files=max_files)
 
 
+def _hadoop_path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _is_folder(spark: SparkSession, folder: str) -> bool:
+    path, fs = _hadoop_path(spark, folder)
+    return fs.exists(path) and fs.getFileStatus(path).isDirectory()
+
+
+def _earlier_batches(spark: SparkSession, out: str, batch_id: int, columns: list[str]) -> DataFrame | None:
+    """What batches before ``batch_id`` wrote to ``out``; None before the first one.  Any failure to
+    read an existing folder fails the batch: taking it for "nothing yet" would emit everything again."""
+    if not _is_folder(spark, out):
+        return None
+    return spark.read.parquet(out).filter(F.col("batch_id") < batch_id).select(*columns)
+
+
 # --- T2: news, each url once ---------------------------------------------------------------------
 
-def stream_unseen_news(news: DataFrame, seen: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
+def stream_unseen_news(news: DataFrame, seen: DataFrame, watermark: str | None = None) -> DataFrame:
     """Emit each article url once, skipping urls already seen.  [T2]
 
     With ``watermark`` the de-duplication state of a url is dropped once the watermark passes
     its publication time plus the delay (bounded state; a repeat arriving later than that is
-    emitted again).  ``watermark=None`` keeps every url forever — the exact "seen set" of the
+    emitted again): a bounded form to choose.  The default ``watermark=None`` keeps every url forever — the exact "seen set" of the
     reference, with state that grows with the number of distinct urls.  Between repeats inside
     one micro-batch the engine keeps one, not necessarily the first in feed order."""
     if watermark:
@@ -80,11 +102,9 @@ def unseen_batch_writer(seen: DataFrame, out: str, order_col: str = "feed_pos"):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = unseen(batch, seen)
-        try:
-            done = spark.read.parquet(out).filter(F.col("batch_id") < batch_id).select("url")
+        done = _earlier_batches(spark, out, batch_id, ["url"])
+        if done is not None:
             fresh = fresh.join(done, fresh["url"].eqNullSafe(done["url"]), "left_anti")
-        except Exception:  # nothing emitted yet
-            pass
         fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return write
@@ -92,11 +112,13 @@ def unseen_batch_writer(seen: DataFrame, out: str, order_col: str = "feed_pos"):
 
 # --- T3: newest price per symbol --------------------------------------------------------------
 
-def stream_latest_quote(quotes: DataFrame) -> DataFrame:
-    """Newest price per symbol (by tick time), kept current.  [T3]  One aggregate whose
-    state is one row per symbol."""
+def stream_latest_quote(quotes: DataFrame, seq: str | None = None) -> DataFrame:
+    """Newest price per symbol (by tick time, then ``seq``), kept current.  [T3]  One aggregate
+    whose state is one row per symbol."""
+    from tickweave.sources.bars import ts_seq_key
+    order = ts_seq_key(F.col("ts"), F.col(seq)) if seq else F.col("ts")
     return quotes.groupBy("symbol").agg(
-        F.max("ts").alias("last_ts"), F.max_by("price", "ts").alias("price"), F.count(F.lit(1)).alias("n_ticks"))
+        F.max("ts").alias("last_ts"), F.max_by("price", order).alias("price"), F.count(F.lit(1)).alias("n_ticks"))
 
 
 # --- T4: tumbling OHLCV bars ------------------------------------------------------------------
@@ -156,8 +178,8 @@ def indicator_batch_writer(tail_dir: str, out: str, history_rows: int = K.WEEKS5
 
     Late bars: a bar is placed exactly when at least the indicators' look-back of tail rows
     precede it (or the symbol's whole history is still in the tail); rows after it are then
-    recomputed and re-emitted.  An older bar is rejected — written to ``rejected`` when given —
-    the way a watermark drops data that arrives too late."""
+    recomputed and re-emitted.  An older bar is written to ``rejected`` (default: ``out`` with
+    ``_rejected`` appended), never dropped.  Of two versions of a bar in one batch one stays."""
     from tickweave.functions.indicators import add_indicators, indicator_lookback
     from tickweave.sources.bars import BAR_COLUMNS
 
@@ -165,9 +187,11 @@ def indicator_batch_writer(tail_dir: str, out: str, history_rows: int = K.WEEKS5
     if history_rows <= lookback:
         raise ValueError("history_rows must exceed the indicators' look-back")
 
+    rejected = rejected or f"{out.rstrip('/')}_rejected"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*BAR_COLUMNS)
+        new = batch.select(*BAR_COLUMNS).dropDuplicates(["symbol", "date"])
         prev = _latest_version(spark, tail_dir, batch_id)
         if prev is None:
             accepted, frame = new, new
@@ -181,7 +205,7 @@ def indicator_batch_writer(tail_dir: str, out: str, history_rows: int = K.WEEKS5
             j = new.join(cut, "symbol", "left")
             ok = F.col("_n").isNull() | (F.col("_n") < history_rows) | (F.col("date") > F.col("_cut"))
             accepted = j.filter(ok).select(*BAR_COLUMNS)
-            if rejected:
+            if not j.filter(~ok).isEmpty():
                 j.filter(~ok).select(*BAR_COLUMNS).write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
             frame = tail.join(accepted.select("symbol", "date"), ["symbol", "date"], "left_anti").unionByName(accepted)
         touched = accepted.groupBy("symbol").agg(F.min("date").alias("_from"))
@@ -230,11 +254,9 @@ def alert_batch_writer(alerts: DataFrame, out: str):
         spark = batch.sparkSession
         top = batch.groupBy("symbol").agg(F.max("price").alias("_top"))
         hit = a.join(top, "symbol").filter(F.col("_top") >= F.col("alert_price")).drop("_top")
-        try:
-            done = spark.read.parquet(out).filter(F.col("batch_id") < batch_id).select("alert_id")
+        done = _earlier_batches(spark, out, batch_id, ["alert_id"])
+        if done is not None:
             hit = hit.join(done, "alert_id", "left_anti")
-        except Exception:  # nothing fired yet
-            pass
         hit.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return write
