@@ -40,7 +40,7 @@ MOST_MATCHES = 8
 VERIFY_COST = 2.0  # of a candidate, in postings
 BLOOM_BITS = 1 << 24
 SPREAD_FROM = 256  # counted at least so often, a shingle's list is dealt by class
-LONG_LIST, FEW_PAIRS, MOST_ROUNDS = 64, 2.0, 4  # members; pairs left per posting; turns of centres
+LONG_LIST, FEW_PAIRS, MOST_ROUNDS = 64, 2.0, 2  # members; pairs left per posting; turns of centres
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -396,23 +396,18 @@ def class_links(rows: DataFrame, post: DataFrame, members: DataFrame) -> DataFra
     ny = sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny"))
     fits = DEN * F.least("nx", "ny") >= NUM * F.greatest("nx", "ny")
     tested, comp = None, None
-    for turn in range(MOST_ROUNDS + 1):
-        open_lists = at.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("token").agg(
+
+    def labelled(lists: DataFrame) -> DataFrame:
+        return lists if comp is None else lists.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    def open_lists(lists: DataFrame) -> DataFrame:
+        """(token, a, left): members and pairs left of the lists that hold more than one component."""
+        per = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("s")).groupBy("token").agg(
             F.sum("s").alias("a"), F.sum(F.col("s") * F.col("s")).alias("b")).filter("a * a > b")
-        open_lists = saved(open_lists.select("token", "a", ((F.col("a") * F.col("a") - F.col("b")) / 2).alias("left")), "op5-open")
-        at = saved(at.join(open_lists.select("token"), "token", "left_semi"), "op5-lists")
-        long_lists = open_lists.filter(F.col("a") > LONG_LIST)
-        left = long_lists.agg(F.sum("left")).first()[0] or 0.0
-        last = left <= FEW_PAIRS * n_post or turn == MOST_ROUNDS
-        if last:
-            pairs = shared_pairs(at.join(sizes, "cls"))
-        else:
-            # the first turn takes one centre for all lists that agree on it, later ones differ by list
-            rank = F.xxhash64("cls", F.lit(turn)) if turn == 0 else F.xxhash64("cls", "token", F.lit(turn))
-            there = at.join(long_lists.select("token"), "token", "left_semi")
-            centre = there.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cls", "comp")).alias("c"))
-            pairs = there.join(centre, "token").filter(F.col("comp") != F.col("c.comp")).select(
-                F.col("cls").alias("x"), F.col("c.cls").alias("y"))
+        return per.select("token", "a", ((F.col("a") * F.col("a") - F.col("b")) / 2).alias("left"))
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal tested, comp
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = pairs.join(nx, "x").join(ny, "y").filter(fits).drop("nx", "ny")
         if tested is not None:
@@ -424,10 +419,23 @@ def class_links(rows: DataFrame, post: DataFrame, members: DataFrame) -> DataFra
         tested = found if tested is None else tested.unionByName(found)
         if not found.filter("ok").isEmpty():
             comp = components(tested.filter("ok"))
-            if not last:
-                at = saved(at.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "op5-lists")
-        if last:
-            return comp
+
+    long_tokens = at.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG_LIST).select("token")
+    there = saved(at.join(long_tokens, "token", "left_semi"), "op5-long")
+    for turn in range(MOST_ROUNDS):
+        lists = saved(open_lists(labelled(there)), "op5-open")
+        if (lists.agg(F.sum("left")).first()[0] or 0.0) <= FEW_PAIRS * n_post:
+            break
+        there = saved(labelled(there).join(lists.select("token"), "token", "left_semi"), "op5-long")
+        # the first turn takes one centre for all lists that agree on it, later ones differ by list
+        rank = F.xxhash64("cls", F.lit(turn)) if turn == 0 else F.xxhash64("cls", "token", F.lit(turn))
+        centre = there.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cls", "comp")).alias("c"))
+        test(there.join(centre, "token").filter(F.col("comp") != F.col("c.comp")).select(
+            F.col("cls").alias("x"), F.col("c.cls").alias("y")))
+    at = saved(labelled(at), "op5-lists")
+    at = at.join(open_lists(at).select("token"), "token", "left_semi")
+    test(shared_pairs(at.join(sizes, "cls")))
+    return comp
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
