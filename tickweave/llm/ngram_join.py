@@ -41,6 +41,7 @@ VERIFY_COST = 2.0  # of a candidate, in postings
 BLOOM_BITS = 1 << 24
 SPREAD_FROM = 256  # counted at least so often, a shingle's list is dealt by class
 LONG_LIST, FEW_PAIRS, MOST_ROUNDS = 64, 2.0, 2  # members; pairs left per posting; turns of centres
+FAR_PLACE = 255  # a shingle's place in the order of its set; this one stands for all from here on
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -200,7 +201,7 @@ def adaptive_prefix(s: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.n
 
 
 def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
-    """(token, cls, l, ...): prefix postings of every class, shingles met by one class only left out.
+    """(token, cls, l, place, ...): prefix postings of every class, shingles met by one class only left out.
 
     Copies share most of their shingles, so many lists are equal (the same members): a list has a
     signature ``sig``, and equal lists of a part are one, ``times`` over (:func:`distinct_lists`).
@@ -218,12 +219,13 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
             hot = np.concatenate([f for _, f, _, _ in held])
             cls = np.repeat(np.array([c for _, _, c, _ in held], np.int64), [len(t) for t, _, _, _ in held])
             ls = np.concatenate([x for _, _, _, x in held])
+            pos = np.concatenate([np.minimum(np.arange(len(t)), FAR_PLACE).astype(np.uint8) for t, _, _, _ in held])
             home = (mixed(token, 7) % np.uint64(parts)).astype(np.int64)
             token = (token & LOW48) | (home.astype(np.uint64) << np.uint64(48))
             spread = (mixed(cls.view(np.uint64), 11) % np.uint64(parts)).astype(np.int64)
             part = np.where(hot, parts + spread, home)
             order = np.argsort(part, kind="stable")
-            part, token, cls, ls = part[order], token[order], cls[order], ls[order]
+            part, token, cls, ls, pos = part[order], token[order], cls[order], ls[order], pos[order]
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends = np.append(cuts[1:], len(part))
             low = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -231,10 +233,11 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
                 [pa.array(part[cuts].astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]),
                  pa.array([cls[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]),
                  pa.array([ls[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]),
+                 pa.array([pos[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]),
                  pa.array([(int(token[a]) >> 48) if p < parts else -1 for a, p in zip(cuts, part[cuts], strict=True)], pa.int32()),
                  pa.array([b"" if p < parts else (token[a:b] >> np.uint64(48)).astype("<u2").tobytes()
                            for a, b, p in zip(cuts, ends, part[cuts], strict=True)])],
-                ["part", "low", "cls", "l", "home", "homes"])
+                ["part", "low", "cls", "l", "place", "home", "homes"])
 
         for _, _, s in each_set(batches, 1):
             if not len(s):
@@ -254,10 +257,10 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
 
     def gather(table):
         import pyarrow as pa
-        token, cls, ls = [], [], []
+        token, cls, ls, pos = [], [], [], []
         hot = False
-        for row in zip(*(table.column(c).to_pylist() for c in ("low", "cls", "l", "home", "homes")), strict=True):
-            low, c, x, home, homes = row
+        for row in zip(*(table.column(c).to_pylist() for c in ("low", "cls", "l", "place", "home", "homes")), strict=True):
+            low, c, x, places, home, homes = row
             n = len(x)
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :6] = np.frombuffer(low, np.uint8).reshape(n, 6)
@@ -267,12 +270,13 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
             token.append(t | (top << np.uint64(48)))
             cls.append(np.frombuffer(c, np.int64))
             ls.append(np.frombuffer(x, np.uint8))
-        token, cls, ls = np.concatenate(token), np.concatenate(cls), np.concatenate(ls)
+            pos.append(np.frombuffer(places, np.uint8))
+        token, cls, ls, pos = (np.concatenate(v) for v in (token, cls, ls, pos))
         order = np.lexsort((cls, token))
-        token, cls, ls = token[order], cls[order], ls[order]
+        token, cls, ls, pos = token[order], cls[order], ls[order], pos[order]
         new_token = np.concatenate([[True], token[1:] != token[:-1]])
         keep = new_token | np.concatenate([[True], cls[1:] != cls[:-1]])  # a class once per shingle
-        token, cls, ls = token[keep], cls[keep], ls[keep]
+        token, cls, ls, pos = token[keep], cls[keep], ls[keep], pos[keep]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(starts, len(token)))
         if hot:  # a part holds some members of each list: lists stay as they are
@@ -287,24 +291,24 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
             times[order[first]] = same
             keep = np.repeat((times > 0) & (count > 1), count)
             sig, weight = np.repeat(of, count)[keep], np.repeat(times, count)[keep]
-            token, cls, ls = token[keep], cls[keep], ls[keep]
+            token, cls, ls, pos = token[keep], cls[keep], ls[keep], pos[keep]
         head = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
-        return pa.table({"token": token.astype(np.int64), "cls": cls, "l": ls.astype(np.int32),
+        return pa.table({"token": token.astype(np.int64), "cls": cls, "l": ls.astype(np.int32), "place": pos.astype(np.int32),
                          "sig": sig.astype(np.int64), "times": weight, "head": head})
 
     ship_package(rows.sparkSession)
-    dealt = map_arrow(rows, deal, "part int, low binary, cls binary, l binary, home int, homes binary")
-    return dealt.groupBy("part").applyInArrow(gather, "token long, cls long, l int, sig long, times long, head boolean")
+    dealt = map_arrow(rows, deal, "part int, low binary, cls binary, l binary, place binary, home int, homes binary")
+    return dealt.groupBy("part").applyInArrow(gather, "token long, cls long, l int, place int, sig long, times long, head boolean")
 
 
 # --- texts of candidates ------------------------------------------------------------------------
 
 def distinct_lists(post: DataFrame) -> DataFrame:
-    """(token, cls, l, w): one of all equal lists, standing for w shingles. Lists that are spread
+    """(token, cls, l, place, w): one of all equal lists, standing for w shingles. Lists that are spread
     over parts are signed by their shingle and stay as they are."""
     one = (post.filter("head").groupBy("sig").agg(F.min("token").alias("token"), F.sum("times").alias("times"))
            .withColumn("w", F.when(F.col("sig") == F.col("token"), F.lit(1).cast("long")).otherwise(F.col("times"))).drop("times"))
-    return post.join(one, ["sig", "token"]).select("token", "cls", "l", "w")
+    return post.join(one, ["sig", "token"]).select("token", "cls", "l", "place", "w")
 
 
 def candidate_texts(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -370,14 +374,18 @@ def shared_pairs(at: DataFrame) -> DataFrame:
 
     In the common order, what two sets share outside their prefixes lies behind one of the prefixes, so
     the m shingles common to both prefixes and the longer rest together must reach the needed overlap.
+    A shared shingle at places i and j has at most min(i, j) shared ones before it and min(nx - i, ny - j)
+    from it on; linked sets reach the needed overlap at every shared shingle, so others are not joined.
     For equal sets sizes n that asks for about n / 9 + l matches, far more than a common passage has."""
-    x = at.select("token", F.col("cls").alias("x"), F.col("l").alias("lx"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "w")
-    y = at.select("token", F.col("cls").alias("y"), F.col("l").alias("ly"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
+    x = at.select("token", F.col("cls").alias("x"), F.col("l").alias("lx"), F.col("place").alias("px"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "w")
+    y = at.select("token", F.col("cls").alias("y"), F.col("l").alias("ly"), F.col("place").alias("py"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
     first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     fits = (F.col("nx") * DEN >= F.col("ny") * NUM) & (F.col("cx") != F.col("cy"))
-    joined = x.join(y, (x["token"] == y["token"]) & first & fits)
-    met = joined.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.sum("w").alias("m"))
     need = F.ceil((F.col("nx") + F.col("ny")) * NUM / (NUM + DEN))
+    reach = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= need
+    near = (F.greatest("px", "py") >= FAR_PLACE) | reach
+    joined = x.join(y, (x["token"] == y["token"]) & first & fits & near)
+    met = joined.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.sum("w").alias("m"))
     behind = F.greatest(F.ceil(F.col("nx") * NUM / DEN) - F.col("lx"), F.ceil(F.col("ny") * NUM / DEN) - F.col("ly"))
     return met.filter(F.col("m") >= need - behind).select("x", "y")
 
@@ -429,7 +437,8 @@ def class_links(rows: DataFrame, post: DataFrame, members: DataFrame) -> DataFra
         there = saved(labelled(there).join(lists.select("token"), "token", "left_semi"), "op5-long")
         # the first turn takes one centre for all lists that agree on it, later ones differ by list
         rank = F.xxhash64("cls", F.lit(turn)) if turn == 0 else F.xxhash64("cls", "token", F.lit(turn))
-        centre = there.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "cls", "comp")).alias("c"))
+        # a centre has the fewest rarer shingles, as the text has that edited copies come from
+        centre = there.groupBy("token").agg(F.min(F.struct("place", rank.alias("r"), "cls", "comp")).alias("c"))
         test(there.join(centre, "token").filter(F.col("comp") != F.col("c.comp")).select(
             F.col("cls").alias("x"), F.col("c.cls").alias("y")))
     at = saved(labelled(at), "op5-lists")
