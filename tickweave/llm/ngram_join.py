@@ -204,7 +204,8 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
     """(token, cls, l, place, ...): prefix postings of every class, shingles met by one class only left out.
 
     Copies share most of their shingles, so many lists are equal (the same members): a list has a
-    signature ``sig``, and equal lists of a part are one, ``times`` over (:func:`distinct_lists`).
+    signature, which takes the shingle's place, and equal lists of a part are one, ``times`` over
+    (:func:`distinct_lists`).
 
     A token is a shingle's low 48 bits and its part; two shingles that agree in those make at most an
     extra candidate. Postings travel as byte strings, one per task, part and block."""
@@ -280,35 +281,34 @@ def postings(rows: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(starts, len(token)))
         if hot:  # a part holds some members of each list: lists stay as they are
-            sig, weight = token, np.ones(len(token), np.int64)
-        else:
+            times = np.ones(len(token), np.int64)
+        else:  # equal lists become one, a member's place in it the first of its places
             word = mixed(cls.view(np.uint64), 3)
             of = mixed(np.add.reduceat(word, starts) + count.astype(np.uint64))  # one value per list
-            order = np.argsort(of, kind="stable")
-            first = np.concatenate([[True], of[order][1:] != of[order][:-1]])
-            same = np.diff(np.append(np.flatnonzero(first), len(of)))
-            times = np.zeros(len(of), np.int64)
-            times[order[first]] = same
-            keep = np.repeat((times > 0) & (count > 1), count)
-            sig, weight = np.repeat(of, count)[keep], np.repeat(times, count)[keep]
-            token, cls, ls, pos = token[keep], cls[keep], ls[keep], pos[keep]
-        head = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
-        return pa.table({"token": token.astype(np.int64), "cls": cls, "l": ls.astype(np.int32), "place": pos.astype(np.int32),
-                         "sig": sig.astype(np.int64), "times": weight, "head": head})
+            keep = np.repeat(count > 1, count)
+            token, cls, ls, pos = np.repeat(of, count)[keep], cls[keep], ls[keep], pos[keep]
+            order = np.lexsort((cls, token))
+            token, cls, ls, pos = token[order], cls[order], ls[order], pos[order]
+            first = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])[:len(token)]
+            starts = np.flatnonzero(first)
+            times = np.diff(np.append(starts, len(token)))
+            pos = np.minimum.reduceat(pos, starts) if len(starts) else pos
+            token, cls, ls = token[starts], cls[starts], ls[starts]
+        return pa.table({"token": token.astype(np.int64), "cls": cls, "l": ls.astype(np.int32),
+                         "place": pos.astype(np.int32), "times": times})
 
     ship_package(rows.sparkSession)
     dealt = map_arrow(rows, deal, "part int, low binary, cls binary, l binary, place binary, home int, homes binary")
-    return dealt.groupBy("part").applyInArrow(gather, "token long, cls long, l int, place int, sig long, times long, head boolean")
+    return dealt.groupBy("part").applyInArrow(gather, "token long, cls long, l int, place int, times long")
 
 
 # --- texts of candidates ------------------------------------------------------------------------
 
 def distinct_lists(post: DataFrame) -> DataFrame:
-    """(token, cls, l, place, w): one of all equal lists, standing for w shingles. Lists that are spread
-    over parts are signed by their shingle and stay as they are."""
-    one = (post.filter("head").groupBy("sig").agg(F.min("token").alias("token"), F.sum("times").alias("times"))
-           .withColumn("w", F.when(F.col("sig") == F.col("token"), F.lit(1).cast("long")).otherwise(F.col("times"))).drop("times"))
-    return post.join(one, ["sig", "token"]).select("token", "cls", "l", "place", "w")
+    """(token, cls, l, place, w): equal lists of all parts as one, standing for w shingles. Lists that
+    are spread over parts go by their shingle and stay as they are."""
+    return post.groupBy("token", "cls").agg(
+        F.min("l").alias("l"), F.min("place").alias("place"), F.sum("times").alias("w"))
 
 
 def candidate_texts(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -372,22 +372,19 @@ def components(edges: DataFrame) -> DataFrame:
 def shared_pairs(at: DataFrame) -> DataFrame:
     """(x, y) of different components that share enough prefix shingles to link, x the smaller set.
 
-    In the common order, what two sets share outside their prefixes lies behind one of the prefixes, so
-    the m shingles common to both prefixes and the longer rest together must reach the needed overlap.
-    A shared shingle at places i and j has at most min(i, j) shared ones before it and min(nx - i, ny - j)
-    from it on; linked sets reach the needed overlap at every shared shingle, so others are not joined.
-    For equal sets sizes n that asks for about n / 9 + l matches, far more than a common passage has."""
+    With a needed overlap o, the first l common shingles of a linked pair lie among the first n - o + l of
+    either set, and l is the lesser of the two classes' (its prefix is at least as long, since o is 0.75 n
+    or more). So only shingles at such places are joined, and l of them are asked for. A list that stands
+    for several counts each of them when its first lies there: m is never too small."""
     x = at.select("token", F.col("cls").alias("x"), F.col("l").alias("lx"), F.col("place").alias("px"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "w")
     y = at.select("token", F.col("cls").alias("y"), F.col("l").alias("ly"), F.col("place").alias("py"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
     first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     fits = (F.col("nx") * DEN >= F.col("ny") * NUM) & (F.col("cx") != F.col("cy"))
-    need = F.ceil((F.col("nx") + F.col("ny")) * NUM / (NUM + DEN))
-    reach = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= need
-    near = (F.greatest("px", "py") >= FAR_PLACE) | reach
-    joined = x.join(y, (x["token"] == y["token"]) & first & fits & near)
-    met = joined.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.sum("w").alias("m"))
-    behind = F.greatest(F.ceil(F.col("nx") * NUM / DEN) - F.col("lx"), F.ceil(F.col("ny") * NUM / DEN) - F.col("ly"))
-    return met.filter(F.col("m") >= need - behind).select("x", "y")
+    room = F.least("lx", "ly") - F.ceil((F.col("nx") + F.col("ny")) * NUM / (NUM + DEN))
+    early = [(F.col(p) >= FAR_PLACE) | (F.col(p) < F.col(n) + room) for p, n in (("px", "nx"), ("py", "ny"))]
+    joined = x.join(y, (x["token"] == y["token"]) & first & fits & early[0] & early[1])
+    met = joined.groupBy("x", "y", "lx", "ly").agg(F.sum("w").alias("m"))
+    return met.filter(F.col("m") >= F.least("lx", "ly")).select("x", "y")
 
 
 def class_links(rows: DataFrame, post: DataFrame, members: DataFrame) -> DataFrame | None:
