@@ -13,7 +13,6 @@ one mean. Texts are scored whole and where they lie; nothing is shuffled but the
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,25 +29,56 @@ EPOCHS, RATE, L2 = 100, 0.05, 1e-5
 #: first), and characters per row.
 TRAIN_ROWS, CLEAN_PER_TOXIC, TRAIN_CHARS = 2000, 3, 20_000
 THRESHOLD = 0.7
+WORDS_AT_ONCE = 50_000
 FOLDS, HELD_OUT = 3, 1
 STRIP = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"""
 
 
 def words_of(text: str) -> list[bytes]:
-    """White-space words, A-Z lower-cased; :func:`subwords` strips their marks."""
+    """White-space words, A-Z lower-cased; :func:`subword_buckets` strips their marks."""
     return text.encode("utf-8", "replace").lower().split()
 
 
-def subwords(word: bytes) -> list[int]:
-    """Bucket numbers of a word and its character n-grams; none when it has no letter."""
-    w = word.strip(STRIP).decode("utf-8", "replace")
-    if not w:
-        return []
-    if len(w) > MAX_WORD:
-        w = w[:MAX_WORD // 2] + w[-MAX_WORD // 2:]
-    w = f"<{w}>"
-    grams = {w[i:i + n] for n in NGRAMS for i in range(len(w) - n + 1)} | {w}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (multiply, shift) over an array."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+#: Odd multipliers of the places of a word and of an n-gram's length.
+PLACES = mixed(np.arange(1, MAX_WORD + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def subword_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket): one entry per character n-gram of each word, plus one for the word itself; owner is
+    the word's index. A word without a letter has none. Words run through one code-point array, so the
+    n-grams of all are hashed at once."""
+    bare = []
+    for word in words:
+        w = word.strip(STRIP).decode("utf-8", "replace")
+        if len(w) > MAX_WORD:
+            w = w[:MAX_WORD // 2] + w[-(MAX_WORD // 2):]
+        bare.append(f"<{w}>" if w else "")
+    length = np.fromiter(map(len, bare), np.int64, len(bare))
+    if not length.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.frombuffer("".join(bare).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    end = np.cumsum(length)
+    of = np.repeat(np.arange(len(bare)), length)
+    left = np.repeat(end, length) - np.arange(len(code))  # characters of the word from here on
+    owners, buckets = [], []
+    for n in NGRAMS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h += code[at + k] * PLACES[k]
+        owners.append(of[at])
+        buckets.append(mixed(h) % np.uint64(BUCKETS))
+    some = np.flatnonzero(length)
+    place = np.arange(len(code)) - np.repeat(end - length, length)
+    owners.append(some)
+    buckets.append(mixed(np.add.reduceat(code * PLACES[place], (end - length)[some])) % np.uint64(BUCKETS))
+    return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
 
 
 class Scorer:
@@ -58,10 +88,6 @@ class Scorer:
         self.value, self.bias = bucket_value, bias
         self.cache = BoundedCache(600_000)
 
-    def word_value(self, word: bytes) -> float:
-        ids = subwords(word)
-        return float(self.value[ids].mean()) if ids else 0.0
-
     def scores(self, texts: list[str]) -> np.ndarray:
         lines = [words_of(t) for t in texts]
         words = set().union(*lines)
@@ -70,12 +96,12 @@ class Scorer:
             self.cache.clear()
             new = words
         new = list(new)
-        ids = [subwords(w) for w in new]
-        size = np.array([len(x) for x in ids], np.int64)
-        owner = np.repeat(np.arange(len(new)), size)
-        flat = np.fromiter((b for x in ids for b in x), np.int64, int(size.sum()))
-        total = np.bincount(owner, weights=self.value[flat], minlength=len(new))
-        self.cache.update(zip(new, (total / np.maximum(size, 1)).tolist(), strict=True))
+        for first in range(0, len(new), WORDS_AT_ONCE):
+            some = new[first:first + WORDS_AT_ONCE]
+            owner, bucket = subword_buckets(some)
+            size = np.bincount(owner, minlength=len(some))
+            total = np.bincount(owner, weights=self.value[bucket], minlength=len(some))
+            self.cache.update(zip(some, (total / np.maximum(size, 1)).tolist(), strict=True))
         n = np.array([len(x) for x in lines], np.int64)
         values = np.fromiter((v for x in lines for v in map(self.cache.__getitem__, x)), float, int(n.sum()))
         mean = np.bincount(np.repeat(np.arange(len(lines)), n), weights=values, minlength=len(lines)) / np.maximum(n, 1)
@@ -104,13 +130,13 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
         return Scorer(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     rows, cols = np.array(rows, np.int32), np.array(cols, np.int32)
     part = (np.array(counts) / np.array(sizes)[rows]).astype(np.float32)
-    flat, lengths = array("i"), array("i")
-    for w in vocab:
-        bag_of_word = subwords(w)
-        flat.extend(bag_of_word)
-        lengths.append(len(bag_of_word))
-    size, bucket = np.array(lengths, np.int64), np.array(flat, np.int32)
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    words, owners, buckets = list(vocab), [], []
+    for first in range(0, len(words), WORDS_AT_ONCE):
+        of, b = subword_buckets(words[first:first + WORDS_AT_ONCE])
+        owners.append((of + first).astype(np.int32))
+        buckets.append(b.astype(np.int32))
+    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    size = np.bincount(owner, minlength=len(words))
     each = (1.0 / np.maximum(size, 1))
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     params = [rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)]
