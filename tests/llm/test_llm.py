@@ -117,6 +117,24 @@ def test_centre_rounds_lose_no_link(spark, monkeypatch):
     assert Counter(tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()) == brute_components(rows)
 
 
+def test_ngram_links_of_long_texts(spark):
+    """Prefixes beyond the largest place that postings tell apart, similarities on both sides of 0.75."""
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(300)]
+    passage = [rng.choice(vocab) for _ in range(300)]
+    rows = []
+    for base in range(4):
+        words = [rng.choice(vocab) for _ in range(1300)]
+        for copy in range(10):
+            w = list(words)
+            for _ in range(rng.randint(10, 50)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(40)}"
+            rows.append((10 * base + copy, " ".join(w[rng.randrange(150):] + passage)))
+    got = Counter(tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows)).collect())
+    assert got == brute_components(rows)
+    assert 4 < len({c for _, _, c in got}) < 40
+
+
 def brute_quality(t):
     t = t or ""
     w = WORDS.findall(t)
