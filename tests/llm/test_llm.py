@@ -59,6 +59,21 @@ def test_line_dedup_edges(spark):
     assert [r.doc_id for r in line_dedup.dedup_lines(emptied, drop_emptied=True).collect()] == [1]
 
 
+def test_line_dedup_deletes_whole_runs(spark):
+    """Uneven lines: what follows a long line in a repeated run goes with it, as far as the run goes;
+    the longest match may lie at another place than the first one."""
+    long, short = " ".join(f"l{k}" for k in range(60)), [" ".join(f"s{j}x{k}" for k in range(8)) for j in range(5)]
+    run = [long, *short]
+    rows = [(1, "\n".join(["before one", *run, "after one"])), (2, "\n".join(["before two", *run, "", "after two"])),
+            (3, "\n".join([long, "own line"])), (4, "\n".join([short[4], *run[:3], "other end"])),
+            (5, "\n".join([long, "own line", short[0]]))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got[1] == (rows[0][1], 0)
+    assert got[2] == ("before two\n\nafter two", 6)
+    assert got[3] == ("own line", 1) and got[4] == (short[4] + "\nother end", 3)
+    assert got[5] == (short[0], 2)  # the long line first lies in 1, with the line after it in 3
+
+
 def brute_components(rows):
     sets = []
     for i, t in rows:

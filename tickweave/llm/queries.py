@@ -7,6 +7,7 @@ from tickweave.llm import bpe, exact_dedup, licenses, line_dedup, ngram_join, pa
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_line_dedup": line_dedup.op2,
+    "op2_line_dedup_runs": line_dedup.op2_runs,
     "op3_license_scan": licenses.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_ngram_join": ngram_join.op5,
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op2_line_dedup_runs": line_dedup.OP2_RUNS_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
