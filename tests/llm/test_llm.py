@@ -179,6 +179,27 @@ def test_quality_counts(spark):
     assert all(r.kept for r in good)
 
 
+def test_quality_tells_junk_from_prose():
+    """Base64, random letters, symbols and mojibake leave their bands; clean text of several scripts stays."""
+    import base64
+    rng = random.Random(1)
+    cache = quality.WordTokens(quality.tokenizer_path(quality.VOCABULARY))
+    some = lambda letters, n=150: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    clean = ["All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience.",
+             "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience.",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+             "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền.",
+             "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+             "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다."]
+    junk = [" ".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(20)), some("bcdfghjklmnpqrstvwxz"),
+            some("abcdefghijklmnopqrstuvwxyz"), some("#*$%&|<>~^@!{}[]"), clean[1].encode().decode("latin-1") * 2,
+            clean[2].encode().decode("latin-1"), some("".join(map(chr, range(0x4E00, 0x9FA5)))), some("".join(map(chr, range(0xAC00, 0xD7A3))))]
+    got = quality.fertility_ok(quality.measure([*clean, *junk], cache), quality.BANDS)
+    assert got[:len(clean)].all() and not got[len(clean):].any()
+    long = quality.measure(["x" * 5000], cache)
+    assert long["n_multi"][0] > 0
+
+
 def test_secret_spans(spark):
     field = secrets.train_field(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
     texts = ['É password = "abcdef1" x', "token:abc", "API_KEY=zzzzzz1 passwd='q.w-e_r/t'", "AKIA" + "Z" * 16 + " " + "0a" * 12, None, "",
