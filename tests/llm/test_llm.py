@@ -277,6 +277,19 @@ def test_toxicity_held_out(spark):
     assert toxicity.train([], []).scores([""])[0] < 0.7
 
 
+def test_toxicity_reads_the_middle_of_long_words():
+    """Unspaced text: a word in the middle enters the score, wherever it lies and in training too."""
+    rng = random.Random(2)
+    filler = lambda: "".join(rng.choice("aeioumnt") for _ in range(60))
+    texts = [filler() + ("grukzwolp" if k % 2 else "selaminor") + filler() for k in range(200)]
+    model = toxicity.train(texts, [k % 2 for k in range(200)])
+    bad, good = (model.scores([filler() + w + filler() for _ in range(20)]) for w in ("grukzwolp", "selaminor"))
+    assert bad.min() > good.max()
+    _, a = toxicity.subword_buckets([b"a" * 50 + b"bcd" + b"a" * 50])
+    _, b = toxicity.subword_buckets([b"a" * 103])
+    assert len(a) == len(b) and set(a) - set(b)
+
+
 def test_licenses(spark):
     a, b = list("xaybzcw"), list("abcw")
     assert [p for p in licenses.align([x.encode() for x in a], [x.encode() for x in b])] == [(1, 0), (3, 1), (5, 2), (6, 3)]

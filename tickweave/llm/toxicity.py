@@ -22,7 +22,6 @@ from tickweave.llm.common import BoundedCache, documents, map_arrow, per_process
 from tickweave.sources.tables import read_table
 
 BUCKETS, DIM, NGRAMS = 1 << 16, 8, (3, 4, 5)
-MAX_WORD = 40  # a longer token is read by its first and last half of this many characters
 SCALE = 20.0
 EPOCHS, RATE, L2 = 100, 0.05, 1e-5
 #: Bound of the training sample: toxic rows, clean rows for each of those (smallest hash of text
@@ -45,8 +44,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-#: Odd multipliers of the places of a word and of an n-gram's length.
-PLACES = mixed(np.arange(1, MAX_WORD + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Odd multipliers of the places of a word (longer words take them again) and of an n-gram's length.
+PLACES = mixed(np.arange(1, 43, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def subword_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +55,6 @@ def subword_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     bare = []
     for word in words:
         w = word.strip(STRIP).decode("utf-8", "replace")
-        if len(w) > MAX_WORD:
-            w = w[:MAX_WORD // 2] + w[-(MAX_WORD // 2):]
         bare.append(f"<{w}>" if w else "")
     length = np.fromiter(map(len, bare), np.int64, len(bare))
     if not length.any():
@@ -77,7 +74,7 @@ def subword_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     some = np.flatnonzero(length)
     place = np.arange(len(code)) - np.repeat(end - length, length)
     owners.append(some)
-    buckets.append(mixed(np.add.reduceat(code * PLACES[place], (end - length)[some])) % np.uint64(BUCKETS))
+    buckets.append(mixed(np.add.reduceat(code * PLACES[place % len(PLACES)], (end - length)[some])) % np.uint64(BUCKETS))
     return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
 
 
