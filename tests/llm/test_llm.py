@@ -302,6 +302,23 @@ def test_licenses(spark):
     assert len(licenses.increasing([3, 1, 2, 5, 4])) == 3
 
 
+def test_licenses_tell_neighbours_apart():
+    """A notice never counts for the license next to it: name and version decide."""
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for name, text in licenses.TEMPLATES.items():
+        found = scan.find(f"some words before {text} and some behind")
+        assert min(found, key=lambda x: (-x[3], x[1] - x[2]))[0] == name, name
+    kinds = lambda t: {n for n, *_ in scan.find(t)}
+    assert kinds("Released under the BSD License") == {"BSD-notice"}
+    assert kinds("Licensed under the Mozilla Public License, Version 2.0") == {"MPL-2.0-notice"}
+    assert kinds("Licensed under CC BY-SA 4.0") == {"CC-BY-SA-4.0-notice"}
+    assert kinds("Licensed under CC BY 4.0") == {"CC-BY-4.0-notice"}
+    assert kinds("Licensed under CC BY-NC-SA 4.0") == {"CC-BY-NC-SA-4.0-notice"}
+    assert kinds(licenses.TEMPLATES["LGPL-3.0"]) == {"LGPL-3.0"} and kinds(licenses.TEMPLATES["GPL-2.0"]) == {"GPL-2.0"}
+    assert kinds("Released under the Example License") == set()
+    assert kinds("Licensed under the Apache License 2.0") == {"Apache-2.0-notice"}
+
+
 def test_url_cascade(spark):
     rows = [(k, f"http://h{k % 40}.example.net/p?utm_source={k}" if k % 40 < 13 else f"http://h{k % 40}.example.net/p") for k in range(400)]
     rows += [(900, None), (901, "no scheme"), (902, "http://A.ORG/x"), (903, "http://example.org/en/12"), (903, "http://example.org/en/12"),

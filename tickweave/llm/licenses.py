@@ -4,7 +4,7 @@ A template and a stretch of text are aligned as patience diff aligns files: word
 both are anchors, the longest increasing subsequence of the anchors' positions stays, and every gap
 between neighbouring anchors is aligned the same way, recursively; equal words at a gap's two ends
 are matched first. Coverage is the share of the template's words that found a partner; a stretch is
-reported from ``coverage`` on.
+reported from ``coverage`` on when it holds the license's name and version (``DECIDING``).
 
 Stretches: a text can only cover a template when it holds that share of its distinct words, which
 rules out nearly all pairs by one set intersection. For the others, windows of the template's length
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tickweave.llm.common import documents, map_arrow, text_chunks
 
-#: Public notices and license texts, by id.
+#: Public notices and license texts, by id; of the long texts their openings (``-text``).
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
@@ -50,6 +50,126 @@ TEMPLATES = {
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without
         fee is hereby granted, provided that the above copyright notice and this permission notice appear in
         all copies.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the
+        License, or (at your option) any later version.""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the
+        License, or (at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the
+        License, or (at your option) any later version.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or
+        (at your option) any later version.""",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD-notice": "Released under the BSD License.",
+    "ISC-notice": "Released under the ISC License.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+        MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "EPL-2.0-notice": "Licensed under the Eclipse Public License, Version 2.0.",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public
+        License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0""",
+    "CC0-1.0-notice": "Released under CC0 1.0 Universal.",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+        binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0": """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.""",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-ND-4.0": """This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.""",
+    "CC-BY-NC-4.0": """This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.""",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-SA-4.0": """This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International
+        License.""",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-ND-4.0": """This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International
+        License.""",
+    "GPL-2.0-text": """GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.,
+        51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute
+        verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most
+        software are designed to take away your freedom to share and change it. By contrast, the GNU General
+        Public License is intended to guarantee your freedom to share and change free software--to make sure the
+        software is free for all its""",
+    "GPL-3.0-text": """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.
+        <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license
+        document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft
+        license for software and other kinds of works. The licenses for most software and other practical works
+        are designed to take away your freedom to share and change the works. By contrast, the GNU General
+        Public License is intended to guarantee your freedom to""",
+    "LGPL-2.1-text": """GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software
+        Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to
+        copy and distribute verbatim copies of this license document, but changing it is not allowed. [This is
+        the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public
+        License, version 2, hence the version number 2.1.] Preamble The licenses for most software are designed
+        to take away your freedom to share and""",
+    "LGPL-3.0-text": """GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation,
+        Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license
+        document, but changing it is not allowed. This version of the GNU Lesser General Public License
+        incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by
+        the additional permissions listed below. 0. Additional Definitions. As used herein, "this License"
+        refers to version 3 of the GNU Lesser General Public License, and the "GNU GPL""",
+    "MPL-2.0-text": """Mozilla Public License Version 2.0 ================================== 1. Definitions -------------- 1.1.
+        "Contributor" means each individual or legal entity that creates, contributes to the creation of, or
+        owns Covered Software. 1.2. "Contributor Version" means the combination of the Contributions of others
+        (if any) used by a Contributor and that particular Contributor's Contribution. 1.3. "Contribution" means
+        Covered Software of a particular Contributor. 1.4. "Covered Software" means Source Code Form to which
+        the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code
+        Form, and Modifications of such""",
+    "Apache-2.0-text": """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE,
+        REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use,
+        reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall
+        mean the copyright owner or entity authorized by the copyright owner that is granting the License.
+        "Legal Entity" shall mean the union of the acting entity and all other entities that control, are
+        controlled by, or are under common control with that entity. For the purposes of this definition,""",
+}
+#: What a find must hold besides its coverage: of each list one phrase, word for word and without a gap
+#: (the license's name and version), so that a neighbour's notice never counts.
+DECIDING = {
+    "AGPL-3.0": [["gnu affero general public license"], ["version 3", "v3", "v 3", "license 3"]],
+    "AGPL-3.0-notice": [["gnu affero general public license"], ["version 3", "v3", "v 3", "license 3"]],
+    "Apache-2.0": [["apache license version 2 0", "apache license 2 0", "apache 2 0", "apache license v2 0", "apache license v 2 0"]],
+    "Apache-2.0-notice": [["apache license version 2 0", "apache license 2 0", "apache 2 0", "apache license v2 0", "apache license v 2 0"]],
+    "Apache-2.0-text": [["apache license version 2 0"]],
+    "BSD-notice": [["bsd"]],
+    "CC-BY-4.0": [["creative commons attribution 4 0"]],
+    "CC-BY-4.0-notice": [["cc by 4 0"]],
+    "CC-BY-NC-4.0": [["creative commons attribution noncommercial 4 0"]],
+    "CC-BY-NC-4.0-notice": [["cc by nc 4 0"]],
+    "CC-BY-NC-ND-4.0": [["creative commons attribution noncommercial noderivatives 4 0"]],
+    "CC-BY-NC-ND-4.0-notice": [["cc by nc nd 4 0"]],
+    "CC-BY-NC-SA-4.0": [["creative commons attribution noncommercial sharealike 4 0"]],
+    "CC-BY-NC-SA-4.0-notice": [["cc by nc sa 4 0"]],
+    "CC-BY-ND-4.0": [["creative commons attribution noderivatives 4 0"]],
+    "CC-BY-ND-4.0-notice": [["cc by nd 4 0"]],
+    "CC-BY-SA-4.0": [["creative commons attribution sharealike 4 0"]],
+    "CC-BY-SA-4.0-notice": [["cc by sa 4 0"]],
+    "CC0-1.0-notice": [["cc0"]],
+    "EPL-2.0": [["eclipse public license"], ["license version 2 0", "license 2 0", "license v 2 0", "license v2 0"]],
+    "EPL-2.0-notice": [["eclipse public license"], ["license version 2 0", "license 2 0", "license v 2 0", "license v2 0"]],
+    "GPL-2.0": [["gnu general public license"], ["version 2", "v2", "v 2", "license 2"]],
+    "GPL-2.0-notice": [["gnu general public license"], ["version 2", "v2", "v 2", "license 2"]],
+    "GPL-2.0-text": [["gnu general public license"], ["version 2", "v2", "v 2", "license 2"]],
+    "GPL-3.0": [["gnu general public license"], ["version 3", "v3", "v 3", "license 3"]],
+    "GPL-3.0-notice": [["gnu general public license"], ["version 3", "v3", "v 3", "license 3"]],
+    "GPL-3.0-text": [["gnu general public license"], ["version 3", "v3", "v 3", "license 3"]],
+    "ISC-notice": [["isc"]],
+    "LGPL-2.1": [["gnu lesser general public license"], ["version 2 1", "v2 1", "v 2 1", "license 2 1"]],
+    "LGPL-2.1-notice": [["gnu lesser general public license"], ["version 2 1", "v2 1", "v 2 1", "license 2 1"]],
+    "LGPL-2.1-text": [["gnu lesser general public license"], ["version 2 1", "v2 1", "v 2 1", "license 2 1"]],
+    "LGPL-3.0": [["gnu lesser general public license"], ["version 3", "v3", "v 3", "license 3"]],
+    "LGPL-3.0-notice": [["gnu lesser general public license"], ["version 3", "v3", "v 3", "license 3"]],
+    "LGPL-3.0-text": [["gnu lesser general public license"], ["version 3", "v3", "v 3", "license 3"]],
+    "MIT-notice": [["mit"]],
+    "MPL-2.0": [["mozilla public license"], ["license version 2 0", "license 2 0", "license v 2 0", "license v2 0"]],
+    "MPL-2.0-notice": [["mozilla public license"], ["license version 2 0", "license 2 0", "license v 2 0", "license v2 0"]],
+    "MPL-2.0-text": [["mozilla public license"], ["license version 2 0", "license 2 0", "license v 2 0", "license v2 0"]],
 }
 COVERAGE = 0.75
 SLACK = 1.5
@@ -106,17 +226,24 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def decides(words: list[bytes], phrases: list[list[list[bytes]]]) -> bool:
+    """Whether of each list a phrase lies in ``words`` without a gap."""
+    line = b" %s " % b" ".join(words)
+    return all(any(b" %s " % b" ".join(p) in line for p in some) for some in phrases)
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
+    def __init__(self, templates: dict[str, str], coverage: float, deciding: dict[str, list[list[str]]] = DECIDING):
         self.coverage = coverage
-        self.templates = [(name, words, set(words)) for name, t in sorted(templates.items()) if (words := words_of(t))]
+        self.templates = [(name, words, set(words), [[words_of(p) for p in some] for some in deciding.get(name, [])])
+                          for name, t in sorted(templates.items()) if (words := words_of(t))]
 
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
         """(template, first word, end word, coverage) of every stretch, by template and position."""
         words = words_of(text)
         have = set(words)
         out = []
-        for name, template, distinct in self.templates:
+        for name, template, distinct, phrases in self.templates:
             # each absent distinct word leaves at least one template word unmatched
             need = math.ceil(self.coverage * len(template) - 1e-9)
             if len(template) - len(distinct - have) < need:
@@ -128,8 +255,9 @@ class Scanner:
                 start = hits[k]
                 if bisect_right(hits, start + width - 1) - k >= need:
                     pairs = align(template, words[start:start + width])
-                    if len(pairs) >= need:
-                        first, end = start + pairs[0][1], start + pairs[-1][1] + 1
+                    first, end = (start + pairs[0][1], start + pairs[-1][1] + 1) if pairs else (start, start)
+                    # a version may stand in words the template does not have, just behind
+                    if len(pairs) >= need and decides(words[first:end + 3], phrases):
                         out.append((name, first, end, len(pairs) / len(template)))
                         k = bisect_left(hits, end)
                         continue
