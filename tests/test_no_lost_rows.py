@@ -61,6 +61,18 @@ def test_settings_of_users_with_alerts_only(spark):
     assert got[2]["favorites"] == [] and got[2]["alerts"] == [{"stock": "B", "price": 3.0}]
 
 
+def test_settings_of_users_with_holdings_or_seen_urls_only(spark):
+    from tickweave.sources.sinks import settings_json
+    favs = spark.createDataFrame([(1, ["A"])], "user_id long, favorites array<string>")
+    held = spark.createDataFrame([(2, "b", 2.0, 3.5), (2, "A", 1.0, 9.0), (None, "C", 1.0, 1.0)],
+                                 "user_id long, symbol string, quantity double, buy_price double")
+    seen = spark.createDataFrame([(3, "u2"), (3, "u1"), (3, "u2"), (1, "u9")], "user_id long, url string")
+    got = {r.user_id: json.loads(r.settings_json) for r in settings_json(favs, holdings=held, seen=seen).collect()}
+    assert set(got) == {1, 2, 3, None} and got[1]["favorites"] == ["A"] and got[1]["seen_articles"] == ["u9"]
+    assert got[2]["portfolio"] == [{"ticker": "A", "quantity": 1.0, "buy_price": 9.0}, {"ticker": "B", "quantity": 2.0, "buy_price": 3.5}]
+    assert got[3] == {"favorites": [], "portfolio": [], "seen_articles": ["u1", "u2"], "model_config": {"epochs": 20, "batch_size": 32}}
+
+
 def test_stream_reads_a_table_stored_as_a_folder(spark, scratch):
     from tickweave.streaming import streams as T
     table = os.path.join(scratch, "events.parquet")

@@ -681,6 +681,17 @@ def q_s6_settings_json(spark, sf_dir):
     return settings_json(favorites_list(favorites(spark, sf_dir)))
 
 
+def q_s6_settings_json_full(spark, sf_dir):
+    """Per user: favourites, alerts, portfolio, seen urls and the model configuration; users
+    with any of them. A user is an event's user, an order's customer and an alert's supplier."""
+    from tickweave.operators.feeds import favorites_list
+    from tickweave.sources import fixtures as X
+    from tickweave.sources.sinks import settings_json
+    owned = X.alerts(spark, sf_dir).select(F.col("alert_id").alias("user_id"), "symbol", F.round("price", 2).alias("price"))
+    held = X.holdings(spark, sf_dir).withColumnRenamed("portfolio_id", "user_id")
+    return settings_json(favorites_list(X.favorites(spark, sf_dir)), owned, holdings=held, seen=X.seen_by_user(spark, sf_dir))
+
+
 def flagship(spark, sf_dir):
     """Trade signal of every symbol (E3) on the smoothed bars."""
     return q_e3_signal(spark, sf_dir)
@@ -768,4 +779,5 @@ QUERIES = {
     "m4_forecast_table_raw": q_m4_forecast_table_raw,
     "s5_export_csv": q_s5_export_csv,
     "s6_settings_json": q_s6_settings_json,
+    "s6_settings_json_full": q_s6_settings_json_full,
 }

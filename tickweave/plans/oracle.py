@@ -428,6 +428,25 @@ g AS (SELECT user_id, symbol, min(added_at) AS a0, arg_min(event_id, (added_at,
 SELECT user_id, CAST(to_json({'favorites': list(symbol ORDER BY a0, e0),
                               'model_config': {'epochs': 20, 'batch_size': 32}}) AS VARCHAR) AS settings_json
 FROM g GROUP BY user_id"""
+ORACLE["s6_settings_json_full"] = """WITH f AS (SELECT user_id, event_type AS symbol, ts AS added_at, event_id FROM events),
+g AS (SELECT user_id, symbol, min(added_at) AS a0, arg_min(event_id, (added_at, event_id)) AS e0
+      FROM f GROUP BY user_id, symbol),
+fav AS (SELECT user_id, list(symbol ORDER BY a0, e0) AS favorites FROM g GROUP BY user_id),
+al AS (SELECT s_suppkey AS user_id, list({'stock': CAST(s_suppkey AS VARCHAR), 'price': round(50000.0 + s_acctbal, 2)}) AS alerts
+       FROM supplier GROUP BY s_suppkey),
+h AS (SELECT o_custkey AS user_id, l_quantity AS quantity, l_extendedprice AS buy_price,
+             CASE WHEN l_orderkey % 7 = 0 THEN 'X' ELSE '' END || CAST(l_suppkey AS VARCHAR) AS ticker
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+po AS (SELECT user_id, list({'ticker': ticker, 'quantity': quantity, 'buy_price': buy_price} ORDER BY ticker, quantity, buy_price) AS portfolio
+       FROM h GROUP BY user_id),
+se AS (SELECT page_id % 500 AS user_id, list(DISTINCT url ORDER BY url) AS seen FROM pages WHERE page_id % 3 = 0 AND url IS NOT NULL GROUP BY 1),
+users AS (SELECT user_id FROM fav UNION SELECT user_id FROM al UNION SELECT user_id FROM po
+          UNION SELECT page_id % 500 FROM pages WHERE page_id % 3 = 0)
+SELECT u.user_id, CAST(to_json({'favorites': coalesce(favorites, []), 'alerts': coalesce(alerts, []),
+                                'portfolio': coalesce(portfolio, []), 'seen_articles': coalesce(seen, []),
+                                'model_config': {'epochs': 20, 'batch_size': 32}}) AS VARCHAR) AS settings_json
+FROM users u LEFT JOIN fav ON u.user_id IS NOT DISTINCT FROM fav.user_id LEFT JOIN al ON u.user_id IS NOT DISTINCT FROM al.user_id
+LEFT JOIN po ON u.user_id IS NOT DISTINCT FROM po.user_id LEFT JOIN se ON u.user_id IS NOT DISTINCT FROM se.user_id"""
 
 
 ORACLE["f6_holding_pnl"] = f"WITH {HOLD} SELECT portfolio_id, symbol, " + ", ".join(

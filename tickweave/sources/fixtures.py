@@ -85,6 +85,12 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter(F.col("page_id") % 3 == 0).select("url")
 
 
+def seen_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs of :func:`seen`, dealt over 500 users by page."""
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    return p.filter(F.col("page_id") % 3 == 0).select((F.col("page_id") % 500).alias("user_id"), "url")
+
+
 def flows(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Buy/sell amounts per market segment: open lines buy, filled lines sell.  ``lineitem``
     may be a stream of lineitem rows (stream-static joins with orders and customers)."""

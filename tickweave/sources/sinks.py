@@ -19,21 +19,27 @@ def export_csv(df: DataFrame, path: str, partition_by: str | None = "symbol") ->
 
 
 def settings_json(favorites_lists: DataFrame, alerts: DataFrame | None = None,
-                  epochs: int = K.DEFAULT_EPOCHS, batch_size: int = K.DEFAULT_BATCH_SIZE) -> DataFrame:
+                  epochs: int = K.DEFAULT_EPOCHS, batch_size: int = K.DEFAULT_BATCH_SIZE,
+                  holdings: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Per user, the exportable settings as one JSON document: favourites (in their list
-    order), saved alerts and the model configuration.  [S6]  Sets and tuples of the reference
-    become arrays; ``to_json`` does the serialising inside the JVM."""
+    order), saved alerts, portfolio, seen article urls (each a sorted array, where its table
+    is given) and the model configuration.  [S6]  Sets and tuples of the reference become
+    arrays; ``to_json`` does the serialising inside the JVM."""
     df = favorites_lists
-    cols = [F.col("favorites")]
-    if alerts is not None:
-        al = alerts.groupBy("user_id").agg(
-            F.array_sort(F.collect_list(F.struct(F.col("symbol").alias("stock"), "price"))).alias("alerts"))
-        al = al.withColumnRenamed("user_id", "_alert_user")
+    names = ["favorites"]
+    parts = [("alerts", alerts, F.collect_list(F.struct(F.col("symbol").alias("stock"), "price"))),
+             ("portfolio", holdings, F.collect_list(F.struct(F.upper("symbol").alias("ticker"), "quantity", "buy_price"))),
+             ("seen_articles", seen, F.collect_set("url"))]
+    for name, rows, items in parts:
+        if rows is None:
+            continue
+        part = rows.groupBy(F.col("user_id").alias("_user")).agg(F.array_sort(items).alias(name))
         # either side may be alone: a user with alerts only still has settings
-        df = df.join(al, df["user_id"].eqNullSafe(al["_alert_user"]), "full").withColumns({
-            "user_id": F.coalesce("user_id", "_alert_user"),
-            "favorites": F.coalesce("favorites", F.array().cast(dict(favorites_lists.dtypes)["favorites"]))}).drop("_alert_user")
-        cols.append(F.coalesce(F.col("alerts"), F.array().cast("array<struct<stock:string,price:double>>")).alias("alerts"))
+        df = df.join(part, df["user_id"].eqNullSafe(part["_user"]), "full").withColumn(
+            "user_id", F.coalesce("user_id", "_user")).drop("_user")
+        names.append(name)
+    types = dict(df.dtypes)
+    cols = [F.coalesce(F.col(n), F.array().cast(types[n])).alias(n) for n in names]
     cfg = F.struct(F.lit(epochs).alias("epochs"), F.lit(batch_size).alias("batch_size")).alias("model_config")
     return df.select("user_id", F.to_json(F.struct(*cols, cfg)).alias("settings_json"))
 
