@@ -230,6 +230,18 @@ def test_field_finds_unseen_secrets():
     assert [raw[a:b] for _, a, b in secrets.crf_spans(raw, field)] == [b"66213754e9ea22e86d"]
 
 
+def test_field_learns_from_both_classes(spark, monkeypatch):
+    """Texts with base spans that fill their bound leave the other class its own."""
+    with_span = [(k, f"some words here password=abc{k}def0123456 and more words") for k in range(30)]
+    without = [(100 + k, f"ref item{k}number{k} of words") for k in range(30)]
+    seen = []
+    monkeypatch.setattr(secrets.training_sequences, "__defaults__", (10,))
+    monkeypatch.setattr(secrets.Field, "train", lambda self, data: seen.extend(data) or self)
+    secrets.train_field(frame(spark, with_span + without))
+    marked = [any(tags) for _, tags in seen]
+    assert len(seen) == 20 and sum(marked) == 10
+
+
 def test_packing(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()] + [(-5, None), (-6, ""), (-7, "x " * 9000)]
     pieces = packing.pack_documents(frame(spark, rows)).toPandas()
