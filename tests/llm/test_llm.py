@@ -118,6 +118,15 @@ def test_ngram_components_against_brute_force(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_keep_one_keeps_an_ids_unlinked_text(spark):
+    """One id with two texts: only the near copy of the smaller id goes."""
+    copied, own = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, copied), (2, copied + " more"), (2, own), (3, own + " tail"), (4, "c d e f g h"), (4, "c d e f g h"), (5, ""), (5, None)]
+    got = ngram_join.keep_one(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([rows[0], rows[2], rows[4], rows[6], rows[7]])
+    assert got[0].__fields__ == frame(spark, []).columns
+
+
 def test_centre_rounds_lose_no_link(spark, monkeypatch):
     rng = random.Random(7)
     base = [f"w{rng.randrange(900)}" for _ in range(120)]

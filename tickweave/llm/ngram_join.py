@@ -473,19 +473,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, one document of each component: the one with the least id; repeated
-    rows (same id and text) with that id become one. Documents without words and rows with a null id
-    all stay."""
-    mark, again = free_name(docs.columns, "_group"), free_name(docs.columns, "_again")
-    groups = saved(jaccard_components(docs, id_col, text_col).filter("n_shingles > 0"), "op5-groups")
-    drop = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
-    rows = docs.join(drop, F.col(f"`{id_col}`") == F.col(mark), "left_anti")
-    twice = groups.groupBy(F.col(id_col).alias(again)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(again)
+    """The input's rows and columns, one document of each component: the one with the least id. A document
+    is its id and text: repeated rows of one are one, but an id's other texts go only by their own links.
+    Documents without words and rows with a null id all stay."""
+    known, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    row = F.when(known.isNotNull(), F.struct(known.alias("i"), F.xxhash64(text).alias("h")))  # least id, then hash
+    groups = saved(jaccard_components(docs.select(row.alias("row"), text.alias("t")), "row", "t").filter("n_shingles > 0"), "op5-groups")
+    mark = free_name(docs.columns, "_row")
+    drop = groups.filter("row != component_id").select(F.col("row").alias(mark)).distinct()
+    rows = docs.join(drop, row == F.col(mark), "left_anti")
+    twice = groups.filter("row IS NOT NULL").groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("row").alias(mark))
     if twice.isEmpty():
         return rows
-    same = F.col(f"`{id_col}`") == F.col(again)
-    return rows.join(twice, same, "left_anti").unionByName(
-        rows.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return rows.join(twice, row == F.col(mark), "left_anti").unionByName(
+        rows.join(twice, row == F.col(mark), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
