@@ -68,8 +68,8 @@ def test_components_against_brute_force(spark):
 
 def test_tables_without_links(spark):
     assert M.near_duplicates(frame(spark, [])).count() == 0
-    assert [tuple(r) for r in M.near_duplicates(frame(spark, [(3, None)])).collect()] == [(3, 0, 3, True)]
-    assert sorted(tuple(r) for r in M.near_duplicates(frame(spark, [(3, "a"), (4, "b")])).collect()) == [(3, 1, 3, True), (4, 1, 4, True)]
+    got = M.near_duplicates(frame(spark, [(3, "a"), (4, "b"), (5, None)])).collect()
+    assert sorted(tuple(r) for r in got) == [(3, 1, 3, True), (4, 1, 4, True), (5, 0, 5, True)]
 
 
 def test_pairs_within_the_radius_share_keys_of_two_chunks():
@@ -105,6 +105,7 @@ def test_lists_cut_by_second_chunk_and_blocks_meet_each_pair_once(monkeypatch):
     for row in sigs:
         at = rng.permutation(M.PLACES)[:rng.integers(5, 26)]
         row[at] ^= rng.integers(1, 256, len(at), dtype=np.uint8)
+    centres = [None if k % 3 else [int(c) for c in rng.integers(0, 5, k % 4)] for k in range(60)]
     cls, comp, n = np.arange(60) - 30, rng.integers(0, 40, 60), rng.integers(90, 110, 60)
     lists = {}
     for c, keys in enumerate(M.chunk_keys(sigs)):
@@ -116,7 +117,8 @@ def test_lists_cut_by_second_chunk_and_blocks_meet_each_pair_once(monkeypatch):
         m = np.array(members)
         table = pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(m), key)), pa.array(np.full(len(m), len(m))), pa.array(cls[m]), pa.array(comp[m]), pa.array(n[m]),
-             pa.array([s.tobytes() for s in sigs[m]])], names=["key", "size", "cls", "comp", "n", "sig"])
+             pa.array([s.tobytes() for s in sigs[m]]), pa.array([centres[c] for c in m], pa.list_(pa.int64()))],
+            names=["key", "size", "cls", "comp", "n", "sig", "centres"])
         cut = {}
         for batch in M._second_lists([table]):
             for row in batch.to_pylist():
@@ -130,6 +132,41 @@ def test_lists_cut_by_second_chunk_and_blocks_meet_each_pair_once(monkeypatch):
                     k = np.isin(block, (b1, b2))
                     if k.any():
                         got.update(M.list_pairs(key, sub, b1 == b2, block[k], c[k], np.array([r["comp"] for r in rows])[k],
-                                                np.array([r["n"] for r in rows])[k], M.sig_matrix([r["sig"] for r in rows])[k]))
-    want = brute_pairs(cls, comp, n, sigs)
+                                                np.array([r["n"] for r in rows])[k], M.sig_matrix([r["sig"] for r in rows])[k],
+                                                [r["centres"] for r, here in zip(rows, k) if here]))
+    met = {(min(cls[i], cls[j]), max(cls[i], cls[j])) for i in range(60) for j in range(i) if set(centres[i] or ()) & set(centres[j] or ())}
+    want = brute_pairs(cls, comp, n, sigs) - met
     assert set(got) == want and set(got.values()) == {1}
+
+
+def test_links_around_a_centre_are_exact():
+    rng = np.random.default_rng(6)
+    centre = np.unique(rng.integers(0, 1 << 60, 300, dtype=np.uint64))
+    spare = np.unique(rng.integers(0, 1 << 60, 60, dtype=np.uint64))
+    sets = []
+    for _ in range(50):
+        cut, more = rng.integers(0, 70), rng.integers(0, 30)
+        sets.append(np.unique(np.concatenate([rng.permutation(centre)[cut:], rng.permutation(spare)[:more]])))
+    comp = rng.integers(0, 30, 50)
+    own = np.where(comp < 12, -1 - comp % 2, comp % 3)
+    diff = lambda a, b: np.setdiff1d(a, b).tobytes()
+
+    def found(rows, o, m):
+        table = pa.table({"cls": rows, "comp": comp[rows], "n": [len(sets[k]) for k in rows], "own": own[rows], "o": [o] * len(rows), "m": [m] * len(rows),
+                          "minus": [diff(centre, sets[k]) for k in rows], "plus": [diff(sets[k], centre) for k in rows]})
+        return {tuple(r.values()) for r in M._around(table).to_pylist()}
+
+    def joined(pairs):
+        root = comp.copy()
+        for a, b in pairs:
+            root[root == root[b]] = root[a]
+        return {frozenset(np.flatnonzero(root == r)) for r in root}
+
+    everything = np.arange(50)
+    linked = {(a, b) for b in range(50) for a in range(b) if comp[a] != comp[b] and M.linked(sets[a], sets[b])}
+    got = found(everything, 0, 0)
+    assert got <= linked and joined(got) == joined(linked) and len(got) < 30 < len(linked)
+    apart = found(everything[np.isin(own, (1, -1))], 1, -1)
+    assert apart <= {p for p in linked if own[p[0]] != own[p[1]]}
+    sizes = M.common(sets, columns=7)
+    assert all(sizes[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(50) for b in range(a))
