@@ -107,6 +107,18 @@ def fired_alerts(bars: DataFrame, alerts: DataFrame, chunk_rows: int | None = No
         b = b.withColumn("_w", F.avg(F.when(moved, F.abs(F.col("close") - F.col("prev_close"))))
                          .over(Window.partitionBy("symbol"))).filter(moved)
         width = b.groupBy("symbol").agg(F.max("_w").alias("_w"))
+    return _crossed(b, width, alerts)
+
+
+def crossings(moves: DataFrame, alerts: DataFrame) -> DataFrame:
+    """``moves`` (symbol, prev_close, close and any others), price changes of any source, with the alerts
+    that each one crosses and its ``direction``: the range join of :func:`fired_alerts`."""
+    width = moves.groupBy("symbol").agg(F.avg(F.abs(F.col("close") - F.col("prev_close"))).alias("_w"))
+    return _crossed(moves.join(width, "symbol"), width, alerts)
+
+
+def _crossed(b: DataFrame, width: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Rows of ``b`` (with bucket width ``_w``) whose [prev_close, close] covers an alert price."""
     lo, hi = F.least("prev_close", "close"), F.greatest("prev_close", "close")
     bk = lambda x: F.floor(x / F.col("_w"))
     bb = b.withColumn("_bucket", F.explode(F.sequence(bk(lo), bk(hi)))).drop("_w")

@@ -58,6 +58,23 @@ def tail(df: DataFrame, n: int, key: str = "symbol", order_col: str = "date") ->
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def recent_indicators(bars: DataFrame, n: int, **options) -> DataFrame:
+    """The last ``n`` rows of each symbol with their indicators (``options`` as of ``add_indicators``), from the
+    ``n`` rows and the look-back before them only.  [A2, L1, P1]
+
+    The cut is a ``WindowGroupLimit`` before the shuffle, so a symbol's older history is neither exchanged
+    nor put through the indicator windows."""
+    from tickweave.functions.indicators import add_indicators, indicator_lookback
+    known = {k: options[k] for k in ("ma_windows", "rsi_period", "vol_window") if k in options}
+    return tail(add_indicators(tail(bars, n + indicator_lookback(**known)), **options), n)
+
+
+def series_min_max(bars: DataFrame, value: str = "close") -> DataFrame:
+    """(symbol, s_min, s_max) of every series.  [A5]  A hash aggregate with a partial phase: one row per
+    symbol and input split is exchanged."""
+    return bars.groupBy("symbol").agg(F.min(value).alias("s_min"), F.max(value).alias("s_max"))
+
+
 def select_columns(df: DataFrame, cols: Iterable[str], keys=("symbol", "date")) -> DataFrame:
     """Projection of the key columns and the wanted ones.  [P1]"""
     return df.select(*keys, *cols)

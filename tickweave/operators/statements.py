@@ -28,6 +28,15 @@ def statement_wide(long: DataFrame, items: list[str], keys=("symbol", "period"),
     return wide.join(rest, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
+def statement_views(long: DataFrame, items: dict[str, list[str]], kind_col: str = "statement",
+                    keys=("symbol", "period")) -> dict[str, DataFrame]:
+    """One wide frame per statement kind (income statement, balance sheet, cash flow), each with its own
+    items only.  [R1]  ``items`` names the kinds and their line items in display order; lines of other
+    kinds, or without one, are in no view. Each view filters on the kind before it pivots, so a table
+    partitioned by kind is read in part."""
+    return {kind: statement_wide(long.filter(F.col(kind_col) == kind), wanted, keys) for kind, wanted in items.items()}
+
+
 def select_available(df: DataFrame, wanted: list[str], keys=("symbol", "period")) -> DataFrame | None:
     """Keep the wanted columns that exist, in the frame's own order; ``None`` when there are
     none ("not available").  [P2]  Schema-level, no job."""

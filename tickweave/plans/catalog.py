@@ -120,8 +120,12 @@ def q_e2_intraday_indicators(spark, sf_dir):
                                     "close", "rsi", "ma20", "ma50", "volatility"))
 
 
+def _recent(spark, sf_dir, n):
+    return S.recent_indicators(bars(spark, sf_dir), n, price_scale=PRICE_SCALE)
+
+
 def q_a2_latest(spark, sf_dir):
-    return round_doubles(S.latest(enriched(spark, sf_dir), ["close", "rsi"]))
+    return round_doubles(S.latest(_recent(spark, sf_dir, 1), ["close", "rsi"]))
 
 
 def q_a3_trailing_stats(spark, sf_dir):
@@ -129,11 +133,11 @@ def q_a3_trailing_stats(spark, sf_dir):
 
 
 def q_l1_tail(spark, sf_dir):
-    return round_doubles(S.tail(enriched(spark, sf_dir), 50))
+    return round_doubles(_recent(spark, sf_dir, 50))
 
 
 def q_p1_select_columns(spark, sf_dir):
-    return round_doubles(S.select_columns(S.tail(enriched(spark, sf_dir), 20), ["close", "rsi"]))
+    return round_doubles(S.select_columns(_recent(spark, sf_dir, 20), ["close", "rsi"]))
 
 
 def q_p4_add_if_missing(spark, sf_dir):
@@ -281,9 +285,7 @@ def q_s3_smooth_bars(spark, sf_dir):
 
 
 def q_a5_series_min_max(spark, sf_dir):
-    from tickweave.plans.forecast import with_min_max
-    return round_doubles(with_min_max(bars(spark, sf_dir)).groupBy("symbol").agg(
-        F.max("s_min").alias("s_min"), F.max("s_max").alias("s_max")))
+    return round_doubles(S.series_min_max(bars(spark, sf_dir)))
 
 
 def q_f7_minmax_scale(spark, sf_dir):
@@ -481,6 +483,29 @@ def q_r1_statement_wide(spark, sf_dir):
     return round_doubles(_wide(spark, sf_dir), digits=2)
 
 
+def q_r1_statement_kinds(spark, sf_dir):
+    """Income statement, balance sheet and cash flow of every company and quarter, side by side in one
+    frame with the kind as a key."""
+    from tickweave.operators.statements import statement_wide
+    from tickweave.sources.fixtures import STATEMENT_ITEMS, statement_lines
+    items = [i for kind in STATEMENT_ITEMS.values() for i in kind]
+    return round_doubles(statement_wide(statement_lines(spark, sf_dir), items, keys=("symbol", "statement", "period")), digits=2)
+
+
+def q_r1_statement_views(spark, sf_dir):
+    """The three statement views as the company tab prints them: own columns only, "N/A" where absent."""
+    from tickweave.operators.statements import fill_and_stringify, statement_views
+    from tickweave.sources.fixtures import STATEMENT_ITEMS, statement_lines
+    views = statement_views(statement_lines(spark, sf_dir), STATEMENT_ITEMS)
+    long = None
+    for kind, wide in views.items():
+        shown = fill_and_stringify(round_doubles(wide, digits=2))
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("item"), F.col(f"`{i}`").alias("shown")) for i in STATEMENT_ITEMS[kind]]))
+        part = shown.select("symbol", F.lit(kind).alias("statement"), "period", cells.alias("c")).select("symbol", "statement", "period", "c.*")
+        long = part if long is None else long.unionByName(part)
+    return long
+
+
 def q_p2_select_available(spark, sf_dir):
     from tickweave import constants as K
     from tickweave.operators.statements import select_available
@@ -542,8 +567,8 @@ def q_t3_stream_latest_quote(spark, sf_dir):
     from tickweave.sources.fixtures import quotes_from
     from tickweave.streaming import streams as T
     ev = T.table_stream(spark, sf_dir, "events")
-    _, out = T.run_to_files(T.stream_latest_quote(quotes_from(ev), seq="event_id").drop("last_ts"), "t3", mode="complete")
-    return round_doubles(spark.read.parquet(out))
+    _, table = T.run_to_versions(T.stream_latest_quote(quotes_from(ev), seq="event_id").drop("last_ts"), "t3")
+    return round_doubles(table.read())
 
 
 def q_t4_stream_bars(spark, sf_dir):
@@ -556,28 +581,14 @@ def q_t4_stream_bars(spark, sf_dir):
 
 
 def q_t5_stream_indicators(spark, sf_dir):
-    """Daily bars replayed as a stream of 8 date slices in time order (one micro-batch each);
-    the indicator table kept by ``foreachBatch`` must equal the batch computation."""
-    from tickweave.session import materialize, shared_dir
+    """Daily bars as a stream in random date order (dealt into 4 micro-batches by hash, so nearly every
+    bar is late): the indicators kept by cell must equal the batch computation."""
+    from tickweave.session import shared_dir
     from tickweave.streaming import streams as T
-    src = shared_dir(spark, "t5-bars")
-    b = materialize(bars(spark, sf_dir))
-    edges = b.select(F.percentile_approx(F.unix_date("date"), [i / 8 for i in range(1, 8)], 10000)).first()[0]
-    bounds = [None] + edges + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):  # one write per slice, oldest first: the file
-        part = b                                 # source takes files in modification order
-        if lo is not None:
-            part = part.filter(F.unix_date("date") >= lo)
-        if hi is not None:
-            part = part.filter(F.unix_date("date") < hi)
-        part.coalesce(1).write.mode("append").parquet(src)
-    stream = T.parquet_stream(spark, src, schema=b.schema, max_files=1)
-    tail, out = shared_dir(spark, "t5-tail"), shared_dir(spark, "t5-ind")
-    q = stream.writeStream.option("checkpointLocation", shared_dir(spark, "t5-ckpt")) \
-        .foreachBatch(T.indicator_batch_writer(tail, out, price_scale=PRICE_SCALE)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    cur = T.current_indicators(spark, out)
-    return round_doubles(cur.select("symbol", "date", "close", "rsi", "ma20", "ma50", "ma200", "volatility"))
+    from tickweave.streaming.live import LiveIndicators
+    live = LiveIndicators(spark, shared_dir(spark, "t5"), price_scale=PRICE_SCALE)
+    T.replay(bars(spark, sf_dir), F.pmod(F.xxhash64("symbol", "date"), F.lit(4)), 4, "t5", live.write)
+    return round_doubles(live.current().select("symbol", "date", "close", "rsi", "ma20", "ma50", "ma200", "volatility"))
 
 
 def q_t1_stream_net_flow(spark, sf_dir):
@@ -586,8 +597,8 @@ def q_t1_stream_net_flow(spark, sf_dir):
     from tickweave.streaming import streams as T
     li = T.table_stream(spark, sf_dir, "lineitem")
     live = T.stream_net_flow(flows(spark, sf_dir, lineitem=li))
-    _, out = T.run_to_files(live, "t1-flows", mode="complete")
-    return round_doubles(spark.read.parquet(out), digits=2)
+    _, table = T.run_to_versions(live, "t1-flows")
+    return round_doubles(table.read(), digits=2)
 
 
 def q_t6_stream_alerts(spark, sf_dir):
@@ -603,6 +614,31 @@ def q_t6_stream_alerts(spark, sf_dir):
     return round_doubles(T.fired_alerts_table(spark, out))
 
 
+def q_t6_stream_alerts_live(spark, sf_dir):
+    """Live J4: ticks in time order, four micro-batches, alerts crossed upwards and downwards."""
+    from tickweave.session import shared_dir
+    from tickweave.sources.fixtures import quotes, tick_alerts
+    from tickweave.streaming import streams as T
+    from tickweave.streaming.live import LiveAlerts
+    ticks = quotes(spark, sf_dir).select("symbol", "ts", F.col("event_id").alias("seq"), "price")
+    live = LiveAlerts(spark, tick_alerts(spark, sf_dir), shared_dir(spark, "t6-live"))
+    T.replay(ticks, T.quantile_slice(ticks, F.unix_micros("ts"), 4), 4, "t6-live", live.write)
+    fired = live.fired_so_far().withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).drop("batch_id")
+    return round_doubles(fired)
+
+
+def q_t2_stream_unseen_news_indexed(spark, sf_dir):
+    """T2 in its exact form by the seen index: the feed in feed order, four micro-batches."""
+    from tickweave.session import shared_dir
+    from tickweave.sources.fixtures import news, seen
+    from tickweave.streaming import streams as T
+    from tickweave.streaming.seen import IndexedNews
+    feed = news(spark, sf_dir)
+    live = IndexedNews(spark, seen(spark, sf_dir), shared_dir(spark, "t2-indexed"))
+    T.replay(feed, T.quantile_slice(feed, F.col("feed_pos"), 4), 4, "t2-indexed", live.write)
+    return live.news().select("url", "title", "feed_pos", F.col("source.name").alias("source_name"))
+
+
 
 # --- pooled look-back regression (no SQL twin: an iterative fit) -----------------------------
 
@@ -659,6 +695,84 @@ def q_m4_forecast_table_raw(spark, sf_dir):
     return round_doubles(forecast_table(fc), overrides=PRICE4)
 
 
+# --- one model per series: normal equations (twins solve them again in SQL) and networks -------------
+
+def _series(spark, sf_dir):
+    """(bars, samples, coefficients), the samples written once for the fit and the predictions."""
+    from tickweave.plans import forecast as FC
+    from tickweave.plans.series_model import fit_per_series
+    b = smooth(spark, sf_dir)
+    smp = _written(FC.samples(b, LOOK_BACK), "series-samples")
+    return b, smp, fit_per_series(smp, LOOK_BACK)
+
+
+def _written(df, name):
+    from tickweave.session import shared_dir
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def q_m1_fit_per_series(spark, sf_dir):
+    """Every symbol's coefficients as rows ``(symbol, term, weight)``: term 0 is the intercept, term k the
+    k-th oldest look-back value."""
+    _, _, fit = _series(spark, sf_dir)
+    rows = fit.select("symbol", "n_train", F.posexplode("coef").alias("term", "weight"))
+    return round_doubles(rows.withColumn("term", F.col("term").cast("long")), digits=4)
+
+
+def q_m2_predict_test_per_series(spark, sf_dir):
+    from tickweave.plans.series_model import predict_test_series
+    _, smp, fit = _series(spark, sf_dir)
+    return round_doubles(predict_test_series(smp, fit, LOOK_BACK), digits=2)
+
+
+def q_m3_forecast_per_series(spark, sf_dir):
+    from tickweave.plans import forecast as FC
+    from tickweave.plans.series_model import recursive_forecast_series
+    b, _, fit = _series(spark, sf_dir)
+    return round_doubles(FC.forecast_table(recursive_forecast_series(FC.last_state(b, LOOK_BACK), fit, LOOK_BACK)), digits=2)
+
+
+def q_a4_forecast_metrics_per_series(spark, sf_dir):
+    from tickweave.plans import forecast as FC
+    from tickweave.plans.series_model import predict_test_series
+    _, smp, fit = _series(spark, sf_dir)
+    return round_doubles(FC.metrics(predict_test_series(smp, fit, LOOK_BACK)), digits=2)
+
+
+def _networks(spark, sf_dir):
+    from tickweave.plans import forecast as FC
+    from tickweave.plans.network import fit_series_networks
+    b = smooth(spark, sf_dir)
+    smp = _written(FC.samples(b, LOOK_BACK), "network-samples")
+    return b, smp, _written(fit_series_networks(smp, LOOK_BACK), "network-models")
+
+
+def q_m1_fit_networks(spark, sf_dir):
+    """Training loss of every symbol's own network, epoch by epoch."""
+    _, _, models = _networks(spark, sf_dir)
+    return models.select("symbol", "n_train", F.posexplode("losses").alias("epoch", "loss"))
+
+
+def q_m3_forecast_networks(spark, sf_dir):
+    from tickweave.plans import forecast as FC
+    from tickweave.plans.network import recursive_forecast_network
+    b, _, models = _networks(spark, sf_dir)
+    return FC.forecast_table(recursive_forecast_network(FC.last_state(b, LOOK_BACK), models, LOOK_BACK))
+
+
+def q_m2_metrics_networks(spark, sf_dir):
+    """Test MAE and MAPE of every symbol's own network, and of the pooled one beside it."""
+    from tickweave.plans import forecast as FC
+    from tickweave.plans.network import fit_pooled_network, predict_test_network
+    _, smp, models = _networks(spark, sf_dir)
+    pooled, _ = fit_pooled_network(smp, LOOK_BACK)
+    own = FC.metrics(predict_test_network(smp, models, LOOK_BACK))
+    one = FC.metrics(predict_test_network(smp, pooled, LOOK_BACK)).select("symbol", F.col("mae").alias("pooled_mae"), F.col("mape").alias("pooled_mape"))
+    return own.join(one, "symbol")
+
+
 # --- sinks ------------------------------------------------------------------------------------
 
 def q_s5_export_csv(spark, sf_dir):
@@ -759,6 +873,8 @@ QUERIES = {
     "a6_net_flow_total": q_a6_net_flow_total,
     "p8_favorites_distinct": q_p8_favorites_distinct,
     "r1_statement_wide": q_r1_statement_wide,
+    "r1_statement_kinds": q_r1_statement_kinds,
+    "r1_statement_views": q_r1_statement_views,
     "p2_select_available": q_p2_select_available,
     "p5_fill_and_stringify": q_p5_fill_and_stringify,
     "p6_profile_field": q_p6_profile_field,
@@ -771,12 +887,21 @@ QUERIES = {
     "t4_stream_bars": q_t4_stream_bars,
     "t5_stream_indicators": q_t5_stream_indicators,
     "t6_stream_alerts": q_t6_stream_alerts,
+    "t6_stream_alerts_live": q_t6_stream_alerts_live,
+    "t2_stream_unseen_news_indexed": q_t2_stream_unseen_news_indexed,
     "m1_fit_pooled": q_m1_fit_pooled,
     "m2_predict_test_pooled": q_m2_predict_test_pooled,
     "m5_actual_vs_predicted": q_m5_actual_vs_predicted,
     "m3_forecast_pooled": q_m3_forecast_pooled,
     "e3_signal_pooled": q_e3_signal_pooled,
     "m4_forecast_table_raw": q_m4_forecast_table_raw,
+    "m1_fit_per_series": q_m1_fit_per_series,
+    "m2_predict_test_per_series": q_m2_predict_test_per_series,
+    "m3_forecast_per_series": q_m3_forecast_per_series,
+    "a4_forecast_metrics_per_series": q_a4_forecast_metrics_per_series,
+    "m1_fit_networks": q_m1_fit_networks,
+    "m2_metrics_networks": q_m2_metrics_networks,
+    "m3_forecast_networks": q_m3_forecast_networks,
     "s5_export_csv": q_s5_export_csv,
     "s6_settings_json": q_s6_settings_json,
     "s6_settings_json_full": q_s6_settings_json_full,

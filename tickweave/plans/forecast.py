@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickweave import constants as K
 from tickweave.functions.rules import business_days
-from tickweave.operators.series import chronological_split, lag_windows
+from tickweave.operators.series import chronological_split, lag_windows, series_min_max
 
 
 def with_min_max(bars: DataFrame, value: str = "close") -> DataFrame:
@@ -69,7 +69,7 @@ def _samples_chunked(bars: DataFrame, look_back: int, train_fraction: float, wit
     lo, hi = K.LOOK_BACK_RANGE
     if not lo <= look_back <= hi:
         raise ValueError(f"look_back must be in {lo}..{hi}")
-    mm = bars.groupBy("symbol").agg(F.min("close").alias("s_min"), F.max("close").alias("s_max"))
+    mm = series_min_max(bars)
     mm = mm.withColumnRenamed("symbol", "_mm_symbol")
     sc = bars.join(mm, bars["symbol"].eqNullSafe(mm["_mm_symbol"])).drop("_mm_symbol").withColumn("scaled", scale(F.col("close"), F.col("s_min"), F.col("s_max")))
     ch = series_chunks(sc, look_back, max(int(chunk_rows), look_back))

@@ -506,3 +506,89 @@ SELECT symbol, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, {R('close'
        {R('volatility', 'volatility')} FROM i4"""
 ORACLE["t2_stream_unseen_news_exact"] = ORACLE["j2_unseen_news"]
 ORACLE["j4_fired_alerts_chunked"] = ORACLE["j4_fired_alerts"]
+
+
+# --- live state ------------------------------------------------------------------------------------
+
+ORACLE["t2_stream_unseen_news_indexed"] = ORACLE["j2_unseen_news"]
+ORACLE["t6_stream_alerts_live"] = f"""WITH k AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS kinds FROM events),
+a AS (SELECT s_suppkey AS alert_id, kinds[CAST(s_suppkey % len(kinds) AS INTEGER) + 1] AS symbol, round(s_acctbal / 10, 2) AS alert_price
+      FROM supplier, k),
+t AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price,
+             lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev_price FROM events),
+x AS (SELECT a.alert_id, a.symbol, a.alert_price, CASE WHEN prev_price < price THEN 'up' ELSE 'down' END AS direction, ts, seq, prev_price, price,
+             row_number() OVER (PARTITION BY a.alert_id ORDER BY ts, seq) AS rn
+      FROM a JOIN t ON a.symbol = t.symbol
+      WHERE (prev_price < alert_price AND alert_price <= price) OR (prev_price > alert_price AND alert_price >= price))
+SELECT alert_id, symbol, {R('alert_price', 'alert_price')}, direction, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, seq,
+       {R('prev_price', 'prev_price')}, {R('price', 'price')} FROM x WHERE rn = 1"""
+
+
+# --- one regression per series: the normal equations once more, by Gauss-Jordan elimination ---------
+
+def series_ctes(L: int = 30, ridge: float = 1e-3) -> str:
+    """After :func:`fc_ctes`: ``smf`` (samples with their look-back lists) and ``own`` (symbol, n, w: the
+    coefficients, intercept first)."""
+    d = L + 1
+    return f"""fl AS (SELECT symbol, date, list(scaled) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {L} PRECEDING AND 1 PRECEDING) AS f FROM sc),
+smf AS (SELECT smp.*, f FROM smp JOIN fl ON smp.symbol = fl.symbol AND smp.date = fl.date),
+zs AS (SELECT symbol, list_concat([1.0::DOUBLE], f, [label]) AS z FROM smf WHERE is_train),
+cells AS (SELECT symbol, i, j, sum(z[i] * z[j]) AS v FROM zs, range(1, {d + 1}) a(i), range(1, {d + 2}) b(j) GROUP BY symbol, i, j),
+ns AS (SELECT symbol, count(*) AS n FROM zs GROUP BY symbol),
+mrows AS (SELECT c.symbol, n, i, list(v + CASE WHEN i = j AND i > 1 THEN {ridge} * n ELSE 0 END ORDER BY j) AS r
+          FROM cells c JOIN ns ON c.symbol = ns.symbol GROUP BY c.symbol, n, i),
+gj AS (SELECT symbol, n, 0 AS k, list(r ORDER BY i) AS m FROM mrows GROUP BY symbol, n
+       UNION ALL
+       SELECT symbol, n, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / m[k + 1][k + 1])
+                ELSE list_transform(r, lambda x, j: x - r[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END)
+       FROM gj WHERE k < {d}),
+own AS (SELECT symbol, n, list_transform(m, lambda r: r[{d + 1}]) AS w FROM gj WHERE k = {d}),
+opred AS (SELECT s.symbol, s.date, s.sample_idx, s.close AS actual,
+                 (w[1] + list_sum(list_transform(f, lambda x, i: x * w[i + 1]))) * (s_max - s_min) + s_min AS predicted
+          FROM smf s JOIN own ON s.symbol = own.symbol WHERE NOT is_train),
+hist AS (SELECT symbol, list(scaled ORDER BY date) AS h FROM
+           (SELECT symbol, date, scaled, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM sc) WHERE rn <= {L} GROUP BY symbol),
+ofc AS (SELECT hist.symbol, 0 AS step, h, w FROM hist JOIN own ON hist.symbol = own.symbol WHERE len(h) = {L}
+        UNION ALL
+        SELECT symbol, step + 1, list_append(h[2:], w[1] + list_sum(list_transform(h, lambda x, i: x * w[i + 1]))), w FROM ofc WHERE step < 30),
+ofct AS (SELECT ofc.symbol, CAST(ofc.step AS BIGINT) AS step, bd.date, h[{L}] * (st.s_max - st.s_min) + st.s_min AS price
+         FROM ofc JOIN st ON ofc.symbol = st.symbol JOIN bd ON bd.symbol = ofc.symbol AND bd.step = ofc.step WHERE ofc.step >= 1)"""
+
+
+_OWN = _FC.rstrip() + ",\n" + series_ctes() + "\n"
+ORACLE["m1_fit_per_series"] = _OWN + f"""SELECT symbol, n AS n_train, CAST(t - 1 AS BIGINT) AS term, {R('w[t]', 'weight', 4)}
+FROM own, range(1, 32) r(t)"""
+ORACLE["m2_predict_test_per_series"] = _OWN + f"SELECT symbol, date, sample_idx, {R('actual', 'actual', 2)}, {R('predicted', 'predicted', 2)} FROM opred"
+ORACLE["m3_forecast_per_series"] = _OWN + f"SELECT symbol, step, date, {R('price', 'price', 2)} FROM ofct"
+ORACLE["a4_forecast_metrics_per_series"] = _OWN + f"""SELECT symbol, count(*) AS n_test, {R('avg(abs(actual - predicted))', 'mae', 2)},
+  {R('avg(abs((actual - predicted) / nullif(actual, 0))) * 100', 'mape', 2)} FROM opred GROUP BY symbol"""
+
+
+# --- statement kinds ---------------------------------------------------------------------------------
+
+KINDS = """li AS (SELECT CAST(s_nationkey AS VARCHAR) AS symbol, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, lineitem.*
+       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+lines AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS symbol, 'income' AS statement, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period,
+         CASE o_orderstatus WHEN 'F' THEN 'Total Revenue' WHEN 'O' THEN 'Net Income' WHEN 'P' THEN 'Operating Expense' END AS item, o_totalprice AS value
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL
+  SELECT symbol, 'balance', period, CASE l_returnflag WHEN 'A' THEN 'Total Assets' WHEN 'N' THEN 'Total Debt' WHEN 'R' THEN 'Cash And Cash Equivalents' END,
+         l_extendedprice FROM li
+  UNION ALL
+  SELECT symbol, 'cashflow', period, CASE l_linestatus WHEN 'O' THEN 'Operating Cash Flow' WHEN 'F' THEN 'Capital Expenditure' END,
+         l_extendedprice * (1 - l_discount) * CASE WHEN l_linestatus = 'F' THEN -1 ELSE 1 END FROM li),
+wide AS (SELECT symbol, statement, period"""
+_KIND_ITEMS = {"income": ["Total Revenue", "Net Income", "Operating Expense"],
+               "balance": ["Total Assets", "Total Debt", "Cash And Cash Equivalents"], "cashflow": ["Operating Cash Flow", "Capital Expenditure"]}
+for _items in _KIND_ITEMS.values():
+    for _i in _items:
+        KINDS += f", sum(value) FILTER (item = '{_i}') AS \"{_i}\""
+KINDS += " FROM lines GROUP BY symbol, statement, period)"
+ORACLE["r1_statement_kinds"] = f"WITH {KINDS} SELECT symbol, statement, period, " + ", ".join(
+    R(f'"{_i}"', f'"{_i}"', 2) for _items in _KIND_ITEMS.values() for _i in _items) + " FROM wide"
+_SHOWN = ", ".join(f"{{'k': '{_k}', 'item': '{_i}', 'v': \"{_i}\"}}" for _k, _items in _KIND_ITEMS.items() for _i in _items)
+ORACLE["r1_statement_views"] = f"""WITH {KINDS},
+c AS (SELECT symbol, statement, period, unnest([{_SHOWN}]) AS x FROM wide)
+SELECT symbol, statement, period, x.item AS item,
+       coalesce(CAST(CAST(round(x.v, 2) AS DECIMAL(38, 2)) AS VARCHAR), 'N/A') AS shown FROM c WHERE x.k = statement"""

@@ -149,3 +149,46 @@ def favorites(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
     return e.select("user_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("added_at"),
                     "event_id")
+
+
+def tick_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved alerts on the tick streams of ``events``: one per supplier, on the event type whose place in
+    name order is the supplier's key modulo their number, at a tenth of the account balance (-100 to
+    1000, where ticks run from 0 to 490: some are crossed upwards, some downwards, some never)."""
+    kinds = read_table(spark, sf_dir, "events", ["event_type"]).distinct()  # a handful of rows
+    kinds = kinds.agg(F.array_sort(F.collect_list("event_type"))).scalar()
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_acctbal"]).withColumn("kinds", kinds)
+    return s.select(F.col("s_suppkey").alias("alert_id"), F.get("kinds", (F.col("s_suppkey") % F.size("kinds")).cast("int")).alias("symbol"),
+                    F.round(F.col("s_acctbal") / 10, 2).alias("price"))
+
+
+#: Line items per statement kind, in display order.
+STATEMENT_ITEMS = {
+    "income": ["Total Revenue", "Net Income", "Operating Expense"],
+    "balance": ["Total Assets", "Total Debt", "Cash And Cash Equivalents"],
+    "cashflow": ["Operating Cash Flow", "Capital Expenditure"],
+}
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long statements of all three kinds ``(symbol, statement, period, item, value)``; company = nation.
+
+    ``income`` as :func:`statements`.  Of the nations' suppliers, per quarter of the ship date: ``balance`` = sum
+    of the extended price by return flag (A assets, N debt, R cash), ``cashflow`` = sum of the discounted
+    price by line status (O operating cash flow, F capital expenditure, negative)."""
+    income = statements(spark, sf_dir).select("symbol", F.lit("income").alias("statement"), "period", "item", "value")
+    li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_extendedprice", "l_discount"])
+    su = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+    assets, debt, cash = STATEMENT_ITEMS["balance"]
+    operating, spent = STATEMENT_ITEMS["cashflow"]
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    net = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+    balance = F.struct(F.lit("balance").alias("statement"),
+                       F.when(flag == "A", assets).when(flag == "N", debt).when(flag == "R", cash).alias("item"), F.col("l_extendedprice").alias("value"))
+    cashflow = F.struct(F.lit("cashflow").alias("statement"), F.when(status == "O", operating).when(status == "F", spent).alias("item"),
+                        F.when(status == "F", -net).otherwise(net).alias("value"))
+    lines = li.join(su, li.l_suppkey == su.s_suppkey).select(
+        F.col("s_nationkey").cast("string").alias("symbol"), F.trunc(F.to_date("l_shipdate"), "quarter").alias("period"),
+        F.explode(F.array(balance, cashflow)).alias("l"))
+    lines = lines.groupBy("symbol", "l.statement", "period", "l.item").agg(F.sum("l.value").alias("value"))
+    return income.unionByName(lines)

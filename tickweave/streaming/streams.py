@@ -9,12 +9,14 @@ lost executor) resumes from its checkpoint without duplicating output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tickweave import constants as K
 from tickweave.session import shared_dir
+from tickweave.streaming.versions import VersionedTable
 
 # T1: refresh cadences of the reference's three live views, as processing-time triggers.
 CADENCE = {
@@ -269,6 +271,41 @@ def fired_alerts_table(spark: SparkSession, out: str) -> DataFrame:
 
 # --- running helpers ----------------------------------------------------------------------------
 
+def run_to_versions(df: DataFrame, name: str, mode: str = "complete", view: str | None = None, checkpoint: str | None = None,
+                    out: str | None = None) -> tuple[StreamingQuery, VersionedTable]:
+    """Start ``df`` into a table that every micro-batch replaces as a whole: readers take ``table.read()`` and
+    never meet half a refresh, nor none.  [T1, T3]  With ``view=None`` wait until the input is processed."""
+    spark = df.sparkSession
+    table = VersionedTable(spark, out or shared_dir(spark, f"{name}-out"))
+    q = (df.writeStream.queryName(f"{name}_{abs(hash(table.path)) % 10**8}").outputMode(mode)
+         .option("checkpointLocation", checkpoint or shared_dir(spark, f"{name}-ckpt")).trigger(**trigger_for(view))
+         .foreachBatch(lambda batch, batch_id: table.write(batch, batch_id)).start())
+    if view is None:
+        q.awaitTermination()
+    return q, table
+
+
+def replay(rows: DataFrame, slice_of: Column, slices: int, name: str, write) -> None:
+    """Run a table through a stream into the ``foreachBatch`` function ``write``: its slices (numbers from 0
+    on) arrive one after the other, each in as many files as it has, and each is one micro-batch of one
+    query that stops and resumes from its checkpoint."""
+    spark = rows.sparkSession
+    held, src, checkpoint = (shared_dir(spark, f"{name}-{x}") for x in ("slices", "in", "ckpt"))
+    rows.withColumn("_slice", slice_of.cast("int")).write.partitionBy("_slice").parquet(held)
+    sliced = spark.read.schema(StructType([*rows.schema.fields, StructField("_slice", IntegerType())])).parquet(held)
+    for k in range(slices):
+        sliced.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(src)
+        parquet_stream(spark, src, schema=rows.schema).writeStream.option("checkpointLocation", checkpoint) \
+            .foreachBatch(write).trigger(**trigger_for(None)).start().awaitTermination()
+
+
+def quantile_slice(rows: DataFrame, order: Column, slices: int) -> Column:
+    """The number of a row's slice when ``order`` (a number) is cut into about equal slices; the cuts, one
+    less than the slices, are found by an approximate percentile and come to the driver."""
+    cuts = rows.select(order.alias("o")).agg(F.percentile_approx("o", [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
+    return sum((F.when(order >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+
+
 def run_to_files(df: DataFrame, name: str, mode: str = "append", view: str | None = None,
                  checkpoint: str | None = None, out: str | None = None) -> tuple[StreamingQuery, str]:
     """Start ``df`` into a parquet file sink (append) or an overwrite-per-batch table
