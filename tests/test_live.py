@@ -71,7 +71,7 @@ def bars(spark):
 
 
 def test_bars_in_random_order_give_the_batch_result(spark, scratch, bars):
-    live = LiveIndicators(spark, scratch, price_scale=2, compact_every=3)
+    live = LiveIndicators(spark, scratch, price_scale=2, compact_every=3, month_files=1)
     parts = bars.withColumn("part", F.pmod(F.xxhash64("symbol", "date"), F.lit(4)))
     for k in range(4):
         live.write(parts.filter(F.col("part") == k), k)
@@ -81,7 +81,7 @@ def test_bars_in_random_order_give_the_batch_result(spark, scratch, bars):
 
 
 def test_late_replayed_and_corrected_bars(spark, scratch, bars):
-    live = LiveIndicators(spark, scratch, price_scale=2)
+    live = LiveIndicators(spark, scratch, price_scale=2, month_files=2)
     symbol = bars.select("symbol").first()[0]
     dates = [r[0] for r in bars.filter(F.col("symbol") == symbol).orderBy("date").select("date").collect()]
     late = (F.col("symbol") == symbol) & F.col("date").isin(dates[3], dates[-2], dates[250])
@@ -98,7 +98,7 @@ def test_late_replayed_and_corrected_bars(spark, scratch, bars):
 
 
 def test_a_late_bar_reads_and_writes_only_cells_near_it(spark, scratch, bars):
-    live = LiveIndicators(spark, scratch, price_scale=2)
+    live = LiveIndicators(spark, scratch, price_scale=2, month_files=2)
     live.write(bars, 0)
     state = live.state.read()
     touched = spark.createDataFrame([(bars.select("symbol").first()[0], "1995-03")], "symbol string, month string")

@@ -586,7 +586,7 @@ def q_t5_stream_indicators(spark, sf_dir):
     from tickweave.session import shared_dir
     from tickweave.streaming import streams as T
     from tickweave.streaming.live import LiveIndicators
-    live = LiveIndicators(spark, shared_dir(spark, "t5"), price_scale=PRICE_SCALE)
+    live = LiveIndicators(spark, shared_dir(spark, "t5"), price_scale=PRICE_SCALE, month_files=1)
     T.replay(bars(spark, sf_dir), F.pmod(F.xxhash64("symbol", "date"), F.lit(4)), 4, "t5", live.write)
     return round_doubles(live.current().select("symbol", "date", "close", "rsi", "ma20", "ma50", "ma200", "volatility"))
 

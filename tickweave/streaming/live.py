@@ -37,10 +37,11 @@ class LiveIndicators:
     Use ``write`` with ``foreachBatch``, ``current`` to read. A bar sent again replaces the one before;
     of several in one batch the greatest (by close, then the other values) stays. A bar without a date
     belongs to no cell and is left out; a null symbol is a series of its own. An empty batch changes
-    nothing. ``compact_every`` batches the cells are gathered into one folder and unused ones go."""
+    nothing. ``compact_every`` batches the cells are gathered into one folder and unused ones go; a month
+    of a folder is at most ``month_files`` files, parted by symbol."""
 
-    def __init__(self, spark: SparkSession, path: str, price_scale: int | None = None, compact_every: int = 64):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, price_scale: int | None = None, compact_every: int = 64, month_files: int = 8):
+        self.spark, self.path, self.month_files = spark, path.rstrip("/"), month_files
         self.price_scale, self.compact_every = price_scale, compact_every
         self.state = VersionedTable(spark, f"{self.path}/state")
         self.lookback = indicator_lookback()
@@ -103,7 +104,7 @@ class LiveIndicators:
         rows = add_indicators(frame, price_scale=self.price_scale).filter("emit").drop("emit").withColumn("month", month_of())
         name = f"{batch_id:012d}-{uuid.uuid4().hex[:8]}"  # an attempt of its own: what readers hold stays as it is
         folder = f"{self.path}/rows/f={name}"
-        rows.repartition("symbol", "month").write.partitionBy("month").parquet(folder)
+        self._store(rows, folder)
         cells.unpersist()
         done = self.spark.read.parquet(folder).groupBy("symbol", F.col("month").cast("string").alias("month")) \
             .agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.lit(name))
@@ -111,6 +112,9 @@ class LiveIndicators:
         kept = old.join(other, old["symbol"].eqNullSafe(other["_s"]) & (old["month"] == other["_m"]), "left_anti")
         self.state.write(kept.unionByName(done), batch_id)
 
+    def _store(self, rows: DataFrame, folder: str) -> None:
+        rows.repartition("month", F.pmod(F.xxhash64("symbol"), F.lit(self.month_files))).write.partitionBy("month").parquet(folder)
+
     def current(self) -> DataFrame | None:
         """All bars with their indicators; None before the first batch."""
         state = self.state.read()
@@ -126,8 +130,7 @@ class LiveIndicators:
         if version is None:
             return
         name = f"{version:012d}-{uuid.uuid4().hex[:8]}"
-        self.current().withColumn("month", month_of()).repartition("symbol", "month") \
-            .write.partitionBy("month").parquet(f"{self.path}/rows/f={name}")
+        self._store(self.current().withColumn("month", month_of()), f"{self.path}/rows/f={name}")
         self.state.write(self.state.read().withColumn("v", F.lit(name)), version)
         used, below = {name}, version
         while (old := self.state.read(below=below)) is not None:
