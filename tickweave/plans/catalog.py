@@ -750,26 +750,34 @@ def _networks(spark, sf_dir):
 
 
 def q_m1_fit_networks(spark, sf_dir):
-    """Training loss of every symbol's own network, epoch by epoch."""
+    """Every symbol's own network: training samples, epochs, and whether the last epoch's loss is below the
+    first one's."""
     _, _, models = _networks(spark, sf_dir)
-    return models.select("symbol", "n_train", F.posexplode("losses").alias("epoch", "loss"))
+    losses = F.col("losses")
+    return models.select("symbol", "n_train", F.size(losses).cast("long").alias("n_epochs"),
+                         (F.element_at(losses, -1) < F.element_at(losses, 1)).alias("learned"))
 
 
 def q_m3_forecast_networks(spark, sf_dir):
+    """The forecast rows of every symbol's own network, and whether each has a price."""
     from tickweave.plans import forecast as FC
     from tickweave.plans.network import recursive_forecast_network
     b, _, models = _networks(spark, sf_dir)
-    return FC.forecast_table(recursive_forecast_network(FC.last_state(b, LOOK_BACK), models, LOOK_BACK))
+    rows = FC.forecast_table(recursive_forecast_network(FC.last_state(b, LOOK_BACK), models, LOOK_BACK))
+    return rows.select("symbol", "step", "date", (F.col("price").isNotNull() & ~F.isnan("price")).alias("priced"))
 
 
 def q_m2_metrics_networks(spark, sf_dir):
-    """Test MAE and MAPE of every symbol's own network, and of the pooled one beside it."""
+    """Whether the test MAPE of every symbol's own network, and of the pooled one, is in the range that the
+    trade rules call reliable."""
+    from tickweave import constants as K
     from tickweave.plans import forecast as FC
     from tickweave.plans.network import fit_pooled_network, predict_test_network
     _, smp, models = _networks(spark, sf_dir)
     pooled, _ = fit_pooled_network(smp, LOOK_BACK)
-    own = FC.metrics(predict_test_network(smp, models, LOOK_BACK))
-    one = FC.metrics(predict_test_network(smp, pooled, LOOK_BACK)).select("symbol", F.col("mae").alias("pooled_mae"), F.col("mape").alias("pooled_mape"))
+    reliable = lambda name: (F.col("mape") < K.MAPE_RELIABLE_BELOW).alias(name)
+    own = FC.metrics(predict_test_network(smp, models, LOOK_BACK)).select("symbol", "n_test", reliable("own_reliable"))
+    one = FC.metrics(predict_test_network(smp, pooled, LOOK_BACK)).select("symbol", reliable("pooled_reliable"))
     return own.join(one, "symbol")
 
 

@@ -592,3 +592,11 @@ ORACLE["r1_statement_views"] = f"""WITH {KINDS},
 c AS (SELECT symbol, statement, period, unnest([{_SHOWN}]) AS x FROM wide)
 SELECT symbol, statement, period, x.item AS item,
        coalesce(CAST(CAST(round(x.v, 2) AS DECIMAL(38, 2)) AS VARCHAR), 'N/A') AS shown FROM c WHERE x.k = statement"""
+
+
+# --- networks: their rows, and what a fit has to reach -------------------------------------------------
+
+ORACLE["m1_fit_networks"] = _FC + "SELECT symbol, count(*) AS n_train, CAST(20 AS BIGINT) AS n_epochs, TRUE AS learned FROM smp WHERE is_train GROUP BY symbol"
+ORACLE["m2_metrics_networks"] = _FC + """SELECT symbol, count(*) AS n_test, TRUE AS own_reliable, TRUE AS pooled_reliable FROM smp
+WHERE NOT is_train GROUP BY symbol"""
+ORACLE["m3_forecast_networks"] = _FC + "SELECT symbol, step, date, TRUE AS priced FROM fct"
