@@ -365,3 +365,24 @@ def test_pipeline(spark):
     out = P.run(spark, SF_SMALL)
     assert out.columns[0] == "doc_id" and 0 < out.count()
     assert os.path.exists(P.__file__)
+
+
+def test_chunk_tokenizer_equals_the_library_word_by_word():
+    """Ends of chunks (letters, stops, marks, special tokens), over several calls and a cache that is emptied."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tickweave.llm.common import tokenizer_path
+    from tickweave.llm.packing import WORD_BPE, ChunkTokenizer
+    path, pick = tokenizer_path(WORD_BPE), random.Random(7)
+    texts = ["", "a.", "A., b.", ".", "., . ,", "x,y. ", "<|endoftext|>. Foo. bar,", "It's. We'll, É. é, İ.", "9. a9, z..", "A.\nB,\r\nc.\x0bd"]
+    texts += ["".join(pick.choice("aZ.,'s \n\té<|>9") for _ in range(30)) for _ in range(500)]
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    coder = ChunkTokenizer(path)
+    coder.cache.limit = 300
+    got = [ids for i in range(0, len(texts), 50) for ids in coder.encode_batch(texts[i:i + 50])]
+    assert got == want and coder.encode_batch(texts) == want

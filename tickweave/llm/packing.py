@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -30,7 +29,7 @@ END_ID = 1
 QUANTUM = 8
 ROWS_PER_SALT = 50_000
 CACHE_WORDS = 1_000_000
-CHUNK_CHARS = 1 << 23
+CHUNK_CHARS = 1 << 22
 
 
 # --- tokens -------------------------------------------------------------------------------------
@@ -40,35 +39,47 @@ class ChunkTokenizer:
 
     This vocabulary's normaliser and split rule never join characters across ASCII white space, so a
     text's ids are its white-space chunks' ids in order. ASCII letters may be lower-cased first, as the
-    normaliser does, and a ``.`` or ``,`` between an ASCII letter and white space is a piece of its
-    own; texts that may hold a special token are left as they are."""
-
-    STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+    normaliser does, and a ``.`` or ``,`` that ends a chunk after an ASCII letter is a piece of its own,
+    so such a chunk takes its stem's ids; texts that may hold a special token are left as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache = BoundedCache(CACHE_WORDS)
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        lines = []
-        for t in texts:
-            raw = t.encode("utf-8", "replace")
-            lines.append(raw.split() if b"<|" in raw else self.STOP.sub(rb" \1", raw.lower()).split())
-        words = set().union(*lines)
-        new = words.difference(self.cache)
+    @staticmethod
+    def ended(word: bytes) -> bool:
+        """Whether the last character is a piece of its own."""
+        return word[-1:] in (b".", b",") and word[-2:-1].islower()
+
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self.cache]  # a set difference would walk the whole cache
         if len(self.cache) + len(new) > self.cache.limit:
             self.cache.clear()
-            new = words
-        new = list(new)
+            new = list(words)
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        kind = "<u2" if self.small else "<u4"
-        self.cache.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, encoded, strict=True))
-        ids = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(ids, line)), kind).astype("<u4").tobytes() for line in lines]
+        self.cache.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, encoded, strict=True))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        words, ends = [], []
+        for t in texts:
+            raw = t.encode("utf-8", "replace")
+            words += raw.split() if b"<|" in raw else raw.lower().split()
+            ends.append(len(words))
+        ids = list(map(self.cache.get, words))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        parted = [(i, words[i][:-1], words[i][-1:]) for i in unknown if self.ended(words[i])]
+        whole = [i for i in unknown if not self.ended(words[i])]
+        self.learn({b".", b","}.union((words[i] for i in whole), (stem for _, stem, _ in parted)))
+        of = self.cache
+        for i in whole:
+            ids[i] = of[words[i]]
+        for i, stem, stop in parted:  # not cached themselves: the cache stays as small as the stems
+            ids[i] = of[stem] + of[stop]
+        return [np.frombuffer(b"".join(ids[a:b]), self.kind).astype("<u4").tobytes() for a, b in zip([0, *ends], ends)]
 
 
 def chunk_tokenizer(path: str | None) -> ChunkTokenizer:
