@@ -34,3 +34,18 @@ def test_settings_json_with_alerts(spark, scratch):
     export_settings_json(settings_json(favs, alerts), path)
     lines = [l for f in os.listdir(path) if f.startswith("part-") for l in open(os.path.join(path, f))]
     assert len(lines) == 2 and all(json.loads(l)["model_config"]["epochs"] == 20 for l in lines)
+
+
+def test_export_csv_deals_rows_by_symbol(spark, scratch):
+    """A frame dealt at random: one file a symbol, in date order, no row lost."""
+    df = daily_bars(spark, SF_SMALL).select("symbol", "date", "close").repartition(7)
+    path = os.path.join(scratch, "csv")
+    export_csv(df, path)
+    files = [[f for f in os.listdir(os.path.join(path, d)) if f.endswith(".csv")] for d in os.listdir(path) if d.startswith("symbol=")]
+    assert len(files) == 10 and all(len(f) == 1 for f in files)
+    back = spark.read.option("header", True).schema("date date, close double, symbol string").csv(path)
+    assert back.select("symbol", "date", "close").exceptAll(df).count() == 0 and back.count() == df.count()
+    one = next(d for d in os.listdir(path) if d.startswith("symbol="))
+    dates = [line.split(",")[0] for f in os.listdir(os.path.join(path, one)) if f.endswith(".csv")
+             for line in open(os.path.join(path, one, f)).read().splitlines()[1:]]
+    assert dates == sorted(dates) and len(dates) > 1

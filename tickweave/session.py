@@ -75,3 +75,11 @@ def materialize(df):
         base = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(base if base else shared_dir(spark, "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def materialize_table(df, name: str = "table"):
+    """As :func:`materialize`, written as Parquet: later readers take only the columns they use, and the
+    plan knows the table's size."""
+    out = shared_dir(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)

@@ -54,36 +54,101 @@ def build_bars(trades: DataFrame, *, symbol: str = "symbol", ts: str = "ts", pri
     trade by ``(ts, *seq)``: the ordering key must be unique inside a bucket, or first/last
     become arbitrary, so callers name tie-break columns in ``seq``.
 
-    Plan: one hash aggregate with a partial (map-side) phase before the shuffle, so a symbol
-    holding a third of all trades is reduced to one row per bucket per input split before it
-    is exchanged; the shuffle is on (symbol, bucket), which spreads a hot symbol over many
-    reducers.
+    Plan with ``order_key`` (a fixed-width key that orders trades the same way inside a bucket, see
+    :func:`packed_key`): one hash aggregate with a partial (map-side) phase before the shuffle, so a
+    symbol holding a third of all trades is reduced to one row per bucket per input split before it
+    is exchanged; the shuffle is on (symbol, bucket), which spreads a hot symbol over many reducers.
 
-    ``order_key`` replaces ``(ts, *seq)`` with one fixed-width key (see :func:`packed_key`);
-    it must order trades the same way inside a bucket.
+    Plan without: the same hash aggregate on the time alone, then the ties alone, see
+    :func:`timed_bars`. Any ``seq`` columns serve, of any type and size.
     """
-    if order_key is None:
-        order_key = F.struct(F.col(ts), *[F.col(c) for c in (seq or [])])
     if every is None:
         bucket = F.to_date(F.col(ts)).alias("date")
         key = "date"
     else:
         bucket = F.window(F.col(ts), every).start.alias("bar_start")
         key = "bar_start"
-    return (
-        trades.select(F.col(symbol).alias("symbol"), bucket, F.col(price).alias("price"),
-                      F.col(qty).alias("qty"), order_key.alias("_ord"))
-        .groupBy("symbol", key)
-        .agg(
-            F.min_by("price", "_ord").alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", "_ord").alias("close"),
-            F.sum("qty").alias("volume"),
-        )
+    rows = trades.select(F.col(symbol).alias("symbol"), bucket, F.col(price).alias("price"), F.col(qty).alias("qty"),
+                         *([F.struct(*[F.col(c) for c in seq]).alias("_seq")] if seq and order_key is None else []),
+                         (time_units(F.col(ts), dict(trades.dtypes)[ts]) if order_key is None else order_key).alias("_ord"))
+    if order_key is None:
+        return timed_bars(rows, key)
+    return rows.groupBy("symbol", key).agg(
+        F.min_by("price", "_ord").alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", "_ord").alias("close"),
+        F.sum("qty").alias("volume"),
     )
 
 
+def time_units(ts: Column, kind: str) -> Column:
+    """A time as a long that orders the same way: microseconds since 1970 (a date's midnight, a zoneless
+    timestamp's own clock); a missing time comes before all others."""
+    if kind in ("date", "timestamp_ntz"):  # by the calendar: a session zone's clock changes play no part
+        units = F.unix_date(F.to_date(ts)).cast("long") * F.lit(86_400_000_000)
+        if kind == "timestamp_ntz":
+            units = (units + F.hour(ts) * F.lit(3_600_000_000).cast("long") + F.minute(ts) * F.lit(60_000_000).cast("long")
+                     + (F.date_part(F.lit("SECOND"), ts) * F.lit(1_000_000)).cast("long"))
+    else:
+        units = F.unix_micros(ts.cast("timestamp"))
+    return F.coalesce(units, F.lit(-(10 ** 17)).cast("long"))
+
+
+#: Bars with a tie that may be broadcast (32 bytes each); more are joined by a shuffle.
+BROADCAST_TIES = 200_000
+
+
+def timed_bars(rows: DataFrame, key: str) -> DataFrame:
+    """Bars of (symbol, ``key``, price, qty, _ord: the time as a long, _seq: tie-break struct or none).
+
+    First pass: one hash aggregate whose ordering key is the time and 63 bits of the tie-break's hash,
+    upwards once and downwards once. Where both ways find the same trade, it alone has that time. The
+    bars are written to the shared folder, as both passes read them, and their ties are counted.
+
+    Second pass, only where there are ties: the trades at the first or last time of such a bar meet it
+    on (symbol, bucket, time) and are compared by ``_seq``. A hot symbol is many such keys."""
+    from tickweave.session import materialize_table
+    if "_seq" not in rows.columns:  # nothing to tell ties apart: first and last are arbitrary among them
+        return rows.groupBy("symbol", key).agg(
+            F.min_by("price", "_ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+            F.max_by("price", "_ord").alias("close"), F.sum("qty").alias("volume"))
+    wide = F.lit(str(10 ** 19)).cast("decimal(38,0)")
+    low = F.xxhash64("_seq").bitwiseAND(F.lit((1 << 63) - 1))
+    at = F.col("_ord").cast("decimal(38,0)") * wide
+    up, down = at + low.cast("decimal(38,0)"), at + (F.lit((1 << 63) - 1) - low).cast("decimal(38,0)")
+    timed = rows.select("symbol", key, "price", "qty", "_ord", up.cast("decimal(38,0)").alias("_up"), down.cast("decimal(38,0)").alias("_down"))
+    top = F.lit((1 << 63) - 1).cast("decimal(38,0)")
+
+    def alone(one: Column, other: Column, t: Column) -> Column:  # both ends of a time's trades are one trade
+        return one + other == t.cast("decimal(38,0)") * wide * F.lit(2) + top
+
+    bars = materialize_table(timed.groupBy("symbol", key).agg(
+        F.min_by("price", "_up").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "_up").alias("close"), F.sum("qty").alias("volume"),
+        F.min("_ord").alias("_first"), F.max("_ord").alias("_last"),
+        F.min("_up").alias("_u0"), F.min("_down").alias("_d0"), F.max("_up").alias("_u1"), F.max("_down").alias("_d1"),
+    ).withColumn("_tie0", ~alone(F.col("_u0"), F.col("_d0"), F.col("_first")))
+        .withColumn("_tie1", ~alone(F.col("_u1"), F.col("_d1"), F.col("_last"))).drop("_u0", "_d0", "_u1", "_d1"), "bars")
+    ends = F.filter(F.array(F.when(F.col("_tie0"), F.struct(F.col("_first").alias("t"), F.lit(0).alias("side"))),
+                            F.when(F.col("_tie1"), F.struct(F.col("_last").alias("t"), F.lit(1).alias("side")))), lambda e: e.isNotNull())
+    out = ["symbol", key, "open", "high", "low", "close", "volume"]
+    many = bars.filter("_tie0 OR _tie1").count()
+    if not many:
+        return bars.select(*out)
+    ties = bars.filter("_tie0 OR _tie1").select(F.col("symbol").alias("_s"), F.col(key).alias("_k"), F.explode(ends).alias("_e"))
+    if many <= BROADCAST_TIES:
+        ties = F.broadcast(ties)
+    tied = rows.join(ties, rows["symbol"].eqNullSafe(ties["_s"]) & rows[key].eqNullSafe(ties["_k"]) & (rows["_ord"] == ties["_e.t"]))
+    side = F.col("_e.side")
+    settled = tied.groupBy("_s", "_k").agg(  # over trades at a tied time only
+        F.min_by("price", F.when(side == 0, F.col("_seq"))).alias("_open"),
+        F.max_by("price", F.when(side == 1, F.col("_seq"))).alias("_close"))
+    both = bars.join(settled, bars["symbol"].eqNullSafe(settled["_s"]) & bars[key].eqNullSafe(settled["_k"]), "left")
+    return (both.withColumn("open", F.when(F.col("_tie0"), F.col("_open")).otherwise(F.col("open")))
+            .withColumn("close", F.when(F.col("_tie1"), F.col("_close")).otherwise(F.col("close"))).select(*out))
+
+
 def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's ``lineitem`` read as a trade tape: supplier = symbol, ship date = time,
     extended price = price, quantity = size.  ``(l_orderkey, l_linenumber)`` is not unique, so

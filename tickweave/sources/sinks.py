@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from tickweave import constants as K
 
 
-def export_csv(df: DataFrame, path: str, partition_by: str | None = "symbol") -> None:
+def export_csv(df: DataFrame, path: str, partition_by: str | None = "symbol", sort_by: str | None = "date") -> None:
     """Write with a header; missing values become empty fields.  [S5]  Partitioned by symbol
     so that each symbol's file is what the reference's download button gives for one ticker,
-    and the write is parallel."""
+    and the write is parallel.
+
+    Rows are dealt by symbol first, whatever the frame's own partitioning, so a symbol is one file and not
+    one per task; the deal is a rebalance, which AQE splits where a symbol is larger than the advisory
+    partition size and merges where many are small. Files are in ``sort_by`` order, where there is such a column."""
+    if partition_by:
+        df = df.hint("rebalance", partition_by)
+        if sort_by and sort_by in df.columns:
+            df = df.sortWithinPartitions(partition_by, sort_by)
     w = df.write.mode("overwrite").option("header", True).option("nullValue", "")
     if partition_by:
         w = w.partitionBy(partition_by)
