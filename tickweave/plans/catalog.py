@@ -33,6 +33,21 @@ def q_s3_build_bars(spark, sf_dir):
     return round_doubles(bars(spark, sf_dir))
 
 
+def q_s3_bars_any_key(spark, sf_dir):
+    """Daily bars with the tie-break given as plain columns: every trade of a day has the same time here,
+    so all bars go through the settling of ties."""
+    b = B.build_bars(B.lineitem_trades(spark, sf_dir), seq=B.LINEITEM_SEQ)
+    return round_doubles(b.withColumn("volume", F.col("volume").cast("double")))
+
+
+def q_s3_intraday_any_key(spark, sf_dir):
+    """Hourly bars of the tick streams with the event id as tie-break column: ties are rare."""
+    from tickweave.sources.fixtures import quotes
+    q = quotes(spark, sf_dir).withColumn("qty", F.lit(1.0))
+    b = B.build_bars(q, every="1 hour", seq=["event_id"])
+    return round_doubles(b.withColumn("bar_start", F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss")))
+
+
 def q_s3_intraday_bars(spark, sf_dir):
     """Hourly OHLC bars of every tick stream in ``events`` (volume = number of ticks); open and
     close by (time, event id), packed into one fixed-width key."""
@@ -821,6 +836,8 @@ def flagship(spark, sf_dir):
 
 QUERIES = {
     "s3_build_bars": q_s3_build_bars,
+    "s3_bars_any_key": q_s3_bars_any_key,
+    "s3_intraday_any_key": q_s3_intraday_any_key,
     "s3_intraday_bars": q_s3_intraday_bars,
     "s1_load_bars": q_s1_load_bars,
     "s2_recent_bars": q_s2_recent_bars,

@@ -481,6 +481,11 @@ g AS (SELECT symbol, bar_start, first(price ORDER BY ts, event_id) AS open, max(
 SELECT symbol, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, {R('open', 'open')}, {R('high', 'high')},
        {R('low', 'low')}, {R('close', 'close')}, {R('volume', 'volume')} FROM g"""
 
+# tie-break columns instead of a packed key: the same bars
+ORACLE["s3_bars_any_key"] = ORACLE["s3_build_bars"]
+ORACLE["s3_intraday_any_key"] = ORACLE["s3_intraday_bars"]
+
+
 
 def _frame_by(n: int, order: str) -> str:
     return f"(PARTITION BY symbol ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"

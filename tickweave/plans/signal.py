@@ -11,7 +11,7 @@ from tickweave.functions.indicators import add_indicators
 from tickweave.functions.rules import action, risk_score, expected_change_pct, rsi_or_default
 from tickweave.operators.series import latest
 from tickweave.plans import forecast as FC
-from tickweave.session import materialize
+from tickweave.session import materialize, materialize_table
 
 
 def signal_inputs(mets: DataFrame, fc: DataFrame, last_rsi: DataFrame) -> DataFrame:
@@ -44,14 +44,15 @@ def ar1_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int
 
     Plan: the indicators, the scaler, the samples and the split are window columns over one
     ``symbol`` partitioning (one Exchange + Sort of the bars).  That frame is read by four
-    branches (fit, test metrics, last state, last RSI); it is checkpointed once so they do not
-    each re-sort and re-run the windows, and so the lineage back to the raw trades is cut.
+    branches (fit, test metrics, last state, last RSI); it is written once as Parquet
+    (``checkpoint``), so they do not each re-sort and re-run the windows, each reads the columns it
+    uses only, and the lineage back to the raw trades is cut.
     The branches are per-symbol aggregates and one-row-per-symbol joins."""
     ind = add_indicators(bars, price_scale=price_scale, ma_windows=(), chunk_rows=chunk_rows)
     smp = FC.samples(ind, look_back, with_features=False, chunk_rows=chunk_rows).select(
         "symbol", "date", "close", "rsi", "s_min", "s_max", "prev", "label", "sample_idx", "is_train")
     if checkpoint:
-        smp = materialize(smp)
+        smp = materialize_table(smp, "signal-samples")
     coef = FC.fit_ar1(smp)
     mets = FC.metrics(FC.predict_test_ar1(smp, coef))
     state = FC.last_state_ar1(smp, ["rsi"])
