@@ -95,7 +95,7 @@ def time_units(ts: Column, kind: str) -> Column:
     return F.coalesce(units, F.lit(-(10 ** 17)).cast("long"))
 
 
-#: Bars with a tie that may be broadcast (32 bytes each); more are joined by a shuffle.
+#: Bars with a tie that may be broadcast (two small rows each, some 20 MB in all); more are joined by a shuffle.
 BROADCAST_TIES = 200_000
 
 
