@@ -162,6 +162,23 @@ def test_alerts_of_odd_ticks(spark, scratch):
     assert [(r.alert_id, r.direction, r.prev_price, r.batch_id) for r in live.fired_so_far().collect()] == [(1, "up", 9.0, 3)]
 
 
+def test_an_alert_meets_the_tick_that_first_reaches_it(spark, scratch, monkeypatch):
+    from tickweave.streaming import live as module
+    rng = random.Random(11)
+    start = dt.datetime(2024, 1, 1)
+    ticks = [(s, start + dt.timedelta(minutes=7 * k), 10 * k + j, float(rng.randint(0, 60))) for k in range(400) for j, s in enumerate("AB")]
+    alerts = [(k, "AB"[k % 2], k / 4 - 5) for k in range(300)]  # every price, the start prices too
+    found = []
+    crossings = module.crossings
+    monkeypatch.setattr(module, "crossings", lambda moves, waiting: (lambda met: (found.append(met.count()), met)[1])(crossings(moves, waiting)))
+    live = LiveAlerts(spark, spark.createDataFrame(alerts, "alert_id long, symbol string, price double"), scratch)
+    for k, at in enumerate((0, 6, 300, 800)):
+        live.write(spark.createDataFrame(ticks[at:(6, 300, 800, 800)[k]], TICK), k)
+    got = {r.alert_id: (r.direction, r.ts, r.seq, r.prev_price, r.price) for r in live.fired_so_far().collect()}
+    assert got == brute_alerts(ticks, alerts) and {a for a, s, p in alerts if p in (ticks[0][3], ticks[1][3])} & set(got)
+    assert len(got) <= sum(found) <= 3 * len(alerts)  # not every tick that crosses an alert
+
+
 # --- T2 -------------------------------------------------------------------------------------------
 
 def test_index_reads_stay_flat_while_the_history_grows(spark, scratch):

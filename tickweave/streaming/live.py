@@ -150,8 +150,12 @@ class LiveAlerts:
     one of their symbol from an earlier batch, and ticks without time or price, move nothing.
 
     No task takes a whole symbol: neighbours are found within (symbol, ``slot``) - an hour of ticks by
-    default - and the price before a slot comes from the slots' last prices, one row each. Ticks meet
-    alerts by price bucket (:func:`tickweave.operators.feeds.crossings`)."""
+    default - and the price before a slot comes from the slots' last prices, one row each.
+
+    Only the first tick to cross an alert counts, so only ticks beyond all prices before them meet alerts
+    (:func:`first_reaches`): an alert above the price that the batch starts from is first crossed by the tick
+    that first reaches it, a new highest price, one below by a new lowest. Each alert meets one tick, by price
+    bucket (:func:`tickweave.operators.feeds.crossings`), however many ticks cross it later."""
 
     SCHEMA = "alert_id long, symbol string, alert_price double, direction string, ts timestamp, seq long, prev_price double, price double, batch_id long"
 
@@ -161,7 +165,8 @@ class LiveAlerts:
         self.fired = VersionedTable(spark, f"{path.rstrip('/')}/fired")
 
     def moves(self, ticks: DataFrame, last: DataFrame | None) -> DataFrame:
-        """(symbol, ts, seq, prev_close, close) of ticks that moved the price."""
+        """(symbol, ts, seq, prev_close, close, high, low, start) of ticks that moved the price: the highest and
+        lowest price of the batch before each, and the first one, the known last tick of the symbol included."""
         rows = ticks.withColumn("old", F.lit(False))
         if last is not None:
             known = last.select(F.col("symbol").alias("_s"), ts_seq_key(F.col("ts"), F.col("seq")).alias("_k"))
@@ -169,14 +174,22 @@ class LiveAlerts:
                 .filter(F.col("_k").isNull() | (ts_seq_key(F.col("ts"), F.col("seq")) > F.col("_k"))).drop("_s", "_k")
             rows = rows.unionByName(last.withColumn("old", F.lit(True)))
         rows = rows.withColumn("slot", F.date_trunc(self.slot, "ts"))
-        ends = rows.groupBy("symbol", "slot").agg(F.max_by("price", ts_seq_key(F.col("ts"), F.col("seq"))).alias("end"))
-        ends = ends.select(F.col("symbol").alias("_s"), F.col("slot").alias("_slot"),
-                           F.lag("end").over(Window.partitionBy("symbol").orderBy("slot")).alias("carried"))
-        within = F.lag("price").over(Window.partitionBy("symbol", "slot").orderBy("ts", "seq"))
-        rows = rows.withColumn("within", within).join(ends, rows["symbol"].eqNullSafe(ends["_s"]) & (rows["slot"] == ends["_slot"]))
+        at = ts_seq_key(F.col("ts"), F.col("seq"))
+        ends = rows.groupBy("symbol", "slot").agg(
+            F.max_by("price", at).alias("end"), F.min_by("price", at).alias("begin"), F.max("price").alias("top"), F.min("price").alias("bottom"))
+        by_slot = Window.partitionBy("symbol").orderBy("slot")
+        so_far = by_slot.rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(F.col("symbol").alias("_s"), F.col("slot").alias("_slot"), F.lag("end").over(by_slot).alias("carried"),
+                           F.max("top").over(so_far).alias("top"), F.min("bottom").over(so_far).alias("bottom"),
+                           F.first("begin").over(by_slot.rowsBetween(Window.unboundedPreceding, 0)).alias("start"))
+        in_slot = Window.partitionBy("symbol", "slot").orderBy("ts", "seq")
+        before = in_slot.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({"within": F.lag("price").over(in_slot), "above": F.max("price").over(before), "below": F.min("price").over(before)})
+        rows = rows.join(ends, rows["symbol"].eqNullSafe(ends["_s"]) & (rows["slot"] == ends["_slot"]))
         prev = F.coalesce("within", "carried")
         return rows.filter(~F.col("old") & prev.isNotNull() & (prev != F.col("price"))) \
-            .select("symbol", "ts", "seq", prev.alias("prev_close"), F.col("price").alias("close"))
+            .select("symbol", "ts", "seq", prev.alias("prev_close"), F.col("price").alias("close"),
+                    F.greatest("above", "top").alias("high"), F.least("below", "bottom").alias("low"), "start")
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """A batch of ticks (symbol, ts, seq, price)."""
@@ -185,16 +198,33 @@ class LiveAlerts:
         if fired is None:
             fired = self.spark.createDataFrame([], self.SCHEMA)
         waiting = self.alerts.join(fired.select("alert_id"), "alert_id", "left_anti")
-        met = crossings(self.moves(ticks, last), waiting)
+        reaches = first_reaches(self.moves(ticks, last)).persist()
+        met = crossings(reaches, waiting)
         at = ts_seq_key(F.col("ts"), F.col("seq"))
         hit = met.groupBy("alert_id", "symbol", "alert_price").agg(
-            *[F.min_by(c, at).alias(c) for c in ("direction", "ts", "seq", "prev_close", "close")])
-        hit = hit.select("alert_id", "symbol", "alert_price", "direction", "ts", "seq", F.col("prev_close").alias("prev_price"),
+            *[F.min_by(c, at).alias(c) for c in ("direction", "ts", "seq", "before", "close")])
+        hit = hit.select("alert_id", "symbol", "alert_price", "direction", "ts", "seq", F.col("before").alias("prev_price"),
                          F.col("close").alias("price"), F.lit(batch_id).cast("long").alias("batch_id"))
         self.fired.write(fired.unionByName(hit), batch_id)
+        reaches.unpersist()
         rows = ticks if last is None else ticks.unionByName(last)
         self.last.write(rows.groupBy("symbol").agg(*[F.max_by(c, at).alias(c) for c in ("ts", "seq", "price")]), batch_id)
 
     def fired_so_far(self) -> DataFrame:
         found = self.fired.read()
         return self.spark.createDataFrame([], self.SCHEMA) if found is None else found
+
+
+def first_reaches(moves: DataFrame) -> DataFrame:
+    """``moves`` as the stretches of price that each is the first to reach: ``close`` and, as ``prev_close``, the
+    highest or lowest price before; ``before`` is the price before. A level is in one stretch of its symbol at
+    most, but for the start price: the first move to cross that again is a row of its own."""
+    reach = F.when(F.col("close") > F.col("high"), F.col("high")).when(F.col("close") < F.col("low"), F.col("low"))
+    columns = ["symbol", "ts", "seq", "close", F.col("prev_close").alias("before")]
+    records = moves.select(*columns, reach.alias("prev_close")).filter("prev_close IS NOT NULL")
+    back = moves.filter(((F.col("prev_close") < F.col("start")) & (F.col("start") <= F.col("close")))
+                        | ((F.col("prev_close") > F.col("start")) & (F.col("start") >= F.col("close"))))
+    at = ts_seq_key(F.col("ts"), F.col("seq"))
+    # crosses other levels too, once a symbol: the caller takes the earliest of an alert's crossings
+    back = back.groupBy("symbol").agg(*[F.min_by(c, at).alias(c) for c in ("ts", "seq", "close", "prev_close")])
+    return records.unionByName(back.select(*columns, "prev_close"))
