@@ -88,3 +88,19 @@ def test_tie_break_columns_equal_the_packed_key(spark):
     a = B.build_bars(B.lineitem_trades(spark, SF_SMALL), seq=B.LINEITEM_SEQ)
     b = B.daily_bars(spark, SF_SMALL).select(*a.columns)
     assert a.withColumn("volume", F.col("volume").cast("double")).exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_bars_of_one_trade_are_exchanged_once(spark, monkeypatch):
+    """With ties settled by a shuffle, only bars of several trades meet their settled ends."""
+    from tickweave import session
+    kept, write = [], session.materialize_table
+    monkeypatch.setattr(session, "materialize_table", lambda df, name: (kept.append(write(df, name)), kept[-1])[1])
+    monkeypatch.setattr(B, "BROADCAST_TIES", 0)
+    day = dt.datetime(2024, 3, 1)
+    data = [(f"S{k}", day, float(k), 1.0, k) for k in range(50)] + [("S1", day, 9.0, 1.0, 7), (None, day, 2.0, 1.0, 1), (None, day, 3.0, 1.0, 0)]
+    df = spark.createDataFrame(data, "symbol string, ts timestamp, price double, qty double, no long")
+    got = {r.symbol: (r.open, r.high, r.low, r.close, r.volume) for r in B.build_bars(df, seq=["no"]).collect()}
+    assert got[None] == (3.0, 3.0, 2.0, 2.0, 2.0) and got["S1"] == (1.0, 9.0, 1.0, 9.0, 2.0) and got["S7"] == (7.0, 7.0, 7.0, 7.0, 1.0) and len(got) == 51
+    assert not any(t.startswith("decimal") for _, t in kept[0].dtypes)  # the first pass exchanges plain numbers
+    plan = B.build_bars(df, seq=["no"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "(_n#" in plan

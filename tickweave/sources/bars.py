@@ -59,7 +59,7 @@ def build_bars(trades: DataFrame, *, symbol: str = "symbol", ts: str = "ts", pri
     symbol holding a third of all trades is reduced to one row per bucket per input split before it
     is exchanged; the shuffle is on (symbol, bucket), which spreads a hot symbol over many reducers.
 
-    Plan without: the same hash aggregate on the time alone, then the ties alone, see
+    Plan without: the same hash aggregate on the time alone, then the first and last trades alone, see
     :func:`timed_bars`. Any ``seq`` columns serve, of any type and size.
     """
     if every is None:
@@ -95,58 +95,49 @@ def time_units(ts: Column, kind: str) -> Column:
     return F.coalesce(units, F.lit(-(10 ** 17)).cast("long"))
 
 
-#: Bars with a tie that may be broadcast (two small rows each, some 20 MB in all); more are joined by a shuffle.
+#: Bars of several trades that may be broadcast (two small rows each, some 20 MB in all); more are joined by a shuffle.
 BROADCAST_TIES = 200_000
 
 
 def timed_bars(rows: DataFrame, key: str) -> DataFrame:
     """Bars of (symbol, ``key``, price, qty, _ord: the time as a long, _seq: tie-break struct or none).
 
-    First pass: one hash aggregate whose ordering key is the time and 63 bits of the tie-break's hash,
-    upwards once and downwards once. Where both ways find the same trade, it alone has that time. The
-    bars are written to the shared folder, as both passes read them, and their ties are counted.
+    First pass: one hash aggregate of plain numbers - the first and last time, a price at each, high, low,
+    volume and the count - written to the shared folder, as both passes read it. Bars of one trade are whole.
 
-    Second pass, only where there are ties: the trades at the first or last time of such a bar meet it
-    on (symbol, bucket, time) and are compared by ``_seq``. A hot symbol is many such keys."""
+    Second pass, only where two trades share a first or last time: the trades at these times of bars of
+    several meet them on (symbol, bucket, time) and are compared by ``_seq``. A hot symbol is many such
+    keys; bars of one trade are not exchanged again. Where every bar of several trades spans some time,
+    its trades at both ends are counted first."""
     from tickweave.session import materialize_table
     if "_seq" not in rows.columns:  # nothing to tell ties apart: first and last are arbitrary among them
         return rows.groupBy("symbol", key).agg(
             F.min_by("price", "_ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
             F.max_by("price", "_ord").alias("close"), F.sum("qty").alias("volume"))
-    wide = F.lit(str(10 ** 19)).cast("decimal(38,0)")
-    low = F.xxhash64("_seq").bitwiseAND(F.lit((1 << 63) - 1))
-    at = F.col("_ord").cast("decimal(38,0)") * wide
-    up, down = at + low.cast("decimal(38,0)"), at + (F.lit((1 << 63) - 1) - low).cast("decimal(38,0)")
-    timed = rows.select("symbol", key, "price", "qty", "_ord", up.cast("decimal(38,0)").alias("_up"), down.cast("decimal(38,0)").alias("_down"))
-    top = F.lit((1 << 63) - 1).cast("decimal(38,0)")
-
-    def alone(one: Column, other: Column, t: Column) -> Column:  # both ends of a time's trades are one trade
-        return one + other == t.cast("decimal(38,0)") * wide * F.lit(2) + top
-
-    bars = materialize_table(timed.groupBy("symbol", key).agg(
-        F.min_by("price", "_up").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "_up").alias("close"), F.sum("qty").alias("volume"),
-        F.min("_ord").alias("_first"), F.max("_ord").alias("_last"),
-        F.min("_up").alias("_u0"), F.min("_down").alias("_d0"), F.max("_up").alias("_u1"), F.max("_down").alias("_d1"),
-    ).withColumn("_tie0", ~alone(F.col("_u0"), F.col("_d0"), F.col("_first")))
-        .withColumn("_tie1", ~alone(F.col("_u1"), F.col("_d1"), F.col("_last"))).drop("_u0", "_d0", "_u1", "_d1"), "bars")
-    ends = F.filter(F.array(F.when(F.col("_tie0"), F.struct(F.col("_first").alias("t"), F.lit(0).alias("side"))),
-                            F.when(F.col("_tie1"), F.struct(F.col("_last").alias("t"), F.lit(1).alias("side")))), lambda e: e.isNotNull())
+    bars = materialize_table(rows.groupBy("symbol", key).agg(
+        F.min_by("price", "_ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "_ord").alias("close"), F.sum("qty").alias("volume"),
+        F.min("_ord").alias("_first"), F.max("_ord").alias("_last"), F.count(F.lit(1)).alias("_n")), "bars")
     out = ["symbol", key, "open", "high", "low", "close", "volume"]
-    many = bars.filter("_tie0 OR _tie1").count()
+    several = bars.filter("_n > 1")
+    many, sure = several.agg(F.count(F.lit(1)), F.count_if(F.col("_first") == F.col("_last"))).first()
     if not many:
         return bars.select(*out)
-    ties = bars.filter("_tie0 OR _tie1").select(F.col("symbol").alias("_s"), F.col(key).alias("_k"), F.explode(ends).alias("_e"))
+    end = lambda t, opens, closes: F.struct(F.col(t).alias("t"), F.lit(opens).alias("opens"), F.lit(closes).alias("closes"))
+    ends = F.when(F.col("_first") == F.col("_last"), F.array(end("_first", True, True))) \
+        .otherwise(F.array(end("_first", True, False), end("_last", False, True)))
+    ties = several.select(F.col("symbol").alias("_s"), F.col(key).alias("_k"), F.explode(ends).alias("_e"))
     if many <= BROADCAST_TIES:
         ties = F.broadcast(ties)
-    tied = rows.join(ties, rows["symbol"].eqNullSafe(ties["_s"]) & rows[key].eqNullSafe(ties["_k"]) & (rows["_ord"] == ties["_e.t"]))
-    side = F.col("_e.side")
-    settled = tied.groupBy("_s", "_k").agg(  # over trades at a tied time only
-        F.min_by("price", F.when(side == 0, F.col("_seq"))).alias("_open"),
-        F.max_by("price", F.when(side == 1, F.col("_seq"))).alias("_close"))
-    both = bars.join(settled, bars["symbol"].eqNullSafe(settled["_s"]) & bars[key].eqNullSafe(settled["_k"]), "left")
-    return (both.withColumn("open", F.when(F.col("_tie0"), F.col("_open")).otherwise(F.col("open")))
-            .withColumn("close", F.when(F.col("_tie1"), F.col("_close")).otherwise(F.col("close"))).select(*out))
+    at_end = rows["symbol"].eqNullSafe(ties["_s"]) & rows[key].eqNullSafe(ties["_k"]) & (rows["_ord"] == ties["_e.t"])
+    tied = rows.drop("qty").join(ties, at_end)
+    if not sure and tied.groupBy("_s", "_k", "_e.t").count().filter("count > 1").isEmpty():
+        return bars.select(*out)
+    settled = tied.groupBy("_s", "_k").agg(  # over trades at a first or last time only
+        F.min_by("price", F.when(F.col("_e.opens"), F.col("_seq"))).alias("open"),
+        F.max_by("price", F.when(F.col("_e.closes"), F.col("_seq"))).alias("close"))
+    both = several.drop("open", "close").join(settled, several["symbol"].eqNullSafe(settled["_s"]) & several[key].eqNullSafe(settled["_k"]), "left")
+    return bars.filter("_n = 1").select(*out).unionByName(both.select(*out))
 
 
 def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
