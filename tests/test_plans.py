@@ -101,3 +101,19 @@ def test_bucketed_bar_table_needs_no_exchange(spark):
     p = _plan(df)
     assert "Exchange" not in p and p.count("Window [") == 2
     assert df.exceptAll(add_indicators(daily_bars(spark, SF_SMALL), price_scale=2)).count() == 0
+
+
+def test_series_index_exchanges_its_rows_once(spark):
+    """The numbering and the join on the counts share one partitioning; chunked samples scale last."""
+    from tickweave.operators.series import series_index
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).cast("string").alias("symbol"),
+                                     F.expr("IF(id = 0, NULL, date_add(DATE'2024-01-01', int(id)))").alias("date"))
+        ix = series_index(df)
+        # rows and their counts by (symbol, month), counts by symbol, offsets by (symbol, month)
+        assert ix._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+        assert sorted(r.series_idx for r in ix.filter("symbol IS NULL").collect()) == list(range(34))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

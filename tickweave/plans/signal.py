@@ -48,7 +48,11 @@ def ar1_signal(bars: DataFrame, look_back: int = K.DEFAULT_LOOK_BACK, steps: int
     (``checkpoint``), so they do not each re-sort and re-run the windows, each reads the columns it
     uses only, and the lineage back to the raw trades is cut.
     The branches are per-symbol aggregates and one-row-per-symbol joins."""
+    if chunk_rows and checkpoint:  # positions in a series take two readings of what is cut: written, not computed twice
+        bars = materialize_table(bars.select("symbol", "date", "close"), "signal-bars")
     ind = add_indicators(bars, price_scale=price_scale, ma_windows=(), chunk_rows=chunk_rows)
+    if chunk_rows and checkpoint:
+        ind = materialize_table(ind.select("symbol", "date", "close", "rsi"), "signal-indicators")
     smp = FC.samples(ind, look_back, with_features=False, chunk_rows=chunk_rows).select(
         "symbol", "date", "close", "rsi", "s_min", "s_max", "prev", "label", "sample_idx", "is_train")
     if checkpoint:
