@@ -136,6 +136,23 @@ def test_recent_indicators_equal_the_tail_of_all(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_last_state_passes_only_the_last_bars_to_the_window(spark):
+    import datetime as dt
+    day = dt.date(2024, 1, 1)
+    rows = [(s, day + dt.timedelta(days=k), float((k * 37) % 101)) for s in ("A", None) for k in range(60)] + [("B", day, 4.0), ("B", day + dt.timedelta(days=1), None)]
+    df = spark.createDataFrame(rows, "symbol string, date date, close double")
+    state = FC.last_state(df, 10)
+    assert "WindowGroupLimit" in state._jdf.queryExecution().executedPlan().toString()
+    got = {r.symbol: r for r in state.collect()}
+    closes = [float((k * 37) % 101) for k in range(60)]
+    lo, hi = min(closes), max(closes)
+    for symbol in ("A", None):
+        r = got[symbol]
+        assert r.n_hist == 10 and r.last_date == day + dt.timedelta(days=59) and (r.s_min, r.s_max, r.last_close) == (lo, hi, closes[-1])
+        assert r.history == pytest.approx([(c - lo) / (hi - lo) for c in closes[-10:]])
+    assert got["B"].n_hist == 2 and got["B"].last_close is None and got["B"].history == [0.0, None]
+
+
 def test_statement_views(spark):
     from tickweave.operators.statements import statement_views
     long = spark.createDataFrame([("A", "income", 1, "x", 1.0), ("A", "balance", 1, "y", 2.0), ("A", "balance", 2, "z", 3.0), ("A", None, 1, "x", 9.0),
