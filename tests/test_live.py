@@ -199,6 +199,16 @@ def test_index_reads_stay_flat_while_the_history_grows(spark, scratch):
     assert reads[49]["parts"] > reads[0]["parts"] and all(r["parts_read"] <= 2 for r in reads)
 
 
+def test_filters_hold_every_word_without_look_ups(spark, scratch):
+    index = SeenIndex(spark, scratch, part_urls=64, first_parts=2)
+    urls = spark.createDataFrame([(f"u{k}",) for k in range(40)], "url string").select("url", index._hash().alias("h")).withColumn("part", F.pmod("h", F.lit(2)).cast("int"))
+    filters = index._filters(urls, spark.createDataFrame([(0, [1] * (index.bits // 64)), (5, [2] * (index.bits // 64))], "part int, words array<long>"))
+    assert "map_from_entries" not in filters._jdf.queryExecution().optimizedPlan().toString()  # m[w] searches a map from its start
+    got = {r.part: r.words for r in filters.collect()}
+    assert set(got) == {0, 1, 5} and {len(w) for w in got.values()} == {index.bits // 64} and got[5] == [2] * (index.bits // 64)
+    assert all(w & 1 for w in got[0]) and urls.join(filters, "part").filter(index._perhaps()).count() == 40
+
+
 def test_indexed_news_first_in_feed_order_and_replay(spark, scratch):
     schema = "url string, feed_pos long, title string"
     live = IndexedNews(spark, spark.createDataFrame([("s",)], "url string"), scratch, part_urls=8, first_parts=1)

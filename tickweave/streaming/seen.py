@@ -50,11 +50,13 @@ class SeenIndex:
         """(part, words): the filters of parts, with more urls in them."""
         bits = urls.select("part", F.explode(self._bits()).alias("b"))
         ones = bits.select("part", F.expr("b div 64").cast("int").alias("w"), F.expr("shiftleft(1L, b % 64)").alias("v"))
-        was = old.select("part", F.posexplode("words").alias("w", "v")).filter("v != 0")
-        words = ones.unionByName(was).groupBy("part", "w").agg(F.bit_or("v").alias("v"))
-        held = words.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
-        every = F.transform(F.sequence(F.lit(0), F.lit(self.bits // 64 - 1)), lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long")))
-        return held.select("part", every.alias("words"))
+        was = old.select("part", F.posexplode("words").alias("w", "v"))
+        # a new part's words are all there too, so a filter is its words in order and none is looked up
+        every = F.explode(F.sequence(F.lit(0), F.lit(self.bits // 64 - 1)))
+        none = urls.select("part").distinct().select("part", every.alias("w"), F.lit(0).cast("long").alias("v"))
+        words = ones.unionByName(was).unionByName(none).groupBy("part", "w").agg(F.bit_or("v").alias("v"))
+        inorder = F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"])
+        return words.groupBy("part").agg(inorder.alias("words"))
 
     def _perhaps(self) -> Column:
         """Whether all of a url's bits are set in its part's ``words``."""
