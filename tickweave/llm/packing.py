@@ -99,7 +99,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None,
         coder, end = chunk_tokenizer(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
-            for first, part in text_chunks(batch.column(1).to_pylist(), CHUNK_CHARS):
+            for first, part in text_chunks(batch.column(1), CHUNK_CHARS):
                 row, start, length, crc, total = [], [], [], [], []
                 for i, packed in enumerate(coder.encode_batch(part)):
                     packed += end

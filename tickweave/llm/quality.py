@@ -246,7 +246,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         model = path or tokenizer_path(VOCABULARY)
         cache = per_process(("pieces", model), lambda: WordTokens(model))
         for batch in batches:
-            for start, part in text_chunks(batch.column(text_at).to_pylist()):
+            for start, part in text_chunks(batch.column(text_at)):
                 m = measure(part, cache)
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
                 kept = ~failed & fertility_ok(m, bands)
