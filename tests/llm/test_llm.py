@@ -141,6 +141,68 @@ def test_centre_rounds_lose_no_link(spark, monkeypatch):
     assert Counter(tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()) == brute_components(rows)
 
 
+def test_text_chunks_of_an_arrow_column():
+    """A worker takes an Arrow column some rows at a time: the pieces are those of the whole list."""
+    import pyarrow as pa
+
+    from tickweave.llm.common import column_values, text_chunks
+    texts = [None, "", "a" * 50, "b" * 200] * 300 + ["c" * 10]
+    column = pa.array(texts, pa.string()).slice(1)
+    assert list(column_values(column)) == texts[1:]
+    pieces = list(text_chunks(column, 120))
+    assert pieces == list(text_chunks(texts[1:], 120))
+    assert [t for _, part in pieces for t in part] == [t or "" for t in texts[1:]]
+
+
+def test_marks_bound_the_overlap_of_sets_of_any_size():
+    rng = np.random.default_rng(3)
+    near = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 400)) if rng.random() < 0.9 else int(rng.integers(4000, 9000))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        other = rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2))).astype(np.uint64)
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.5, 0.8, 0.95, 1.0])], other]))
+        may = ngram_join.may_link(ngram_join.marks(a), ngram_join.marks(b), len(a), len(b))
+        assert may or not ngram_join.linked(a, b)
+        near += may
+    assert 0 < near < 400
+
+
+def test_far_pairs_move_no_text(spark, monkeypatch):
+    """Neighbours share half of their text, and no prefix is without a shared shingle: they meet, but their
+    marks rule the link out before a text is asked for."""
+    rng = random.Random(13)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, f"{passages[i]} {passages[(i + 1) % 40]}") for i in range(40)]
+    rows += [(100, rows[0][1] + " tail"), (101, rows[7][1] + " of another")]
+    seen, saved = {}, ngram_join.saved
+
+    def spy(df, name):
+        out = saved(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(ngram_join, "saved", spy)
+    assert Counter(tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()) == brute_components(rows)
+    assert seen["op5-tested"] < 10 < seen["op5-met"]
+
+
+def test_a_centres_pairs_in_many_groups(spark, monkeypatch):
+    """Repeated rows and a centre's text in several groups: every pair is decided once and rightly."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(900)}" for _ in range(100)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 6])):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10_000)}"
+        rows += [(i, " ".join(w))] * rng.choice([1, 1, 3])
+    rows += [(None, rows[0][1]), (None, rows[5][1] + " more"), (None, rows[5][1] + " more")]
+    monkeypatch.setattr(ngram_join, "GROUP_PAIRS", 4)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0.01)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 8)
+    assert Counter(tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()) == brute_components(rows)
+
+
 def test_ngram_links_of_long_texts(spark):
     """Prefixes beyond the largest place that postings tell apart, similarities on both sides of 0.75."""
     rng = random.Random(11)
