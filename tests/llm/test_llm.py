@@ -154,6 +154,22 @@ def test_text_chunks_of_an_arrow_column():
     assert [t for _, part in pieces for t in part] == [t or "" for t in texts[1:]]
 
 
+def test_saved_tables_take_small_arrow_batches(spark):
+    """No batch of a saved table's Arrow map has more than ARROW_ROWS rows; the session's setting stays."""
+    from tickweave.llm.common import ARROW_ROWS, map_arrow, saved
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def count(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+    out = saved(map_arrow(spark.range(0, 5 * ARROW_ROWS, 1, 1), count, "n long"), "batches")
+    sizes = [r.n for r in out.collect()]
+    assert max(sizes) <= ARROW_ROWS and sum(sizes) == 5 * ARROW_ROWS
+    assert spark.conf.get(key) == before
+
+
 def test_marks_bound_the_overlap_of_sets_of_any_size():
     rng = np.random.default_rng(3)
     near = 0
