@@ -125,6 +125,28 @@ def test_pooled_network_averages_shards(spark):
     assert N.fit_pooled_network(df.filter("false"), 10, epochs=5)[1] == []
 
 
+def test_samples_are_dealt_once_as_runs(spark):
+    """Runs hold every sample once, at little more than a value each, and an epoch exchanges no sample; gaps, equal
+    keys, nulls and a null symbol part runs and lose nothing."""
+    import datetime as dt
+    rng, day = random.Random(8), dt.date(2024, 1, 1)
+    bars = [(s, day + dt.timedelta(days=k), rng.random()) for s in "AB" for k in range(200)]
+    df = FC.samples(spark.createDataFrame(bars, "symbol string, date date, close double"), 10)
+    odd = [(None, k, [rng.random() for _ in range(10)], 0.5) for k in (0, 1, 1, 5)] + [("Z", 0, [None] + [0.25] * 9, 0.25), ("Z", 1, [0.25] * 10, 0.75)]
+    train = N._train(df, 10).unionByName(spark.createDataFrame(odd, "symbol string, k long, features array<double>, label double"))
+    runs = N.sample_runs(train, 10, 50)
+    got, want = [], [(r.symbol, r.features, r.label) for r in train.collect()]
+    for r in runs.collect():
+        assert len(r["values"]) == 10 + r.n and r.n <= 50
+        got += [(r.symbol, r["values"][i:i + 10], r["values"][i + 10]) for i in range(r.n)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert runs.filter("symbol <> 'Z'").count() == 8  # 304 samples, at most 50 a run
+    name = N._dealt(runs, 7)
+    epoch = spark.table(name).groupBy("shard").applyInArrow(lambda t: t, spark.table(name).schema)
+    assert epoch.count() == runs.count() and "Exchange" not in epoch._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_recent_indicators_equal_the_tail_of_all(spark):
     from tickweave.functions.indicators import add_indicators
     from tickweave.operators.series import recent_indicators, tail
