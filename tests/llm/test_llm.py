@@ -1,6 +1,7 @@
 """The training-data operators against SQL twins, brute force, the tokenizers library and held-out labels."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -317,6 +318,70 @@ def test_field_finds_unseen_secrets():
     assert [raw[a:b] for _, a, b in secrets.crf_spans(raw, field)] == [b"66213754e9ea22e86d"]
 
 
+def full_viterbi(raw, field):
+    """Spans of the best path by the field's own steps through all tokens."""
+    out = []
+    for spans in secrets.sequences(raw):
+        tags = field.viterbi(secrets.token_features(raw, spans))
+        for i in (i for i, t in enumerate(tags) if t == secrets.BEGIN):
+            j = i
+            while j + 1 < len(tags) and tags[j + 1] == secrets.INSIDE:
+                j += 1
+            out.append((3, spans[i][0], spans[j][1]))
+    return out
+
+
+def test_tagger_finds_the_path_over_all_tokens(monkeypatch):
+    rng, bits = random.Random(1), ["token", " ", "\n", "=", '"', ":", "é日", "a1b2c3", "Pass-word", "!!", "x" * 30, ".", "\t  ", "zz 9"]
+    found = 0
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        field = secrets.Field(r.normal(0, 0.4 + seed % 3, (secrets.N_FEATURES, 3)), r.normal(0, 1 + seed % 4, (3, 3)))
+        field.emit[secrets.bucket("bias"), secrets.OUT] += seed % 5 * 3
+        tagger = secrets.Tagger(field)
+        tagger.STEP = 7 if seed % 2 else tagger.STEP
+        for k in range(20):
+            raw = "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 2, 5, 60]))).encode()
+            want = full_viterbi(raw, field)
+            assert tagger.spans(raw) == want
+            found += len(want)
+    assert found > 100
+
+
+def test_marginals_equal_enumeration():
+    r = np.random.default_rng(4)
+    s, move = r.normal(size=(1, 4, 3)), r.normal(size=(3, 3))
+    paths = list(itertools.product(range(3), repeat=4))
+    weight = np.array([np.exp(sum(s[0, t, y] for t, y in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:]))) for p in paths])
+    weight /= weight.sum()
+    padded = np.concatenate([s, r.normal(size=(1, 2, 3))], axis=1)
+    prob, steps = secrets.marginals(padded, move, np.array([[True] * 4 + [False] * 2]))
+    for t in range(4):
+        assert prob[0, t] == pytest.approx([sum(w for w, p in zip(weight, paths) if p[t] == k) for k in range(3)])
+    assert not prob[0, 4:].any()
+    for a in range(3):
+        assert steps[a] == pytest.approx([sum(w * sum(x == (a, b) for x in zip(p, p[1:])) for w, p in zip(weight, paths)) for b in range(3)])
+
+
+def test_every_token_is_tagged():
+    """Short secrets, joined words, and ones under names the patterns lack are found; plain text is not marked, and
+    a character is never parted."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    some = [f'{line(30)}\n{line(5)} token = "{rng.randbytes(20).hex()}" {line(30)}'.encode() for _ in range(60)]
+    plain = [f"{line(40)}, é日本 {rng.randrange(99)} {line(9)}. {line(20)}".encode() for _ in range(200)]
+    field = secrets.Field().train(secrets.training_sequences(some) + secrets.training_sequences(plain))
+    tagger, hits = secrets.Tagger(field), Counter()
+    for value in ("x7k2m9q", "orange-table-winter-cloud", "Zk39vQpL0aYw81Bd", "0f3a9c41d2e86b75"):
+        for k in range(20):
+            head = f"{line(20)}\n{line(4)} {word()}_hash = \"".encode()
+            spans = tagger.spans(head + value.encode() + f'" {line(20)}'.encode())
+            hits[value] += (3, len(head), len(head) + len(value)) in spans
+    assert all(hits[v] >= 18 for v in ("x7k2m9q", "orange-table-winter-cloud", "Zk39vQpL0aYw81Bd", "0f3a9c41d2e86b75")), hits
+    assert sum(len(tagger.spans(f"{line(40)}, é日本 {rng.randrange(99)} {line(9)}".encode())) for _ in range(100)) <= 2
+
+
 def test_field_learns_from_both_classes(spark, monkeypatch):
     """Texts with base spans that fill their bound leave the other class its own."""
     with_span = [(k, f"some words here password=abc{k}def0123456 and more words") for k in range(30)]
