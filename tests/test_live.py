@@ -110,6 +110,30 @@ def test_a_late_bar_reads_and_writes_only_cells_near_it(spark, scratch, bars):
     assert min(written) == "1995-03" and len(written) <= near and len(cells) < state.filter(F.col("symbol") == touched.first().symbol).count()
 
 
+def test_a_batch_exchanges_its_cells_once_and_reads_move_none(spark, scratch, bars):
+    """Bars meet what is there where the indicators are computed; rows of the newest folder, and of folders with a few
+    cells left, are read as they lie."""
+    live = LiveIndicators(spark, scratch, price_scale=2, month_files=1)
+    live.write(bars.filter(F.month("date") < 7), 0)
+    live.write(bars.filter(F.month("date") >= 7), 1)
+    plan = live.current()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert same(live.current(), add_indicators(bars, price_scale=2))
+
+
+def test_replay_stores_no_row_twice_and_an_empty_slice_is_a_batch(spark, scratch, monkeypatch):
+    from tickweave.streaming import streams as T
+    monkeypatch.setattr(T, "shared_dir", lambda spark, name: f"{scratch}/{name}")
+    rows = spark.range(100).withColumn("part", F.when(F.col("id") < 40, 0).otherwise(2))
+    got = []
+    T.replay(rows.repartition(3), F.col("part"), 3, "r", lambda batch, k: got.append((k, sorted(r.id for r in batch.collect()))))
+    assert got == [(0, list(range(40))), (1, []), (2, list(range(40, 100)))]
+    files = [f"{at}/{f}" for at, _, fs in os.walk(scratch) for f in fs if f.endswith(".parquet")]
+    assert sum(spark.read.parquet(f).count() for f in files) == 100
+    T.replay(rows.limit(0), F.col("part"), 2, "none", lambda batch, k: got.append((k, batch.count())))
+    assert got[3:] == [(0, 0), (1, 0)]
+
+
 # --- T6 -------------------------------------------------------------------------------------------
 
 TICK = "symbol string, ts timestamp, seq long, price double"

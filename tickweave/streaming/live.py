@@ -7,18 +7,24 @@ runs again after a failure reads the state from before it and writes the same ro
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickweave.functions.indicators import add_indicators, indicator_lookback
+from tickweave.functions.indicators import add_indicators, gain, indicator_lookback, loss
 from tickweave.operators.feeds import crossings
+from tickweave.session import freed_shuffles
 from tickweave.sources.bars import BAR_COLUMNS, ts_seq_key
 from tickweave.streaming.versions import VersionedTable, remove_folders
 
 # --- T5 -------------------------------------------------------------------------------------------
 
 
+#: Cells that may be broadcast (symbol, month, folder), some 20 MB; more are joined by an exchange.
+BROADCAST_CELLS = 100_000
+
+
 def month_of(date: str = "date") -> Column:
     return F.date_format(date, "yyyy-MM")
 
@@ -46,19 +52,36 @@ class LiveIndicators:
         self.state = VersionedTable(spark, f"{self.path}/state")
         self.lookback = indicator_lookback()
 
-    def _cells(self, state: DataFrame, columns: list[str]) -> DataFrame | None:
+    def _cells(self, state: DataFrame, columns: list[str], whole: str | None = None) -> DataFrame | None:
         """The rows of the cells in ``state``. Their folders and months are listed on the driver: as many
-        as the calendar and the batches since the last compaction have, whatever the number of symbols."""
-        places = state.filter("v IS NOT NULL").select("v", "month").distinct().collect()
+        as the calendar and the batches since the last compaction have, whatever the number of symbols. Of the folder
+        ``whole`` every row counts; folders with a few cells left meet a broadcast, so their rows are not exchanged."""
+        places = state.filter("v IS NOT NULL").groupBy("v", "month").agg(F.count(F.lit(1)).alias("cells")).collect()
         if not places:
             return None
-        root = f"{self.path}/rows"
-        rows = self.spark.read.option("basePath", root).parquet(*[f"{root}/f={r.v}/month={r.month}" for r in places])
-        rows = rows.select(*columns, F.col("f").cast("string").alias("f"), F.col("month").cast("string").alias("month"))
+        cells: dict[str, int] = {}
+        for r in places:
+            cells[r.v] = cells.get(r.v, 0) + r.cells
+        few, held = set(), 0
+        for v in sorted(cells, key=lambda v: (cells[v], v)):
+            held += cells[v] if v != whole else 0
+            if v != whole and held <= BROADCAST_CELLS:
+                few.add(v)
+        root, parts = f"{self.path}/rows", []
         own = state.select(F.col("symbol").alias("_symbol"), F.col("month").alias("_month"), F.col("v").alias("_v"),
                            *[c for c in state.columns if c not in ("symbol", "month", "v", "n")])
-        return rows.join(own, rows["symbol"].eqNullSafe(own["_symbol"]) & (rows["month"] == own["_month"]) & (rows["f"] == own["_v"])) \
-            .drop("_symbol", "_month", "_v", "f")
+        for folders in (few, {whole} & set(cells), set(cells) - few - {whole}):
+            if not folders:
+                continue
+            rows = self.spark.read.option("basePath", root).parquet(*[f"{root}/f={r.v}/month={r.month}" for r in places if r.v in folders])
+            rows = rows.select(*columns, F.col("f").cast("string").alias("f"), F.col("month").cast("string").alias("month"))
+            if whole not in folders:
+                mine = own.filter(F.col("_v").isin(*folders))
+                rows = rows.join(F.broadcast(mine) if folders is few else mine,
+                                 rows["symbol"].eqNullSafe(own["_symbol"]) & (rows["month"] == own["_month"]) & (rows["f"] == own["_v"])) \
+                    .drop("_symbol", "_month", "_v")
+            parts.append(rows.drop("f"))
+        return reduce(DataFrame.unionByName, parts)
 
     def plan(self, old: DataFrame, touched: DataFrame) -> DataFrame:
         """(symbol, month, n, v, emit): the cells that a batch with bars in the ``touched`` ones reads, and
@@ -81,13 +104,14 @@ class LiveIndicators:
         new = (batch.select(*BAR_COLUMNS).filter("date IS NOT NULL").groupBy("symbol", "date")
                .agg(F.max(F.struct(*values)).alias("b")).select("symbol", "date", *[F.col(f"b.{c}").alias(c) for c in rest])
                .select(*BAR_COLUMNS).persist())
-        try:
-            if not new.isEmpty():
-                self._write(new, batch_id)
-        finally:
-            new.unpersist()
-        if batch_id % self.compact_every == self.compact_every - 1:
-            self.compact()
+        with freed_shuffles(self.spark, batch.sparkSession):
+            try:
+                if not new.isEmpty():
+                    self._write(new, batch_id)
+            finally:
+                new.unpersist()
+            if batch_id % self.compact_every == self.compact_every - 1:
+                self.compact()
 
     def _write(self, new: DataFrame, batch_id: int) -> None:
         old = self.state.read(below=batch_id)
@@ -98,10 +122,11 @@ class LiveIndicators:
         frame = new.withColumn("emit", F.lit(True))
         there = self._cells(cells, BAR_COLUMNS)
         if there is not None:
-            again = new.select(F.col("symbol").alias("_s"), F.col("date").alias("_d"))
-            there = there.join(again, there["symbol"].eqNullSafe(again["_s"]) & (there["date"] == again["_d"]), "left_anti")
-            frame = frame.unionByName(there.select(*BAR_COLUMNS, "emit"))
-        rows = add_indicators(frame, price_scale=self.price_scale).filter("emit").drop("emit").withColumn("month", month_of())
+            # exchanged once, by symbol: a bar sent again meets the one before where the indicators are computed
+            both = frame.withColumn("_new", F.lit(True)).unionByName(there.select(*BAR_COLUMNS, "emit", F.lit(False).alias("_new"))).repartition("symbol")
+            again = F.max("_new").over(Window.partitionBy("symbol", "date"))
+            frame = both.withColumn("_again", again).filter("_new OR NOT _again").drop("_new", "_again")
+        rows = add_indicators(frame, price_scale=self.price_scale).filter("emit").drop("emit")
         name = f"{batch_id:012d}-{uuid.uuid4().hex[:8]}"  # an attempt of its own: what readers hold stays as it is
         folder = f"{self.path}/rows/f={name}"
         self._store(rows, folder)
@@ -113,16 +138,20 @@ class LiveIndicators:
         self.state.write(kept.unionByName(done), batch_id)
 
     def _store(self, rows: DataFrame, folder: str) -> None:
-        rows.repartition("month", F.pmod(F.xxhash64("symbol"), F.lit(self.month_files))).write.partitionBy("month").parquet(folder)
+        """``rows`` by month. What follows from a row's other columns is left out of the exchange and computed behind it."""
+        narrow = rows.drop("gain", "loss", "month").repartition(month_of(), F.pmod(F.xxhash64("symbol"), F.lit(self.month_files)))
+        again = narrow.withColumns({"gain": gain(F.col("change")), "loss": loss(F.col("change"))})
+        (again.select(*[c for c in rows.columns if c != "month"], month_of().alias("month"))
+         .write.partitionBy("month").option("compression", "zstd").parquet(folder))
 
     def current(self) -> DataFrame | None:
         """All bars with their indicators; None before the first batch."""
         state = self.state.read()
         if state is None:
             return None
-        first = state.select("v").first().v
-        columns = [c for c in self.spark.read.parquet(f"{self.path}/rows/f={first}").columns if c != "month"]
-        return self._cells(state, columns).drop("month")
+        newest = state.agg(F.max("v")).first()[0]  # folders begin with their batch: no later one took a cell of this
+        columns = [c for c in self.spark.read.parquet(f"{self.path}/rows/f={newest}").columns if c != "month"]
+        return self._cells(state, columns, whole=newest).drop("month")
 
     def compact(self) -> None:
         """All cells into one folder, then folders that no kept state names go."""
@@ -130,7 +159,7 @@ class LiveIndicators:
         if version is None:
             return
         name = f"{version:012d}-{uuid.uuid4().hex[:8]}"
-        self._store(self.current().withColumn("month", month_of()), f"{self.path}/rows/f={name}")
+        self._store(self.current(), f"{self.path}/rows/f={name}")
         self.state.write(self.state.read().withColumn("v", F.lit(name)), version)
         used, below = {name}, version
         while (old := self.state.read(below=below)) is not None:

@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tickweave import constants as K
-from tickweave.session import shared_dir
+from tickweave.session import freed_shuffles, shared_dir
 from tickweave.streaming.versions import VersionedTable
 
 # T1: refresh cadences of the reference's three live views, as processing-time triggers.
@@ -291,14 +290,30 @@ def replay(rows: DataFrame, slice_of: Column, slices: int, name: str, write) ->
     query that stops and resumes from its checkpoint."""
     spark = rows.sparkSession
     held, src, checkpoint = (shared_dir(spark, f"{name}-{x}") for x in ("slices", "in", "ckpt"))
-    rows.withColumn("_slice", slice_of.cast("int")).write.partitionBy("_slice").parquet(held)
-    sliced = spark.read.schema(StructType([*rows.schema.fields, StructField("_slice", IntegerType())])).parquet(held)
+    with freed_shuffles(spark):
+        rows.withColumn("_slice", slice_of.cast("int")).write.partitionBy("_slice").parquet(held)
+    folder, fs = _hadoop_path(spark, src)
+    fs.mkdirs(folder)
     for k in range(slices):
-        sliced.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(src)
+        if not _arrive(spark, f"{held}/_slice={k}", src, f"{k:06d}-"):
+            rows.limit(0).write.mode("append").parquet(src)  # an empty slice is a micro-batch too
         parquet_stream(spark, src, schema=rows.schema).writeStream.option("checkpointLocation", checkpoint) \
             .foreachBatch(write).trigger(**trigger_for(None)).start().awaitTermination()
 
 
+def _arrive(spark: SparkSession, slice_dir: str, src: str, prefix: str) -> int:
+    """Move a slice's files into the stream's folder, so that no row is stored twice; their number."""
+    at, fs = _hadoop_path(spark, slice_dir)
+    if not fs.exists(at):
+        return 0
+    files = [st.getPath() for st in fs.listStatus(at) if not st.getPath().getName().startswith(("_", "."))]
+    for f in files:
+        to, _ = _hadoop_path(spark, f"{src}/{prefix}{f.getName()}")
+        if not fs.rename(f, to):
+            raise RuntimeError(f"could not move {f} to {to}")
+    return len(files)
+
+
 def quantile_slice(rows: DataFrame, order: Column, slices: int) -> Column:
     """The number of a row's slice when ``order`` (a number) is cut into about equal slices; the cuts, one
     less than the slices, are found by an approximate percentile and come to the driver."""
